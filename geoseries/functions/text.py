@@ -17,6 +17,9 @@ KEEP_SOURCES = ["Instagram", "Twitter for Android", "Twitter for iPhone",
                 "Foursquare", "Tweetlogix", "Untappd"]
 
 
+EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -47,17 +50,17 @@ def parse_twitter_time(c) -> Column:
     """``Wed Oct 10 20:19:24 +0000 2018`` -> UTC TIMESTAMP_NTZ.
 
     The weekday is skipped (patterns with ``EEE`` are refused for parsing);
-    the offset is honoured, then the instant is expressed in UTC.
+    the offset is honoured and the instant is expressed as UTC wall-clock
+    time, independent of the session time zone.
     """
     inst = F.expr(f"try_to_timestamp(substring({_sql(c)}, 5), 'MMM dd HH:mm:ss Z yyyy')")
-    return F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(inst, "UTC"),
-                                            "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(inst), F.expr(EPOCH_NTZ))
 
 
 def epoch_ms_to_local(c, tz: str = "America/Detroit") -> Column:
     """Epoch milliseconds (UTC) -> local wall-clock TIMESTAMP_NTZ in ``tz``."""
-    local = F.from_utc_timestamp(F.timestamp_millis(_c(c)), tz)
-    return F.to_timestamp_ntz(F.date_format(local, "yyyy-MM-dd HH:mm:ss.SSS"))
+    utc = F.timestamp_add("MILLISECOND", _c(c), F.expr(EPOCH_NTZ))
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
 def lnglat_from_text(c) -> tuple[Column, Column]:

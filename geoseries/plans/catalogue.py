@@ -60,3 +60,280 @@ def q_attention_level(spark, sf):
 def q_clean_calls(spark, sf):
     """S1-style raw rows -> filters -> keep-first -> relabel -> drop unlabelled."""
     return tidy(clean_calls_df(spark, sf))
+
+
+def staged_calls_df(spark, sf):
+    return clean.stage_calls(S.calls_raw(spark, sf))
+
+
+def first_calls_df(spark, sf):
+    return clean.keep_first(staged_calls_df(spark, sf), ["incident_id"], clean.ORDER_COLS)
+
+
+def clean_posts_df(spark, sf):
+    return clean.clean_posts(S.posts_raw(spark, sf), S.polygons(spark, sf))
+
+
+def eda_calls_df(spark, sf):
+    """Raw calls with the EDA columns typed (all files, no cleaning)."""
+    from ..functions.text import parse_number, strip_ws
+    raw = S.calls_raw(spark, sf)
+    return raw.select("file_seq", "block_start", "row_seq",
+                      strip_ws(F.col("priority")).alias("priority"),
+                      strip_ws(F.col("category")).alias("category"),
+                      strip_ws(F.col("calldescription")).alias("calldescription"),
+                      strip_ws(F.col("officerinitiated")).alias("officerinitiated"),
+                      parse_number("dispatchtime", "double").alias("dispatchtime"),
+                      parse_number("totalresponsetime", "double").alias("totalresponsetime"))
+
+
+def post_points_df(spark, sf):
+    from ..functions.text import lnglat_from_text
+    p = S.posts_raw(spark, sf)
+    lng, lat = lnglat_from_text("coordinates")
+    return p.select("row_seq", "file_seq", "id_str", "user", "created_at",
+                    lng.alias("lng"), lat.alias("lat"))
+
+
+def centres_df(spark, sf):
+    """Search centres ``"lat,long"`` at each polygon's box centre, radius 60 km."""
+    p = S.polygons(spark, sf)
+    return p.select(F.concat_ws(",", ((F.col("miny") + F.col("maxy")) / 2).cast("string"),
+                                ((F.col("minx") + F.col("maxx")) / 2).cast("string")).alias("centre"),
+                    F.lit("60km").alias("radius"))
+
+
+TIME_COUNT_KEYS = ["0,NATION_0", "3,NATION_3", "17,NATION_3", "99,NOWHERE"]
+
+
+# ---- cleaning ------------------------------------------------------------------------
+@register("dedupe_keep_first")
+def q_dedupe_keep_first(spark, sf):
+    """Keep the first copy per incident_id in (file, row) order after the filters."""
+    d = first_calls_df(spark, sf)
+    return tidy(d.select("incident_id", "file_seq", "call_timestamp", "priority"))
+
+
+@register("clean_posts_two_phase")
+def q_clean_posts_two_phase(spark, sf):
+    """Posts: per-file dedupe -> geo-tag filter -> label -> source filter -> global dedupe."""
+    p = clean_posts_df(spark, sf)
+    return tidy(p.select("created_at", "id_str", "user", "source", "lng", "lat", "FID_nhood",
+                         F.length("text").alias("text_len")))
+
+
+@register("stage_audit")
+def q_stage_audit(spark, sf):
+    """Rows per file after each cleaning rule."""
+    return tidy(clean.calls_stage_audit(S.calls_raw(spark, sf)))
+
+
+# ---- profile -------------------------------------------------------------------------
+RAW_CALL_COLS = ["call_timestamp", "incident_id", "officerinitiated", "priority", "calldescription",
+                 "category", "neighborhood", "longitude", "latitude", "dispatchtime", "totalresponsetime"]
+
+
+@register("null_share")
+def q_null_share(spark, sf):
+    """Percent NULL per raw call column."""
+    from ..operators import profile
+    return tidy(profile.null_share(S.calls_raw(spark, sf).select(*RAW_CALL_COLS)))
+
+
+@register("column_profile")
+def q_column_profile(spark, sf):
+    """Non-NULL count per column of the typed, filtered calls (A10)."""
+    from ..operators import profile
+    return tidy(profile.column_profile(staged_calls_df(spark, sf).drop(*clean.ORDER_COLS)).drop("dtype"))
+
+
+@register("value_counts")
+def q_value_counts(spark, sf):
+    """Calls per category."""
+    from ..operators import profile
+    return tidy(profile.value_counts(clean_calls_df(spark, sf), "category"))
+
+
+@register("value_shares")
+def q_value_shares(spark, sf):
+    """Share of calls per priority in percent."""
+    from ..operators import profile
+    return tidy(profile.value_shares(clean_calls_df(spark, sf), "priority"))
+
+
+@register("top_categories")
+def q_top_categories(spark, sf):
+    """Ten most frequent categories (O3)."""
+    from ..operators import profile
+    return tidy(profile.top_values(clean_calls_df(spark, sf), "category", 10))
+
+
+@register("top10_per_priority")
+def q_top10_per_priority(spark, sf):
+    """Top ten categories per priority with their share."""
+    from ..operators import profile
+    return tidy(profile.top_per_group(clean_calls_df(spark, sf), "priority", "category", 10))
+
+
+@register("first_description")
+def q_first_description(spark, sf):
+    """First non-NULL description per category in file/row order (A5)."""
+    from ..operators import profile
+    return tidy(profile.first_non_null(eda_calls_df(spark, sf), "category", "calldescription",
+                                       clean.ORDER_COLS))
+
+
+@register("box_stats")
+def q_box_stats(spark, sf):
+    """Dispatch-time box statistics per priority for citizen calls."""
+    from ..operators import profile
+    d = eda_calls_df(spark, sf).where((F.col("officerinitiated") == "No") & (F.col("dispatchtime") >= 0))
+    return tidy(profile.box_stats(d, "priority", "dispatchtime"))
+
+
+@register("histogram60")
+def q_histogram60(spark, sf):
+    """60-bin histogram of total response times under 60."""
+    from ..operators import profile
+    return tidy(profile.histogram(eda_calls_df(spark, sf), "totalresponsetime", 60, 60.0))
+
+
+@register("last_rows")
+def q_last_rows(spark, sf):
+    """Five newest cleaned calls."""
+    from ..operators import profile
+    d = clean_calls_df(spark, sf).select("call_timestamp", "incident_id", "FID_nhood")
+    return tidy(profile.newest(d, "call_timestamp", "incident_id", 5))
+
+
+# ---- filters -------------------------------------------------------------------------
+@register("time_filter")
+def q_time_filter(spark, sf):
+    """Calls with 2024-01-10 <= ts < 2024-01-17 (F1)."""
+    d = clean.time_range(clean_calls_df(spark, sf), "call_timestamp",
+                         "2024-01-10 00:00:00", "2024-01-17 00:00:00")
+    return tidy(d.select("incident_id", "call_timestamp", "FID_nhood"))
+
+
+@register("last_30_days")
+def q_last_30_days(spark, sf):
+    """Calls in the 30 days before 2024-01-31 (F2)."""
+    d = clean.last_days(clean_calls_df(spark, sf), "call_timestamp", "2024-01-31 00:00:00", 30)
+    return tidy(d.select("incident_id", "call_timestamp"))
+
+
+@register("bbox_filter")
+def q_bbox_filter(spark, sf):
+    """Posts inside the box (1,1)-(9,9)."""
+    d = clean.bbox_filter(post_points_df(spark, sf), "lng", "lat", 1.0, 1.0, 9.0, 9.0)
+    return tidy(d.select("row_seq", "lng", "lat"))
+
+
+@register("radius_match")
+def q_radius_match(spark, sf):
+    """Posts within 60 km of any search centre, one row per (post, centre)."""
+    d = geo.radius_match(post_points_df(spark, sf), centres_df(spark, sf))
+    return tidy(d.select("row_seq", "centre"))
+
+
+# ---- binning -------------------------------------------------------------------------
+@register("time_count")
+def q_time_count(spark, sf):
+    """Distinct calls per 3-h bin for a requested neighbourhood list."""
+    return tidy(bins.time_groupby(clean_calls_df(spark, sf), "incident_id", "count", TIME_COUNT_KEYS, FREQ))
+
+
+@register("time_avg")
+def q_time_avg(spark, sf):
+    """Mean priority per 3-h bin and neighbourhood, empty bins 0 (A2)."""
+    return tidy(bins.time_groupby(clean_calls_df(spark, sf), "priority", "avg", "all", FREQ))
+
+
+@register("bin_grid_gaps")
+def q_bin_grid_gaps(spark, sf):
+    """5-hour bins: origin = midnight of each neighbourhood's first call; union grid (A3)."""
+    return tidy(bins.time_groupby(clean_calls_df(spark, sf), "incident_id", "count", "all", "5H"))
+
+
+@register("city_total")
+def q_city_total(spark, sf):
+    """Calls across all neighbourhoods per 3-h bin."""
+    long = bins.time_groupby(clean_calls_df(spark, sf), "incident_id", "count", "all", FREQ)
+    return tidy(bins.city_total(long))
+
+
+@register("wide_series")
+def q_wide_series(spark, sf):
+    """Attention level pivoted to one column per neighbourhood."""
+    al = tidy(bins.attention_level(clean_calls_df(spark, sf), "all", FREQ))
+    return bins.to_wide(al, "FID_nhood", "att_level")
+
+
+@register("unpivot_series")
+def q_unpivot_series(spark, sf):
+    """Wide attention-level table back to long rows."""
+    al = tidy(bins.attention_level(clean_calls_df(spark, sf), "all", FREQ))
+    wide = bins.to_wide(al, "FID_nhood", "att_level")
+    return bins.to_long(wide, ["bin"], "FID_nhood", "att_level")
+
+
+# ---- geo -----------------------------------------------------------------------------
+@register("point_in_polygon")
+def q_point_in_polygon(spark, sf):
+    """First polygon (file order) containing each call point, boundary included."""
+    d = geo.label_points(first_calls_df(spark, sf), S.polygons(spark, sf), "longitude", "latitude", "key")
+    return tidy(d.select("incident_id", "key"))
+
+
+@register("selective_relabel")
+def q_selective_relabel(spark, sf):
+    """Listed names located by polygon, others by first number of the name."""
+    d = geo.relabel(first_calls_df(spark, sf), S.polygons(spark, sf), RELABEL_NAMES)
+    return tidy(d.select("incident_id", "neighborhood", "FID_nhood"))
+
+
+@register("nhood_num_list")
+def q_nhood_num_list(spark, sf):
+    """All numbers of each neighbourhood name in file order."""
+    d = geo.nhood_nums(S.polygons(spark, sf))
+    return tidy(d.select("nhood_name", F.concat_ws(",", F.col("nums").cast("array<string>")).alias("nums"),
+                         "first_num"))
+
+
+@register("adjacency")
+def q_adjacency(spark, sf):
+    """Pairs of polygons that touch."""
+    return tidy(geo.adjacency(S.polygons(spark, sf)).select("centre", "neighbour"))
+
+
+@register("name_reconcile")
+def q_name_reconcile(spark, sf):
+    """Names only in boundaries / only in records / shared by several polygons."""
+    return tidy(geo.name_reconcile(S.polygons(spark, sf), S.calls_raw(spark, sf)))
+
+
+@register("outside_audit")
+def q_outside_audit(spark, sf):
+    """Calls outside the area box, with NULL name, or inside no polygon."""
+    return tidy(geo.outside_audit(first_calls_df(spark, sf), S.polygons(spark, sf), "longitude",
+                                  "latitude", *S.AREA_BOX))
+
+
+@register("neighbour_total")
+def q_neighbour_total(spark, sf):
+    """Per bin and centre: sum of adjacent neighbourhoods' call counts."""
+    long = bins.time_groupby(clean_calls_df(spark, sf), "incident_id", "count", "all", FREQ)
+    pairs = geo.adjacency(S.polygons(spark, sf))
+    return tidy(bins.neighbour_total(long, pairs))
+
+
+@register("working_series")
+def q_working_series(spark, sf):
+    """Own + adjacent distinct calls, posts and users per centre and bin."""
+    calls = clean_calls_df(spark, sf)
+    posts = clean_posts_df(spark, sf)
+    pairs = geo.adjacency(S.polygons(spark, sf))
+    srcs = {"calls": (calls, "call_timestamp", "incident_id"),
+            "tweets": (posts, "created_at", "id_str"),
+            "users": (posts, "created_at", "user")}
+    return tidy(bins.working_series(srcs, pairs, FREQ))

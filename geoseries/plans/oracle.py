@@ -146,3 +146,273 @@ Q["clean_calls"] = with_(CALLS_CLEAN, """
 SELECT call_timestamp, incident_id, officerinitiated, CAST(priority AS BIGINT) AS priority, calldescription,
        category, neighborhood, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, FID_nhood
 FROM calls""")
+
+POSTS_RAW = """posts_raw AS (
+  SELECT CAST(doc_id % 2 + 1 AS INT) AS file_seq, CAST(0 AS BIGINT) AS block_start, doc_id AS row_seq,
+    strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((doc_id * 37) % 43200 AS BIGINT))
+             + to_seconds(CAST(doc_id % 60 AS BIGINT)), '%a %b %d %H:%M:%S +0000 %Y') AS created_at,
+    md5(text) AS id_str, text, 'u' || CAST(doc_id % 97 AS VARCHAR) AS "user",
+    (['Twitter for iPhone', 'Instagram', 'Foursquare', 'Tweetlogix', 'Untappd', 'Twitter for Android',
+      'TweetMyJOBS', 'Paper.li', 'dlvr.it', 'IFTTT'])[(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 10) + 1]
+      AS source,
+    CASE WHEN doc_id % 9 = 0 THEN NULL
+         ELSE '[' || printf('%.2f', ((doc_id * 37) % 1100) / 100.0::DOUBLE) || ', '
+                  || printf('%.2f', ((doc_id * 53) % 1100) / 100.0::DOUBLE) || ']' END AS coordinates
+  FROM documents
+),
+post_points AS (
+  SELECT *, CAST(json_extract(coordinates, '$[0]') AS DOUBLE) AS lng,
+            CAST(json_extract(coordinates, '$[1]') AS DOUBLE) AS lat
+  FROM posts_raw
+)"""
+
+POSTS_CLEAN = POLY + ",\n" + POSTS_RAW + """,
+posts_f1 AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY file_seq, id_str ORDER BY block_start, row_seq) AS rn
+    FROM post_points) WHERE rn = 1
+),
+posts_geo AS (SELECT * FROM posts_f1 WHERE coordinates IS NOT NULL),
+""" + pip_sql("posts_geo", "row_seq", "lng", "lat", "posts_pip") + """,
+posts_kept AS (
+  SELECT g.*, p.key AS FID_nhood FROM posts_geo g JOIN posts_pip p ON p.pid = g.row_seq
+  WHERE g.source IS NOT NULL AND (contains(g.source, 'Instagram') OR contains(g.source, 'Twitter for Android')
+     OR contains(g.source, 'Twitter for iPhone') OR contains(g.source, 'Foursquare')
+     OR contains(g.source, 'Tweetlogix') OR contains(g.source, 'Untappd'))
+),
+posts_once AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY id_str ORDER BY file_seq, block_start, row_seq) AS rn
+    FROM posts_kept) WHERE rn = 1
+),
+posts AS (
+  SELECT timezone('UTC', strptime(substr(created_at, 5), '%b %d %H:%M:%S %z %Y')) AS created_at,
+         id_str, text, "user", source, lng, lat, FID_nhood
+  FROM posts_once
+)"""
+
+Q["dedupe_keep_first"] = with_(CALLS_STAGED, """
+SELECT incident_id, CAST(file_seq AS BIGINT) AS file_seq, call_timestamp, CAST(priority AS BIGINT) AS priority
+FROM calls_first""")
+
+Q["clean_posts_two_phase"] = with_(POSTS_CLEAN, """
+SELECT created_at, id_str, "user", source, round(lng, 6) AS lng, round(lat, 6) AS lat, FID_nhood,
+       CAST(length(text) AS BIGINT) AS text_len
+FROM posts""")
+
+_OKC = "(trim(category) IS NULL OR trim(category) NOT IN ('HNGUP', 'STRTSHFT', 'REMARKS', 'BUS BRD', 'TOW'))"
+_OKP = "(trim(priority) IS NULL OR trim(priority) NOT IN ('P', ''))"
+Q["stage_audit"] = with_(CALLS_RAW, f"""
+SELECT CAST(file_seq AS BIGINT) AS file_seq, count(*) AS raw_rows,
+       count(*) FILTER (WHERE neighborhood IS NOT NULL) AS with_nhood,
+       count(*) FILTER (WHERE neighborhood IS NOT NULL AND {_OKC}) AS category_kept,
+       count(*) FILTER (WHERE neighborhood IS NOT NULL AND {_OKC} AND {_OKP}) AS kept
+FROM calls_raw GROUP BY file_seq""")
+
+_RAW_COLS = ["call_timestamp", "incident_id", "officerinitiated", "priority", "calldescription",
+             "category", "neighborhood", "longitude", "latitude", "dispatchtime", "totalresponsetime"]
+Q["null_share"] = with_(CALLS_RAW, "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100, 6) AS null_pct "
+    f"FROM calls_raw" for c in _RAW_COLS))
+
+_STAGED_COLS = ["call_timestamp", "incident_id", "officerinitiated", "priority", "calldescription",
+                "category", "neighborhood", "longitude", "latitude"]
+Q["column_profile"] = with_(CALLS_STAGED, "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(*) AS \"rows\" FROM staged" for c in _STAGED_COLS))
+
+Q["value_counts"] = with_(CALLS_CLEAN, """
+SELECT category, count(*) AS "count" FROM calls WHERE category IS NOT NULL GROUP BY category""")
+
+Q["value_shares"] = with_(CALLS_CLEAN, """
+SELECT CAST(priority AS BIGINT) AS priority, "count", round("count" * 100.0 / sum("count") OVER (), 6) AS share
+FROM (SELECT priority, count(*) AS "count" FROM calls WHERE priority IS NOT NULL GROUP BY priority)""")
+
+Q["top_categories"] = with_(CALLS_CLEAN, """
+SELECT category, "count" FROM (SELECT category, count(*) AS "count" FROM calls WHERE category IS NOT NULL
+GROUP BY category ORDER BY "count" DESC, category LIMIT 10)""")
+
+Q["top10_per_priority"] = with_(CALLS_CLEAN, """
+SELECT * FROM (
+  SELECT CAST(priority AS BIGINT) AS priority, category, "count",
+         row_number() OVER (PARTITION BY priority ORDER BY "count" DESC, category) AS "rank",
+         round("count" * 100.0 / sum("count") OVER (PARTITION BY priority), 6) AS share
+  FROM (SELECT priority, category, count(*) AS "count" FROM calls WHERE category IS NOT NULL
+        GROUP BY priority, category)) WHERE "rank" <= 10""")
+
+EDA = CALLS_RAW + """,
+eda AS (
+  SELECT file_seq, block_start, row_seq, trim(priority) AS priority, trim(category) AS category,
+         trim(calldescription) AS calldescription, trim(officerinitiated) AS officerinitiated,
+         TRY_CAST(replace(dispatchtime, ',', '') AS DOUBLE) AS dispatchtime,
+         TRY_CAST(replace(totalresponsetime, ',', '') AS DOUBLE) AS totalresponsetime
+  FROM calls_raw
+)"""
+
+Q["first_description"] = with_(EDA, """
+SELECT category, first(calldescription ORDER BY file_seq, block_start, row_seq)
+       FILTER (WHERE calldescription IS NOT NULL) AS calldescription
+FROM eda GROUP BY category""")
+
+Q["box_stats"] = with_(EDA + """,
+d AS (SELECT priority, dispatchtime AS v FROM eda WHERE officerinitiated = 'No' AND dispatchtime >= 0),
+q AS (SELECT priority, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+             quantile_cont(v, 0.75) AS q3 FROM d GROUP BY priority)""", """
+SELECT q.priority, q.n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       round(min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_lo,
+       round(max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_hi,
+       count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers
+FROM q JOIN d USING (priority) GROUP BY q.priority, q.n, q1, median, q3""")
+
+Q["histogram60"] = with_(EDA + """,
+d AS (SELECT totalresponsetime AS v FROM eda WHERE totalresponsetime IS NOT NULL AND totalresponsetime < 60),
+mm AS (SELECT min(v) AS lo, max(v) AS hi FROM d),
+b AS (SELECT least(CAST(floor((v - lo) / (hi - lo) * 60) AS BIGINT) + 1, 60) AS bucket, lo, hi FROM d, mm)""", """
+SELECT bucket, round(lo + (bucket - 1) * ((hi - lo) / 60), 6) AS lo, round(lo + bucket * ((hi - lo) / 60), 6) AS hi,
+       count(*) AS "count"
+FROM b GROUP BY bucket, b.lo, b.hi""")
+
+Q["last_rows"] = with_(CALLS_CLEAN, """
+SELECT call_timestamp, incident_id, FID_nhood FROM calls
+ORDER BY call_timestamp DESC NULLS LAST, incident_id DESC LIMIT 5""")
+
+Q["time_filter"] = with_(CALLS_CLEAN, """
+SELECT incident_id, call_timestamp, FID_nhood FROM calls
+WHERE call_timestamp >= TIMESTAMP '2024-01-10 00:00:00' AND call_timestamp < TIMESTAMP '2024-01-17 00:00:00'""")
+
+Q["last_30_days"] = with_(CALLS_CLEAN, """
+SELECT incident_id, call_timestamp FROM calls
+WHERE call_timestamp >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY
+  AND call_timestamp < TIMESTAMP '2024-01-31 00:00:00'""")
+
+Q["bbox_filter"] = with_(POSTS_RAW, """
+SELECT row_seq, round(lng, 6) AS lng, round(lat, 6) AS lat FROM post_points
+WHERE lng BETWEEN 1.0 AND 9.0 AND lat BETWEEN 1.0 AND 9.0""")
+
+Q["radius_match"] = with_(POLY + ",\n" + POSTS_RAW + """,
+centres AS (SELECT CAST(y0 + 1 AS VARCHAR) || ',' || CAST(x0 + 1 AS VARCHAR) AS centre,
+                   y0 + 1 AS clat, x0 + 1 AS clng, 60.0 AS rkm FROM poly)""", """
+SELECT p.row_seq, c.centre FROM post_points p JOIN centres c ON true
+WHERE 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(c.clat - p.lat) / 2), 2)
+      + cos(radians(p.lat)) * cos(radians(c.clat)) * pow(sin(radians(c.clng - p.lng) / 2), 2)))) <= c.rkm""")
+
+_B3 = """,
+b AS (SELECT time_bucket(INTERVAL 3 HOUR, call_timestamp) AS bin, * FROM calls WHERE call_timestamp IS NOT NULL)"""
+
+Q["time_count"] = with_(CALLS_CLEAN + _B3 + """,
+keys AS (SELECT * FROM (VALUES ('0,NATION_0'), ('3,NATION_3'), ('17,NATION_3'), ('99,NOWHERE')) k(FID_nhood)),
+present AS (SELECT FID_nhood, bin, count(DISTINCT incident_id) AS value FROM b
+            WHERE FID_nhood IN (SELECT FID_nhood FROM keys) GROUP BY FID_nhood, bin),
+grid AS """ + grid_sql("present", "FID_nhood", keys="keys"), """
+SELECT grid.bin, grid.FID_nhood, coalesce(value, 0) AS value FROM grid LEFT JOIN present USING (FID_nhood, bin)""")
+
+Q["time_avg"] = with_(CALLS_CLEAN + _B3 + """,
+present AS (SELECT FID_nhood, bin, avg(priority) AS value FROM b GROUP BY FID_nhood, bin),
+grid AS """ + grid_sql("present", "FID_nhood"), """
+SELECT grid.bin, grid.FID_nhood, round(coalesce(value, 0), 6) AS value FROM grid LEFT JOIN present USING (FID_nhood, bin)""")
+
+Q["bin_grid_gaps"] = with_(CALLS_CLEAN + """,
+o AS (SELECT FID_nhood, date_trunc('day', min(call_timestamp)) AS d0 FROM calls
+      WHERE call_timestamp IS NOT NULL GROUP BY FID_nhood),
+b AS (SELECT c.*, o.d0 + to_seconds(CAST(floor(date_diff('microsecond', o.d0, c.call_timestamp) / 18000000000.0)
+                                         * 18000 AS BIGINT)) AS bin
+      FROM calls c JOIN o USING (FID_nhood) WHERE c.call_timestamp IS NOT NULL),
+present AS (SELECT FID_nhood, bin, count(DISTINCT incident_id) AS value FROM b GROUP BY FID_nhood, bin),
+grid AS """ + grid_sql("present", "FID_nhood", step="INTERVAL 5 HOUR"), """
+SELECT grid.bin, grid.FID_nhood, coalesce(value, 0) AS value FROM grid LEFT JOIN present USING (FID_nhood, bin)""")
+
+TC_ALL = CALLS_CLEAN + _B3 + """,
+present AS (SELECT FID_nhood, bin, count(DISTINCT incident_id) AS value FROM b GROUP BY FID_nhood, bin),
+grid AS """ + grid_sql("present", "FID_nhood") + """,
+tc AS (SELECT grid.bin, grid.FID_nhood, coalesce(value, 0) AS value FROM grid LEFT JOIN present USING (FID_nhood, bin))"""
+
+Q["city_total"] = with_(TC_ALL, "SELECT bin, sum(value) AS total FROM tc GROUP BY bin")
+
+AL = CALLS_CLEAN + _B3 + """,
+present AS (SELECT FID_nhood, bin, count(DISTINCT incident_id) AS n, avg(priority) AS avg_value
+            FROM b GROUP BY FID_nhood, bin),
+grid AS """ + grid_sql("present", "FID_nhood") + """,
+al AS (SELECT grid.bin, grid.FID_nhood, round(coalesce(n, 0) / (coalesce(avg_value, 0) + 1) + 1, 6) AS att_level
+       FROM grid LEFT JOIN present USING (FID_nhood, bin))"""
+
+Q["wide_series"] = with_(AL, "PIVOT al ON FID_nhood USING first(att_level) GROUP BY bin")
+Q["unpivot_series"] = with_(AL, "SELECT bin, FID_nhood, att_level FROM al")
+
+Q["point_in_polygon"] = with_(CALLS_STAGED + ",\n" + pip_sql("calls_first", "incident_id", "longitude",
+                                                           "latitude", "pp"), """
+SELECT c.incident_id, p.key FROM calls_first c LEFT JOIN pp p ON p.pid = c.incident_id""")
+
+Q["selective_relabel"] = with_(CALLS_CLEAN, """
+SELECT incident_id, neighborhood, FID_nhood FROM calls_clean""")
+
+Q["nhood_num_list"] = with_(NH, """
+SELECT nhood_name, string_agg(CAST(nhood_num AS VARCHAR), ',' ORDER BY nhood_num) AS nums,
+       CAST(min(nhood_num) AS BIGINT) AS first_num
+FROM nh GROUP BY nhood_name""")
+
+ADJ = POLY + """,
+sp AS (
+  SELECT a.file_pos AS pa, b.file_pos AS pb,
+    sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) AS o1,
+    sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) AS o2,
+    sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) AS o3,
+    sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) AS o4,
+    b.x1 BETWEEN least(a.x1, a.x2) AND greatest(a.x1, a.x2) AND b.y1 BETWEEN least(a.y1, a.y2) AND greatest(a.y1, a.y2) AS b1_on_a,
+    b.x2 BETWEEN least(a.x1, a.x2) AND greatest(a.x1, a.x2) AND b.y2 BETWEEN least(a.y1, a.y2) AND greatest(a.y1, a.y2) AS b2_on_a,
+    a.x1 BETWEEN least(b.x1, b.x2) AND greatest(b.x1, b.x2) AND a.y1 BETWEEN least(b.y1, b.y2) AND greatest(b.y1, b.y2) AS a1_on_b,
+    a.x2 BETWEEN least(b.x1, b.x2) AND greatest(b.x1, b.x2) AND a.y2 BETWEEN least(b.y1, b.y2) AND greatest(b.y1, b.y2) AS a2_on_b
+  FROM edges a JOIN edges b ON a.file_pos <> b.file_pos
+),
+bnd AS (
+  SELECT pa, pb,
+    bool_or((o1 <> o2 AND o3 <> o4) OR (o1 = 0 AND b1_on_a) OR (o2 = 0 AND b2_on_a)
+            OR (o3 = 0 AND a1_on_b) OR (o4 = 0 AND a2_on_b)) AS meet,
+    bool_or(o1 * o2 < 0 AND o3 * o4 < 0) AS crosses
+  FROM sp GROUP BY pa, pb
+),
+probe AS (
+  SELECT file_pos, x1 AS px, y1 AS py FROM edges UNION ALL
+  SELECT file_pos, (x1 + x2) / 2, (y1 + y2) / 2 FROM edges
+),
+ins AS (
+  SELECT pa, pb FROM (
+    SELECT q.file_pos AS pa, e.file_pos AS pb, q.px, q.py,
+      sum(CASE WHEN ((e.y1 > q.py) <> (e.y2 > q.py))
+                AND q.px < (e.x2 - e.x1) * (q.py - e.y1) / NULLIF(e.y2 - e.y1, 0) + e.x1 THEN 1 ELSE 0 END) AS n,
+      bool_or(((e.x2 - e.x1) * (q.py - e.y1) - (e.y2 - e.y1) * (q.px - e.x1)) = 0
+              AND q.px BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)
+              AND q.py BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)) AS onb
+    FROM probe q JOIN edges e ON q.file_pos <> e.file_pos
+    GROUP BY q.file_pos, e.file_pos, q.px, q.py)
+  WHERE NOT onb AND n % 2 = 1
+),
+adj AS (
+  SELECT ka.key AS centre, kb.key AS neighbour, bnd.pa, bnd.pb
+  FROM bnd JOIN poly ka ON ka.file_pos = bnd.pa JOIN poly kb ON kb.file_pos = bnd.pb
+  WHERE meet AND NOT crosses
+    AND NOT EXISTS (SELECT 1 FROM ins WHERE ins.pa = bnd.pa AND ins.pb = bnd.pb)
+    AND NOT EXISTS (SELECT 1 FROM ins WHERE ins.pa = bnd.pb AND ins.pb = bnd.pa)
+)"""
+
+Q["adjacency"] = with_(ADJ, "SELECT centre, neighbour FROM adj")
+
+Q["name_reconcile"] = with_(CALLS_RAW + """,
+pn AS (SELECT DISTINCT nhood_name AS name FROM nh),
+rn AS (SELECT DISTINCT neighborhood AS name FROM calls_raw WHERE neighborhood IS NOT NULL)""", """
+SELECT name, 'only_in_boundaries' AS issue, CAST(1 AS BIGINT) AS n FROM pn WHERE name NOT IN (SELECT name FROM rn)
+UNION ALL
+SELECT name, 'only_in_records', 1 FROM rn WHERE name NOT IN (SELECT name FROM pn)
+UNION ALL
+SELECT nhood_name, 'duplicate_name', count(*) FROM nh GROUP BY nhood_name HAVING count(*) > 1""")
+
+Q["outside_audit"] = with_(CALLS_STAGED + ",\n" + pip_sql("calls_first", "incident_id", "longitude",
+                                                        "latitude", "pp"), """
+SELECT count(*) AS "rows",
+       count(*) FILTER (WHERE longitude IS NULL OR latitude IS NULL) AS no_coords,
+       count(*) FILTER (WHERE NOT (longitude BETWEEN 0.0 AND 10.0 AND latitude BETWEEN 0.0 AND 10.0)) AS outside_box,
+       count(*) FILTER (WHERE neighborhood IS NULL) AS null_name,
+       count(*) FILTER (WHERE p.key IS NULL) AS in_no_polygon
+FROM calls_first c LEFT JOIN pp p ON p.pid = c.incident_id""")
+
+Q["neighbour_total"] = with_(TC_ALL + ",\n" + ADJ[len(POLY) + 2:], """
+SELECT tc.bin, adj.centre, sum(tc.value) AS adj_total
+FROM tc JOIN adj ON adj.neighbour = tc.FID_nhood GROUP BY tc.bin, adj.centre""")
