@@ -337,3 +337,171 @@ def q_working_series(spark, sf):
             "tweets": (posts, "created_at", "id_str"),
             "users": (posts, "created_at", "user")}
     return tidy(bins.working_series(srcs, pairs, FREQ))
+
+
+# ---- series --------------------------------------------------------------------------
+LAG = 3
+FH = 8
+SEASON = 8
+MEAN_WEIGHTS = [1.0 / LAG] * LAG
+
+
+def series_long(spark, sf):
+    """3-h distinct event counts per event type, gap-filled: ``(series, bin, value)``."""
+    ev = S.table(spark, sf, "events")
+    long = bins.time_groupby(ev, "event_id", "count", "all", FREQ, ts_col="ts", nhood_col="event_type")
+    return long.select(F.col("event_type").alias("series"), "bin", F.col("value").cast("double").alias("value"))
+
+
+def lag_rows_df(spark, sf):
+    from ..operators import series
+    return series.lag_rows(series_long(spark, sf), LAG)
+
+
+def _lags_wide(rows):
+    return rows.select("series", "row_idx", "bin",
+                       *[F.col("lags")[i].alias(f"x_{i + 1}") for i in range(LAG)], "y")
+
+
+@register("acf")
+def q_acf(spark, sf):
+    """Absolute autocorrelation, lags 0..8, per series."""
+    from ..operators import series
+    return tidy(series.acf(series_long(spark, sf), 8))
+
+
+@register("pacf")
+def q_pacf(spark, sf):
+    """Absolute partial autocorrelation (Yule-Walker, n-k), lags 0..3."""
+    from ..operators import series
+    return tidy(series.pacf(series_long(spark, sf), 3))
+
+
+@register("best_lag")
+def q_best_lag(spark, sf):
+    """Lag >= 1 with the largest absolute autocorrelation per series."""
+    from ..operators import series
+    return tidy(series.best_lag(series.acf(series_long(spark, sf), 8)))
+
+
+@register("decompose")
+def q_decompose(spark, sf):
+    """Additive decomposition with period 8 (one day of 3-h bins)."""
+    from ..operators import series
+    return tidy(series.decompose(series_long(spark, sf), SEASON))
+
+
+@register("lag_rows")
+def q_lag_rows(spark, sf):
+    """Supervised rows: three previous values and the target."""
+    return tidy(_lags_wide(lag_rows_df(spark, sf)))
+
+
+@register("split3")
+def q_split3(spark, sf):
+    """Chronological train/validation/test split on shared bins, 0.2 / 0.2."""
+    from ..operators import series
+    return tidy(series.ts_split(series_long(spark, sf), 0.2, 0.2).select("series", "bin", "split"))
+
+
+@register("tabular_split")
+def q_tabular_split(spark, sf):
+    """Same split on supervised rows."""
+    from ..operators import series
+    return tidy(series.tabular_split(lag_rows_df(spark, sf), 0.2, 0.2).select("series", "row_idx", "split"))
+
+
+@register("series_index")
+def q_series_index(spark, sf):
+    """Position of each series by first appearance."""
+    from ..operators import series
+    return tidy(series.series_index(series_long(spark, sf)))
+
+
+@register("losses")
+def q_losses(spark, sf):
+    """MAE, MSE, MAPE, sMAPE of a one-day seasonal-naive forecast per series."""
+    from ..functions import metrics as M
+    from pyspark.sql.window import Window
+    s = series_long(spark, sf)
+    w = Window.partitionBy("series").orderBy("bin")
+    d = s.withColumn("pred", F.lag("value", SEASON).over(w)).where(F.col("pred").isNotNull())
+    return tidy(d.groupBy("series").agg(
+        M.mae("value", "pred").alias("mae"), M.mse("value", "pred").alias("mse"),
+        M.mape("value", "pred").alias("mape"), M.smape("value", "pred").alias("smape"),
+        M.zero_denominators("value", "pred").alias("zero_denominators")))
+
+
+# ---- forecasting ---------------------------------------------------------------------
+@register("recursive_mean_model")
+def q_recursive_mean_model(spark, sf):
+    """8-step recursive forecast of a mean-of-lags model from every supervised row (M1)."""
+    from ..operators import forecast
+    rows = lag_rows_df(spark, sf)
+    return tidy(forecast.linear_recursive(rows, MEAN_WEIGHTS, 0.0, FH).select("series", "row_idx", "step", "pred"))
+
+
+def _test_rows(spark, sf):
+    from ..operators import series
+    return series.tabular_split(lag_rows_df(spark, sf), 0.2, 0.2).where(F.col("split") == "test")
+
+
+@register("backtest")
+def q_backtest(spark, sf):
+    """Mean MSE over every 8-step origin of the test rows, mean-of-lags model (M2)."""
+    from ..operators import forecast
+    pred = lambda o: forecast.linear_recursive(o, MEAN_WEIGHTS, 0.0, FH)
+    return tidy(forecast.backtest(_test_rows(spark, sf), FH, pred, "MSE"))
+
+
+def _ar_split(spark, sf):
+    from ..operators import series
+    return series.ts_split(series_long(spark, sf), 0.2, 0.2)
+
+
+@register("ar_grid")
+def q_ar_grid(spark, sf):
+    """Seasonal-AR candidates p in 1..3, d in 0..1, season 8, scored on 8 validation steps (M4)."""
+    from ..operators import forecast
+    return tidy(forecast.ar_grid(_ar_split(spark, sf), (1, 4), (0, 2), SEASON, FH, "MSE"))
+
+
+@register("best_of_grid")
+def q_best_of_grid(spark, sf):
+    """Best AR candidate per series, earliest wins ties (M6)."""
+    from ..operators import forecast
+    return tidy(forecast.best_of_grid(forecast.ar_grid(_ar_split(spark, sf), (1, 4), (0, 2), SEASON, FH)))
+
+
+@register("ar_holdout")
+def q_ar_holdout(spark, sf):
+    """Chosen AR order refitted on train+validation, scored on 8 test steps (M5)."""
+    from ..operators import forecast
+    split = _ar_split(spark, sf)
+    best = forecast.best_of_grid(forecast.ar_grid(split, (1, 4), (0, 2), SEASON, FH))
+    return tidy(forecast.ar_holdout(split, best, SEASON, FH))
+
+
+@register("rf_grid")
+def q_rf_grid(spark, sf):
+    """Random-forest grid (trees 50, 100; depths 1, 3) on lag rows, recursive 8-step score (M3)."""
+    from ..operators import forecast, series
+    rows = series.tabular_split(lag_rows_df(spark, sf), 0.2, 0.2)
+    train = rows.where(F.col("split") == "train")
+    val = rows.where(F.col("split") == "validation")
+    return tidy(forecast.rf_grid(train, val, 150, 4, FH, "MSE"))
+
+
+# ---- map frame -----------------------------------------------------------------------
+MAP_DATE = "2024-01-15"
+
+
+@register("day_map_frame")
+def q_day_map_frame(spark, sf):
+    """Wide attention-level table -> one day's long frame with colour range, label, polygon (M7)."""
+    from ..operators import mapframe
+    al = tidy(bins.attention_level(clean_calls_df(spark, sf), "all", FREQ))
+    wide = bins.to_wide(al, "FID_nhood", "att_level")
+    wide = wide.withColumn("Day", F.dayofmonth("bin")).withColumn("Hour", F.hour("bin")).drop("bin")
+    out = mapframe.day_map_frame(wide, mapframe.day_of(MAP_DATE), S.polygons(spark, sf))
+    return tidy(out.drop("nhood"))

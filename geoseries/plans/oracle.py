@@ -416,3 +416,155 @@ FROM calls_first c LEFT JOIN pp p ON p.pid = c.incident_id""")
 Q["neighbour_total"] = with_(TC_ALL + ",\n" + ADJ[len(POLY) + 2:], """
 SELECT tc.bin, adj.centre, sum(tc.value) AS adj_total
 FROM tc JOIN adj ON adj.neighbour = tc.FID_nhood GROUP BY tc.bin, adj.centre""")
+
+# ---- series ------------------------------------------------------------------------------
+SERIES = """ev_b AS (SELECT time_bucket(INTERVAL 3 HOUR, ts) AS bin, event_type AS series, event_id
+         FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL),
+ev_present AS (SELECT series, bin, count(DISTINCT event_id) AS value FROM ev_b GROUP BY series, bin),
+ev_grid AS """ + grid_sql("ev_present", "series") + """,
+series AS (SELECT g.series, g.bin, CAST(coalesce(p.value, 0) AS DOUBLE) AS value
+           FROM ev_grid g LEFT JOIN ev_present p USING (series, bin))"""
+
+
+def _autocov_sql(k_max: int) -> str:
+    lags = ", ".join(f"lag(xc, {k}) OVER (PARTITION BY series ORDER BY bin) AS l{k}" for k in range(1, k_max + 1))
+    sums = ", ".join(f"sum(xc * l{k}) AS s{k}" for k in range(1, k_max + 1))
+    return SERIES + f""",
+c AS (SELECT series, bin, value - avg(value) OVER (PARTITION BY series) AS xc FROM series),
+l AS (SELECT series, xc, {lags} FROM c),
+s AS (SELECT series, count(*) AS n, sum(xc * xc) AS s0, {sums} FROM l GROUP BY series)"""
+
+
+ACF8 = _autocov_sql(8) + ",\nacf AS (" + "\nUNION ALL\n".join(
+    f"SELECT series, CAST({k} AS BIGINT) AS lag, abs(s{k} / NULLIF(s0, 0)) AS acf FROM s" for k in range(0, 9)) + ")"
+
+Q["acf"] = with_(ACF8, "SELECT series, lag, round(acf, 6) AS acf FROM acf")
+
+Q["best_lag"] = with_(ACF8, """
+SELECT series, lag, round(acf, 6) AS acf FROM (
+  SELECT *, row_number() OVER (PARTITION BY series ORDER BY acf DESC, lag) AS rn
+  FROM acf WHERE lag >= 1 AND acf IS NOT NULL) WHERE rn = 1""")
+
+Q["pacf"] = with_(_autocov_sql(3) + """,
+r AS (SELECT series, (s1 / (n - 1)) / (s0 / n) AS r1, (s2 / (n - 2)) / (s0 / n) AS r2,
+             (s3 / (n - 3)) / (s0 / n) AS r3 FROM s),
+p1 AS (SELECT *, (r1 - 0.0) / (1.0 - 0.0) AS f11 FROM r),
+p2 AS (SELECT *, (r2 - (0.0 + f11 * r1)) / (1.0 - (0.0 + f11 * r1)) AS f22 FROM p1),
+p3 AS (SELECT *, f11 - f22 * f11 AS f21 FROM p2),
+p4 AS (SELECT *, (r3 - ((0.0 + f21 * r2) + f22 * r1)) / (1.0 - ((0.0 + f21 * r1) + f22 * r2)) AS f33 FROM p3)""", """
+SELECT series, CAST(0 AS BIGINT) AS lag, 1.0 AS pacf FROM p4 UNION ALL
+SELECT series, 1, round(abs(f11), 6) FROM p4 UNION ALL
+SELECT series, 2, round(abs(f22), 6) FROM p4 UNION ALL
+SELECT series, 3, round(abs(f33), 6) FROM p4""")
+
+Q["decompose"] = with_(SERIES + """,
+t AS (SELECT series, bin, value, row_number() OVER w - 1 AS idx, lag(value, 4) OVER w AS lo,
+             lead(value, 4) OVER w AS hi,
+             sum(value) OVER (PARTITION BY series ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS s
+      FROM series WINDOW w AS (PARTITION BY series ORDER BY bin)),
+tr AS (SELECT *, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN (s - 0.5 * lo - 0.5 * hi) / 8 END AS trend,
+              idx % 8 AS phase FROM t),
+pm AS (SELECT series, phase, avg(value - trend) AS pm FROM tr GROUP BY series, phase),
+pmean AS (SELECT series, avg(pm) AS pmean FROM pm GROUP BY series)""", """
+SELECT tr.series, tr.bin, round(value, 6) AS observed, round(trend, 6) AS trend,
+       round(pm.pm - pmean.pmean, 6) AS seasonal, round(value - trend - (pm.pm - pmean.pmean), 6) AS resid
+FROM tr JOIN pm USING (series, phase) JOIN pmean USING (series)""")
+
+LAGROWS = SERIES + """,
+lr_all AS (SELECT series, bin, row_number() OVER w - 1 - 3 AS row_idx, lag(value, 3) OVER w AS x_1,
+                  lag(value, 2) OVER w AS x_2, lag(value, 1) OVER w AS x_3, value AS y
+           FROM series WINDOW w AS (PARTITION BY series ORDER BY bin)),
+lr AS (SELECT * FROM lr_all WHERE row_idx >= 0)"""
+
+Q["lag_rows"] = with_(LAGROWS, "SELECT series, row_idx, bin, x_1, x_2, x_3, y FROM lr")
+
+
+def _split_sql(key: str, src: str) -> str:
+    return f"""(SELECT {key}, CASE WHEN rn > n - n_test THEN 'test'
+                       WHEN rn > n - n_test - CAST(ceil((n - n_test) * 0.2) AS BIGINT) THEN 'validation'
+                       ELSE 'train' END AS split
+   FROM (SELECT {key}, row_number() OVER (ORDER BY {key}) AS rn, count(*) OVER () AS n,
+                CAST(ceil(count(*) OVER () * 0.2) AS BIGINT) AS n_test
+         FROM (SELECT DISTINCT {key} FROM {src})))"""
+
+
+Q["split3"] = with_(SERIES + ",\nlab AS " + _split_sql("bin", "series"),
+                    "SELECT series, bin, split FROM series JOIN lab USING (bin)")
+
+TSPLIT = LAGROWS + ",\nlab AS " + _split_sql("row_idx", "lr") + """,
+lrs AS (SELECT * FROM lr JOIN lab USING (row_idx))"""
+Q["tabular_split"] = with_(TSPLIT, "SELECT series, row_idx, split FROM lrs")
+
+Q["series_index"] = with_(SERIES, """
+SELECT series, row_number() OVER (ORDER BY f, series) - 1 AS idx FROM (SELECT series, min(bin) AS f FROM series GROUP BY series)""")
+
+Q["losses"] = with_(SERIES + """,
+d AS (SELECT series, value, lag(value, 8) OVER (PARTITION BY series ORDER BY bin) AS pred FROM series)""", """
+SELECT series, round(avg(abs(value - pred)), 6) AS mae, round(avg(pow(value - pred, 2)), 6) AS mse,
+       round(avg(abs(value - pred) / NULLIF(abs(value), 0)) * 100, 6) AS mape,
+       round(avg(abs(value - pred) / NULLIF(abs(value) + abs(pred), 0)) * 100, 6) AS smape,
+       count(*) FILTER (WHERE value = 0) AS zero_denominators
+FROM d WHERE pred IS NOT NULL GROUP BY series""")
+
+_W = "(1.0 / 3)"
+_F = f"(0.0 + (((0.0 + l1 * {_W}) + l2 * {_W}) + l3 * {_W}))"
+
+
+def _recursive_sql(src: str, key: str) -> str:
+    return f"""rec AS (
+  WITH RECURSIVE r(series, {key}, step, l1, l2, l3) AS (
+    SELECT series, {key}, 1, x_1, x_2, x_3 FROM {src}
+    UNION ALL
+    SELECT series, {key}, step + 1, l2, l3, {_F} FROM r WHERE step < 8
+  )
+  SELECT series, {key}, step, {_F} AS pred FROM r
+)"""
+
+
+Q["recursive_mean_model"] = with_(LAGROWS + ",\n" + _recursive_sql("lr", "row_idx"),
+                                  "SELECT series, row_idx, CAST(step AS BIGINT) AS step, round(pred, 6) AS pred FROM rec")
+
+Q["backtest"] = with_(TSPLIT + """,
+t AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY row_idx) - 1 AS i,
+             count(*) OVER (PARTITION BY series) AS n, x_1, x_2, x_3, y FROM lrs WHERE split = 'test'),
+o AS (SELECT series, i AS origin, x_1, x_2, x_3 FROM t WHERE i <= n - 8),
+""" + _recursive_sql("o", "origin") + """,
+per AS (SELECT rec.series, rec.origin, avg(pow(t.y - rec.pred, 2)) AS loss
+        FROM rec JOIN t ON t.series = rec.series AND t.i = rec.origin + rec.step - 1
+        GROUP BY rec.series, rec.origin)""", """
+SELECT series, count(*) AS origins, round(avg(loss), 6) AS loss FROM per GROUP BY series""")
+
+Q["day_map_frame"] = with_(AL + """,
+dm AS (SELECT CAST(day(bin) AS BIGINT) AS "Day", CAST(hour(bin) AS BIGINT) AS "Hour", FID_nhood, att_level
+       FROM al WHERE day(bin) = 15)""", """
+SELECT dm."Day", dm."Hour", dm.att_level, CAST(split_part(FID_nhood, ',', 1) AS BIGINT) AS FID,
+       split_part(FID_nhood, ',', 2) AS name,
+       min(att_level) OVER (PARTITION BY dm."Day") AS zmin, max(att_level) OVER (PARTITION BY dm."Day") AS zmax,
+       printf('Hour %d:00', dm."Hour") AS label,
+       EXISTS (SELECT 1 FROM poly WHERE poly.nhood_num = CAST(split_part(FID_nhood, ',', 1) AS BIGINT)) AS has_geometry
+FROM dm""")
+
+
+def _src_sql(name: str, table: str, key: str, ts: str, idc: str) -> str:
+    return f"""src_{name} AS (SELECT {key} AS k, time_bucket(INTERVAL 3 HOUR, {ts}) AS bin, {idc} AS id
+               FROM {table} WHERE {key} IS NOT NULL AND {ts} IS NOT NULL),
+cnt_{name} AS (SELECT k, bin, count(DISTINCT id) AS n FROM src_{name} GROUP BY k, bin),
+span_{name} AS (SELECT k, unnest(generate_series(min(bin), max(bin), INTERVAL 3 HOUR)) AS bin
+                FROM cnt_{name} GROUP BY k)"""
+
+
+_WS_NAMES = ["calls", "tweets", "users"]
+Q["working_series"] = with_(
+    CALLS_CLEAN + ",\n" + POSTS_CLEAN[len(POLY) + 2:] + ",\n" + ADJ[len(POLY) + 2:] + ",\n"
+    + _src_sql("calls", "calls", "FID_nhood", "call_timestamp", "incident_id") + ",\n"
+    + _src_sql("tweets", "posts", "FID_nhood", "created_at", "id_str") + ",\n"
+    + _src_sql("users", "posts", "FID_nhood", "created_at", '"user"') + """,
+keys AS (""" + "\nUNION\n".join(
+        f"SELECT k AS centre, bin FROM span_{n} UNION SELECT adj.centre, s.bin FROM span_{n} s "
+        f"JOIN adj ON adj.neighbour = s.k" for n in _WS_NAMES) + ")", """
+SELECT keys.centre, keys.bin,
+""" + ",\n".join(
+        f"  coalesce((SELECT n FROM cnt_{n} c WHERE c.k = keys.centre AND c.bin = keys.bin), 0) AS {n},\n"
+        f"  coalesce((SELECT sum(c.n) FROM cnt_{n} c JOIN adj ON adj.neighbour = c.k "
+        f"WHERE adj.centre = keys.centre AND c.bin = keys.bin), 0) AS {n}_adj" for n in _WS_NAMES) + """
+FROM keys""")
