@@ -505,3 +505,71 @@ def q_day_map_frame(spark, sf):
     wide = wide.withColumn("Day", F.dayofmonth("bin")).withColumn("Hour", F.hour("bin")).drop("bin")
     out = mapframe.day_map_frame(wide, mapframe.day_of(MAP_DATE), S.polygons(spark, sf))
     return tidy(out.drop("nhood"))
+
+
+# ---- landed pages and statuses -------------------------------------------------------
+from pyspark.sql import types as _T  # noqa: E402
+
+CALL_ATTRS = _T.StructType([_T.StructField("incident_id", _T.LongType()),
+                            _T.StructField("call_timestamp", _T.LongType()),
+                            _T.StructField("category", _T.StringType()),
+                            _T.StructField("priority", _T.StringType())])
+NHOOD_PROPS = _T.StructType([_T.StructField("FID", _T.LongType()), _T.StructField("nhood_name", _T.StringType())])
+QUERY_TIME = "2024-02-01 00:00:00"
+QUERY_GEO = "5.0,5.0,60km"
+
+
+@register("page_merge")
+def q_page_merge(spark, sf):
+    """Landed REST pages -> one row per record, epoch ms -> local time."""
+    from ..sources import pages
+    rows = pages.feature_rows(S.call_pages(spark, sf), CALL_ATTRS)
+    return tidy(rows)
+
+
+@register("page_audit")
+def q_page_audit(spark, sf):
+    """Rows, more-rows flag, next offset and flag consistency per page."""
+    from ..sources import pages
+    return tidy(pages.page_audit(S.call_pages(spark, sf), pages.feature_page_schema(CALL_ATTRS)))
+
+
+@register("geojson_flatten")
+def q_geojson_flatten(spark, sf):
+    """GeoJSON pages -> flattened features (S2, S3, P4) -> polygons."""
+    from ..sources import pages
+    feats = pages.geojson_features(S.boundary_pages(spark, sf), NHOOD_PROPS)
+    polys = geo.polygons_from_table(feats, "FID", "nhood_name", "geometry.coordinates", "FID", "geometry.type")
+    return tidy(feats.join(polys.select(F.col("nhood_num").alias("FID"), "key", F.size("ring").alias("n_points"),
+                                        "minx", "miny", "maxx", "maxy"), "FID")
+                     .select("page_no", "feature_pos", "FID", "nhood_name",
+                             F.col("`geometry.type`").alias("geometry_type"), "key", "n_points",
+                             "minx", "miny", "maxx", "maxy"))
+
+
+def _statuses(spark, sf):
+    from ..sources import statuses
+    return statuses.parse_statuses(S.status_docs(spark, sf))
+
+
+@register("status_tweet")
+def q_status_tweet(spark, sf):
+    """Status -> tweet rows with provenance."""
+    from ..sources import statuses
+    t = statuses.tweet_rows(_statuses(spark, sf), QUERY_TIME, QUERY_GEO)
+    return tidy(t.withColumn("has_place", F.col("place").isNotNull()).drop("place"))
+
+
+@register("status_user")
+def q_status_user(spark, sf):
+    """Status -> author rows where the author is present."""
+    from ..sources import statuses
+    return tidy(statuses.user_rows(_statuses(spark, sf), QUERY_TIME, QUERY_GEO))
+
+
+@register("status_place")
+def q_status_place(spark, sf):
+    """Status -> place rows where the place is present."""
+    from ..sources import statuses
+    p = statuses.place_rows(_statuses(spark, sf), QUERY_TIME, QUERY_GEO)
+    return tidy(p.withColumn("box_points", F.size(F.col("bounding_box.coordinates")[0])).drop("bounding_box"))

@@ -568,3 +568,61 @@ SELECT keys.centre, keys.bin,
         f"  coalesce((SELECT sum(c.n) FROM cnt_{n} c JOIN adj ON adj.neighbour = c.k "
         f"WHERE adj.centre = keys.centre AND c.bin = keys.bin), 0) AS {n}_adj" for n in _WS_NAMES) + """
 FROM keys""")
+
+# ---- landed pages and statuses -----------------------------------------------------------
+Q["page_merge"] = """
+SELECT CAST(event_id // 500 + 1 AS BIGINT) AS page_no, event_id AS incident_id, upper(event_type) AS category,
+       CAST(event_id % 5 + 1 AS VARCHAR) AS priority,
+       timezone('America/Detroit', to_timestamp(ms // 1000) + to_milliseconds(ms % 1000)) AS call_timestamp_EST
+FROM (SELECT *, epoch_us(ts) // 1000 AS ms FROM events)"""
+
+Q["page_audit"] = """
+SELECT page_no, "rows", page_no < max(page_no) OVER () AS more,
+       CAST(coalesce(sum("rows") OVER (ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            AS BIGINT) AS "offset",
+       true AS consistent
+FROM (SELECT CAST(event_id // 500 + 1 AS BIGINT) AS page_no, count(*) AS "rows" FROM events GROUP BY 1)"""
+
+Q["geojson_flatten"] = with_(POLY, """
+SELECT CAST(nhood_num // 10 + 1 AS BIGINT) AS page_no,
+       row_number() OVER (PARTITION BY nhood_num // 10 ORDER BY nhood_num) - 1 AS feature_pos,
+       CAST(nhood_num AS BIGINT) AS FID, nhood_name, 'Polygon' AS geometry_type, key, CAST(6 AS BIGINT) AS n_points,
+       x0 AS minx, y0 AS miny, x0 + 2 AS maxx, y0 + 2 AS maxy
+FROM poly""")
+
+STATUS_BASE = """sd AS (
+  SELECT e.event_id, e.ts, e.event_type, e.props, c.c_custkey, c.c_name, c.c_mktsegment, c.c_acctbal,
+         c.c_nationkey, n.n_name,
+         ((e.event_id * 37) % 1100) / 100.0::DOUBLE AS lng, ((e.event_id * 91) % 1100) / 100.0::DOUBLE AS lat
+  FROM events e LEFT JOIN customer c ON e.user_id + 1 = c.c_custkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+)"""
+_PROV = "TIMESTAMP '2024-02-01 00:00:00' AS query_time, '5.0,5.0,60km' AS query_geo"
+
+Q["status_tweet"] = with_(STATUS_BASE, f"""
+SELECT {_PROV}, strftime(ts, '%a %b %d %H:%M:%S +0000 %Y') AS created_at, CAST(event_id AS VARCHAR) AS id_str,
+       event_type || ' ' || props AS text,
+       CASE WHEN event_id % 13 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS "user",
+       'Twitter for Android' AS source, false AS truncated, CAST(NULL AS VARCHAR) AS in_reply_to_status_id_str,
+       CAST(NULL AS VARCHAR) AS in_reply_to_user_id_str, event_id % 6 = 0 AS is_quote_status,
+       event_id % 9 AS retweet_count, event_id % 8 AS favorite_count, false AS favorited, false AS retweeted,
+       'en' AS lang,
+       CASE WHEN event_id % 4 <> 0 THEN '[' || CAST(lng AS VARCHAR) || ', ' || CAST(lat AS VARCHAR) || ']' END
+         AS coordinates,
+       (event_id % 5 = 0 AND n_name IS NOT NULL) AS has_place
+FROM sd""")
+
+Q["status_user"] = with_(STATUS_BASE, f"""
+SELECT {_PROV}, CAST(c_custkey AS VARCHAR) AS id_str, c_name AS name, lower(c_name) AS screen_name,
+       c_mktsegment AS location, CAST(NULL AS VARCHAR) AS url, 'balance ' || printf('%.2f', c_acctbal) AS description,
+       c_acctbal < 0 AS protected, c_nationkey % 2 = 0 AS verified, c_custkey * 3 AS followers_count,
+       c_custkey % 100 AS friends_count, c_custkey % 7 AS listed_count, c_custkey % 50 AS favourites_count,
+       c_custkey * 11 AS statuses_count, 'Mon Jan 01 00:00:00 +0000 2018' AS created_at,
+       c_custkey % 3 = 0 AS default_profile, false AS default_profile_image, c_custkey % 2 = 1 AS geo_enabled
+FROM sd WHERE event_id % 13 <> 0""")
+
+Q["status_place"] = with_(STATUS_BASE, f"""
+SELECT {_PROV}, 'p' || CAST(c_nationkey AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS url, 'city' AS place_type,
+       n_name AS name, n_name || ', XX' AS full_name, 'XX' AS country_code, 'Testland' AS country,
+       CAST(2 AS BIGINT) AS box_points
+FROM sd WHERE event_id % 5 = 0 AND n_name IS NOT NULL""")

@@ -128,3 +128,93 @@ def posts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("u"), (did % 97).cast("string")).alias("user"),
         F.element_at(apps, app_idx + 1).alias("source"),
         coords.alias("coordinates"))
+
+
+PAGE_SIZE = 500   # records per landed REST page
+GEO_PAGE = 10     # features per landed GeoJSON page
+
+
+def call_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed REST pages of call records from ``events``: ``(page_no, text)``.
+    Records are paged by id; every page but the last says more rows follow."""
+    from pyspark.sql.window import Window
+    ev = table(spark, sf_dir, "events")
+    feat = F.struct(
+        F.struct(F.col("event_id").alias("incident_id"),
+                 F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("ts"))
+                 .alias("call_timestamp"),
+                 F.upper("event_type").alias("category"),
+                 (F.col("event_id") % 5 + 1).cast("string").alias("priority")).alias("attributes"),
+        F.struct(((F.col("event_id") * 37) % 1100 / 100.0).cast("double").alias("x"),
+                 ((F.col("event_id") * 91) % 1100 / 100.0).cast("double").alias("y")).alias("geometry"))
+    pages = (ev.groupBy((F.floor(F.col("event_id") / PAGE_SIZE) + 1).alias("page_no"))
+               .agg(F.array_sort(F.collect_list(feat)).alias("features")))
+    last = F.max("page_no").over(Window.partitionBy())  # page table: one row per page
+    pages = pages.withColumn("_more", F.when(F.col("page_no") < last, F.lit(True)))
+    return pages.select("page_no", F.to_json(F.struct(F.col("features"),
+                                                      F.col("_more").alias("exceededTransferLimit"))).alias("text"))
+
+
+def boundary_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed GeoJSON FeatureCollection pages of the stand-in polygons."""
+    from pyspark.sql.window import Window
+    p = polygons(spark, sf_dir)
+    coords = F.array(F.transform("ring", lambda q: F.array(q.x, q.y)))
+    feat = F.struct(F.lit("Feature").alias("type"), F.col("nhood_num").cast("long").alias("id"),
+                    F.struct(F.col("nhood_num").alias("FID"), F.col("nhood_name").alias("nhood_name"))
+                    .alias("properties"),
+                    F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")).alias("geometry"))
+    pages = (p.groupBy((F.floor(F.col("nhood_num") / GEO_PAGE) + 1).alias("page_no"))
+              .agg(F.array_sort(F.collect_list(F.struct(F.col("nhood_num").alias("_k"), feat.alias("f"))))
+                   .alias("_fs")))
+    last = F.max("page_no").over(Window.partitionBy())
+    more = F.struct(F.when(F.col("page_no") < last, F.lit(True)).alias("exceededTransferLimit"))
+    doc = F.struct(F.lit("FeatureCollection").alias("type"), more.alias("properties"),
+                   F.transform("_fs", lambda s: s.f).alias("features"))
+    return pages.select("page_no", F.to_json(doc).alias("text"))
+
+
+def status_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status JSON documents from ``events`` joined with ``customer`` (author),
+    ``value`` = JSON text.  Some statuses have no author, no coordinates or no place."""
+    ev = table(spark, sf_dir, "events")
+    cu = table(spark, sf_dir, "customer")
+    nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    d = (ev.join(cu, ev.user_id + 1 == cu.c_custkey, "left")
+           .join(F.broadcast(nat), F.col("c_nationkey") == F.col("n_nationkey"), "left"))
+    eid = F.col("event_id")
+    user = F.when(eid % 13 != 0, F.struct(
+        F.col("c_custkey").cast("string").alias("id_str"), F.col("c_name").alias("name"),
+        F.lower("c_name").alias("screen_name"), F.col("c_mktsegment").alias("location"),
+        F.lit(None).cast("string").alias("url"),
+        F.concat(F.lit("balance "), F.format_string("%.2f", F.col("c_acctbal"))).alias("description"),
+        (F.col("c_acctbal") < 0).alias("protected"), (F.col("c_nationkey") % 2 == 0).alias("verified"),
+        (F.col("c_custkey") * 3).alias("followers_count"), (F.col("c_custkey") % 100).alias("friends_count"),
+        (F.col("c_custkey") % 7).alias("listed_count"), (F.col("c_custkey") % 50).alias("favourites_count"),
+        (F.col("c_custkey") * 11).alias("statuses_count"),
+        F.lit("Mon Jan 01 00:00:00 +0000 2018").alias("created_at"),
+        (F.col("c_custkey") % 3 == 0).alias("default_profile"), F.lit(False).alias("default_profile_image"),
+        (F.col("c_custkey") % 2 == 1).alias("geo_enabled")))
+    lng = ((eid * 37) % 1100 / 100.0).cast("double")
+    lat = ((eid * 91) % 1100 / 100.0).cast("double")
+    coords = F.when(eid % 4 != 0, F.struct(F.array(lng, lat).alias("coordinates"), F.lit("Point").alias("type")))
+    box = F.struct(F.lit("Polygon").alias("type"),
+                   F.array(F.array(F.array(F.floor(lng).cast("double"), F.floor(lat).cast("double")),
+                                   F.array(F.floor(lng).cast("double") + 1, F.floor(lat).cast("double") + 1)))
+                   .alias("coordinates"))
+    place = F.when((eid % 5 == 0) & F.col("n_name").isNotNull(), F.struct(
+        F.concat(F.lit("p"), F.col("c_nationkey").cast("string")).alias("id"),
+        F.lit(None).cast("string").alias("url"), F.lit("city").alias("place_type"),
+        F.col("n_name").alias("name"), F.concat(F.col("n_name"), F.lit(", XX")).alias("full_name"),
+        F.lit("XX").alias("country_code"), F.lit("Testland").alias("country"), box.alias("bounding_box")))
+    status = F.struct(
+        F.date_format("ts", "EEE MMM dd HH:mm:ss '+0000' yyyy").alias("created_at"),
+        eid.cast("string").alias("id_str"),
+        F.concat(F.col("event_type"), F.lit(" "), F.col("props")).alias("text"),
+        user.alias("user"), F.lit("Twitter for Android").alias("source"), F.lit(False).alias("truncated"),
+        F.lit(None).cast("string").alias("in_reply_to_status_id_str"),
+        F.lit(None).cast("string").alias("in_reply_to_user_id_str"),
+        (eid % 6 == 0).alias("is_quote_status"), (eid % 9).alias("retweet_count"),
+        (eid % 8).alias("favorite_count"), F.lit(False).alias("favorited"), F.lit(False).alias("retweeted"),
+        F.lit("en").alias("lang"), coords.alias("coordinates"), place.alias("place"))
+    return d.select("ts", F.to_json(status).alias("value"))
