@@ -573,3 +573,57 @@ def q_status_place(spark, sf):
     from ..sources import statuses
     p = statuses.place_rows(_statuses(spark, sf), QUERY_TIME, QUERY_GEO)
     return tidy(p.withColumn("box_points", F.size(F.col("bounding_box.coordinates")[0])).drop("bounding_box"))
+
+
+# ---- streaming -----------------------------------------------------------------------
+STREAM_BOX = S.AREA_BOX
+
+
+def _land_statuses(spark, sf):
+    """Land the status documents twice (a replayed feed) in a fresh folder on the
+    shared checkpoint storage; returns the folder."""
+    import uuid
+    from ..session import scratch_path
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    docs = S.status_docs(spark, sf)
+    landing = f"{base}/landing"
+    docs.select("value").repartition(4).write.mode("overwrite").text(landing)
+    docs.select("value").repartition(4).write.mode("append").text(landing)
+    return base
+
+
+def _stream_statuses(spark, base):
+    from ..streaming import statuses as st
+    return st.in_box(st.status_stream(spark, f"{base}/landing", max_files=2), STREAM_BOX)
+
+
+@register("stream_statuses_once")
+def q_stream_statuses_once(spark, sf):
+    """Replayed status feed -> box filter -> tweet table via foreachBatch, one-off run (ST1, ST2, ST4, S10)."""
+    from ..streaming import statuses as st
+    base = _land_statuses(spark, sf)
+    q = st.run_entity_sink(_stream_statuses(spark, base), f"{base}/out", f"{base}/ckpt_entities",
+                           QUERY_TIME, QUERY_GEO)
+    q.awaitTermination()
+    t = spark.read.parquet(f"{base}/out/tweet").drop("batch_id")
+    return tidy(t.withColumn("has_place", F.col("place").isNotNull()).drop("place"))
+
+
+@register("stream_total_once")
+def q_stream_total_once(spark, sf):
+    """Running count of statuses received inside the box (ST3)."""
+    from ..streaming import statuses as st
+    base = _land_statuses(spark, sf)
+    q = st.run_running_count(_stream_statuses(spark, base), f"{base}/total", f"{base}/ckpt_total")
+    q.awaitTermination()
+    return tidy(spark.read.parquet(f"{base}/total").select("statuses"))
+
+
+@register("stream_bin_once")
+def q_stream_bin_once(spark, sf):
+    """Distinct statuses per 3-h event-time window, deduplicated within the watermark (ST5)."""
+    from ..streaming import statuses as st
+    base = _land_statuses(spark, sf)
+    q = st.run_window_counts(_stream_statuses(spark, base), f"{base}/bins", f"{base}/ckpt_bins")
+    q.awaitTermination()
+    return tidy(st.latest_window_counts(spark, f"{base}/bins"))

@@ -626,3 +626,15 @@ SELECT {_PROV}, 'p' || CAST(c_nationkey AS VARCHAR) AS id, CAST(NULL AS VARCHAR)
        n_name AS name, n_name || ', XX' AS full_name, 'XX' AS country_code, 'Testland' AS country,
        CAST(2 AS BIGINT) AS box_points
 FROM sd WHERE event_id % 5 = 0 AND n_name IS NOT NULL""")
+
+# ---- streaming ---------------------------------------------------------------------------
+_IN_BOX = "event_id % 4 <> 0 AND lng BETWEEN 0.0 AND 10.0 AND lat BETWEEN 0.0 AND 10.0"
+_TWEET_COLS = Q["status_tweet"].split("\nSELECT ", 1)[1].rsplit("\nFROM sd", 1)[0]
+Q["stream_statuses_once"] = with_(STATUS_BASE + f""",
+tw AS (SELECT {_TWEET_COLS} FROM sd WHERE {_IN_BOX})""", "SELECT * FROM tw UNION ALL SELECT * FROM tw")
+
+Q["stream_total_once"] = with_(STATUS_BASE, f"SELECT 2 * count(*) AS statuses FROM sd WHERE {_IN_BOX}")
+
+Q["stream_bin_once"] = with_(STATUS_BASE, f"""
+SELECT time_bucket(INTERVAL 3 HOUR, date_trunc('second', ts)) AS bin, count(DISTINCT event_id) AS n
+FROM sd WHERE {_IN_BOX} GROUP BY 1""")
