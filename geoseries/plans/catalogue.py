@@ -627,3 +627,87 @@ def q_stream_bin_once(spark, sf):
     q = st.run_window_counts(_stream_statuses(spark, base), f"{base}/bins", f"{base}/ckpt_bins")
     q.awaitTermination()
     return tidy(st.latest_window_counts(spark, f"{base}/bins"))
+
+
+# ---- file round trips (S1, S7, S8, S9, S11, S12, O1) ----------------------------------
+def _scratch(spark, name):
+    import uuid
+    from ..session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@register("csv_scan_keep_first")
+def q_csv_scan_keep_first(spark, sf):
+    """Raw calls landed as one CSV folder per file, scanned back by a glob list
+    (all STRING, file order captured at the scan), then staged and kept-first (S1, U1, W1)."""
+    from ..sources import files
+    base = _scratch(spark, "calls-csv")
+    raw = S.calls_raw(spark, sf)
+    cols = [c for c in raw.columns if c not in clean.ORDER_COLS]
+    for seq in (1, 2):
+        (raw.where(F.col("file_seq") == seq).orderBy("row_seq").select(*cols)
+            .write.mode("overwrite").option("header", True)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .csv(f"{base}/year{seq}"))
+    scanned = files.read_calls_csv(spark, [f"{base}/year1/*.csv", f"{base}/year2/*.csv"])
+    first = clean.keep_first(clean.stage_calls(scanned), ["incident_id"], clean.ORDER_COLS)
+    return tidy(first.select("incident_id", "call_timestamp", "priority"))
+
+
+@register("polygon_scan")
+def q_polygon_scan(spark, sf):
+    """Neighbourhood CSV (coordinates as text) -> polygons: key, position, ring, box."""
+    from ..sources import files
+    path = _scratch(spark, "nhoods-csv")
+    S.neighbourhood_table(spark, sf).write.mode("overwrite").option("header", True).csv(path)
+    p = files.read_neighbourhoods_csv(spark, path)
+    return tidy(p.select("key", "nhood_num", "nhood_name", F.size("ring").alias("n_points"),
+                         "minx", "miny", "maxx", "maxy", "valid"))
+
+
+@register("clean_table_roundtrip")
+def q_clean_table_roundtrip(spark, sf):
+    """Cleaned calls written sorted by time (O1, S9) and re-read typed."""
+    from ..sources import files, sinks
+    path = _scratch(spark, "calls-clean")
+    sinks.write_table(clean_calls_df(spark, sf), path, "parquet", sort_by=("call_timestamp", "incident_id"))
+    return tidy(files.read_clean_table(spark, path, "call_timestamp"))
+
+
+@register("geojson_sink_roundtrip")
+def q_geojson_sink_roundtrip(spark, sf):
+    """Boundary pages written as JSON documents (S11) and scanned back as GeoJSON."""
+    from ..sources import pages, sinks
+    path = _scratch(spark, "geojson")
+    sinks.write_json_docs(S.boundary_pages(spark, sf).select("text"), path, "text")
+    feats = pages.geojson_features(pages.read_pages(spark, path, lines=True), NHOOD_PROPS)
+    return tidy(feats.select("FID", "nhood_name", F.col("`geometry.type`").alias("geometry_type")))
+
+
+@register("wide_forecast_scan")
+def q_wide_forecast_scan(spark, sf):
+    """Wide attention-level table landed as CSV, scanned back (S12) and turned into the day frame (M7)."""
+    from ..operators import mapframe
+    from ..sources import files
+    path = _scratch(spark, "wide-csv")
+    al = tidy(bins.attention_level(clean_calls_df(spark, sf), "all", FREQ))
+    wide = bins.to_wide(al, "FID_nhood", "att_level")
+    wide = wide.withColumn("Day", F.dayofmonth("bin")).withColumn("Hour", F.hour("bin")).drop("bin")
+    wide.write.mode("overwrite").option("header", True).csv(path)
+    back = files.read_wide_forecast(spark, path)
+    out = mapframe.day_map_frame(back, mapframe.day_of(MAP_DATE), S.polygons(spark, sf))
+    return tidy(out.drop("nhood"))
+
+
+@register("distinct_counts")
+def q_distinct_counts(spark, sf):
+    """Exact distinct categories, neighbourhoods and incidents of the cleaned calls."""
+    from ..operators import profile
+    return tidy(profile.distinct_count(clean_calls_df(spark, sf), ["category", "FID_nhood", "incident_id"]))
+
+
+@register("last_n_rows")
+def q_last_n_rows(spark, sf):
+    """Last 160 bins of every series."""
+    from ..operators import profile
+    return tidy(profile.last_n(series_long(spark, sf), "series", "bin", 160))

@@ -638,3 +638,26 @@ Q["stream_total_once"] = with_(STATUS_BASE, f"SELECT 2 * count(*) AS statuses FR
 Q["stream_bin_once"] = with_(STATUS_BASE, f"""
 SELECT time_bucket(INTERVAL 3 HOUR, date_trunc('second', ts)) AS bin, count(DISTINCT event_id) AS n
 FROM sd WHERE {_IN_BOX} GROUP BY 1""")
+
+# ---- file round trips ----------------------------------------------------------------
+Q["csv_scan_keep_first"] = with_(CALLS_STAGED, """
+SELECT incident_id, call_timestamp, CAST(priority AS BIGINT) AS priority FROM calls_first""")
+
+Q["polygon_scan"] = with_(POLY, """
+SELECT key, CAST(nhood_num AS BIGINT) AS nhood_num, nhood_name, CAST(6 AS BIGINT) AS n_points,
+       x0 AS minx, y0 AS miny, x0 + 2 AS maxx, y0 + 2 AS maxy, true AS valid FROM poly""")
+
+Q["clean_table_roundtrip"] = Q["clean_calls"]
+
+Q["geojson_sink_roundtrip"] = with_(NH, """
+SELECT CAST(nhood_num AS BIGINT) AS FID, nhood_name, 'Polygon' AS geometry_type FROM nh""")
+
+Q["wide_forecast_scan"] = Q["day_map_frame"]
+
+Q["distinct_counts"] = with_(CALLS_CLEAN, """
+SELECT count(DISTINCT category) AS category, count(DISTINCT FID_nhood) AS FID_nhood,
+       count(DISTINCT incident_id) AS incident_id FROM calls""")
+
+Q["last_n_rows"] = with_(SERIES, """
+SELECT series, bin, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY series ORDER BY bin DESC) AS rn FROM series) WHERE rn <= 160""")

@@ -49,7 +49,8 @@ def read_neighbourhoods_csv(spark: SparkSession, path: str,
                             id_cols: tuple[str, str] = ("nhood_num", "nhood_name")) -> DataFrame:
     """Neighbourhood CSV -> polygons (S7).  Row position in the file is the
     tie-break for duplicate keys and the first-match order."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+               .option("inferSchema", True).csv(path))
     df = df.withColumn("_pos", F.monotonically_increasing_id())
     type_col = "geometry.type" if "geometry.type" in df.columns else None
     return polygons_from_table(df, id_cols[0], id_cols[1], "geometry.coordinates", "_pos", type_col)

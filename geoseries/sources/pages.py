@@ -20,11 +20,22 @@ GEOMETRY = T.StructType([T.StructField("type", T.StringType()),
                          T.StructField("coordinates", T.StringType())])
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed file: ``(page_no, text)``; page order = file name order."""
-    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_f"), "value")
-    w = Window.orderBy("_f")  # one row per file: the page list, not the data
-    return df.select(F.row_number().over(w).alias("page_no"), F.col("value").alias("text"))
+def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Landed pages as ``(page_no, text)``.
+
+    ``lines=False``: one JSON document per file; ``lines=True``: one document
+    per line.  Page order = file name order, then line order.  The window
+    runs over the page list (one row per page), not over the records.
+    """
+    if lines:
+        df = spark.read.text(path).select(F.col("_metadata.file_path").alias("_f"),
+                                          F.monotonically_increasing_id().alias("_r"), "value")
+    else:
+        df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_f"),
+                                                          F.lit(0).alias("_r"), "value")
+    w = Window.orderBy("_f", "_r")
+    return df.where(F.length(F.trim("value")) > 0).select(F.row_number().over(w).alias("page_no"),
+                                                          F.col("value").alias("text"))
 
 
 def geojson_schema(properties: T.StructType) -> T.StructType:
@@ -83,10 +94,7 @@ def page_audit(pages: DataFrame, schema: T.StructType, text_col: str = "text",
 
     The running sum is a window over the page table (one row per page)."""
     doc = pages.select("page_no", F.from_json(text_col, schema).alias("d"))
-    if "." in flag:
-        flag_col = F.col("d." + flag)
-    else:
-        flag_col = F.col(f"d.{flag}")
+    flag_col = F.col(f"d.{flag}")
     per = doc.select("page_no", F.size("d.features").cast("bigint").alias("rows"),
                      F.coalesce(flag_col, F.lit(False)).alias("more"))
     w = Window.orderBy("page_no")
