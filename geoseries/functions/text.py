@@ -15,6 +15,9 @@ DROP_PRIORITIES = ["P", ""]
 # Post sources that are kept (substring match).
 KEEP_SOURCES = ["Instagram", "Twitter for Android", "Twitter for iPhone",
                 "Foursquare", "Tweetlogix", "Untappd"]
+# Characters Python's str.strip() removes (str.isspace() is true).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                 "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -25,8 +28,9 @@ def _c(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove every leading/trailing whitespace char."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()``: remove every leading/trailing whitespace char
+    (a character-set trim, no regular expression)."""
+    return F.trim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def trim_spaces(c) -> Column:

@@ -133,7 +133,9 @@ def time_groupby(df: DataFrame, col: str, agg: str = "count", nhoods="all",
     rows, key_df = _requested(df, nhood_col, nhoods)
     rows = add_bin(rows.where(F.col(ts_col).isNotNull()), ts_col, nhood_col, freq)
     measure = F.count_distinct(col) if agg == "count" else F.avg(col)
-    present = rows.groupBy(nhood_col, "bin").agg(measure.alias(value_name))
+    # The (nhood, bin) aggregate feeds the grid and the final join: write it
+    # once (reliable checkpoint) so the raw input is scanned once.
+    present = cut_lineage(rows.groupBy(nhood_col, "bin").agg(measure.alias(value_name)))
     grid = gap_grid(present, nhood_col, freq, key_df)
     out = grid.join(present, [nhood_col, "bin"], "left")
     fill = F.lit(0) if agg == "count" else F.lit(0.0)
@@ -145,8 +147,8 @@ def count_and_avg(df: DataFrame, count_col: str, avg_col: str, nhoods="all", fre
     """Both measures in one aggregate (J6: same groups, no join between them)."""
     rows, key_df = _requested(df, nhood_col, nhoods)
     rows = add_bin(rows.where(F.col(ts_col).isNotNull()), ts_col, nhood_col, freq)
-    present = rows.groupBy(nhood_col, "bin").agg(
-        F.count_distinct(count_col).alias("n"), F.avg(avg_col).alias("avg_value"))
+    present = cut_lineage(rows.groupBy(nhood_col, "bin").agg(
+        F.count_distinct(count_col).alias("n"), F.avg(avg_col).alias("avg_value")))
     grid = gap_grid(present, nhood_col, freq, key_df)
     return (grid.join(present, [nhood_col, "bin"], "left")
                 .select("bin", nhood_col,
@@ -225,7 +227,7 @@ def working_series(sources: dict, pairs: DataFrame, freq="180Min",
     for label, (df, ts_col, id_col) in sources.items():
         rows = add_bin(df.where(F.col(nhood_col).isNotNull() & F.col(ts_col).isNotNull()),
                        ts_col, nhood_col, freq)
-        counts = rows.groupBy(nhood_col, "bin").agg(F.count_distinct(id_col).alias("_n"))
+        counts = cut_lineage(rows.groupBy(nhood_col, "bin").agg(F.count_distinct(id_col).alias("_n")))
         spans = _spans(counts, nhood_col, fs)
         zero = {x: F.lit(0).cast("bigint") for l in labels for x in (l, l + "_adj")}
         own = counts.select(F.col(nhood_col).alias("centre"), "bin", F.col("_n").alias("_own"))

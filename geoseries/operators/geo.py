@@ -71,11 +71,24 @@ def polygons_from_rings(df: DataFrame, pos_col: str, num_col: str, name_col: str
 
 
 # ---- grid cells --------------------------------------------------------------------
+def polygon_stats(polys: DataFrame) -> dict:
+    """One small aggregate over the polygon table: count, grid cell side (mean
+    bounding-box side) and an upper bound of the candidate-cell table's bytes
+    for that cell (each polygon covers at most (w/c + 2)(h/c + 2) cells)."""
+    v = polys.where("valid")
+    w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
+    e = F.size("edges") * 32 + 96
+    r = v.agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest(w, h)).alias("side"),
+              F.sum(e * w * h).alias("ewh"), F.sum(e * (w + h)).alias("ew"), F.sum(e).alias("e")).first()
+    n = int(r["n"] or 0)
+    cell = float(r["side"]) if r["side"] else 1.0
+    est = 0 if n == 0 else int((r["ewh"] or 0) / cell ** 2 + 2 * (r["ew"] or 0) / cell + 4 * (r["e"] or 0))
+    return {"n": n, "cell": cell, "est_bytes": est}
+
+
 def default_cell(polys: DataFrame) -> float:
-    """Cell side = mean bounding-box side of the polygons (one tiny aggregate)."""
-    r = polys.where("valid").agg(F.avg(F.greatest(F.col("maxx") - F.col("minx"),
-                                                  F.col("maxy") - F.col("miny")))).first()[0]
-    return float(r) if r and r > 0 else 1.0
+    """Cell side = mean bounding-box side of the polygons."""
+    return polygon_stats(polys)["cell"]
 
 
 def _cells(df: DataFrame, cell: float, minx="minx", miny="miny", maxx="maxx", maxy="maxy") -> DataFrame:
@@ -86,32 +99,33 @@ def _cells(df: DataFrame, cell: float, minx="minx", miny="miny", maxx="maxx", ma
                                                       F.floor(F.col(maxy) / cs)))))
 
 
-def candidate_cells(polys: DataFrame, cell: float) -> tuple[DataFrame, int]:
-    """(cell -> candidate polygons) table and its estimated size in bytes."""
+def candidate_cells(polys: DataFrame, cell: float) -> DataFrame:
+    """(cell -> candidate polygons) table."""
     cells = _cells(polys.where("valid"), cell)
-    cand = cells.groupBy("_cx", "_cy").agg(
-        F.collect_list(F.struct("file_pos", "key", "edges")).alias("_cands"))
-    est = cells.agg(F.sum(F.size("edges") * 32 + 96)).first()[0] or 0
-    return cand, int(est)
+    return cells.groupBy("_cx", "_cy").agg(
+        F.collect_list(F.struct("file_pos", "key", "minx", "miny", "maxx", "maxy", "edges")).alias("_cands"))
 
 
 # ---- J1 ----------------------------------------------------------------------------
 def label_points(points: DataFrame, polys: DataFrame, lng_col: str, lat_col: str,
                  out_col: str = "FID_nhood", cell: float | None = None,
                  only_when: Column | None = None,
-                 broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+                 broadcast_limit: int = DEFAULT_BROADCAST_LIMIT, stats: dict | None = None) -> DataFrame:
     """Key of the first polygon (file order) that contains the point or has it on
     its boundary; NULL when none or when coordinates are NULL (J1)."""
-    cell = cell or default_cell(polys)
-    cand, est = candidate_cells(polys, cell)
-    cand = F.broadcast(cand) if est <= broadcast_limit else cand
+    stats = stats or polygon_stats(polys)
+    cell = cell or stats["cell"]
+    cand = candidate_cells(polys, cell)
+    cand = F.broadcast(cand) if stats["est_bytes"] <= broadcast_limit else cand
     px, py = F.col(lng_col), F.col(lat_col)
     cx, cy = F.floor(px / F.lit(cell)), F.floor(py / F.lit(cell))
     if only_when is not None:
         cx, cy = F.when(only_when, cx), F.when(only_when, cy)
     pts = points.withColumn("_cx", cx).withColumn("_cy", cy)
     joined = pts.join(cand, ["_cx", "_cy"], "left")
-    hits = F.filter(F.col("_cands"), lambda c: covers_point(c.edges, px, py))
+    # cheap bounding-box test first; the exact edge fold runs only on survivors
+    in_box = F.filter(F.col("_cands"), lambda c: (px >= c.minx) & (px <= c.maxx) & (py >= c.miny) & (py <= c.maxy))
+    hits = F.filter(in_box, lambda c: covers_point(c.edges, px, py))
     best = F.array_min(F.transform(hits, lambda c: F.struct(c.file_pos.alias("p"), c.key.alias("k"))))
     return joined.withColumn(out_col, best.getField("k")).drop("_cx", "_cy", "_cands")
 
@@ -139,10 +153,10 @@ def relabel(df: DataFrame, polys: DataFrame, names: Sequence[str], name_col: str
     """
     names = list(names)
     listed = F.col(name_col).isin(names) if names else F.lit(False)
-    located = label_points(df, polys, lng_col, lat_col, out_col="_pip", only_when=listed)
+    stats = polygon_stats(polys)
+    located = label_points(df, polys, lng_col, lat_col, out_col="_pip", only_when=listed, stats=stats)
     lookup = nhood_nums(polys).select(F.col("nhood_name").alias("_nm"), F.col("first_num").alias("_fn"))
-    n_keys = polys.count()
-    lookup = F.broadcast(lookup) if n_keys * 256 <= DEFAULT_BROADCAST_LIMIT else lookup
+    lookup = F.broadcast(lookup) if stats["n"] * 256 <= DEFAULT_BROADCAST_LIMIT else lookup
     j = located.join(lookup, F.col(name_col) == F.col("_nm"), "left")
     other = F.when(F.col("_fn").isNotNull(),
                    F.concat_ws(",", F.col("_fn").cast("string"), F.col(name_col)))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import key_fid, key_name
+from .geo import polygon_stats
 from ..session import DEFAULT_BROADCAST_LIMIT
 
 
@@ -38,6 +39,6 @@ def day_map_frame(wide: DataFrame, day: int, polys: DataFrame,
     rng = long.groupBy("Day").agg(F.min(value).alias("zmin"), F.max(value).alias("zmax"))
     long = long.join(rng, "Day").withColumn("label", hour_label("Hour"))
     geo = polys.select(F.col("nhood_num").cast("int").alias("FID"), F.col("ring"))
-    n = polys.count()
-    geo = F.broadcast(geo) if n * 4096 <= DEFAULT_BROADCAST_LIMIT else geo
+    stats = polygon_stats(polys)
+    geo = F.broadcast(geo) if stats["est_bytes"] <= DEFAULT_BROADCAST_LIMIT else geo
     return long.join(geo, "FID", "left").withColumn("has_geometry", F.col("ring").isNotNull()).drop("ring")

@@ -71,7 +71,8 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     q = q.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     v = F.col(value)
-    j = df.where(v.isNotNull()).join(F.broadcast(q.select(group, "_lo", "_hi")), group)
+    # One row per group; AQE broadcasts it at run time when it is small.
+    j = df.where(v.isNotNull()).join(q.select(group, "_lo", "_hi"), group)
     w = j.groupBy(group).agg(
         F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_lo"),
         F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_hi"),

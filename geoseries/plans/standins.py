@@ -66,8 +66,11 @@ def neighbourhood_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return polygons_from_table(neighbourhood_table(spark, sf_dir), pos_col="nhood_num",
-                               type_col="geometry.type")
+    """Polygon dimension, written once (small table) so its several consumers
+    read it instead of re-deriving it."""
+    from ..session import cut_lineage
+    return cut_lineage(polygons_from_table(neighbourhood_table(spark, sf_dir), pos_col="nhood_num",
+                                           type_col="geometry.type"), "polygons")
 
 
 def _fmt2(x):
