@@ -325,7 +325,7 @@ present AS (SELECT FID_nhood, bin, count(DISTINCT incident_id) AS value FROM b G
 grid AS """ + grid_sql("present", "FID_nhood") + """,
 tc AS (SELECT grid.bin, grid.FID_nhood, coalesce(value, 0) AS value FROM grid LEFT JOIN present USING (FID_nhood, bin))"""
 
-Q["city_total"] = with_(TC_ALL, "SELECT bin, sum(value) AS total FROM tc GROUP BY bin")
+Q["city_total"] = with_(TC_ALL, "SELECT bin, CAST(sum(value) AS BIGINT) AS total FROM tc GROUP BY bin")
 
 AL = CALLS_CLEAN + _B3 + """,
 present AS (SELECT FID_nhood, bin, count(DISTINCT incident_id) AS n, avg(priority) AS avg_value
@@ -414,7 +414,7 @@ SELECT count(*) AS "rows",
 FROM calls_first c LEFT JOIN pp p ON p.pid = c.incident_id""")
 
 Q["neighbour_total"] = with_(TC_ALL + ",\n" + ADJ[len(POLY) + 2:], """
-SELECT tc.bin, adj.centre, sum(tc.value) AS adj_total
+SELECT tc.bin, adj.centre, CAST(sum(tc.value) AS BIGINT) AS adj_total
 FROM tc JOIN adj ON adj.neighbour = tc.FID_nhood GROUP BY tc.bin, adj.centre""")
 
 # ---- series ------------------------------------------------------------------------------
@@ -565,7 +565,7 @@ keys AS (""" + "\nUNION\n".join(
 SELECT keys.centre, keys.bin,
 """ + ",\n".join(
         f"  coalesce((SELECT n FROM cnt_{n} c WHERE c.k = keys.centre AND c.bin = keys.bin), 0) AS {n},\n"
-        f"  coalesce((SELECT sum(c.n) FROM cnt_{n} c JOIN adj ON adj.neighbour = c.k "
+        f"  coalesce((SELECT CAST(sum(c.n) AS BIGINT) FROM cnt_{n} c JOIN adj ON adj.neighbour = c.k "
         f"WHERE adj.centre = keys.centre AND c.bin = keys.bin), 0) AS {n}_adj" for n in _WS_NAMES) + """
 FROM keys""")
 
