@@ -135,7 +135,7 @@ def time_groupby(df: DataFrame, col: str, agg: str = "count", nhoods="all",
     measure = F.count_distinct(col) if agg == "count" else F.avg(col)
     # The (nhood, bin) aggregate feeds the grid and the final join: write it
     # once (reliable checkpoint) so the raw input is scanned once.
-    present = cut_lineage(rows.groupBy(nhood_col, "bin").agg(measure.alias(value_name)))
+    present = cut_lineage(rows.groupBy(nhood_col, "bin").agg(measure.alias(value_name)), "binned")
     grid = gap_grid(present, nhood_col, freq, key_df)
     out = grid.join(present, [nhood_col, "bin"], "left")
     fill = F.lit(0) if agg == "count" else F.lit(0.0)
@@ -219,28 +219,32 @@ def working_series(sources: dict, pairs: DataFrame, freq="180Min",
 
     Rows for a centre are the union of the runs of the centre and of each
     adjacent neighbourhood in each source; values are own distinct count and the
-    sum of the adjacent neighbourhoods' distinct counts, 0 when absent.
+    sum of the adjacent neighbourhoods' distinct counts, 0 when absent.  Labels
+    that share a DataFrame and time column share one scan and one aggregate.
     """
     fs = freq_seconds(freq)
     p = F.broadcast(pairs.select("centre", F.col("neighbour").alias(nhood_col)))
-    parts, labels = [], list(sources)
+    labels = list(sources)
+    groups: dict = {}
     for label, (df, ts_col, id_col) in sources.items():
+        groups.setdefault((id(df), ts_col), (df, ts_col, []))[2].append((label, id_col))
+    zero = {x: F.lit(0).cast("bigint") for l in labels for x in (l, l + "_adj")}
+    parts = []
+    for df, ts_col, members in groups.values():
         rows = add_bin(df.where(F.col(nhood_col).isNotNull() & F.col(ts_col).isNotNull()),
                        ts_col, nhood_col, freq)
-        counts = cut_lineage(rows.groupBy(nhood_col, "bin").agg(F.count_distinct(id_col).alias("_n")))
+        counts = cut_lineage(rows.groupBy(nhood_col, "bin").agg(
+            *[F.count_distinct(id_col).alias(f"_n_{label}") for label, id_col in members]), "counts")
         spans = _spans(counts, nhood_col, fs)
-        zero = {x: F.lit(0).cast("bigint") for l in labels for x in (l, l + "_adj")}
-        own = counts.select(F.col(nhood_col).alias("centre"), "bin", F.col("_n").alias("_own"))
-        adj = counts.join(p, nhood_col).select("centre", "bin", F.col("_n").alias("_adj"))
-        span_own = spans.select(F.col(nhood_col).alias("centre"), "bin")
-        span_adj = spans.join(p, nhood_col).select("centre", "bin")
-        for frame, kind in ((own, "_own"), (adj, "_adj"), (span_own, None), (span_adj, None)):
-            cols = dict(zero)
-            if kind == "_own":
-                cols[label] = F.col("_own").cast("bigint")
-            elif kind == "_adj":
-                cols[label + "_adj"] = F.col("_adj").cast("bigint")
-            parts.append(frame.select("centre", "bin", *[c.alias(k) for k, c in cols.items()]))
+        own_cols, adj_cols = dict(zero), dict(zero)
+        for label, _ in members:
+            own_cols[label] = F.col(f"_n_{label}").cast("bigint")
+            adj_cols[label + "_adj"] = F.col(f"_n_{label}").cast("bigint")
+        own = counts.select(F.col(nhood_col).alias("centre"), "bin", *[c.alias(k) for k, c in own_cols.items()])
+        adj = counts.join(p, nhood_col).select("centre", "bin", *[c.alias(k) for k, c in adj_cols.items()])
+        span_own = spans.select(F.col(nhood_col).alias("centre"), "bin", *[c.alias(k) for k, c in zero.items()])
+        span_adj = spans.join(p, nhood_col).select("centre", "bin", *[c.alias(k) for k, c in zero.items()])
+        parts += [own, adj, span_own, span_adj]
     u = parts[0]
     for x in parts[1:]:
         u = u.unionByName(x)
