@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import (bbox, covers_point, haversine_km, orient, ring_edges,
                                   ring_from_coords)
-from ..functions.text import key_compose, parse_radius_km
+from ..functions.text import geo_param_text, key_compose, parse_radius_km
 from ..session import DEFAULT_BROADCAST_LIMIT
 
 
@@ -276,7 +276,8 @@ def radius_match(points: DataFrame, centres: DataFrame, lng_col: str = "lng", la
     """Points within the radius of any centre, tagged with that centre.
 
     ``centres``: ``centre`` text ``"lat,long"`` and ``radius`` text (``"1mi"``/``"2km"``).
-    A point near several centres yields several rows.  Range join: centres are
+    A point near several centres yields several rows, each tagged with the
+    search parameter text ``query_geo = "lat,long,radius"`` (P17).  Range join: centres are
     expanded to the degree cells their circle's bounding box covers, points
     join on their cell, then the exact haversine test runs.
     """
@@ -299,4 +300,6 @@ def radius_match(points: DataFrame, centres: DataFrame, lng_col: str = "lng", la
                 .withColumn("_cy", F.floor(F.col(lat_col) / F.lit(cell)))
     d = haversine_km(F.col(lat_col), F.col(lng_col), F.col("_clat"), F.col("_clng"))
     return (pts.join(cc, ["_cx", "_cy"]).where(d <= F.col("_rkm"))
+               .withColumn("query_geo", geo_param_text(F.split("centre", ",").getItem(0),
+                                                       F.split("centre", ",").getItem(1), F.col("radius")))
                .drop("_cx", "_cy", "_clat", "_clng", "_rkm"))

@@ -233,7 +233,7 @@ def q_bbox_filter(spark, sf):
 def q_radius_match(spark, sf):
     """Posts within 60 km of any search centre, one row per (post, centre)."""
     d = geo.radius_match(post_points_df(spark, sf), centres_df(spark, sf))
-    return tidy(d.select("row_seq", "centre"))
+    return tidy(d.select("row_seq", "centre", "query_geo"))
 
 
 # ---- binning -------------------------------------------------------------------------
@@ -711,3 +711,10 @@ def q_last_n_rows(spark, sf):
     """Last 160 bins of every series."""
     from ..operators import profile
     return tidy(profile.last_n(series_long(spark, sf), "series", "bin", 160))
+
+
+@register("last_fraction_rows")
+def q_last_fraction_rows(spark, sf):
+    """Last quarter (int(n * 0.25) bins) of every series (W11, fraction form)."""
+    from ..operators import profile
+    return tidy(profile.last_fraction(series_long(spark, sf), "series", "bin", 0.25))

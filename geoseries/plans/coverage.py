@@ -42,7 +42,7 @@ ID_QUERIES = {
     "w01_keep_first": "dedupe_keep_first", "w02_two_phase_dedupe": "clean_posts_two_phase", "w03_acf": "acf",
     "w04_pacf": "pacf", "w05_best_lag": "best_lag", "w06_decompose": "decompose", "w07_lag_rows": "lag_rows",
     "w08_ts_split": "split3", "w09_tabular_split": "tabular_split", "w10_top_per_group": "top10_per_priority",
-    "w11_last_n": "last_n_rows",
+    "w11_last_n": "last_n_rows", "w11_last_fraction": "last_fraction_rows",
     # sort, limit, union
     "o01_sink_sort": "clean_table_roundtrip", "o02_page_order": "page_merge", "o03_top10": "top_categories",
     "o04_newest": "last_rows", "u01_union_files": "csv_scan_keep_first",

@@ -291,7 +291,7 @@ WHERE lng BETWEEN 1.0 AND 9.0 AND lat BETWEEN 1.0 AND 9.0""")
 Q["radius_match"] = with_(POLY + ",\n" + POSTS_RAW + """,
 centres AS (SELECT CAST(y0 + 1 AS VARCHAR) || ',' || CAST(x0 + 1 AS VARCHAR) AS centre,
                    y0 + 1 AS clat, x0 + 1 AS clng, 60.0 AS rkm FROM poly)""", """
-SELECT p.row_seq, c.centre FROM post_points p JOIN centres c ON true
+SELECT p.row_seq, c.centre, c.centre || ',60km' AS query_geo FROM post_points p JOIN centres c ON true
 WHERE 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(c.clat - p.lat) / 2), 2)
       + cos(radians(p.lat)) * cos(radians(c.clat)) * pow(sin(radians(c.clng - p.lng) / 2), 2)))) <= c.rkm""")
 
@@ -661,3 +661,8 @@ SELECT count(DISTINCT category) AS category, count(DISTINCT FID_nhood) AS FID_nh
 Q["last_n_rows"] = with_(SERIES, """
 SELECT series, bin, value FROM (
   SELECT *, row_number() OVER (PARTITION BY series ORDER BY bin DESC) AS rn FROM series) WHERE rn <= 160""")
+
+Q["last_fraction_rows"] = with_(SERIES, """
+SELECT series, bin, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY series ORDER BY bin DESC) AS rn, count(*) OVER (PARTITION BY series) AS n
+  FROM series) WHERE rn <= CAST(floor(n * 0.25) AS BIGINT)""")

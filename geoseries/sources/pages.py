@@ -80,10 +80,15 @@ def feature_rows(pages: DataFrame, attributes: T.StructType, text_col: str = "te
 
 
 def page_keys(pages: DataFrame, schema: T.StructType, text_col: str = "text") -> DataFrame:
-    """Non-feature keys merged over pages: the later page's value wins."""
+    """Non-feature keys merged over pages (S5): a key present in a later page
+    overwrites it; a key absent there keeps the earlier page's value."""
     doc = pages.select("page_no", F.from_json(text_col, schema).alias("d"))
     keys = [f.name for f in schema.fields if f.name != "features"]
-    return doc.agg(*[F.max_by(F.col(f"d.{k}"), "page_no").alias(k) for k in keys])
+
+    def latest(k):
+        v = F.col(f"d.{k}")
+        return F.max_by(v, F.when(v.isNotNull(), F.col("page_no"))).alias(k)
+    return doc.agg(*[latest(k) for k in keys])
 
 
 def page_audit(pages: DataFrame, schema: T.StructType, text_col: str = "text",

@@ -50,3 +50,15 @@ def test_oracle_agrees_small(spark, name):
     got = _rows(E.queries()[name](spark, SF_SMALL).toPandas())
     want = _rows(con.execute(E.oracle_sql()[name]).df())
     assert got == want
+
+
+def test_page_keys_later_page_wins(spark):
+    from pyspark.sql import types as T
+    from geoseries.sources import pages
+    schema = T.StructType([T.StructField("features", T.ArrayType(T.StringType())),
+                           T.StructField("exceededTransferLimit", T.BooleanType()),
+                           T.StructField("spatialReference", T.StringType())])
+    df = spark.createDataFrame([(1, '{"features": [], "exceededTransferLimit": true, "spatialReference": "a"}'),
+                                (2, '{"features": [], "spatialReference": "b"}')], "page_no int, text string")
+    r = pages.page_keys(df, schema).first()
+    assert r.spatialReference == "b" and r.exceededTransferLimit is True
