@@ -18,9 +18,12 @@ def _plan(df):
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SKIP and not n.startswith("stream_")])
-def test_no_python_evaluation(spark, name):
-    plan = _plan(QUERIES[name](spark, SF_SMALL))
+def test_no_python_evaluation_no_cross_join(spark, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    df.write.format("noop").mode("overwrite").save()       # final adaptive plan
+    plan = _plan(df)
     assert not any(p in plan for p in PY_NODES), name
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
 def test_polygon_lookup_is_broadcast(spark):
