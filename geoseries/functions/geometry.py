@@ -37,30 +37,41 @@ def bbox(ring: Column) -> tuple[Column, Column, Column, Column]:
     return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
 
 
-def _on_edge(e: Column, px: Column, py: Column) -> Column:
+def on_edge(e: Column, px: Column, py: Column) -> Column:
     cross = (e.x2 - e.x1) * (py - e.y1) - (e.y2 - e.y1) * (px - e.x1)
     return ((cross == 0)
             & (px >= F.least(e.x1, e.x2)) & (px <= F.greatest(e.x1, e.x2))
             & (py >= F.least(e.y1, e.y2)) & (py <= F.greatest(e.y1, e.y2)))
 
 
-def _crosses(e: Column, px: Column, py: Column) -> Column:
+def ray_crosses(e: Column, px: Column, py: Column) -> Column:
     straddles = (e.y1 > py) != (e.y2 > py)
     x_at = F.when(e.y2 != e.y1, (e.x2 - e.x1) * (py - e.y1) / (e.y2 - e.y1) + e.x1)
     return straddles & F.coalesce(px < x_at, F.lit(False))
 
 
-def covers_point(edges: Column, px: Column, py: Column) -> Column:
-    """Closed-region test: inside the ring **or on its boundary** (even-odd rule)."""
+def ring_fold(edges: Column, px: Column, py: Column) -> Column:
+    """One pass over the edges: struct(n = ray crossings, on = point on an edge)."""
     init = F.struct(F.lit(0).alias("n"), F.lit(False).alias("on"))
-    acc = F.aggregate(
+    return F.aggregate(
         edges, init,
         lambda a, e: F.struct(
-            (a.n + F.when(_crosses(e, px, py), 1).otherwise(0)).alias("n"),
-            (a.on | _on_edge(e, px, py)).alias("on")))
+            (a.n + F.when(ray_crosses(e, px, py), 1).otherwise(0)).alias("n"),
+            (a.on | on_edge(e, px, py)).alias("on")))
+
+
+def covers_point(edges: Column, px: Column, py: Column) -> Column:
+    """Closed-region test: inside the ring **or on its boundary** (even-odd rule)."""
+    acc = ring_fold(edges, px, py)
     return acc.on | (acc.n % 2 == 1)
 
 
+def strictly_inside(edges: Column, px: Column, py: Column) -> Column:
+    """Inside the ring and not on its boundary."""
+    acc = ring_fold(edges, px, py)
+    return ~acc.on & (acc.n % 2 == 1)
+
+
 def orient(ax, ay, bx, by, cx, cy) -> Column:
     """Sign of the orientation determinant of (a, b, c): -1, 0, 1."""
     return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))

@@ -158,6 +158,25 @@ def calls_stage_audit(raw: DataFrame) -> DataFrame:
         F.count_if(ok_c).alias("category_kept"), F.count_if(ok_p).alias("kept"))
 
 
+def posts_stage_audit(raw: DataFrame, polys: DataFrame) -> DataFrame:
+    """Rows per file after each posts rule: raw, unique ids, geo-tagged, inside a
+    polygon, kept by source (A11)."""
+    from .geo import label_points
+    raw_n = raw.groupBy("file_seq").agg(F.count(F.lit(1)).alias("raw_rows"))
+    per_file = keep_first(raw, ["file_seq", "id_str"], ORDER_COLS)
+    lng, lat = lnglat_from_text("coordinates")
+    tagged = per_file.withColumn("lng", lng).withColumn("lat", lat)
+    labelled = label_points(tagged, polys, "lng", "lat", out_col="_k",
+                            only_when=F.col("coordinates").isNotNull())
+    has = F.col("coordinates").isNotNull()
+    inside = has & F.col("_k").isNotNull()
+    stages = labelled.groupBy("file_seq").agg(
+        F.count(F.lit(1)).alias("unique_rows"), F.count_if(has).alias("geo_tagged"),
+        F.count_if(inside).alias("in_area"),
+        F.count_if(inside & contains_any("source", KEEP_SOURCES)).alias("kept"))
+    return raw_n.join(stages, "file_seq", "left")
+
+
 # ---- posts pipeline (W2) ---------------------------------------------------------
 def clean_posts(raw: DataFrame, polys: DataFrame) -> DataFrame:
     """Two-phase de-duplication: per file *before* the geo filters, again after

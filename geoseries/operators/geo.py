@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import (bbox, covers_point, haversine_km, orient, ring_edges,
-                                  ring_from_coords)
+                                  ring_from_coords, strictly_inside)
 from ..functions.text import geo_param_text, key_compose, parse_radius_km
 from ..session import DEFAULT_BROADCAST_LIMIT
 
@@ -192,15 +192,6 @@ def _proper_cross(a: Column, b: Column) -> Column:
     return (o1 * o2 < 0) & (o3 * o4 < 0)
 
 
-def _strictly_inside(edges: Column, px: Column, py: Column) -> Column:
-    init = F.struct(F.lit(0).alias("n"), F.lit(False).alias("on"))
-    from ..functions.geometry import _crosses, _on_edge
-    acc = F.aggregate(edges, init, lambda a, e: F.struct(
-        (a.n + F.when(_crosses(e, px, py), 1).otherwise(0)).alias("n"),
-        (a.on | _on_edge(e, px, py)).alias("on")))
-    return ~acc.on & (acc.n % 2 == 1)
-
-
 def _probe_points(edges: Column) -> Column:
     """Vertices and edge midpoints of a ring."""
     return F.flatten(F.transform(edges, lambda e: F.array(
@@ -231,8 +222,8 @@ def adjacency(polys: DataFrame, cell: float | None = None) -> DataFrame:
     ea, eb = F.col("edges_a"), F.col("edges_b")
     meet = F.exists(ea, lambda x: F.exists(eb, lambda y: _seg_intersect(x, y)))
     cross = F.exists(ea, lambda x: F.exists(eb, lambda y: _proper_cross(x, y)))
-    a_in_b = F.exists(_probe_points(ea), lambda q: _strictly_inside(eb, q.x, q.y))
-    b_in_a = F.exists(_probe_points(eb), lambda q: _strictly_inside(ea, q.x, q.y))
+    a_in_b = F.exists(_probe_points(ea), lambda q: strictly_inside(eb, q.x, q.y))
+    b_in_a = F.exists(_probe_points(eb), lambda q: strictly_inside(ea, q.x, q.y))
     same = F.array_sort(F.array_distinct(F.col("ring_a"))) == F.array_sort(F.array_distinct(F.col("ring_b")))
     touch = meet & ~cross & ~a_in_b & ~b_in_a & ~same
     return j.where(touch).select(F.col("key_a").alias("centre"), F.col("key_b").alias("neighbour"),

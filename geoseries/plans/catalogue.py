@@ -718,3 +718,9 @@ def q_last_fraction_rows(spark, sf):
     """Last quarter (int(n * 0.25) bins) of every series (W11, fraction form)."""
     from ..operators import profile
     return tidy(profile.last_fraction(series_long(spark, sf), "series", "bin", 0.25))
+
+
+@register("posts_stage_audit")
+def q_posts_stage_audit(spark, sf):
+    """Posts per file: raw, unique ids, geo-tagged, inside a polygon, kept by source."""
+    return tidy(clean.posts_stage_audit(S.posts_raw(spark, sf), S.polygons(spark, sf)))

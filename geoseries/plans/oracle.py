@@ -666,3 +666,17 @@ Q["last_fraction_rows"] = with_(SERIES, """
 SELECT series, bin, value FROM (
   SELECT *, row_number() OVER (PARTITION BY series ORDER BY bin DESC) AS rn, count(*) OVER (PARTITION BY series) AS n
   FROM series) WHERE rn <= CAST(floor(n * 0.25) AS BIGINT)""")
+
+Q["posts_stage_audit"] = with_(POSTS_CLEAN + """,
+f1_all AS (SELECT f.*, p.key FROM posts_f1 f LEFT JOIN posts_pip p ON p.pid = f.row_seq AND f.coordinates IS NOT NULL),
+stages AS (
+  SELECT file_seq, count(*) AS unique_rows, count(*) FILTER (WHERE coordinates IS NOT NULL) AS geo_tagged,
+         count(*) FILTER (WHERE coordinates IS NOT NULL AND key IS NOT NULL) AS in_area,
+         count(*) FILTER (WHERE coordinates IS NOT NULL AND key IS NOT NULL AND source IS NOT NULL AND (
+           contains(source, 'Instagram') OR contains(source, 'Twitter for Android')
+           OR contains(source, 'Twitter for iPhone') OR contains(source, 'Foursquare')
+           OR contains(source, 'Tweetlogix') OR contains(source, 'Untappd'))) AS kept
+  FROM f1_all GROUP BY file_seq),
+raw_n AS (SELECT file_seq, count(*) AS raw_rows FROM posts_raw GROUP BY file_seq)""", """
+SELECT CAST(r.file_seq AS BIGINT) AS file_seq, r.raw_rows, s.unique_rows, s.geo_tagged, s.in_area, s.kept
+FROM raw_n r LEFT JOIN stages s USING (file_seq)""")
