@@ -62,22 +62,27 @@ def origin_bin(ts: Column, d0: Column, freq_s: int) -> Column:
     return F.timestamp_add("SECOND", k * F.lit(freq_s), d0)
 
 
-def add_bin(df: DataFrame, ts_col: str, nhood_col: str, freq,
-            bin_col: str = "bin") -> DataFrame:
-    """Attach the bin start column."""
+def add_bin(df: DataFrame, ts_col: str, nhood_col: str, freq, bin_col: str = "bin",
+            keep: Sequence[str] | None = None) -> DataFrame:
+    """Attach the bin start column.
+
+    Aligned frequencies (dividing one day) need no extra pass.  Otherwise the
+    origin differs per neighbourhood: the needed columns (``keep``; all when
+    None) are written once, the small (nhood, d0) table is derived from that
+    copy, size-checked and broadcast - so upstream work is not repeated.
+    """
     fs = freq_seconds(freq)
     if DAY_SECONDS % fs == 0:
         return df.withColumn(bin_col, aligned_bin(F.col(ts_col), fs))
-    # Origin differs per neighbourhood: a small (nhood, d0) table, written out
-    # (reliable checkpoint) so its size check does not re-scan the input.
-    d0 = cut_lineage(df.where(F.col(ts_col).isNotNull())
-                       .groupBy(nhood_col)
-                       .agg(F.date_trunc("DAY", F.min(ts_col)).alias("_d0")))
+    cols = list(dict.fromkeys([nhood_col, ts_col, *(keep or df.columns)]))
+    base = cut_lineage(df.select(*cols), "binning-input")
+    d0 = cut_lineage(base.where(F.col(ts_col).isNotNull()).groupBy(nhood_col)
+                         .agg(F.date_trunc("DAY", F.min(ts_col)).alias("_d0")), "origins")
     n = d0.count()
     small = F.broadcast(d0) if n * 64 <= DEFAULT_BROADCAST_LIMIT else d0
-    return (df.join(small, nhood_col, "left")
-              .withColumn(bin_col, origin_bin(F.col(ts_col), F.to_timestamp_ntz(F.col("_d0")), fs))
-              .drop("_d0"))
+    return (base.join(small, nhood_col, "left")
+                .withColumn(bin_col, origin_bin(F.col(ts_col), F.to_timestamp_ntz(F.col("_d0")), fs))
+                .drop("_d0"))
 
 
 def _requested(df: DataFrame, nhood_col: str, nhoods) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +136,7 @@ def time_groupby(df: DataFrame, col: str, agg: str = "count", nhoods="all",
     if agg not in ("count", "avg"):
         raise ValueError("Aggregation method must be: 'count' or 'avg'.")
     rows, key_df = _requested(df, nhood_col, nhoods)
-    rows = add_bin(rows.where(F.col(ts_col).isNotNull()), ts_col, nhood_col, freq)
+    rows = add_bin(rows.where(F.col(ts_col).isNotNull()), ts_col, nhood_col, freq, keep=[col])
     measure = F.count_distinct(col) if agg == "count" else F.avg(col)
     # The (nhood, bin) aggregate feeds the grid and the final join: write it
     # once (reliable checkpoint) so the raw input is scanned once.
@@ -146,9 +151,9 @@ def count_and_avg(df: DataFrame, count_col: str, avg_col: str, nhoods="all", fre
                   ts_col: str = "call_timestamp", nhood_col: str = "FID_nhood") -> DataFrame:
     """Both measures in one aggregate (J6: same groups, no join between them)."""
     rows, key_df = _requested(df, nhood_col, nhoods)
-    rows = add_bin(rows.where(F.col(ts_col).isNotNull()), ts_col, nhood_col, freq)
+    rows = add_bin(rows.where(F.col(ts_col).isNotNull()), ts_col, nhood_col, freq, keep=[count_col, avg_col])
     present = cut_lineage(rows.groupBy(nhood_col, "bin").agg(
-        F.count_distinct(count_col).alias("n"), F.avg(avg_col).alias("avg_value")))
+        F.count_distinct(count_col).alias("n"), F.avg(avg_col).alias("avg_value")), "binned")
     grid = gap_grid(present, nhood_col, freq, key_df)
     return (grid.join(present, [nhood_col, "bin"], "left")
                 .select("bin", nhood_col,
@@ -232,7 +237,7 @@ def working_series(sources: dict, pairs: DataFrame, freq="180Min",
     parts = []
     for df, ts_col, members in groups.values():
         rows = add_bin(df.where(F.col(nhood_col).isNotNull() & F.col(ts_col).isNotNull()),
-                       ts_col, nhood_col, freq)
+                       ts_col, nhood_col, freq, keep=[id_col for _, id_col in members])
         counts = cut_lineage(rows.groupBy(nhood_col, "bin").agg(
             *[F.count_distinct(id_col).alias(f"_n_{label}") for label, id_col in members]), "counts")
         spans = _spans(counts, nhood_col, fs)
