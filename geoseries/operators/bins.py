@@ -175,14 +175,16 @@ def attention_level(df: DataFrame, nhoods="all", freq="180Min", id_col: str = "i
 
 def to_wide(long: DataFrame, nhood_col: str = "FID_nhood", value_col: str = "value",
             order: Sequence[str] | None = None) -> DataFrame:
-    """Long -> wide, one column per neighbourhood.
+    """Long -> wide, one column per neighbourhood in first-seen order.
 
     The column list is the neighbourhood key set (bounded by the polygon
-    dimension, not by the data volume); pass it as ``order`` to skip the
-    distinct-values job.
+    dimension, not by the data volume); without ``order`` it is read from a
+    small aggregate (first bin per key, then key).
     """
-    g = long.groupBy("bin").pivot(nhood_col, list(order) if order else None)
-    return g.agg(F.first(value_col))
+    if order is None:
+        first = long.groupBy(nhood_col).agg(F.min("bin").alias("_f")).orderBy("_f", nhood_col)
+        order = [r[0] for r in first.collect()]
+    return long.groupBy("bin").pivot(nhood_col, list(order)).agg(F.first(value_col))
 
 
 def to_long(wide: DataFrame, id_cols: Sequence[str], nhood_col: str = "FID_nhood",

@@ -95,6 +95,10 @@ def decompose(long: DataFrame, period: int, series: str = "series", order: str =
     w = _w(series, order)
     x = F.col(value)
     d = long.withColumn("_idx", F.row_number().over(w) - 1)
+    # needs two complete periods, like the library it replaces
+    d = d.withColumn("_idx", F.when(F.count(F.lit(1)).over(Window.partitionBy(series)) >= 2 * m, F.col("_idx"))
+                     .otherwise(F.raise_error(F.lit(f"decompose needs at least {2 * m} observations per series"))
+                                .cast("int")))
     win = w.rowsBetween(-h, h)
     lo, hi = F.lag(value, h).over(w), F.lead(value, h).over(w)
     if m % 2 == 0:
@@ -124,6 +128,25 @@ def lag_rows(long: DataFrame, lag: int, series: str = "series", order: str = "bi
         series, (F.col("_pos") - lag).alias("row_idx"), order, "lags", F.col(value).cast("double").alias("y"))
 
 
+def joint_lag_rows(long: DataFrame, lag: int, series: str = "series", order: str = "bin",
+                   value: str = "value") -> DataFrame:
+    """Joint supervised rows: at each bin the values of *all* series form one
+    vector (series in first-seen order); ``lags`` = the previous ``lag``
+    vectors flattened oldest->newest (lag x series features), ``y`` = the
+    current vector (W7, joint form).  The window runs over the per-bin table
+    (one row per bin)."""
+    idx = series_index(long, series, order)
+    per_bin = (long.join(idx, series)
+                   .groupBy(order).agg(F.array_sort(F.collect_list(F.struct("idx", F.col(value).cast("double")
+                                                                           .alias("v")))).alias("_s")))
+    per_bin = per_bin.select(order, F.transform("_s", lambda e: e.v).alias("y"))
+    w = Window.partitionBy().orderBy(order)
+    d = per_bin.withColumn("_hist", F.collect_list("y").over(w.rowsBetween(-lag, -1))) \
+               .withColumn("_pos", F.row_number().over(w) - 1)
+    return d.where(F.size("_hist") == lag).select(
+        (F.col("_pos") - lag).alias("row_idx"), order, F.flatten("_hist").alias("lags"), "y")
+
+
 def _split_sizes(n: Column, test, val) -> tuple[Column, Column]:
     n_test = F.ceil(n * F.lit(float(test))) if isinstance(test, float) else F.lit(int(test))
     remain = n - n_test

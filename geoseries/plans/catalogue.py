@@ -724,3 +724,14 @@ def q_last_fraction_rows(spark, sf):
 def q_posts_stage_audit(spark, sf):
     """Posts per file: raw, unique ids, geo-tagged, inside a polygon, kept by source."""
     return tidy(clean.posts_stage_audit(S.posts_raw(spark, sf), S.polygons(spark, sf)))
+
+
+@register("joint_lag_rows")
+def q_joint_lag_rows(spark, sf):
+    """Joint supervised rows over all series (three previous vectors -> current vector),
+    exploded to (row, part, position, value) (W7 joint form)."""
+    from ..operators import series
+    r = series.joint_lag_rows(series_long(spark, sf), LAG)
+    xs = r.select("row_idx", "bin", F.lit("x").alias("part"), F.posexplode("lags").alias("pos", "value"))
+    ys = r.select("row_idx", "bin", F.lit("y").alias("part"), F.posexplode("y").alias("pos", "value"))
+    return tidy(xs.unionByName(ys))

@@ -40,7 +40,7 @@ ID_QUERIES = {
     "a18_working_series": "working_series", "a19_slice_range": "day_map_frame", "a20_losses": "losses",
     # windows and time series
     "w01_keep_first": "dedupe_keep_first", "w02_two_phase_dedupe": "clean_posts_two_phase", "w03_acf": "acf",
-    "w04_pacf": "pacf", "w05_best_lag": "best_lag", "w06_decompose": "decompose", "w07_lag_rows": "lag_rows",
+    "w04_pacf": "pacf", "w05_best_lag": "best_lag", "w06_decompose": "decompose", "w07_lag_rows": "lag_rows", "w07_joint_lag_rows": "joint_lag_rows",
     "w08_ts_split": "split3", "w09_tabular_split": "tabular_split", "w10_top_per_group": "top10_per_priority",
     "w11_last_n": "last_n_rows", "w11_last_fraction": "last_fraction_rows",
     # sort, limit, union

@@ -680,3 +680,15 @@ stages AS (
 raw_n AS (SELECT file_seq, count(*) AS raw_rows FROM posts_raw GROUP BY file_seq)""", """
 SELECT CAST(r.file_seq AS BIGINT) AS file_seq, r.raw_rows, s.unique_rows, s.geo_tagged, s.in_area, s.kept
 FROM raw_n r LEFT JOIN stages s USING (file_seq)""")
+
+Q["joint_lag_rows"] = with_(SERIES + """,
+si AS (SELECT series, row_number() OVER (ORDER BY f, series) - 1 AS idx
+       FROM (SELECT series, min(bin) AS f FROM series GROUP BY series)),
+v AS (SELECT s.bin, si.idx, s.value FROM series s JOIN si USING (series)),
+nb AS (SELECT count(*) AS k FROM si),
+b AS (SELECT bin, row_number() OVER (ORDER BY bin) - 1 AS pos FROM (SELECT DISTINCT bin FROM series))""", """
+SELECT b.pos - 3 AS row_idx, b.bin, 'x' AS part, (vb.pos - (b.pos - 3)) * nb.k + v.idx AS pos, round(v.value, 6) AS value
+FROM b JOIN b vb ON vb.pos BETWEEN b.pos - 3 AND b.pos - 1 JOIN v ON v.bin = vb.bin CROSS JOIN nb
+WHERE b.pos >= 3
+UNION ALL
+SELECT b.pos - 3, b.bin, 'y', v.idx, round(v.value, 6) FROM b JOIN v ON v.bin = b.bin WHERE b.pos >= 3""")

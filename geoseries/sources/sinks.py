@@ -22,11 +22,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sort_by: tuple[s
 
 
 def append_entities(frames: dict[str, DataFrame], base: str, batch_id: int | None = None,
-                    fmt: str = "parquet") -> None:
-    """One table per entity (tweet, user, place), appended (S10).  With a batch
-    id each micro-batch lands in its own ``batch_id=`` folder, overwritten on
-    replay, so a retried batch never duplicates rows."""
+                    fmt: str = "parquet", skip_empty: bool = True) -> None:
+    """One table per entity (tweet, user, place), appended (S10); empty frames
+    are skipped.  With a batch id each micro-batch lands in its own
+    ``batch_id=`` folder, overwritten on replay, so a retried batch never
+    duplicates rows."""
     for name, df in frames.items():
+        if skip_empty and df.isEmpty():
+            continue
         path = f"{base.rstrip('/')}/{name}"
         if batch_id is None:
             df.write.mode("append").format(fmt).save(path)

@@ -114,3 +114,18 @@ def test_series_index_first_seen(spark):
         _long(spark, [1, 2, 3, 4], "a").withColumn("bin", F.col("bin") + F.expr("INTERVAL 1 HOUR")))
     got = {r.series: r.idx for r in series.series_index(df).collect()}
     assert got == {"z": 0, "a": 1}
+
+
+def test_joint_lag_rows(spark):
+    df = _long(spark, [1, 2, 3, 4, 5], "b").unionByName(_long(spark, [10, 20, 30, 40, 50], "a"))
+    rows = series.joint_lag_rows(df, 2).orderBy("row_idx").collect()
+    # both series start together: order by key -> a first
+    assert [(list(r.lags), list(r.y)) for r in rows] == [
+        ([10.0, 1.0, 20.0, 2.0], [30.0, 3.0]), ([20.0, 2.0, 30.0, 3.0], [40.0, 4.0]),
+        ([30.0, 3.0, 40.0, 4.0], [50.0, 5.0])]
+
+
+def test_decompose_needs_two_periods(spark):
+    import pytest
+    with pytest.raises(Exception, match="at least 16"):
+        series.decompose(_long(spark, list(range(10))), 8).collect()
