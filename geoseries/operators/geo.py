@@ -72,13 +72,15 @@ def polygons_from_rings(df: DataFrame, pos_col: str, num_col: str, name_col: str
 
 # ---- grid cells --------------------------------------------------------------------
 def polygon_stats(polys: DataFrame) -> dict:
-    """One small aggregate over the polygon table: count, grid cell side (mean
-    bounding-box side) and an upper bound of the candidate-cell table's bytes
-    for that cell (each polygon covers at most (w/c + 2)(h/c + 2) cells)."""
+    """One small aggregate over the polygon table: count, grid cell side (median
+    bounding-box side, so a few huge polygons cannot inflate the cells and the
+    polygons per cell stay few) and an upper bound of the candidate-cell
+    table's bytes for that cell (each polygon covers at most
+    (w/c + 2)(h/c + 2) cells)."""
     v = polys.where("valid")
     w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
     e = F.size("edges") * 32 + 96
-    r = v.agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest(w, h)).alias("side"),
+    r = v.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.greatest(w, h), 0.5).alias("side"),
               F.sum(e * w * h).alias("ewh"), F.sum(e * (w + h)).alias("ew"), F.sum(e).alias("e")).first()
     n = int(r["n"] or 0)
     cell = float(r["side"]) if r["side"] else 1.0
@@ -87,7 +89,7 @@ def polygon_stats(polys: DataFrame) -> dict:
 
 
 def default_cell(polys: DataFrame) -> float:
-    """Cell side = mean bounding-box side of the polygons."""
+    """Cell side = median bounding-box side of the polygons."""
     return polygon_stats(polys)["cell"]
 
 
