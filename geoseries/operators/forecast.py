@@ -48,6 +48,32 @@ def linear_recursive(rows: DataFrame, weights: Sequence[float], intercept: float
     return out.withColumn("step", F.col("_p") + 1).drop("_p")
 
 
+def linear_recursive_joint(rows: DataFrame, weights: Sequence[Sequence[float]], intercepts: Sequence[float],
+                           fh: int, lags_col: str = "lags") -> DataFrame:
+    """Joint recursive forecast (M1, all-series form): ``lags`` holds the last
+    ``lag`` vectors of all ``k`` series flattened oldest->newest; output j is
+    ``intercepts[j] + weights[j] . lags``; each step appends the whole
+    predicted vector and drops the oldest one.  One row per (step, series
+    position) with ``pred``."""
+    k = len(intercepts)
+    w = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in weights])
+    b = F.array(*[F.lit(float(x)) for x in intercepts])
+    n = len(weights[0])
+    init = F.struct(F.col(lags_col).cast("array<double>").alias("lags"),
+                    F.array().cast("array<array<double>>").alias("preds"))
+
+    def step(acc, _s):
+        vec = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: b[j] + _sum(
+            F.zip_with(acc.lags, w[j], lambda a, c: a * c)))
+        return F.struct(F.concat(F.slice(acc.lags, k + 1, n - k), vec).alias("lags"),
+                        F.concat(acc.preds, F.array(vec)).alias("preds"))
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(fh)), init, step).preds
+    out = rows.select("*", F.posexplode(folded).alias("_p", "_vec"))
+    out = out.select("*", F.posexplode("_vec").alias("series_pos", "pred"))
+    return out.withColumn("step", F.col("_p") + 1).drop("_p", "_vec")
+
+
 def model_recursive(model, rows: DataFrame, fh: int, keys: Sequence[str],
                     lags_col: str = "lags") -> DataFrame:
     """Recursive forecast with a fitted ``pyspark.ml`` regressor whose features

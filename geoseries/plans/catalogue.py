@@ -735,3 +735,19 @@ def q_joint_lag_rows(spark, sf):
     xs = r.select("row_idx", "bin", F.lit("x").alias("part"), F.posexplode("lags").alias("pos", "value"))
     ys = r.select("row_idx", "bin", F.lit("y").alias("part"), F.posexplode("y").alias("pos", "value"))
     return tidy(xs.unionByName(ys))
+
+
+@register("joint_recursive_mean")
+def q_joint_recursive_mean(spark, sf):
+    """8-step joint recursive forecast over all series at once: each series'
+    prediction is the mean of its own three previous values, the whole vector is
+    appended each step (M1, all-series form)."""
+    from ..operators import forecast, series
+    long = series_long(spark, sf)
+    k = long.select("series").distinct().count()
+    idx = series.series_index(long)
+    rows = series.joint_lag_rows(long, LAG)
+    weights = [[(1.0 / LAG if i % k == j else 0.0) for i in range(LAG * k)] for j in range(k)]
+    out = forecast.linear_recursive_joint(rows, weights, [0.0] * k, FH)
+    out = out.join(idx, out["series_pos"] == idx["idx"]).select("series", "row_idx", "step", "pred")
+    return tidy(out)

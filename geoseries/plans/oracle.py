@@ -692,3 +692,6 @@ FROM b JOIN b vb ON vb.pos BETWEEN b.pos - 3 AND b.pos - 1 JOIN v ON v.bin = vb.
 WHERE b.pos >= 3
 UNION ALL
 SELECT b.pos - 3, b.bin, 'y', v.idx, round(v.value, 6) FROM b JOIN v ON v.bin = b.bin WHERE b.pos >= 3""")
+
+# The joint form with mean-of-own-lags weights equals the per-series recursion.
+Q["joint_recursive_mean"] = Q["recursive_mean_model"]

@@ -131,3 +131,14 @@ def test_model_recursive_with_ml_model(spark):
     ref = forecast.linear_recursive(origin, [0.5, 0.25], 1.0, 3).collect()
     want = {(r.origin, r.step): r.pred for r in ref}
     assert all(abs(r.pred - want[(r.origin, r.step)]) < 1e-6 for r in got)
+
+
+def test_joint_recursive_appends_vectors(spark):
+    # two series, lag 2: lags = [a_{t-2}, b_{t-2}, a_{t-1}, b_{t-1}]
+    rows = spark.createDataFrame([(0, [1.0, 10.0, 2.0, 20.0])], "row_idx int, lags array<double>")
+    w = [[0.0, 0.0, 1.0, 0.0],      # a_t = a_{t-1}
+         [0.0, 1.0, 0.0, 1.0]]      # b_t = b_{t-2} + b_{t-1}
+    got = {(r.step, r.series_pos): r.pred
+           for r in forecast.linear_recursive_joint(rows, w, [1.0, 0.0], 3).collect()}
+    assert [got[(s, 0)] for s in (1, 2, 3)] == [3.0, 4.0, 5.0]
+    assert [got[(s, 1)] for s in (1, 2, 3)] == [30.0, 50.0, 80.0]
