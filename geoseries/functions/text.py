@@ -61,7 +61,7 @@ def parse_twitter_time(c) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(inst), F.expr(EPOCH_NTZ))
 
 
-def epoch_ms_to_local(c, tz: str = "America/Detroit") -> Column:
+def epoch_ms_to_local(c, tz: str = "America/New_York") -> Column:
     """Epoch milliseconds (UTC) -> local wall-clock TIMESTAMP_NTZ in ``tz``."""
     utc = F.timestamp_add("MILLISECOND", _c(c), F.expr(EPOCH_NTZ))
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)

@@ -573,7 +573,7 @@ FROM keys""")
 Q["page_merge"] = """
 SELECT CAST(event_id // 500 + 1 AS BIGINT) AS page_no, event_id AS incident_id, upper(event_type) AS category,
        CAST(event_id % 5 + 1 AS VARCHAR) AS priority,
-       timezone('America/Detroit', to_timestamp(ms // 1000) + to_milliseconds(ms % 1000)) AS call_timestamp_EST
+       timezone('America/New_York', to_timestamp(ms // 1000) + to_milliseconds(ms % 1000)) AS call_timestamp_EST
 FROM (SELECT *, epoch_us(ts) // 1000 AS ms FROM events)"""
 
 Q["page_audit"] = """

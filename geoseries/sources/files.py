@@ -41,7 +41,7 @@ def read_calls_csv(spark: SparkSession, globs: Sequence[str]) -> DataFrame:
     return out
 
 
-def year_globs(base: str, years: Sequence[int], pattern: str = "911_Calls_{year}*.csv") -> list[str]:
+def year_globs(base: str, years: Sequence[int], pattern: str = "calls_{year}*.csv") -> list[str]:
     return [f"{base.rstrip('/')}/{pattern.format(year=y)}" for y in years]
 
 

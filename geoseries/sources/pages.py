@@ -68,7 +68,7 @@ def feature_page_schema(attributes: T.StructType) -> T.StructType:
 
 
 def feature_rows(pages: DataFrame, attributes: T.StructType, text_col: str = "text",
-                 ts_col: str = "call_timestamp", tz: str = "America/Detroit") -> DataFrame:
+                 ts_col: str = "call_timestamp", tz: str = "America/New_York") -> DataFrame:
     """REST feature pages -> one row per record: ``attributes.*`` (geometry x/y
     dropped), the epoch-ms timestamp as local wall-clock time renamed
     ``<ts>_EST`` (S4, P2, P3, P8, U1)."""

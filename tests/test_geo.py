@@ -47,12 +47,12 @@ def test_adjacency_g3(spark):
 
 
 def test_relabel_g6(spark):
-    polys = _polys(spark, [(174, "Oak Grove", 0, 0, 2, 2), (19, "Warrendale", 2, 0, 4, 2),
-                           (205, "Oak Grove", 4, 0, 6, 2)])
-    rows = spark.createDataFrame([(1, "Warrendale", 50.0, 50.0), (2, "Oak Grove", 5.0, 1.0),
-                                  (3, "Oak Grove", 50.0, 50.0)], "id int, neighborhood string, lng double, lat double")
-    got = {r.id: r.FID_nhood for r in geo.relabel(rows, polys, ["Oak Grove"], lng_col="lng", lat_col="lat").collect()}
-    assert got == {1: "19,Warrendale", 2: "205,Oak Grove", 3: None}
+    polys = _polys(spark, [(7, "Twin", 0, 0, 2, 2), (3, "Solo", 2, 0, 4, 2),
+                           (9, "Twin", 4, 0, 6, 2)])
+    rows = spark.createDataFrame([(1, "Solo", 50.0, 50.0), (2, "Twin", 5.0, 1.0),
+                                  (3, "Twin", 50.0, 50.0)], "id int, neighborhood string, lng double, lat double")
+    got = {r.id: r.FID_nhood for r in geo.relabel(rows, polys, ["Twin"], lng_col="lng", lat_col="lat").collect()}
+    assert got == {1: "3,Solo", 2: "9,Twin", 3: None}
 
 
 def test_relabel_unknown_name(spark):

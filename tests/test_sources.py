@@ -18,9 +18,9 @@ def _write(path, text):
 def test_calls_csv_two_years_keep_first(spark):
     d = tempfile.mkdtemp(prefix="geoseries-csv-")
     head = "incident_id,call_timestamp_EST,officerinitiated,priority,calldescription,category,neighborhood,longitude,latitude\n"
-    _write(f"{d}/911_Calls_2019_file0.csv", head + '"1,001",2019-05-01 10:00:00,No, 3 ,x,ASSLT,A,1.0,1.0\n'
+    _write(f"{d}/calls_2019_part0.csv", head + '"1,001",2019-05-01 10:00:00,No, 3 ,x,ASSLT,A,1.0,1.0\n'
                                             '"1,002",2019-05-01 11:00:00,No,P,x,ASSLT,A,1.0,1.0\n')
-    _write(f"{d}/911_Calls_2020_file0.csv", head + '"1,001",2020-05-01 10:00:00,No,2,x,ASSLT,A,1.0,1.0\n'
+    _write(f"{d}/calls_2020_part0.csv", head + '"1,001",2020-05-01 10:00:00,No,2,x,ASSLT,A,1.0,1.0\n'
                                             '"1,002",2020-05-01 11:00:00,No,4,x,ASSLT,A,1.0,1.0\n')
     raw = files.read_calls_csv(spark, files.year_globs(d, [2019, 2020]))
     first = clean.keep_first(clean.stage_calls(raw), ["incident_id"], clean.ORDER_COLS)

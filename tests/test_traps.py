@@ -53,7 +53,7 @@ def test_key_split_and_numbers(spark):
     assert (r.fid, r.name, r.n, r.bad) == (12, "Oak", 1234567, None)
 
 
-def test_epoch_ms_to_detroit_local_time(spark):
+def test_epoch_ms_to_eastern_local_time(spark):
     df = spark.createDataFrame([(1704067200000,), (1719835200000,)], "ms long")   # Jan 1 / Jul 1 2024 UTC
     got = [str(r.t) for r in df.select(text.epoch_ms_to_local("ms").alias("t")).collect()]
     assert got == ["2023-12-31 19:00:00", "2024-07-01 08:00:00"]
