@@ -751,3 +751,17 @@ def q_joint_recursive_mean(spark, sf):
     out = forecast.linear_recursive_joint(rows, weights, [0.0] * k, FH)
     out = out.join(idx, out["series_pos"] == idx["idx"]).select("series", "row_idx", "step", "pred")
     return tidy(out)
+
+
+@register("posts_source_shares")
+def q_posts_source_shares(spark, sf):
+    """Share of cleaned posts per source application (A7 on the posts table)."""
+    from ..operators import profile
+    return tidy(profile.value_shares(clean_posts_df(spark, sf), "source"))
+
+
+@register("posts_hourly_total")
+def q_posts_hourly_total(spark, sf):
+    """Distinct posts per neighbourhood and hour, then the citywide hourly total."""
+    long = bins.time_groupby(clean_posts_df(spark, sf), "id_str", "count", "all", "1H", ts_col="created_at")
+    return tidy(bins.city_total(long))

@@ -33,10 +33,10 @@ ID_QUERIES = {
     # aggregations
     "a01_time_count": "time_count", "a02_time_avg": "time_avg", "a03_gap_grid": "bin_grid_gaps",
     "a05_first_non_null": "first_description", "a06_value_counts": "value_counts",
-    "a07_value_shares": "value_shares", "a08_distinct": "distinct_counts", "a09_null_share": "null_share",
+    "a07_value_shares": "value_shares", "a07_posts_source_shares": "posts_source_shares", "a08_distinct": "distinct_counts", "a09_null_share": "null_share",
     "a10_column_profile": "column_profile", "a11_stage_audit": "stage_audit", "a11_posts_stage_audit": "posts_stage_audit", "a12_box_stats": "box_stats",
     "a13_histogram": "histogram60", "a14_pivot_wide": "wide_series", "a15_unpivot": "unpivot_series",
-    "a16_city_total": "city_total", "a17_neighbour_total": "neighbour_total",
+    "a16_city_total": "city_total", "a16_posts_hourly_total": "posts_hourly_total", "a17_neighbour_total": "neighbour_total",
     "a18_working_series": "working_series", "a19_slice_range": "day_map_frame", "a20_losses": "losses",
     # windows and time series
     "w01_keep_first": "dedupe_keep_first", "w02_two_phase_dedupe": "clean_posts_two_phase", "w03_acf": "acf",

@@ -695,3 +695,15 @@ SELECT b.pos - 3, b.bin, 'y', v.idx, round(v.value, 6) FROM b JOIN v ON v.bin =
 
 # The joint form with mean-of-own-lags weights equals the per-series recursion.
 Q["joint_recursive_mean"] = Q["recursive_mean_model"]
+
+Q["posts_source_shares"] = with_(POSTS_CLEAN, """
+SELECT source, "count", round("count" * 100.0 / sum("count") OVER (), 6) AS share
+FROM (SELECT source, count(*) AS "count" FROM posts WHERE source IS NOT NULL GROUP BY source)""")
+
+Q["posts_hourly_total"] = with_(POSTS_CLEAN + """,
+pb AS (SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS bin, FID_nhood, id_str FROM posts
+       WHERE created_at IS NOT NULL AND FID_nhood IS NOT NULL),
+present AS (SELECT FID_nhood, bin, count(DISTINCT id_str) AS value FROM pb GROUP BY FID_nhood, bin),
+grid AS """ + grid_sql("present", "FID_nhood", step="INTERVAL 1 HOUR"), """
+SELECT grid.bin, CAST(sum(coalesce(value, 0)) AS BIGINT) AS total
+FROM grid LEFT JOIN present USING (FID_nhood, bin) GROUP BY grid.bin""")
