@@ -40,7 +40,7 @@ def trim_spaces(c) -> Column:
 
 def parse_number(c, to: str = "bigint") -> Column:
     """Numbers written with ``,`` thousands separators; bad text -> NULL."""
-    return F.expr(f"try_cast(regexp_replace({_sql(c)}, ',', '') as {to})")
+    return F.expr(f"try_cast(replace({_sql(c)}, ',', '') as {to})")
 
 
 def parse_timestamp(c, fmt: str | None = None) -> Column:

@@ -74,7 +74,8 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fmt2(x):
-    return F.format_string("%.2f", x.cast("double"))
+    """Text with two decimals (same as printf ``%.2f`` for these values)."""
+    return x.cast("decimal(14,2)").cast("string")
 
 
 def calls_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
