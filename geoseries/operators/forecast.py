@@ -184,10 +184,12 @@ def _ar_path_forecast(phi: Column, mu: Column, zh: Column, xh: Column, ylast: Co
                     ylast.cast("double").alias("yl"), F.array().cast("array<double>").alias("out"))
 
     def step(acc, _s):
+        # try_element_at: a history shorter than the order gives NULL, not an error
         zp = mu + F.aggregate(F.sequence(F.lit(0), F.size(phi) - 1), F.lit(0.0),
-                              lambda s, i: s + phi[i] * (acc.zh[F.size(acc.zh) - 1 - i] - mu))
+                              lambda s, i: s + F.try_element_at(phi, i + 1)
+                              * (F.try_element_at(acc.zh, F.size(acc.zh) - i) - mu))
         yp = F.when(d == 1, acc.yl + zp).otherwise(zp)
-        xp = (yp + acc.xh[F.size(acc.xh) - season]) if season else yp
+        xp = (yp + F.try_element_at(acc.xh, F.size(acc.xh) - season + 1)) if season else yp
         return F.struct(F.concat(acc.zh, F.array(zp)).alias("zh"), F.concat(acc.xh, F.array(xp)).alias("xh"),
                         yp.alias("yl"), F.concat(acc.out, F.array(xp)).alias("out"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(fh)), init, step).out

@@ -73,7 +73,7 @@ def pacf(long: DataFrame, max_lag: int, series: str = "series", order: str = "bi
     lags 0..max_lag: ``(series, lag, pacf)`` (W4)."""
     ac = autocov(long, max_lag, series, order, value)
     g0 = F.col("s0") / F.col("n")
-    rho = F.array(*[F.try_divide(F.col(f"s{k}") / (F.col("n") - k), g0) for k in range(0, max_lag + 1)])
+    rho = F.array(*[F.try_divide(F.try_divide(F.col(f"s{k}"), F.col("n") - k), g0) for k in range(0, max_lag + 1)])
     dl = ac.select(series, durbin_levinson(rho, max_lag).alias("_dl"))
     out = dl.select(series, F.posexplode(F.concat(F.array(F.lit(1.0)), F.col("_dl.pac"))).alias("lag", "pacf"))
     return out.select(series, F.col("lag").cast("int").alias("lag"), F.abs("pacf").alias("pacf"))

@@ -142,3 +142,8 @@ def test_joint_recursive_appends_vectors(spark):
            for r in forecast.linear_recursive_joint(rows, w, [1.0, 0.0], 3).collect()}
     assert [got[(s, 0)] for s in (1, 2, 3)] == [3.0, 4.0, 5.0]
     assert [got[(s, 1)] for s in (1, 2, 3)] == [30.0, 50.0, 80.0]
+
+
+def test_ar_forecast_short_history_is_null(spark):
+    got = forecast.ar_forecast(_long(spark, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 11.0]), [3], [1], 8, 2).collect()
+    assert all(r.pred is None for r in got)

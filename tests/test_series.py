@@ -129,3 +129,8 @@ def test_decompose_needs_two_periods(spark):
     import pytest
     with pytest.raises(Exception, match="at least 16"):
         series.decompose(_long(spark, list(range(10))), 8).collect()
+
+
+def test_short_series_give_null_not_errors(spark):
+    got = series.pacf(_long(spark, [1, 2, 3, 5]), 4).collect()
+    assert any(r.pacf is None for r in got)
