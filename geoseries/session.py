@@ -42,8 +42,9 @@ def get_spark(master: str | None = None, app: str = "geoseries",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (as in
-    tests on one machine) a fresh scratch folder is made and registered.
+    Read from ``spark.checkpoint.dir``.  Only a local-mode session without one
+    (tests on one machine) gets a fresh scratch folder; on a cluster a missing
+    setting is an error, because a machine-local folder is not shared.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         conf_dir = tempfile.mkdtemp(prefix="geoseries-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
