@@ -230,7 +230,8 @@ def working_series(sources: dict, pairs: DataFrame, freq="180Min",
     that share a DataFrame and time column share one scan and one aggregate.
     """
     fs = freq_seconds(freq)
-    p = F.broadcast(pairs.select("centre", F.col("neighbour").alias(nhood_col)))
+    # the pair table is small and read by every branch below: write it once
+    p = F.broadcast(cut_lineage(pairs.select("centre", F.col("neighbour").alias(nhood_col)), "pairs"))
     labels = list(sources)
     groups: dict = {}
     for label, (df, ts_col, id_col) in sources.items():
