@@ -294,16 +294,16 @@ def q_selective_relabel(spark, sf):
 
 @register("nhood_num_list")
 def q_nhood_num_list(spark, sf):
-    """All numbers of each neighbourhood name in file order."""
-    d = geo.nhood_nums(S.polygons(spark, sf))
+    """All numbers of each block name in file order (J3); many blocks share a name."""
+    d = geo.nhood_nums(S.blocks(spark, sf))
     return tidy(d.select("nhood_name", F.concat_ws(",", F.col("nums").cast("array<string>")).alias("nums"),
                          "first_num"))
 
 
 @register("adjacency")
 def q_adjacency(spark, sf):
-    """Pairs of polygons that touch."""
-    return tidy(geo.adjacency(S.polygons(spark, sf)).select("centre", "neighbour"))
+    """Pairs of city blocks that touch."""
+    return tidy(geo.adjacency(S.blocks(spark, sf)).select("centre", "neighbour"))
 
 
 @register("name_reconcile")
@@ -536,7 +536,7 @@ def q_page_audit(spark, sf):
 
 @register("geojson_flatten")
 def q_geojson_flatten(spark, sf):
-    """GeoJSON pages -> flattened features (S2, S3, P4) -> polygons."""
+    """City-block GeoJSON pages -> flattened features (S2, S3, P4) -> polygons."""
     from ..sources import pages
     feats = pages.geojson_features(S.boundary_pages(spark, sf), NHOOD_PROPS)
     polys = geo.polygons_from_table(feats, "FID", "nhood_name", "geometry.coordinates", "FID", "geometry.type")
@@ -656,10 +656,10 @@ def q_csv_scan_keep_first(spark, sf):
 
 @register("polygon_scan")
 def q_polygon_scan(spark, sf):
-    """Neighbourhood CSV (coordinates as text) -> polygons: key, position, ring, box."""
+    """Block boundary CSV (coordinates as text) -> polygons: key, position, ring, box."""
     from ..sources import files
-    path = _scratch(spark, "nhoods-csv")
-    S.neighbourhood_table(spark, sf).write.mode("overwrite").option("header", True).csv(path)
+    path = _scratch(spark, "blocks-csv")
+    S.block_table(spark, sf).write.mode("overwrite").option("header", True).csv(path)
     p = files.read_neighbourhoods_csv(spark, path)
     return tidy(p.select("key", "nhood_num", "nhood_name", F.size("ring").alias("n_points"),
                          "minx", "miny", "maxx", "maxy", "valid"))
@@ -676,7 +676,7 @@ def q_clean_table_roundtrip(spark, sf):
 
 @register("geojson_sink_roundtrip")
 def q_geojson_sink_roundtrip(spark, sf):
-    """Boundary pages written as JSON documents (S11) and scanned back as GeoJSON."""
+    """City-block boundary pages written as JSON documents (S11) and scanned back as GeoJSON."""
     from ..sources import pages, sinks
     path = _scratch(spark, "geojson")
     sinks.write_json_docs(S.boundary_pages(spark, sf).select("text"), path, "text")

@@ -707,3 +707,44 @@ present AS (SELECT FID_nhood, bin, count(DISTINCT id_str) AS value FROM pb GROUP
 grid AS """ + grid_sql("present", "FID_nhood", step="INTERVAL 1 HOUR"), """
 SELECT grid.bin, CAST(sum(coalesce(value, 0)) AS BIGINT) AS total
 FROM grid LEFT JOIN present USING (FID_nhood, bin) GROUP BY grid.bin""")
+
+# ---- city-block polygons (from supplier; grows with the scale factor) --------------------
+import re as _re  # noqa: E402
+
+BLOCKS = """bl AS (SELECT s_suppkey AS nhood_num, 'BLOCK_' || CAST(s_nationkey AS VARCHAR) AS nhood_name FROM supplier),
+bpoly AS (
+  SELECT nhood_num AS file_pos, nhood_num, nhood_name, CAST(nhood_num AS VARCHAR) || ',' || nhood_name AS key,
+         CAST(nhood_num % 20 AS DOUBLE) AS x0, CAST(nhood_num // 20 AS DOUBLE) AS y0
+  FROM bl
+),
+bedges AS (
+  SELECT file_pos, key, x0 AS x1, y0 AS y1, x0 + 1 AS x2, y0 AS y2 FROM bpoly UNION ALL
+  SELECT file_pos, key, x0 + 1, y0, x0 + 1, y0 + 1 FROM bpoly UNION ALL
+  SELECT file_pos, key, x0 + 1, y0 + 1, x0 + 0.5, y0 + 1 FROM bpoly UNION ALL
+  SELECT file_pos, key, x0 + 0.5, y0 + 1, x0, y0 + 0.5 FROM bpoly UNION ALL
+  SELECT file_pos, key, x0, y0 + 0.5, x0, y0 FROM bpoly
+)"""
+
+_ADJ_BODY = ADJ[len(POLY) + 2:]
+ADJ_BLOCKS = BLOCKS + ",\n" + _re.sub(r"\bpoly\b", "bpoly", _re.sub(r"\bedges\b", "bedges", _ADJ_BODY))
+
+Q["adjacency"] = with_(ADJ_BLOCKS, "SELECT centre, neighbour FROM adj")
+
+Q["polygon_scan"] = with_(BLOCKS, """
+SELECT key, CAST(nhood_num AS BIGINT) AS nhood_num, nhood_name, CAST(6 AS BIGINT) AS n_points,
+       x0 AS minx, y0 AS miny, x0 + 1 AS maxx, y0 + 1 AS maxy, true AS valid FROM bpoly""")
+
+Q["nhood_num_list"] = with_(BLOCKS, """
+SELECT nhood_name, string_agg(CAST(nhood_num AS VARCHAR), ',' ORDER BY nhood_num) AS nums,
+       CAST(min(nhood_num) AS BIGINT) AS first_num
+FROM bl GROUP BY nhood_name""")
+
+Q["geojson_flatten"] = with_(BLOCKS, """
+SELECT CAST(nhood_num // 10 + 1 AS BIGINT) AS page_no,
+       row_number() OVER (PARTITION BY nhood_num // 10 ORDER BY nhood_num) - 1 AS feature_pos,
+       CAST(nhood_num AS BIGINT) AS FID, nhood_name, 'Polygon' AS geometry_type, key, CAST(6 AS BIGINT) AS n_points,
+       x0 AS minx, y0 AS miny, x0 + 1 AS maxx, y0 + 1 AS maxy
+FROM bpoly""")
+
+Q["geojson_sink_roundtrip"] = with_(BLOCKS, """
+SELECT CAST(nhood_num AS BIGINT) AS FID, nhood_name, 'Polygon' AS geometry_type FROM bl""")

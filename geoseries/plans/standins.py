@@ -159,10 +159,11 @@ def call_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                       F.col("_more").alias("exceededTransferLimit"))).alias("text"))
 
 
-def boundary_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed GeoJSON FeatureCollection pages of the stand-in polygons."""
+def boundary_pages(spark: SparkSession, sf_dir: str, unit: str = "block") -> DataFrame:
+    """Landed GeoJSON FeatureCollection pages of the stand-in block (default)
+    or neighbourhood polygons."""
     from pyspark.sql.window import Window
-    p = polygons(spark, sf_dir)
+    p = blocks(spark, sf_dir) if unit == "block" else polygons(spark, sf_dir)
     coords = F.array(F.transform("ring", lambda q: F.array(q.x, q.y)))
     feat = F.struct(F.lit("Feature").alias("type"), F.col("nhood_num").cast("long").alias("id"),
                     F.struct(F.col("nhood_num").alias("FID"), F.col("nhood_name").alias("nhood_name"))
@@ -222,3 +223,32 @@ def status_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (eid % 8).alias("favorite_count"), F.lit(False).alias("favorited"), F.lit(False).alias("retweeted"),
         F.lit("en").alias("lang"), coords.alias("coordinates"), place.alias("place"))
     return d.select("ts", F.to_json(status).alias("value"))
+
+
+BLOCK_COLS = 20   # blocks per row of the block board
+
+
+def block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City-block boundary table from ``supplier`` (grows with the scale factor):
+    unit squares on a board ``BLOCK_COLS`` wide, top-left corner cut, named by
+    nation so many blocks share a name.  Same columns as
+    :func:`neighbourhood_table`."""
+    k = F.col("s_suppkey")
+    x0 = (k % BLOCK_COLS).cast("double")
+    y0 = F.floor(k / BLOCK_COLS).cast("double")
+
+    def pt(x, y):
+        return F.format_string("[%.1f, %.1f]", x, y)
+    ring = F.concat(F.lit("[["), F.concat_ws(", ", pt(x0, y0), pt(x0 + 1, y0), pt(x0 + 1, y0 + 1),
+                                             pt(x0 + 0.5, y0 + 1), pt(x0, y0 + 0.5), pt(x0, y0)),
+                    F.lit("]]"))
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("nhood_num"), F.concat(F.lit("BLOCK_"), F.col("s_nationkey").cast("string")).alias("nhood_name"),
+        F.lit("Polygon").alias("geometry.type"), ring.alias("geometry.coordinates"))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block polygons, written once like :func:`polygons`."""
+    from ..session import cut_lineage
+    return cut_lineage(polygons_from_table(block_table(spark, sf_dir), pos_col="nhood_num",
+                                           type_col="geometry.type"), "blocks")
