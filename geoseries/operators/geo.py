@@ -71,19 +71,25 @@ def polygons_from_rings(df: DataFrame, pos_col: str, num_col: str, name_col: str
 
 
 # ---- grid cells --------------------------------------------------------------------
+MAX_CELLS_PER_SIDE = 64   # a polygon spans at most this many cells per axis (+2)
+
+
 def polygon_stats(polys: DataFrame) -> dict:
-    """One small aggregate over the polygon table: count, grid cell side (median
-    bounding-box side, so a few huge polygons cannot inflate the cells and the
-    polygons per cell stay few) and an upper bound of the candidate-cell
-    table's bytes for that cell (each polygon covers at most
-    (w/c + 2)(h/c + 2) cells)."""
+    """One small aggregate over the polygon table: count, grid cell side and an
+    upper bound of the candidate-cell table's bytes for that cell (each
+    polygon covers at most (w/c + 2)(h/c + 2) cells).
+
+    Cell side = the median bounding-box side (few polygons per cell), raised to
+    the largest side / ``MAX_CELLS_PER_SIDE`` when needed so one huge polygon
+    cannot explode into millions of cells."""
     v = polys.where("valid")
     w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
     e = F.size("edges") * 32 + 96
     r = v.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.greatest(w, h), 0.5).alias("side"),
+              F.max(F.greatest(w, h)).alias("max_side"),
               F.sum(e * w * h).alias("ewh"), F.sum(e * (w + h)).alias("ew"), F.sum(e).alias("e")).first()
     n = int(r["n"] or 0)
-    cell = float(r["side"]) if r["side"] else 1.0
+    cell = max(float(r["side"] or 0.0), float(r["max_side"] or 0.0) / MAX_CELLS_PER_SIDE) or 1.0
     est = 0 if n == 0 else int((r["ewh"] or 0) / cell ** 2 + 2 * (r["ew"] or 0) / cell + 4 * (r["e"] or 0))
     return {"n": n, "cell": cell, "est_bytes": est}
 

@@ -53,3 +53,20 @@ def test_hot_bin_counts(spark):
     assert out.agg(F.sum("value")).first()[0] == n
     hot = out.where("FID_nhood = 'hot'").agg(F.max("value")).first()[0]
     assert hot == n // 3
+
+
+def test_one_huge_polygon_does_not_explode_cells(spark):
+    rows = [(0, 0, "BIG", [{"x": 0.0, "y": 0.0}, {"x": 10000.0, "y": 0.0}, {"x": 10000.0, "y": 10000.0},
+                           {"x": 0.0, "y": 10000.0}, {"x": 0.0, "y": 0.0}])]
+    for k in range(1, 50):
+        x0 = float(k)
+        rows.append((k, k, f"S{k}", [{"x": x0, "y": 0.0}, {"x": x0 + 1, "y": 0.0}, {"x": x0 + 1, "y": 1.0},
+                                     {"x": x0, "y": 1.0}, {"x": x0, "y": 0.0}]))
+    df = spark.createDataFrame(rows, "pos int, num int, name string, ring array<struct<x:double,y:double>>")
+    polys = geo.polygons_from_rings(df, "pos", "num", "name", "ring")
+    st = geo.polygon_stats(polys)
+    assert st["cell"] >= 10000.0 / geo.MAX_CELLS_PER_SIDE
+    assert geo.candidate_cells(polys, st["cell"]).count() <= (geo.MAX_CELLS_PER_SIDE + 2) ** 2
+    pts = spark.createDataFrame([(1, 5000.0, 5000.0), (2, 3.5, 0.5)], "id int, x double, y double")
+    got = {r.id: r.k for r in geo.label_points(pts, polys, "x", "y", "k").collect()}
+    assert got == {1: "0,BIG", 2: "0,BIG"}
