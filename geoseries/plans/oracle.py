@@ -748,3 +748,91 @@ FROM bpoly""")
 
 Q["geojson_sink_roundtrip"] = with_(BLOCKS, """
 SELECT CAST(nhood_num AS BIGINT) AS FID, nhood_name, 'Polygon' AS geometry_type FROM bl""")
+
+# ---- seasonal-AR grid (p in 1..3, d in 0..1, season 8, 8 steps) ---------------------------
+def _ar_sql(hist_where: str, target_split: str, best_only: bool) -> str:
+    """CTEs ending in ``ar_loss(series, p, d, loss)``: difference the history,
+    Yule-Walker AR(p) via Durbin-Levinson (orders 1-3 written out), forecast 8
+    steps recursively, undo the differences, MSE against the first 8 rows of
+    ``target_split``."""
+    best = ""
+    if best_only:
+        best = "JOIN best_pd b ON b.series = c.series AND b.p = c.p AND b.d = c.d"
+    return f"""tr AS (SELECT s.series, s.bin, s.value AS x FROM series s JOIN lab USING (bin) WHERE {hist_where}),
+dd AS (SELECT * FROM (VALUES (0), (1)) v(d)),
+zt AS (
+  SELECT series, bin, d, x, x - lag(x, 8) OVER w AS y,
+         CASE WHEN d = 0 THEN x - lag(x, 8) OVER w
+              ELSE (x - lag(x, 8) OVER w) - (lag(x, 1) OVER w - lag(x, 9) OVER w) END AS z
+  FROM tr CROSS JOIN dd WINDOW w AS (PARTITION BY series, d ORDER BY bin)),
+zc AS (SELECT *, z - avg(z) OVER (PARTITION BY series, d) AS zc, avg(z) OVER (PARTITION BY series, d) AS mu FROM zt),
+zl AS (SELECT *, lag(CASE WHEN z IS NOT NULL THEN zc END, 1) OVER w2 AS l1,
+              lag(CASE WHEN z IS NOT NULL THEN zc END, 2) OVER w2 AS l2,
+              lag(CASE WHEN z IS NOT NULL THEN zc END, 3) OVER w2 AS l3
+       FROM zc WINDOW w2 AS (PARTITION BY series, d ORDER BY bin)),
+sk AS (SELECT series, d, first(mu) AS mu,
+              sum(CASE WHEN z IS NOT NULL THEN zc * zc END) AS s0, sum(CASE WHEN z IS NOT NULL THEN zc * l1 END) AS s1,
+              sum(CASE WHEN z IS NOT NULL THEN zc * l2 END) AS s2, sum(CASE WHEN z IS NOT NULL THEN zc * l3 END) AS s3
+       FROM zl GROUP BY series, d),
+rh AS (SELECT series, d, mu, s1 / NULLIF(s0, 0) AS r1, s2 / NULLIF(s0, 0) AS r2, s3 / NULLIF(s0, 0) AS r3 FROM sk),
+dl1 AS (SELECT *, (r1 - 0.0) / NULLIF(1.0 - 0.0, 0) AS f11 FROM rh),
+dl2 AS (SELECT *, (r2 - (0.0 + f11 * r1)) / NULLIF(1.0 - (0.0 + f11 * r1), 0) AS f22 FROM dl1),
+dl3 AS (SELECT *, f11 - f22 * f11 AS f21 FROM dl2),
+dl4 AS (SELECT *, (r3 - ((0.0 + f21 * r2) + f22 * r1)) / NULLIF(1.0 - ((0.0 + f21 * r1) + f22 * r2), 0) AS f33 FROM dl3),
+dl AS (SELECT *, f21 - f33 * f22 AS f31, f22 - f33 * f21 AS f32 FROM dl4),
+tl AS (SELECT series, d, x, y, z, row_number() OVER (PARTITION BY series, d ORDER BY bin DESC) AS back FROM zt),
+init AS (SELECT series, d, max(z) FILTER (WHERE back = 1) AS z1, max(z) FILTER (WHERE back = 2) AS z2,
+                max(z) FILTER (WHERE back = 3) AS z3, max(y) FILTER (WHERE back = 1) AS yl
+         FROM tl GROUP BY series, d),
+xh AS (SELECT series, d, back, x FROM tl WHERE back <= 8),
+cand AS (
+  SELECT c.series, c.d, c.p, c.mu, c.a1, c.a2, c.a3 FROM (
+    SELECT series, d, pp.p, mu,
+           CASE pp.p WHEN 1 THEN f11 WHEN 2 THEN f21 ELSE f31 END AS a1,
+           CASE pp.p WHEN 2 THEN f22 WHEN 3 THEN f32 END AS a2,
+           CASE pp.p WHEN 3 THEN f33 END AS a3
+    FROM dl CROSS JOIN (VALUES (1), (2), (3)) pp(p)) c {best}),
+rec AS (
+  WITH RECURSIVE r(series, d, p, step, mu, a1, a2, a3, z1, z2, z3, yl) AS (
+    SELECT c.series, c.d, c.p, 0, c.mu, c.a1, c.a2, c.a3, i.z1, i.z2, i.z3, i.yl
+    FROM cand c JOIN init i ON i.series = c.series AND i.d = c.d
+    UNION ALL
+    SELECT series, d, p, step + 1, mu, a1, a2, a3, zp, z1, z2, CASE WHEN d = 1 THEN yl + zp ELSE zp END
+    FROM (SELECT *, mu + CASE p WHEN 1 THEN (0.0 + a1 * (z1 - mu))
+                                WHEN 2 THEN ((0.0 + a1 * (z1 - mu)) + a2 * (z2 - mu))
+                                ELSE (((0.0 + a1 * (z1 - mu)) + a2 * (z2 - mu)) + a3 * (z3 - mu)) END AS zp
+          FROM r WHERE step < 8) q
+  )
+  SELECT series, d, p, step, yl AS yp FROM r WHERE step >= 1
+),
+pred AS (SELECT rec.series, rec.p, rec.d, rec.step, rec.yp + xh.x AS pred
+         FROM rec JOIN xh ON xh.series = rec.series AND xh.d = rec.d AND xh.back = 9 - rec.step),
+act AS (SELECT series, step, actual FROM (
+          SELECT s.series, row_number() OVER (PARTITION BY s.series ORDER BY s.bin) AS step, s.value AS actual
+          FROM series s JOIN lab USING (bin) WHERE split = '{target_split}') WHERE step <= 8),
+ar_loss AS (SELECT pred.series, pred.p, pred.d, avg(pow(act.actual - pred.pred, 2)) AS loss
+            FROM pred JOIN act ON act.series = pred.series AND act.step = pred.step
+            GROUP BY pred.series, pred.p, pred.d)"""
+
+
+AR_GRID = SERIES + ",\nlab AS " + _split_sql("bin", "series") + ",\n" + _ar_sql("split = 'train'", "validation", False)
+
+Q["ar_grid"] = with_(AR_GRID, """
+SELECT series, CAST(p AS BIGINT) AS p, CAST(d AS BIGINT) AS d, round(loss, 6) AS loss,
+       CAST((p - 1) * 2 + d AS BIGINT) AS cand_idx FROM ar_loss""")
+
+_BEST = """SELECT series, p, d, loss, (p - 1) * 2 + d AS cand_idx FROM (
+  SELECT *, row_number() OVER (PARTITION BY series ORDER BY loss, (p - 1) * 2 + d) AS rn
+  FROM ar_loss WHERE loss IS NOT NULL AND NOT isnan(loss)) WHERE rn = 1"""
+
+Q["best_of_grid"] = with_(AR_GRID, f"""
+SELECT series, CAST(p AS BIGINT) AS p, CAST(d AS BIGINT) AS d, round(loss, 6) AS loss, CAST(cand_idx AS BIGINT) AS cand_idx
+FROM ({_BEST})""")
+
+_HOLD = _ar_sql("split <> 'test'", "test", True).replace("tr AS (", "tr AS (", 1)
+_HOLD_NAMES = ["tr", "dd", "zt", "zc", "zl", "sk", "rh", "dl1", "dl2", "dl3", "dl4", "dl", "tl", "init", "xh",
+               "cand", "rec", "pred", "act", "ar_loss"]
+for _n in _HOLD_NAMES:
+    _HOLD = _re.sub(rf"\b{_n}\b", f"h_{_n}", _HOLD)
+Q["ar_holdout"] = with_(AR_GRID + ",\nbest_pd AS (" + _BEST + "),\n" + _HOLD, """
+SELECT series, CAST(p AS BIGINT) AS p, CAST(d AS BIGINT) AS d, round(loss, 6) AS loss FROM h_ar_loss""")
