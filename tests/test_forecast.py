@@ -147,3 +147,15 @@ def test_joint_recursive_appends_vectors(spark):
 def test_ar_forecast_short_history_is_null(spark):
     got = forecast.ar_forecast(_long(spark, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 11.0]), [3], [1], 8, 2).collect()
     assert all(r.pred is None for r in got)
+
+
+def test_rf_grid_is_deterministic_and_follows_the_grid(spark):
+    vals = [float((t * 7) % 11 + (t % 8)) for t in range(80)]
+    rows = [("s", i, vals[i:i + 3], vals[i + 3]) for i in range(len(vals) - 3)]
+    df = spark.createDataFrame(rows, "series string, row_idx int, lags array<double>, y double")
+    train, val = df.where("row_idx < 60"), df.where("row_idx >= 60")
+    a = sorted(tuple(r) for r in forecast.rf_grid(train, val, 150, 4, 4).collect())
+    b = sorted(tuple(r) for r in forecast.rf_grid(train, val, 150, 4, 4).collect())
+    assert a == b
+    assert [(r[1], r[2]) for r in a] == [(50, 1), (50, 3), (100, 1), (100, 3)]
+    assert all(r[3] is not None and r[3] >= 0 for r in a)
