@@ -69,3 +69,32 @@ def read_wide_forecast(spark: SparkSession, path: str, id_cols: Sequence[str] =
     """Wide forecast CSV: every column but the trailing ids is a neighbourhood."""
     df = spark.read.option("header", True).csv(path)
     return df.select(*[F.col(f"`{c}`").cast("int" if c in id_cols else "double").alias(c) for c in df.columns])
+
+
+def land_calls(spark: SparkSession, globs: Sequence[str], out: str) -> None:
+    """Land raw call CSVs as Parquet partitioned by call date (S1 -> S9).
+
+    Columns stay text (cleaning rules apply later, unchanged) and the
+    file-order columns captured at the CSV scan travel along, so keep-first
+    gives the same answer on the landed copy.  Time-range jobs then prune
+    whole date partitions (:func:`read_landed_calls`)."""
+    from ..functions.text import parse_timestamp
+    raw = read_calls_csv(spark, globs)
+    ts_name = "call_timestamp" if "call_timestamp" in raw.columns else "call_timestamp_EST"
+    raw = raw.withColumn("call_date", F.to_date(parse_timestamp(ts_name)))
+    raw.write.mode("overwrite").partitionBy("call_date").parquet(out)
+
+
+def read_landed_calls(spark: SparkSession, path: str, start: str | None = None,
+                      end: str | None = None) -> DataFrame:
+    """Read landed calls; ``start <= date < end`` on the partition column
+    prunes partitions before any file is opened (rows without a parsable time
+    sit in the NULL partition and are kept only without a range).  For a
+    ranged extraction apply the exact time range to the parsed timestamp
+    before keep-first, as a ranged request to the source would."""
+    df = spark.read.parquet(path)
+    if start is not None:
+        df = df.where(F.col("call_date") >= F.to_date(F.lit(start)))
+    if end is not None:
+        df = df.where(F.col("call_date") < F.to_date(F.lit(end)))
+    return df

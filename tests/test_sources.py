@@ -63,3 +63,27 @@ def test_wide_forecast_scan(spark):
     df = files.read_wide_forecast(spark, f"{d}/f.csv")
     assert dict(df.dtypes) == {"1,A": "double", "2,B": "double", "Day": "int", "Hour": "int"}
     assert df.count() == 2
+
+
+def test_landed_calls_prune_date_partitions(spark):
+    from pyspark.sql import functions as F
+    from conftest import SF_SMALL
+    from geoseries.plans import standins as S
+    d = tempfile.mkdtemp(prefix="geoseries-land-")
+    raw = S.calls_raw(spark, SF_SMALL)
+    cols = [c for c in raw.columns if c not in clean.ORDER_COLS]
+    for seq in (1, 2):
+        (raw.where(F.col("file_seq") == seq).orderBy("row_seq").select(*cols).coalesce(1).write
+            .option("header", True).option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).csv(f"{d}/csv/y{seq}"))
+    files.land_calls(spark, [f"{d}/csv/y1/*.csv", f"{d}/csv/y2/*.csv"], f"{d}/landed")
+    part = files.read_landed_calls(spark, f"{d}/landed", "2024-01-10", "2024-01-17")
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(call_date" in plan
+    # ranged extraction: exact time range, then keep-first - same on the pruned copy and the full scan
+    def first(df):
+        st = clean.time_range(clean.stage_calls(df), "call_timestamp", "2024-01-10 00:00:00", "2024-01-17 00:00:00")
+        return sorted(clean.keep_first(st, ["incident_id"], clean.ORDER_COLS)
+                      .select("incident_id", "priority", "file_seq").collect())
+    full = files.read_calls_csv(spark, [f"{d}/csv/y1/*.csv", f"{d}/csv/y2/*.csv"])
+    assert first(part.drop("call_date")) == first(full)
