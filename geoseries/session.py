@@ -46,15 +46,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     (tests on one machine) gets a fresh scratch folder; on a cluster a missing
     setting is an error, because a machine-local folder is not shared.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if conf_dir and sc is None:
+        return conf_dir
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not str(master).startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         conf_dir = tempfile.mkdtemp(prefix="geoseries-ckpt-")
+        if sc is None:
+            spark.conf.set("spark.checkpoint.dir", conf_dir)
+            return conf_dir
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
