@@ -53,3 +53,19 @@ def test_stream_equals_batch(spark):
     q3 = st.run_running_count(stream, f"{base}/total", f"{base}/ck3")
     q3.awaitTermination()
     assert spark.read.parquet(f"{base}/total").first().statuses == 50
+
+
+def test_interval_trigger_matches_one_off(spark):
+    docs = [_doc(i, 1.0 + i % 5, 2.0, user=i % 2 == 0) for i in range(12)]
+    base, land = _land([docs[:6], docs[6:]])
+    q = st.run_entity_sink(st.status_stream(spark, land, max_files=1), f"{base}/a", f"{base}/cka",
+                           "2024-02-01 00:00:00", "g", trigger="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    q2 = st.run_entity_sink(st.status_stream(spark, land), f"{base}/b", f"{base}/ckb", "2024-02-01 00:00:00", "g")
+    q2.awaitTermination()
+    a = sorted(spark.read.parquet(f"{base}/a/tweet").drop("batch_id").collect())
+    b = sorted(spark.read.parquet(f"{base}/b/tweet").drop("batch_id").collect())
+    assert a == b and len(a) == 12
