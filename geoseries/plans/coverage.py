@@ -55,3 +55,55 @@ ID_QUERIES = {
     "st3_running_count": "stream_total_once", "st4_available_now": "stream_bin_once",
     "st5_stream_bins": "stream_bin_once",
 }
+
+# SURVEY inventory ID -> library function(s) that implement it.
+ID_OPERATORS = {
+    "s01": "sources.files.read_calls_csv, year_globs, land_calls", "s02": "sources.pages.read_pages, geojson_features",
+    "s03": "sources.pages.geojson_features, operators.clean.flatten / strip_prefix",
+    "s04": "sources.pages.feature_rows", "s05": "sources.pages.feature_rows (append), page_keys",
+    "s06": "sources.pages.page_audit", "s07": "operators.geo.polygons_from_table, sources.files.read_neighbourhoods_csv",
+    "s08": "sources.files.read_clean_table, read_landed_calls", "s09": "sources.sinks.write_table",
+    "s10": "sources.sinks.append_entities", "s11": "sources.sinks.write_json_docs",
+    "s12": "sources.files.read_wide_forecast", "s13": "streaming.statuses.status_stream",
+    "p01": "operators.clean.keep_columns", "p02": "operators.clean.drop_columns",
+    "p03": "operators.clean.strip_prefix", "p04": "operators.clean.flatten", "p05": "operators.clean.trim_strings",
+    "p06": "functions.text.parse_number", "p07": "functions.text.parse_timestamp, operators.clean.stage_calls",
+    "p08": "functions.text.epoch_ms_to_local", "p09": "functions.text.lnglat_from_text",
+    "p10": "functions.text.key_compose / key_fid / key_name", "p11": "operators.series.series_index",
+    "p12": "operators.bins.attention_level", "p13": "operators.bins.time_groupby (0-fill)",
+    "p14": "sources.statuses.tweet_rows", "p15": "sources.statuses.user_rows / place_rows",
+    "p16": "sources.statuses.provenance", "p17": "functions.text.geo_param_text / parse_radius_km",
+    "p18": "operators.mapframe.day_of / hour_label",
+    "f01": "operators.clean.time_range", "f02": "operators.clean.last_days", "f03": "operators.clean.require_not_null",
+    "f04": "operators.clean.not_in_keep_null", "f05": "operators.clean.not_in_keep_null",
+    "f06": "operators.clean.contains_any", "f07": "DataFrame.where (catalogue box_stats)",
+    "f08": "operators.clean.in_list, operators.bins.time_groupby(nhoods=[...])",
+    "f09": "operators.mapframe.day_map_frame", "f10": "operators.clean.bbox_filter, streaming.statuses.in_box",
+    "f11": "sources.statuses.user_rows / place_rows", "f12": "operators.geo.outside_audit",
+    "j01": "operators.geo.label_points", "j02": "operators.geo.relabel", "j03": "operators.geo.nhood_nums",
+    "j04": "operators.geo.adjacency", "j05": "operators.bins.working_series", "j06": "operators.bins.count_and_avg",
+    "j07": "operators.mapframe.day_map_frame", "j08": "operators.geo.name_reconcile", "j09": "operators.geo.radius_match",
+    "a01": "operators.bins.time_groupby(agg='count')", "a02": "operators.bins.time_groupby(agg='avg')",
+    "a03": "operators.bins.gap_grid, add_bin", "a05": "operators.profile.first_non_null",
+    "a06": "operators.profile.value_counts", "a07": "operators.profile.value_shares",
+    "a08": "operators.profile.distinct_count", "a09": "operators.profile.null_share",
+    "a10": "operators.profile.column_profile", "a11": "operators.clean.calls_stage_audit / posts_stage_audit",
+    "a12": "operators.profile.box_stats", "a13": "operators.profile.histogram", "a14": "operators.bins.to_wide",
+    "a15": "operators.bins.to_long", "a16": "operators.bins.city_total", "a17": "operators.bins.neighbour_total",
+    "a18": "operators.bins.working_series", "a19": "operators.mapframe.day_map_frame (zmin, zmax)",
+    "a20": "functions.metrics.mae / mse / mape / smape / zero_denominators / loss_func",
+    "w01": "operators.clean.keep_first", "w02": "operators.clean.clean_posts", "w03": "operators.series.acf",
+    "w04": "operators.series.pacf, durbin_levinson", "w05": "operators.series.best_lag",
+    "w06": "operators.series.decompose", "w07": "operators.series.lag_rows / joint_lag_rows",
+    "w08": "operators.series.ts_split", "w09": "operators.series.tabular_split",
+    "w10": "operators.profile.top_per_group", "w11": "operators.profile.last_n / last_fraction",
+    "o01": "operators.clean.sort_for_sink, sources.sinks.write_table(sort_by)", "o02": "stand-in page order",
+    "o03": "operators.profile.top_values", "o04": "operators.profile.newest", "u01": "sources.files.read_calls_csv (union by name)",
+    "m01": "operators.forecast.linear_recursive / linear_recursive_joint / model_recursive",
+    "m02": "operators.forecast.backtest", "m03": "operators.forecast.rf_grid, rf_grid_params",
+    "m04": "operators.forecast.ar_grid, ar_forecast", "m05": "operators.forecast.ar_holdout",
+    "m06": "operators.forecast.best_of_grid", "m07": "operators.mapframe.day_map_frame",
+    "st1": "streaming.statuses.run_entity_sink", "st2": "streaming.statuses.in_box",
+    "st3": "streaming.statuses.run_running_count", "st4": "streaming.statuses trigger='availableNow' / interval",
+    "st5": "streaming.statuses.run_window_counts, latest_window_counts",
+}
