@@ -8,13 +8,20 @@ SQL twins in :mod:`geoseries.plans.oracle`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-from ..operators import bins, clean, geo
+from pyspark.sql.window import Window
+
+from ..functions import metrics as M
+from ..functions.text import lnglat_from_text, parse_number, strip_ws
+from ..operators import bins, clean, forecast, geo, mapframe, profile, series
+from ..session import scratch_path
+from ..sources import files, pages, sinks, statuses
+from ..streaming import statuses as st
 from . import standins as S
 
 RELABEL_NAMES = ["NATION_3"]
@@ -76,7 +83,6 @@ def clean_posts_df(spark, sf):
 
 def eda_calls_df(spark, sf):
     """Raw calls with the EDA columns typed (all files, no cleaning)."""
-    from ..functions.text import parse_number, strip_ws
     raw = S.calls_raw(spark, sf)
     return raw.select("file_seq", "block_start", "row_seq",
                       strip_ws(F.col("priority")).alias("priority"),
@@ -88,7 +94,6 @@ def eda_calls_df(spark, sf):
 
 
 def post_points_df(spark, sf):
-    from ..functions.text import lnglat_from_text
     p = S.posts_raw(spark, sf)
     lng, lat = lnglat_from_text("coordinates")
     return p.select("row_seq", "file_seq", "id_str", "user", "created_at",
@@ -136,49 +141,42 @@ RAW_CALL_COLS = ["call_timestamp", "incident_id", "officerinitiated", "priority"
 @register("null_share")
 def q_null_share(spark, sf):
     """Percent NULL per raw call column."""
-    from ..operators import profile
     return tidy(profile.null_share(S.calls_raw(spark, sf).select(*RAW_CALL_COLS)))
 
 
 @register("column_profile")
 def q_column_profile(spark, sf):
     """Non-NULL count per column of the typed, filtered calls (A10)."""
-    from ..operators import profile
     return tidy(profile.column_profile(staged_calls_df(spark, sf).drop(*clean.ORDER_COLS)).drop("dtype"))
 
 
 @register("value_counts")
 def q_value_counts(spark, sf):
     """Calls per category."""
-    from ..operators import profile
     return tidy(profile.value_counts(clean_calls_df(spark, sf), "category"))
 
 
 @register("value_shares")
 def q_value_shares(spark, sf):
     """Share of calls per priority in percent."""
-    from ..operators import profile
     return tidy(profile.value_shares(clean_calls_df(spark, sf), "priority"))
 
 
 @register("top_categories")
 def q_top_categories(spark, sf):
     """Ten most frequent categories (O3)."""
-    from ..operators import profile
     return tidy(profile.top_values(clean_calls_df(spark, sf), "category", 10))
 
 
 @register("top10_per_priority")
 def q_top10_per_priority(spark, sf):
     """Top ten categories per priority with their share."""
-    from ..operators import profile
     return tidy(profile.top_per_group(clean_calls_df(spark, sf), "priority", "category", 10))
 
 
 @register("first_description")
 def q_first_description(spark, sf):
     """First non-NULL description per category in file/row order (A5)."""
-    from ..operators import profile
     return tidy(profile.first_non_null(eda_calls_df(spark, sf), "category", "calldescription",
                                        clean.ORDER_COLS))
 
@@ -186,7 +184,6 @@ def q_first_description(spark, sf):
 @register("box_stats")
 def q_box_stats(spark, sf):
     """Dispatch-time box statistics per priority for citizen calls."""
-    from ..operators import profile
     d = eda_calls_df(spark, sf).where((F.col("officerinitiated") == "No") & (F.col("dispatchtime") >= 0))
     return tidy(profile.box_stats(d, "priority", "dispatchtime"))
 
@@ -194,14 +191,12 @@ def q_box_stats(spark, sf):
 @register("histogram60")
 def q_histogram60(spark, sf):
     """60-bin histogram of total response times under 60."""
-    from ..operators import profile
     return tidy(profile.histogram(eda_calls_df(spark, sf), "totalresponsetime", 60, 60.0))
 
 
 @register("last_rows")
 def q_last_rows(spark, sf):
     """Five newest cleaned calls."""
-    from ..operators import profile
     d = clean_calls_df(spark, sf).select("call_timestamp", "incident_id", "FID_nhood")
     return tidy(profile.newest(d, "call_timestamp", "incident_id", 5))
 
@@ -354,7 +349,6 @@ def series_long(spark, sf):
 
 
 def lag_rows_df(spark, sf):
-    from ..operators import series
     return series.lag_rows(series_long(spark, sf), LAG)
 
 
@@ -366,28 +360,24 @@ def _lags_wide(rows):
 @register("acf")
 def q_acf(spark, sf):
     """Absolute autocorrelation, lags 0..8, per series."""
-    from ..operators import series
     return tidy(series.acf(series_long(spark, sf), 8))
 
 
 @register("pacf")
 def q_pacf(spark, sf):
     """Absolute partial autocorrelation (Yule-Walker, n-k), lags 0..3."""
-    from ..operators import series
     return tidy(series.pacf(series_long(spark, sf), 3))
 
 
 @register("best_lag")
 def q_best_lag(spark, sf):
     """Lag >= 1 with the largest absolute autocorrelation per series."""
-    from ..operators import series
     return tidy(series.best_lag(series.acf(series_long(spark, sf), 8)))
 
 
 @register("decompose")
 def q_decompose(spark, sf):
     """Additive decomposition with period 8 (one day of 3-h bins)."""
-    from ..operators import series
     return tidy(series.decompose(series_long(spark, sf), SEASON))
 
 
@@ -400,29 +390,24 @@ def q_lag_rows(spark, sf):
 @register("split3")
 def q_split3(spark, sf):
     """Chronological train/validation/test split on shared bins, 0.2 / 0.2."""
-    from ..operators import series
     return tidy(series.ts_split(series_long(spark, sf), 0.2, 0.2).select("series", "bin", "split"))
 
 
 @register("tabular_split")
 def q_tabular_split(spark, sf):
     """Same split on supervised rows."""
-    from ..operators import series
     return tidy(series.tabular_split(lag_rows_df(spark, sf), 0.2, 0.2).select("series", "row_idx", "split"))
 
 
 @register("series_index")
 def q_series_index(spark, sf):
     """Position of each series by first appearance."""
-    from ..operators import series
     return tidy(series.series_index(series_long(spark, sf)))
 
 
 @register("losses")
 def q_losses(spark, sf):
     """MAE, MSE, MAPE, sMAPE of a one-day seasonal-naive forecast per series."""
-    from ..functions import metrics as M
-    from pyspark.sql.window import Window
     s = series_long(spark, sf)
     w = Window.partitionBy("series").orderBy("bin")
     d = s.withColumn("pred", F.lag("value", SEASON).over(w)).where(F.col("pred").isNotNull())
@@ -436,47 +421,40 @@ def q_losses(spark, sf):
 @register("recursive_mean_model")
 def q_recursive_mean_model(spark, sf):
     """8-step recursive forecast of a mean-of-lags model from every supervised row (M1)."""
-    from ..operators import forecast
     rows = lag_rows_df(spark, sf)
     return tidy(forecast.linear_recursive(rows, MEAN_WEIGHTS, 0.0, FH).select("series", "row_idx", "step", "pred"))
 
 
 def _test_rows(spark, sf):
-    from ..operators import series
     return series.tabular_split(lag_rows_df(spark, sf), 0.2, 0.2).where(F.col("split") == "test")
 
 
 @register("backtest")
 def q_backtest(spark, sf):
     """Mean MSE over every 8-step origin of the test rows, mean-of-lags model (M2)."""
-    from ..operators import forecast
     pred = lambda o: forecast.linear_recursive(o, MEAN_WEIGHTS, 0.0, FH)
     return tidy(forecast.backtest(_test_rows(spark, sf), FH, pred, "MSE"))
 
 
 def _ar_split(spark, sf):
-    from ..operators import series
     return series.ts_split(series_long(spark, sf), 0.2, 0.2)
 
 
 @register("ar_grid")
 def q_ar_grid(spark, sf):
     """Seasonal-AR candidates p in 1..3, d in 0..1, season 8, scored on 8 validation steps (M4)."""
-    from ..operators import forecast
     return tidy(forecast.ar_grid(_ar_split(spark, sf), (1, 4), (0, 2), SEASON, FH, "MSE"))
 
 
 @register("best_of_grid")
 def q_best_of_grid(spark, sf):
     """Best AR candidate per series, earliest wins ties (M6)."""
-    from ..operators import forecast
     return tidy(forecast.best_of_grid(forecast.ar_grid(_ar_split(spark, sf), (1, 4), (0, 2), SEASON, FH)))
 
 
 @register("ar_holdout")
 def q_ar_holdout(spark, sf):
     """Chosen AR order refitted on train+validation, scored on 8 test steps (M5)."""
-    from ..operators import forecast
     split = _ar_split(spark, sf)
     best = forecast.best_of_grid(forecast.ar_grid(split, (1, 4), (0, 2), SEASON, FH))
     return tidy(forecast.ar_holdout(split, best, SEASON, FH))
@@ -485,7 +463,6 @@ def q_ar_holdout(spark, sf):
 @register("rf_grid")
 def q_rf_grid(spark, sf):
     """Random-forest grid (trees 50, 100; depths 1, 3) on lag rows, recursive 8-step score (M3)."""
-    from ..operators import forecast, series
     rows = series.tabular_split(lag_rows_df(spark, sf), 0.2, 0.2)
     train = rows.where(F.col("split") == "train")
     val = rows.where(F.col("split") == "validation")
@@ -499,7 +476,6 @@ MAP_DATE = "2024-01-15"
 @register("day_map_frame")
 def q_day_map_frame(spark, sf):
     """Wide attention-level table -> one day's long frame with colour range, label, polygon (M7)."""
-    from ..operators import mapframe
     al = tidy(bins.attention_level(clean_calls_df(spark, sf), "all", FREQ))
     wide = bins.to_wide(al, "FID_nhood", "att_level")
     wide = wide.withColumn("Day", F.dayofmonth("bin")).withColumn("Hour", F.hour("bin")).drop("bin")
@@ -508,13 +484,11 @@ def q_day_map_frame(spark, sf):
 
 
 # ---- landed pages and statuses -------------------------------------------------------
-from pyspark.sql import types as _T  # noqa: E402
-
-CALL_ATTRS = _T.StructType([_T.StructField("incident_id", _T.LongType()),
-                            _T.StructField("call_timestamp", _T.LongType()),
-                            _T.StructField("category", _T.StringType()),
-                            _T.StructField("priority", _T.StringType())])
-NHOOD_PROPS = _T.StructType([_T.StructField("FID", _T.LongType()), _T.StructField("nhood_name", _T.StringType())])
+CALL_ATTRS = T.StructType([T.StructField("incident_id", T.LongType()),
+                            T.StructField("call_timestamp", T.LongType()),
+                            T.StructField("category", T.StringType()),
+                            T.StructField("priority", T.StringType())])
+NHOOD_PROPS = T.StructType([T.StructField("FID", T.LongType()), T.StructField("nhood_name", T.StringType())])
 QUERY_TIME = "2024-02-01 00:00:00"
 QUERY_GEO = "5.0,5.0,60km"
 
@@ -522,7 +496,6 @@ QUERY_GEO = "5.0,5.0,60km"
 @register("page_merge")
 def q_page_merge(spark, sf):
     """Landed REST pages -> one row per record, epoch ms -> local time."""
-    from ..sources import pages
     rows = pages.feature_rows(S.call_pages(spark, sf), CALL_ATTRS)
     return tidy(rows)
 
@@ -530,14 +503,12 @@ def q_page_merge(spark, sf):
 @register("page_audit")
 def q_page_audit(spark, sf):
     """Rows, more-rows flag, next offset and flag consistency per page."""
-    from ..sources import pages
     return tidy(pages.page_audit(S.call_pages(spark, sf), pages.feature_page_schema(CALL_ATTRS)))
 
 
 @register("geojson_flatten")
 def q_geojson_flatten(spark, sf):
     """City-block GeoJSON pages -> flattened features (S2, S3, P4) -> polygons."""
-    from ..sources import pages
     feats = pages.geojson_features(S.boundary_pages(spark, sf), NHOOD_PROPS)
     polys = geo.polygons_from_table(feats, "FID", "nhood_name", "geometry.coordinates", "FID", "geometry.type")
     return tidy(feats.join(polys.select(F.col("nhood_num").alias("FID"), "key", F.size("ring").alias("n_points"),
@@ -548,14 +519,12 @@ def q_geojson_flatten(spark, sf):
 
 
 def _statuses(spark, sf):
-    from ..sources import statuses
     return statuses.parse_statuses(S.status_docs(spark, sf))
 
 
 @register("status_tweet")
 def q_status_tweet(spark, sf):
     """Status -> tweet rows with provenance."""
-    from ..sources import statuses
     t = statuses.tweet_rows(_statuses(spark, sf), QUERY_TIME, QUERY_GEO)
     return tidy(t.withColumn("has_place", F.col("place").isNotNull()).drop("place"))
 
@@ -563,14 +532,12 @@ def q_status_tweet(spark, sf):
 @register("status_user")
 def q_status_user(spark, sf):
     """Status -> author rows where the author is present."""
-    from ..sources import statuses
     return tidy(statuses.user_rows(_statuses(spark, sf), QUERY_TIME, QUERY_GEO))
 
 
 @register("status_place")
 def q_status_place(spark, sf):
     """Status -> place rows where the place is present."""
-    from ..sources import statuses
     p = statuses.place_rows(_statuses(spark, sf), QUERY_TIME, QUERY_GEO)
     return tidy(p.withColumn("box_points", F.size(F.col("bounding_box.coordinates")[0])).drop("bounding_box"))
 
@@ -582,8 +549,6 @@ STREAM_BOX = S.AREA_BOX
 def _land_statuses(spark, sf):
     """Land the status documents twice (a replayed feed) in a fresh folder on the
     shared checkpoint storage; returns the folder."""
-    import uuid
-    from ..session import scratch_path
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     docs = S.status_docs(spark, sf)
     landing = f"{base}/landing"
@@ -593,14 +558,12 @@ def _land_statuses(spark, sf):
 
 
 def _stream_statuses(spark, base):
-    from ..streaming import statuses as st
     return st.in_box(st.status_stream(spark, f"{base}/landing", max_files=2), STREAM_BOX)
 
 
 @register("stream_statuses_once")
 def q_stream_statuses_once(spark, sf):
     """Replayed status feed -> box filter -> tweet table via foreachBatch, one-off run (ST1, ST2, ST4, S10)."""
-    from ..streaming import statuses as st
     base = _land_statuses(spark, sf)
     q = st.run_entity_sink(_stream_statuses(spark, base), f"{base}/out", f"{base}/ckpt_entities",
                            QUERY_TIME, QUERY_GEO)
@@ -612,7 +575,6 @@ def q_stream_statuses_once(spark, sf):
 @register("stream_total_once")
 def q_stream_total_once(spark, sf):
     """Running count of statuses received inside the box (ST3)."""
-    from ..streaming import statuses as st
     base = _land_statuses(spark, sf)
     q = st.run_running_count(_stream_statuses(spark, base), f"{base}/total", f"{base}/ckpt_total")
     q.awaitTermination()
@@ -622,7 +584,6 @@ def q_stream_total_once(spark, sf):
 @register("stream_bin_once")
 def q_stream_bin_once(spark, sf):
     """Distinct statuses per 3-h event-time window, deduplicated within the watermark (ST5)."""
-    from ..streaming import statuses as st
     base = _land_statuses(spark, sf)
     q = st.run_window_counts(_stream_statuses(spark, base), f"{base}/bins", f"{base}/ckpt_bins")
     q.awaitTermination()
@@ -631,8 +592,6 @@ def q_stream_bin_once(spark, sf):
 
 # ---- file round trips (S1, S7, S8, S9, S11, S12, O1) ----------------------------------
 def _scratch(spark, name):
-    import uuid
-    from ..session import scratch_path
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
@@ -640,7 +599,6 @@ def _scratch(spark, name):
 def q_csv_scan_keep_first(spark, sf):
     """Raw calls landed as one CSV folder per file, scanned back by a glob list
     (all STRING, file order captured at the scan), then staged and kept-first (S1, U1, W1)."""
-    from ..sources import files
     base = _scratch(spark, "calls-csv")
     raw = S.calls_raw(spark, sf)
     cols = [c for c in raw.columns if c not in clean.ORDER_COLS]
@@ -657,7 +615,6 @@ def q_csv_scan_keep_first(spark, sf):
 @register("polygon_scan")
 def q_polygon_scan(spark, sf):
     """Block boundary CSV (coordinates as text) -> polygons: key, position, ring, box."""
-    from ..sources import files
     path = _scratch(spark, "blocks-csv")
     S.block_table(spark, sf).write.mode("overwrite").option("header", True).csv(path)
     p = files.read_neighbourhoods_csv(spark, path)
@@ -668,7 +625,6 @@ def q_polygon_scan(spark, sf):
 @register("clean_table_roundtrip")
 def q_clean_table_roundtrip(spark, sf):
     """Cleaned calls written sorted by time (O1, S9) and re-read typed."""
-    from ..sources import files, sinks
     path = _scratch(spark, "calls-clean")
     sinks.write_table(clean_calls_df(spark, sf), path, "parquet", sort_by=("call_timestamp", "incident_id"))
     return tidy(files.read_clean_table(spark, path, "call_timestamp"))
@@ -677,7 +633,6 @@ def q_clean_table_roundtrip(spark, sf):
 @register("geojson_sink_roundtrip")
 def q_geojson_sink_roundtrip(spark, sf):
     """City-block boundary pages written as JSON documents (S11) and scanned back as GeoJSON."""
-    from ..sources import pages, sinks
     path = _scratch(spark, "geojson")
     sinks.write_json_docs(S.boundary_pages(spark, sf).select("text"), path, "text")
     feats = pages.geojson_features(pages.read_pages(spark, path, lines=True), NHOOD_PROPS)
@@ -687,8 +642,6 @@ def q_geojson_sink_roundtrip(spark, sf):
 @register("wide_forecast_scan")
 def q_wide_forecast_scan(spark, sf):
     """Wide attention-level table landed as CSV, scanned back (S12) and turned into the day frame (M7)."""
-    from ..operators import mapframe
-    from ..sources import files
     path = _scratch(spark, "wide-csv")
     al = tidy(bins.attention_level(clean_calls_df(spark, sf), "all", FREQ))
     wide = bins.to_wide(al, "FID_nhood", "att_level")
@@ -702,21 +655,18 @@ def q_wide_forecast_scan(spark, sf):
 @register("distinct_counts")
 def q_distinct_counts(spark, sf):
     """Exact distinct categories, neighbourhoods and incidents of the cleaned calls."""
-    from ..operators import profile
     return tidy(profile.distinct_count(clean_calls_df(spark, sf), ["category", "FID_nhood", "incident_id"]))
 
 
 @register("last_n_rows")
 def q_last_n_rows(spark, sf):
     """Last 160 bins of every series."""
-    from ..operators import profile
     return tidy(profile.last_n(series_long(spark, sf), "series", "bin", 160))
 
 
 @register("last_fraction_rows")
 def q_last_fraction_rows(spark, sf):
     """Last quarter (int(n * 0.25) bins) of every series (W11, fraction form)."""
-    from ..operators import profile
     return tidy(profile.last_fraction(series_long(spark, sf), "series", "bin", 0.25))
 
 
@@ -730,7 +680,6 @@ def q_posts_stage_audit(spark, sf):
 def q_joint_lag_rows(spark, sf):
     """Joint supervised rows over all series (three previous vectors -> current vector),
     exploded to (row, part, position, value) (W7 joint form)."""
-    from ..operators import series
     r = series.joint_lag_rows(series_long(spark, sf), LAG)
     xs = r.select("row_idx", "bin", F.lit("x").alias("part"), F.posexplode("lags").alias("pos", "value"))
     ys = r.select("row_idx", "bin", F.lit("y").alias("part"), F.posexplode("y").alias("pos", "value"))
@@ -742,7 +691,6 @@ def q_joint_recursive_mean(spark, sf):
     """8-step joint recursive forecast over all series at once: each series'
     prediction is the mean of its own three previous values, the whole vector is
     appended each step (M1, all-series form)."""
-    from ..operators import forecast, series
     long = series_long(spark, sf)
     k = long.select("series").distinct().count()
     idx = series.series_index(long)
@@ -756,7 +704,6 @@ def q_joint_recursive_mean(spark, sf):
 @register("posts_source_shares")
 def q_posts_source_shares(spark, sf):
     """Share of cleaned posts per source application (A7 on the posts table)."""
-    from ..operators import profile
     return tidy(profile.value_shares(clean_posts_df(spark, sf), "source"))
 
 
