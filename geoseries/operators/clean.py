@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import (DROP_CATEGORIES, DROP_PRIORITIES, KEEP_SOURCES, lnglat_from_text,
                               parse_number, parse_timestamp, parse_twitter_time, strip_ws)
+from .geo import label_points, relabel
 
 ORDER_COLS = ["file_seq", "block_start", "row_seq"]
 
@@ -138,7 +139,6 @@ def stage_calls(raw: DataFrame) -> DataFrame:
 def clean_calls(raw: DataFrame, polys: DataFrame, relabel_names: Sequence[str],
                 on_unknown: str = "error") -> DataFrame:
     """Calls: stage -> keep first per incident_id -> relabel -> drop unlabelled."""
-    from .geo import relabel
     staged = stage_calls(raw)
     first = keep_first(staged, ["incident_id"], ORDER_COLS)
     labelled = relabel(first, polys, relabel_names, name_col="neighborhood",
@@ -161,7 +161,6 @@ def calls_stage_audit(raw: DataFrame) -> DataFrame:
 def posts_stage_audit(raw: DataFrame, polys: DataFrame) -> DataFrame:
     """Rows per file after each posts rule: raw, unique ids, geo-tagged, inside a
     polygon, kept by source (A11)."""
-    from .geo import label_points
     raw_n = raw.groupBy("file_seq").agg(F.count(F.lit(1)).alias("raw_rows"))
     per_file = keep_first(raw, ["file_seq", "id_str"], ORDER_COLS)
     lng, lat = lnglat_from_text("coordinates")
@@ -182,7 +181,6 @@ def clean_posts(raw: DataFrame, polys: DataFrame) -> DataFrame:
     """Two-phase de-duplication: per file *before* the geo filters, again after
     the union (a later geo-tagged copy in the same file is lost, one in another
     file survives)."""
-    from .geo import label_points
     per_file = keep_first(raw, ["file_seq", "id_str"], ORDER_COLS)
     tagged = per_file.where(F.col("coordinates").isNotNull())
     lng, lat = lnglat_from_text("coordinates")
