@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,7 +79,6 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     back: the plan runs once, the lineage is cut, and the files survive executor
     loss (never ``localCheckpoint``).  Meant for small intermediate tables
     (aggregates, per-step forecast state) that several branches consume."""
-    import uuid
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
