@@ -213,13 +213,14 @@ def adjacency(polys: DataFrame, cell: float | None = None) -> DataFrame:
     equal rings do not) (J4).
 
     Candidate pairs come from a self equi-join of bounding-box grid cells;
-    the exact tests run only on those pairs.
+    the exact tests run once per unordered pair (touching is symmetric) and
+    both directions are emitted.
     """
     cell = cell or default_cell(polys)
     p = polys.where("valid").select("file_pos", "key", "edges", "ring", "minx", "miny", "maxx", "maxy")
     cells = _cells(p, cell).select("_cx", "_cy", "file_pos")
     pairs = (cells.alias("a").join(cells.alias("b"), ["_cx", "_cy"])
-                  .where(F.col("a.file_pos") != F.col("b.file_pos"))
+                  .where(F.col("a.file_pos") < F.col("b.file_pos"))
                   .select(F.col("a.file_pos").alias("pa"), F.col("b.file_pos").alias("pb"))
                   .distinct())
     a = p.select(*[F.col(c).alias(c + "_a") for c in p.columns])
@@ -234,9 +235,12 @@ def adjacency(polys: DataFrame, cell: float | None = None) -> DataFrame:
     b_in_a = F.exists(_probe_points(eb), lambda q: strictly_inside(ea, q.x, q.y))
     same = F.array_sort(F.array_distinct(F.col("ring_a"))) == F.array_sort(F.array_distinct(F.col("ring_b")))
     touch = meet & ~cross & ~a_in_b & ~b_in_a & ~same
-    return j.where(touch).select(F.col("key_a").alias("centre"), F.col("key_b").alias("neighbour"),
-                                 F.col("file_pos_a").alias("centre_pos"),
-                                 F.col("file_pos_b").alias("neighbour_pos"))
+    both = F.array(
+        F.struct(F.col("key_a").alias("centre"), F.col("key_b").alias("neighbour"),
+                 F.col("file_pos_a").alias("centre_pos"), F.col("file_pos_b").alias("neighbour_pos")),
+        F.struct(F.col("key_b").alias("centre"), F.col("key_a").alias("neighbour"),
+                 F.col("file_pos_b").alias("centre_pos"), F.col("file_pos_a").alias("neighbour_pos")))
+    return j.where(touch).select(F.inline(both))
 
 
 # ---- J8 / F12 ----------------------------------------------------------------------
