@@ -91,20 +91,30 @@ def page_keys(pages: DataFrame, schema: T.StructType, text_col: str = "text") ->
     return doc.agg(*[latest(k) for k in keys])
 
 
+PAGE_BUCKET = 10000   # pages per bucket of the two-level running sum
+
+
 def page_audit(pages: DataFrame, schema: T.StructType, text_col: str = "text",
                flag: str = "exceededTransferLimit") -> DataFrame:
     """Per page: rows, the more-rows flag, the offset the next request would
-    use (running sum of rows), and whether the flag is consistent: every page
-    but the last must say more rows follow, the last must not (S6).
+    use (running sum of the rows of earlier pages), and whether the flag is
+    consistent: every page but the last must say more rows follow, the last
+    must not (S6).
 
-    The running sum is a window over the page table (one row per page)."""
+    The running sum is two-level so no task holds the whole page list: a
+    window per bucket of ``PAGE_BUCKET`` pages, plus a prefix sum over the
+    (few) bucket totals."""
     doc = pages.select("page_no", F.from_json(text_col, schema).alias("d"))
-    flag_col = F.col(f"d.{flag}")
     per = doc.select("page_no", F.size("d.features").cast("bigint").alias("rows"),
-                     F.coalesce(flag_col, F.lit(False)).alias("more"))
-    w = Window.orderBy("page_no")
-    per = per.withColumn("offset", F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                              F.lit(0)).cast("bigint")) \
-             .withColumn("_last", F.max("page_no").over(Window.partitionBy()))
+                     F.coalesce(F.col(f"d.{flag}"), F.lit(False)).alias("more"),
+                     F.floor(F.col("page_no") / PAGE_BUCKET).alias("_b"))
+    within = Window.partitionBy("_b").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_in", F.coalesce(F.sum("rows").over(within), F.lit(0)))
+    totals = per.groupBy("_b").agg(F.sum("rows").alias("_t"), F.max("page_no").alias("_bmax"))
+    totals = totals.select("_b", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.max("_bmax").over(Window.partitionBy()).alias("_last"))
+    per = per.join(totals, "_b")
     ok = F.when(F.col("page_no") == F.col("_last"), ~F.col("more")).otherwise(F.col("more"))
-    return per.withColumn("consistent", ok).drop("_last")
+    return per.select("page_no", "rows", "more", (F.col("_before") + F.col("_in")).cast("bigint").alias("offset"),
+                      ok.alias("consistent"))

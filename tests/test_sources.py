@@ -87,3 +87,17 @@ def test_landed_calls_prune_date_partitions(spark):
                       .select("incident_id", "priority", "file_seq").collect())
     full = files.read_calls_csv(spark, [f"{d}/csv/y1/*.csv", f"{d}/csv/y2/*.csv"])
     assert first(part.drop("call_date")) == first(full)
+
+
+def test_page_audit_offsets_across_buckets(spark):
+    from pyspark.sql import functions as F
+    n = 25000
+    df = spark.range(1, n + 1).select(
+        F.col("id").cast("int").alias("page_no"),
+        F.when(F.col("id") < n, F.lit('{"features": [1, 2, 3], "exceededTransferLimit": true}'))
+        .otherwise(F.lit('{"features": [1]}')).alias("text"))
+    sch = T.StructType([T.StructField("features", T.ArrayType(T.LongType())),
+                        T.StructField("exceededTransferLimit", T.BooleanType())])
+    r = {x.page_no: (x.offset, x.consistent) for x in pages.page_audit(df, sch).collect()}
+    assert r[1] == (0, True) and r[10000] == (3 * 9999, True) and r[20001] == (3 * 20000, True)
+    assert r[n] == (3 * (n - 1), True) and all(v[1] for v in r.values())
