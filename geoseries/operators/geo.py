@@ -229,10 +229,27 @@ def adjacency(polys: DataFrame, cell: float | None = None) -> DataFrame:
               .where((F.col("minx_a") <= F.col("maxx_b")) & (F.col("minx_b") <= F.col("maxx_a"))
                      & (F.col("miny_a") <= F.col("maxy_b")) & (F.col("miny_b") <= F.col("maxy_a"))))
     ea, eb = F.col("edges_a"), F.col("edges_b")
-    meet = F.exists(ea, lambda x: F.exists(eb, lambda y: _seg_intersect(x, y)))
-    cross = F.exists(ea, lambda x: F.exists(eb, lambda y: _proper_cross(x, y)))
-    a_in_b = F.exists(_probe_points(ea), lambda q: strictly_inside(eb, q.x, q.y))
-    b_in_a = F.exists(_probe_points(eb), lambda q: strictly_inside(ea, q.x, q.y))
+    # Exact pruning before the nested tests: two edges can only meet inside the
+    # overlap of the two boxes, and a point strictly inside a polygon lies in
+    # the open interior of its box - so typical neighbours test only the edges
+    # of a thin strip.
+    ix0, ix1 = F.greatest("minx_a", "minx_b"), F.least("maxx_a", "maxx_b")
+    iy0, iy1 = F.greatest("miny_a", "miny_b"), F.least("maxy_a", "maxy_b")
+
+    def near(e):
+        return ((F.least(e.x1, e.x2) <= ix1) & (F.greatest(e.x1, e.x2) >= ix0)
+                & (F.least(e.y1, e.y2) <= iy1) & (F.greatest(e.y1, e.y2) >= iy0))
+
+    def in_box(q, side):  # open box: a strictly interior point is never on its edge
+        return ((q.x > F.col(f"minx_{side}")) & (q.x < F.col(f"maxx_{side}"))
+                & (q.y > F.col(f"miny_{side}")) & (q.y < F.col(f"maxy_{side}")))
+    na, nb = F.filter(ea, near), F.filter(eb, near)
+    meet = F.exists(na, lambda x: F.exists(nb, lambda y: _seg_intersect(x, y)))
+    cross = F.exists(na, lambda x: F.exists(nb, lambda y: _proper_cross(x, y)))
+    a_in_b = F.exists(F.filter(_probe_points(ea), lambda q: in_box(q, "b")),
+                      lambda q: strictly_inside(eb, q.x, q.y))
+    b_in_a = F.exists(F.filter(_probe_points(eb), lambda q: in_box(q, "a")),
+                      lambda q: strictly_inside(ea, q.x, q.y))
     same = F.array_sort(F.array_distinct(F.col("ring_a"))) == F.array_sort(F.array_distinct(F.col("ring_b")))
     touch = meet & ~cross & ~a_in_b & ~b_in_a & ~same
     both = F.array(
