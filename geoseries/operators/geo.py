@@ -108,10 +108,17 @@ def _cells(df: DataFrame, cell: float, minx="minx", miny="miny", maxx="maxx", ma
 
 
 def candidate_cells(polys: DataFrame, cell: float) -> DataFrame:
-    """(cell -> candidate polygons) table."""
+    """(cell -> candidate polygons) table.  Each candidate carries only the
+    edges whose y-range meets the cell's horizontal band: a point's ray
+    crossings and on-edge test only involve edges spanning its y, so this is
+    exact and keeps both the table and the per-point fold small."""
     cells = _cells(polys.where("valid"), cell)
+    lo = F.col("_cy") * F.lit(float(cell))
+    hi = (F.col("_cy") + 1) * F.lit(float(cell))
+    band = F.filter("edges", lambda e: (F.least(e.y1, e.y2) <= hi) & (F.greatest(e.y1, e.y2) >= lo))
     return cells.groupBy("_cx", "_cy").agg(
-        F.collect_list(F.struct("file_pos", "key", "minx", "miny", "maxx", "maxy", "edges")).alias("_cands"))
+        F.collect_list(F.struct("file_pos", "key", "minx", "miny", "maxx", "maxy", band.alias("edges")))
+        .alias("_cands"))
 
 
 # ---- J1 ----------------------------------------------------------------------------
