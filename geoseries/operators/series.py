@@ -109,8 +109,9 @@ def decompose(long: DataFrame, period: int, series: str = "series", order: str =
     d = d.withColumn("_phase", F.col("_idx") % m)
     wp = Window.partitionBy(series, "_phase")
     d = d.withColumn("_pm", F.avg(x - F.col("trend")).over(wp))
-    # Mean of the m phase means: the first m rows hold each phase exactly once.
-    ws = Window.partitionBy(series)
+    # Mean of the m phase means: the first m rows hold each phase exactly once;
+    # summed in phase order so the result does not depend on row arrival.
+    ws = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = d.withColumn("_pmean", F.avg(F.when(F.col("_idx") < m, F.col("_pm"))).over(ws))
     d = d.withColumn("seasonal", F.col("_pm") - F.col("_pmean"))
     return d.select(series, order, x.alias("observed"), "trend", "seasonal",

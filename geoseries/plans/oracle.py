@@ -465,7 +465,7 @@ t AS (SELECT series, bin, value, row_number() OVER w - 1 AS idx, lag(value, 4) O
 tr AS (SELECT *, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN (s - 0.5 * lo - 0.5 * hi) / 8 END AS trend,
               idx % 8 AS phase FROM t),
 pm AS (SELECT series, phase, avg(value - trend) AS pm FROM tr GROUP BY series, phase),
-pmean AS (SELECT series, avg(pm) AS pmean FROM pm GROUP BY series)""", """
+pmean AS (SELECT series, avg(pm ORDER BY phase) AS pmean FROM pm GROUP BY series)""", """
 SELECT tr.series, tr.bin, round(value, 6) AS observed, round(trend, 6) AS trend,
        round(pm.pm - pmean.pmean, 6) AS seasonal, round(value - trend - (pm.pm - pmean.pmean), 6) AS resid
 FROM tr JOIN pm USING (series, phase) JOIN pmean USING (series)""")
