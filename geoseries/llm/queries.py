@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoseries.llm import decontamination, sharding
+from geoseries.llm import decontamination, sharding, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,4 +25,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(found)
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op7_decontamination": op7_decontamination}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents under the byte-level BPE, flagged beyond 512."""
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_sharding": op3_sharding, "op7_decontamination": op7_decontamination, "op10_token_counts": op10_token_counts}
