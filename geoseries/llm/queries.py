@@ -3,22 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geoseries.llm import decontamination, sharding, tokencount
+from geoseries.llm import decontamination, langid, sentencepieces, sharding, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those not held out."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes, by a planned slot map."""
-    from pyspark.sql import functions as F
     placed = sharding.shard(_table(spark, sf_dir, "documents"), n_shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and the text decoded from them, as digests."""
+    encoded = sentencepieces.encode(_table(spark, sf_dir, "documents"))
+    digest = encoded.withColumns({"n_pieces": (F.octet_length("packed") / 4).cast("long"), "ids_sha256": F.sha2("packed", 256)})
+    return sentencepieces.decode(digest).select("doc_id", "n_pieces", "ids_sha256", F.length("text").cast("long").alias("n_chars"),
+                                                F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "n_chunks")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words in all documents."""
     found = decontamination.find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -30,4 +43,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op7_decontamination": op7_decontamination, "op10_token_counts": op10_token_counts}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_sharding, op5_sentencepiece, op7_decontamination, op10_token_counts)}
