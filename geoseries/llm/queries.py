@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoseries.llm import decontamination, langid, sentencepieces, sharding, tokencount
+from geoseries.llm import decontamination, langid, sentencepieces, sharding, syncmers, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-syncmer fingerprints of all documents and of their edits."""
+    return syncmers.compare_edited(_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the text decoded from them, as digests."""
     encoded = sentencepieces.encode(_table(spark, sf_dir, "documents"))
@@ -43,4 +48,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_sharding, op5_sentencepiece, op7_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_sharding, op4_fingerprints, op5_sentencepiece, op7_decontamination, op10_token_counts)}
