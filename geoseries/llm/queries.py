@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoseries.llm import decontamination, langid, sentencepieces, sharding, syncmers, tokencount
+from geoseries.llm import decontamination, langid, minhash, sentencepieces, sharding, syncmers, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 2-word shingle sets are 80 % alike, over all documents."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes, by a planned slot map."""
     placed = sharding.shard(_table(spark, sf_dir, "documents"), n_shards=40)
@@ -48,4 +53,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_sharding, op4_fingerprints, op5_sentencepiece, op7_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_sentencepiece, op7_decontamination, op10_token_counts)}
