@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoseries.llm import decontamination, langid, minhash, sentencepieces, sharding, syncmers, tokencount
+from geoseries.llm import decontamination, langid, lmscore, minhash, recompression, secrets, sentencepieces, sharding, syncmers, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,15 +42,31 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "n_chunks")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, with ownership counted over all sources."""
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words in all documents."""
     found = decontamination.find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontamination.report(found)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of all documents against those labelled good."""
+    return lmscore.cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of 50 words and more removed from all documents."""
+    return recompression.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents under the byte-level BPE, flagged beyond 512."""
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_sentencepiece, op7_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_sentencepiece, op6_secrets,
+                                   op7_decontamination, op8_lm_score, op9_substring_dedup, op10_token_counts)}
