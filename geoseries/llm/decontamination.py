@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,23 +149,48 @@ def _merged(a: np.ndarray) -> tuple[list[int], int]:
     return out, sum(out[1::2]) - sum(out[::2])
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM,
-              block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document row: doc_id, n_words, spans (flat array of [start, end) word
-    ranges that benchmark windows cover, disjoint) and items (ids, as strings,
-    sorted, of the items with an occurring window)."""
+def indexes(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
+    """The benchmark's fingerprints in blocks of bounded text bytes (one block if it is small)."""
     if not 0 < gram <= window:
         raise ValueError("gram must lie between 1 and window")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
-    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id") + 16)).first()[0] or 0
+    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.octet_length("item_id") + 16)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    rows = texts_of(docs).withColumn("row_no", F.monotonically_increasing_id())
-    parts = []
     for k in range(blocks):
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = Index([(r.item_id, r.text.encode() if r.text is not None else None) for r in block.toLocalIterator()], window, gram)
-        parts.append(_pass(rows, index))
-    if blocks == 1:
+        yield Index([(r.item_id, r.text.encode() if r.text is not None else None) for r in block.toLocalIterator()], window, gram)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows, all columns, without an occurrence of any benchmark window."""
+    for index in indexes(benchmark, window, gram, block_bytes):
+        docs = _clean_pass(docs, index)
+    return docs
+
+
+def _clean_pass(docs: DataFrame, index: Index) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        index = held.value
+        for b in batches:
+            texts = binary_column(b, "text")
+            for lo, hi in slices(texts):
+                _, names, _, _, bounds = joined_words(texts[lo:hi], ALNUM, True)
+                found = index.hits(names, bounds)[1]
+                yield b.slice(lo, hi - lo).filter(pa.array([d not in found for d in range(hi - lo)]))
+
+    return map_arrow(docs, run, docs.schema)
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM,
+              block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document row: doc_id, n_words, spans (flat array of [start, end) word
+    ranges that benchmark windows cover, disjoint) and items (ids, as strings,
+    sorted, of the items with an occurring window)."""
+    rows = texts_of(docs).withColumn("row_no", F.monotonically_increasing_id())
+    parts = [_pass(rows, index) for index in indexes(benchmark, window, gram, block_bytes)]
+    if len(parts) == 1:
         return parts[0].drop("row_no")
     whole = parts[0]
     for p in parts[1:]:

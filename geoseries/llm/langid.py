@@ -172,6 +172,25 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return map_arrow(texts_of(docs), run, "doc_id long, lang_pred string, score double")
 
 
+def drop_unidentified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, all columns, whose text has a language: those that are ``und``
+    go, and those in which no word or n-gram of any learned language occurs.
+    With no learned language only texts without a letter go."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    ddl = docs.schema
+
+    def run(batches):
+        model = held.value
+        for b in batches:
+            keep = []
+            for t in b.column(b.schema.get_field_index("text")).to_pylist():
+                lang, score = model.predict(t)
+                keep.append(bool(words_of(t)) if not model.langs else lang != "und" and (len(model.langs) == 1 or score > 1 / len(model.langs) + 1e-9))
+            yield b.filter(pa.array(keep))
+
+    return map_arrow(docs, run, ddl)
+
+
 def held_out():
     """crc32 of the id as text, mod 4, is 2 (a null id is not)."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

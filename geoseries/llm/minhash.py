@@ -207,3 +207,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return (own.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, all columns, of one document of each group: the smallest id.
+    Of rows with that id one stays; rows without an id all stay."""
+    found = near_duplicates(docs, k, percent)
+    ids = cut_lineage(found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "verdicts")
+    gone, repeated = ids.filter("not kept").select("doc_id"), ids.filter("kept and n > 1").select("doc_id")
+    small = gone.count() <= SEMI_JOIN_IDS
+    rest = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    if repeated.isEmpty():
+        return rest
+    again = rest["doc_id"].cast("long") == repeated["doc_id"]
+    return rest.join(repeated, again, "left_anti").unionByName(rest.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))

@@ -282,28 +282,31 @@ def encode(docs: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CH
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``encode``'s rows with the text of their ids in place of packed."""
+    """``encode``'s rows with the text of their ids as a further column."""
     path = path or model_path()
-    rest = [c for c in encoded.columns if c != "packed"]
 
     def run(batches):
         pieces = None
         for b in batches:
             pieces = pieces or Pieces(path)
-            packed = b.column("packed").to_pylist()
+            packed = b.column(b.schema.get_field_index("packed")).to_pylist()
             for lo, hi in slices(packed, 1 << 20):
                 texts = pa.array([pieces.decode(p) for p in packed[lo:hi]], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(c)[lo:hi] for c in rest] + [texts], names=[*rest, "text"])
+                yield pa.RecordBatch.from_arrays([c[lo:hi] for c in b.columns] + [texts], names=[*b.schema.names, "text"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "packed")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return map_arrow(encoded, run, f"{fields}, text string")
 
 
 def unpack(encoded: DataFrame) -> DataFrame:
-    """``encode``'s rows with ids array<int> in place of packed."""
+    """``encode``'s rows, all columns, with ids array<int> in place of packed."""
     def run(batches):
         for b in batches:
-            ids = [None if p is None else np.frombuffer(p, dtype="<i4") for p in b.column("packed").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), b.column("n_chunks")], names=["doc_id", "ids", "n_chunks"])
-
-    return map_arrow(encoded, run, "doc_id long, ids array<int>, n_chunks int")
+            at = b.schema.get_field_index("packed")
+            packed = b.column(at).to_pylist()
+            for lo, hi in slices(packed, 1 << 22):
+                ids = pa.array([None if p is None else np.frombuffer(p, dtype="<i4") for p in packed[lo:hi]], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids if i == at else c[lo:hi] for i, c in enumerate(b.columns)], names=[("ids" if n == "packed" else n) for n in b.schema.names])
+
+    fields = ", ".join("ids array<int>" if f.name == "packed" else f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return map_arrow(encoded, run, fields)
