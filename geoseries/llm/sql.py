@@ -1,5 +1,86 @@
-"""DuckDB SQL twins of the operators' queries, where SQL can express them."""
+"""DuckDB SQL twins of the operators' queries, where SQL can express them.
+
+Each twin takes another road than the operator: all pairs that share a shingle,
+all windows, sums over the matches of plain patterns.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _either(word: str) -> str:
+    """A pattern for the letters of ``word`` in either case."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN = ("(" + "|".join(_either(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either("api") + "_?" + _either("key")
+           + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""")
+
+_OP2 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[k] || ' ' || w[k + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS k FROM d WHERE len(w) > 1)
+      UNION SELECT doc_id, w[1] FROM d WHERE len(w) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_n FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * both_n >= 80 * (u.n + v.n - both_n)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.doc_id = d.doc_id
+"""
+
+_OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source FROM documents),
+m AS (SELECT r, doc_id, source, kind, pat, regexp_extract_all(text, pat, 0) AS found, string_split_regex(text, pat) AS gaps
+      FROM d, (VALUES (0, '{_ASSIGN}'), (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]' || repeat('[0-9a-f]', 31) || '+'),
+                      (3, repeat('[A-Za-z0-9_-]', 23) || '[A-Za-z0-9_-]+')) AS k(kind, pat)
+      WHERE regexp_matches(text, pat)),
+x AS (SELECT r, doc_id, source, kind, pat, i, found[i] AS m, length(gaps[i]) AS gap FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m)),
+y AS (SELECT *, sum(gap + length(m)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM x),
+z AS (SELECT r, doc_id, source, kind, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CASE WHEN kind = 0 THEN regexp_extract(m, pat, 2) ELSE m END AS v FROM y),
+base AS (SELECT * FROM z WHERE (kind = 0 AND length(v) >= 8) OR (kind = 1 AND length(v) >= 16) OR (kind = 2 AND length(v) >= 32)),
+opaque AS (SELECT * FROM z WHERE kind = 3 AND length(regexp_replace(v, '[^0-9]', '', 'g')) >= 4 AND regexp_matches(v, '[A-Za-z]')
+           AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = z.r AND b.s < z.e AND z.s < b.e)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM opaque),
+own AS (SELECT v, count(DISTINCT source) AS owners FROM every GROUP BY v),
+kept AS (SELECT every.*, own.owners <= 2 AS live, list_extract(['assign', 'access', 'hex', 'opaque'], kind + 1) || ':' || s || ':' || e AS t
+         FROM every JOIN own USING (v) WHERE kind < 3 OR own.owners <= 2),
+g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+      string_agg(t, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(t, ',' ORDER BY s, kind) AS spans,
+      count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN g USING (r)
+"""
+
+_OP7 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),
+bk AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM bk),
+dk AS (SELECT doc_id, w, s.n, unnest(range(1, len(w) - s.n + 2)) AS k FROM d, (SELECT DISTINCT n FROM bw) s WHERE len(w) >= s.n),
+h AS (SELECT doc_id, k, x.n, item_id FROM (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM dk) x JOIN bw ON bw.n = x.n AND bw.g = x.g),
+hw AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hw ON hw.doc_id = d.doc_id LEFT JOIN hi ON hi.doc_id = d.doc_id
+"""
+
+_OP9 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+x AS (SELECT doc_id, k, array_to_string(w[k:k + 49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50)),
+f AS (SELECT g, min(doc_id) AS least_id FROM x GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM x JOIN f USING (g) WHERE least_id < doc_id),
+word AS (SELECT doc_id, p, w[p] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op2_minhash_dedup": _OP2, "op6_secrets": _OP6, "op7_decontamination": _OP7, "op9_substring_dedup": _OP9}
