@@ -131,7 +131,7 @@ def _table(units: dict[str, dict[str, int]], langs: list[str], sums: dict[str, i
         for k, lang in enumerate(langs):
             table[i, k] = np.log((units[u].get(lang, 0) + SMOOTH) / (sums[lang] + SMOOTH * size))
     # only differences between languages matter; centring keeps long sums small
-    return index, table - table.mean(axis=1, keepdims=True)
+    return index, table - table.mean(axis=1, keepdims=True) if langs else table
 
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
