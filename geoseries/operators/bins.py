@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import DEFAULT_BROADCAST_LIMIT, cut_lineage
+from ..session import DEFAULT_BROADCAST_LIMIT, broadcast_if_small, cut_lineage
 
 DAY_SECONDS = 86400
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -134,7 +134,7 @@ def time_groupby(df: DataFrame, col: str, agg: str = "count", nhoods="all",
     Long output: ``bin, <nhood_col>, <value_name>``.
     """
     if agg not in ("count", "avg"):
-        raise ValueError("Aggregation method must be: 'count' or 'avg'.")
+        raise ValueError(f"agg is 'count' or 'avg', not {agg!r}")
     rows, key_df = _requested(df, nhood_col, nhoods)
     rows = add_bin(rows.where(F.col(ts_col).isNotNull()), ts_col, nhood_col, freq, keep=[col])
     measure = F.count_distinct(col) if agg == "count" else F.avg(col)
@@ -199,15 +199,21 @@ def city_total(long: DataFrame, value_col: str = "value") -> DataFrame:
     return long.groupBy("bin").agg(F.sum(value_col).alias("total"))
 
 
+def _sized(pairs: DataFrame) -> DataFrame:
+    """The staged pair table, broadcast if its text is small."""
+    size = pairs.agg(F.sum(F.octet_length("centre") + F.octet_length(F.col(pairs.columns[1])) + 48)).first()[0] or 0
+    return broadcast_if_small(pairs, size)
+
+
 def neighbour_total(long: DataFrame, pairs: DataFrame, nhood_col: str = "FID_nhood",
                     value_col: str = "value") -> DataFrame:
     """Per (bin, centre): sum of the values of the centre's adjacent neighbourhoods.
 
-    ``pairs`` = (centre, neighbour) adjacency table; it is tiny (neighbourhoods
-    x degree) and joins on the neighbour key, one pass for all centres.
+    ``pairs`` = (centre, neighbour) adjacency table, joined on the neighbour
+    key, one pass for all centres; broadcast only if its measured size allows.
     """
-    p = pairs.select(F.col("centre"), F.col("neighbour").alias(nhood_col))
-    return (long.join(F.broadcast(p), nhood_col)
+    p = _sized(cut_lineage(pairs.select(F.col("centre"), F.col("neighbour").alias(nhood_col)), "pairs"))
+    return (long.join(p, nhood_col)
                 .groupBy("bin", "centre").agg(F.sum(value_col).alias("adj_total")))
 
 
@@ -231,7 +237,7 @@ def working_series(sources: dict, pairs: DataFrame, freq="180Min",
     """
     fs = freq_seconds(freq)
     # the pair table is small and read by every branch below: write it once
-    p = F.broadcast(cut_lineage(pairs.select("centre", F.col("neighbour").alias(nhood_col)), "pairs"))
+    p = _sized(cut_lineage(pairs.select("centre", F.col("neighbour").alias(nhood_col)), "pairs"))
     labels = list(sources)
     groups: dict = {}
     for label, (df, ts_col, id_col) in sources.items():

@@ -15,6 +15,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,14 +126,16 @@ def _ar_state(hist: DataFrame, p_max: int, d_values: Sequence[int], season: int,
     parts = []
     for d in d_values:
         y = x - F.lag(x, season).over(w) if season else x
-        if d == 0:
-            z = y
-        elif d == 1:
-            z = y - (F.lag(x, 1).over(w) - (F.lag(x, season + 1).over(w) if season else F.lit(0.0)))
-        else:
-            raise ValueError("d must be 0 or 1")
+
+        def back(k):
+            return F.lag(x, k).over(w) - (F.lag(x, season + k).over(w) if season else F.lit(0.0))
+        if d < 0:
+            raise ValueError("d must not be negative")
+        # d-th difference of y: alternating binomial sums of y at lags 0..d
+        z = sum(((-1) ** k * comb(d, k) * back(k) for k in range(1, d + 1)), y)
         parts.append(hist.select(series, order, x.alias("_x"), y.alias("_y"), z.alias("_z"),
-                                 F.lit(d).alias("d")))
+                                 F.array(*[sum(((-1) ** j * comb(k, j) * back(j) for j in range(1, k + 1)), y) for k in range(d)])
+                                 .cast("array<double>").alias("_yd"), F.lit(d).alias("d")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
@@ -142,7 +146,7 @@ def _ar_state(hist: DataFrame, p_max: int, d_values: Sequence[int], season: int,
     lagged = [F.lag(F.when(F.col("_z").isNotNull(), F.col("_zc")), k).over(wd).alias(f"_l{k}")
               for k in range(1, p_max + 1)]
     tail = max(p_max, season, 1)
-    u = u.select(series, "d", order, "_x", "_y", "_z", "_zc", "_mu", *lagged,
+    u = u.select(series, "d", order, "_x", "_yd", "_z", "_zc", "_mu", *lagged,
                  F.collect_list("_z").over(wd.rowsBetween(-(p_max - 1), 0)).alias("_zh"),
                  F.collect_list("_x").over(wd.rowsBetween(-(tail - 1), 0)).alias("_xh"),
                  F.row_number().over(Window.partitionBy(series, "d").orderBy(F.desc(order))).alias("_rk"))
@@ -154,7 +158,7 @@ def _ar_state(hist: DataFrame, p_max: int, d_values: Sequence[int], season: int,
         F.first("_mu").alias("mu"),
         F.max_by("_zh", F.when(F.col("_rk") == 1, F.lit(1))).alias("zh"),
         F.max_by("_xh", F.when(F.col("_rk") == 1, F.lit(1))).alias("xh"),
-        F.max_by("_y", F.when(F.col("_rk") == 1, F.lit(1))).alias("ylast"))
+        F.max_by("_yd", F.when(F.col("_rk") == 1, F.lit(1))).alias("ylast"))
     rho = F.array(*[F.try_divide(F.col(f"_s{k}"), F.col("_s0")) for k in range(0, p_max + 1)])
     return agg.withColumn("_dl", _dl_with_path(rho, p_max))
 
@@ -177,34 +181,39 @@ def _dl_with_path(rho: Column, p_max: int) -> Column:
 
 
 def _ar_path_forecast(phi: Column, mu: Column, zh: Column, xh: Column, ylast: Column,
-                      d: Column, season: int, fh: int) -> Column:
+                      season: int, fh: int) -> Column:
     """Forecast fh steps: AR on the differenced scale, then undo the regular
-    and the seasonal difference."""
+    differences (``ylast``: the last value of each level) and the seasonal one."""
     init = F.struct(zh.cast("array<double>").alias("zh"), xh.cast("array<double>").alias("xh"),
-                    ylast.cast("double").alias("yl"), F.array().cast("array<double>").alias("out"))
+                    ylast.cast("array<double>").alias("yl"), F.array().cast("array<double>").alias("out"))
+    nothing = F.array().cast("array<double>")
 
     def step(acc, _s):
         # try_element_at: a history shorter than the order gives NULL, not an error
-        zp = mu + F.aggregate(F.sequence(F.lit(0), F.size(phi) - 1), F.lit(0.0),
-                              lambda s, i: s + F.try_element_at(phi, i + 1)
-                              * (F.try_element_at(acc.zh, F.size(acc.zh) - i) - mu))
-        yp = F.when(d == 1, acc.yl + zp).otherwise(zp)
+        zp = mu + F.aggregate(F.transform(phi, lambda c, i: c * (F.try_element_at(acc.zh, F.size(acc.zh) - i) - mu)),
+                              F.lit(0.0), lambda s, v: s + v)
+        # undo d differences: each level's last value plus the new value of the level above
+        undone = F.aggregate(F.reverse(acc.yl), F.struct(zp.alias("v"), nothing.alias("levels")),
+                             lambda s, last: F.struct((last + s.v).alias("v"), F.concat(F.array(last + s.v), s.levels).alias("levels")))
+        yp = undone.v
         xp = (yp + F.try_element_at(acc.xh, F.size(acc.xh) - season + 1)) if season else yp
         return F.struct(F.concat(acc.zh, F.array(zp)).alias("zh"), F.concat(acc.xh, F.array(xp)).alias("xh"),
-                        yp.alias("yl"), F.concat(acc.out, F.array(xp)).alias("out"))
+                        undone.levels.alias("yl"), F.concat(acc.out, F.array(xp)).alias("out"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(fh)), init, step).out
 
 
 def ar_forecast(hist: DataFrame, p_values: Sequence[int], d_values: Sequence[int], season: int, fh: int,
                 series: str = "series", order: str = "bin", value: str = "value") -> DataFrame:
     """Forecast every (series, p, d) from the end of ``hist``: ``(series, p, d, step, pred)``."""
-    p_max = max(p_values)
+    if min(p_values) < 0:
+        raise ValueError("p must not be negative")
+    p_max = max(1, *p_values)
     st = _ar_state(hist, p_max, d_values, season, series, order, value)
     ps = F.array(*[F.lit(int(p)) for p in p_values])
     st = st.select("*", F.explode(ps).alias("p"))
-    phi = F.element_at(F.col("_dl"), F.col("p"))
-    preds = _ar_path_forecast(phi, F.col("mu"), F.col("zh"), F.col("xh"), F.col("ylast"), F.col("d"),
-                              season, fh)
+    # order 0 has no coefficients: the forecast is the mean of the differenced series
+    phi = F.when(F.col("p") == 0, F.array().cast("array<double>")).otherwise(F.try_element_at(F.col("_dl"), F.col("p")))
+    preds = _ar_path_forecast(phi, F.col("mu"), F.col("zh"), F.col("xh"), F.col("ylast"), season, fh)
     out = st.select(series, "p", "d", F.posexplode(preds).alias("_i", "pred"))
     return out.select(series, "p", "d", (F.col("_i") + 1).alias("step"), "pred")
 
@@ -223,7 +232,6 @@ def ar_grid(split_long: DataFrame, p_range: tuple[int, int], d_range: tuple[int,
     Candidate log ``(series, p, d, cand_idx, loss)``; cand_idx follows the
     loop order p then d."""
     ps, ds = list(range(*p_range)), list(range(*d_range))
-    ps = [p for p in ps if p >= 1]
     train = split_long.where(F.col("split") == "train")
     val = _first_fh(split_long.where(F.col("split") == "validation"), fh, series, order, value)
     pred = ar_forecast(train, ps, ds, season, fh, series, order, value)
@@ -259,14 +267,15 @@ def ar_holdout(split_long: DataFrame, best: DataFrame, season: int = 8, fh: int
 
 
 # ---- M3 --------------------------------------------------------------------------------
-def rf_grid_params(max_n_estimator: int, max_depth: int) -> list[tuple[int, int]]:
-    """Trees 50*i for i in 1..int(max/50)-1 (upper end excluded), depths 1, 3, ... < max_depth."""
-    trees = [50 * i for i in range(1, int(max_n_estimator / 50))]
-    depths = list(range(1, max_depth, 2))
-    return [(n, dpt) for n in trees for dpt in depths]
+def candidate_grid(trees: Sequence[int], depths: Sequence[int]) -> list[tuple[int, int]]:
+    """Every forest size with every depth, sizes in the outer order.  Depths over
+    30 are refused: the forest library builds none."""
+    if any(not 0 <= d <= 30 for d in depths) or any(n < 1 for n in trees):
+        raise ValueError("forests need a tree at least and depths of 0 to 30")
+    return list(product(trees, depths))
 
 
-def rf_grid(train_rows: DataFrame, val_rows: DataFrame, max_n_estimator: int, max_depth: int,
+def rf_grid(train_rows: DataFrame, val_rows: DataFrame, trees: Sequence[int], depths: Sequence[int],
             fh: int, metric: str = "MSE", series: str = "series", seed: int = 1) -> DataFrame:
     """Random-forest grid over (trees, depth), one pooled model per candidate
     fitted on the lag vectors of all series; each scored by a recursive
@@ -281,8 +290,8 @@ def rf_grid(train_rows: DataFrame, val_rows: DataFrame, max_n_estimator: int, ma
     first = val_rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= fh).drop("_k")
     first = cut_lineage(first)
     log = []
-    for idx, (n, dpt) in enumerate(rf_grid_params(max_n_estimator, max_depth)):
-        rf = RandomForestRegressor(numTrees=n, maxDepth=min(dpt, 30), seed=seed)
+    for idx, (n, dpt) in enumerate(candidate_grid(trees, depths)):
+        rf = RandomForestRegressor(numTrees=n, maxDepth=dpt, seed=seed)
         model = rf.fit(train)
         loss = backtest(first, fh, lambda o, m=model: model_recursive(m, o, fh, [series, "origin"]),
                         metric, series)

@@ -109,12 +109,14 @@ def _cells(df: DataFrame, cell: float, minx="minx", miny="miny", maxx="maxx", ma
 
 def candidate_cells(polys: DataFrame, cell: float) -> DataFrame:
     """(cell -> candidate polygons) table.  Each candidate carries only the
-    edges whose y-range meets the cell's horizontal band: a point's ray
+    edges whose y-range meets the cell's horizontal band (widened by a cell): a point's ray
     crossings and on-edge test only involve edges spanning its y, so this is
     exact and keeps both the table and the per-point fold small."""
     cells = _cells(polys.where("valid"), cell)
-    lo = F.col("_cy") * F.lit(float(cell))
-    hi = (F.col("_cy") + 1) * F.lit(float(cell))
+    # one cell more on both sides: floor(y / cell) and cell_no * cell round
+    # differently, so a point may lie just outside the nominal band of its cell
+    lo = (F.col("_cy") - 1) * F.lit(float(cell))
+    hi = (F.col("_cy") + 2) * F.lit(float(cell))
     band = F.filter("edges", lambda e: (F.least(e.y1, e.y2) <= hi) & (F.greatest(e.y1, e.y2) >= lo))
     return cells.groupBy("_cx", "_cy").agg(
         F.collect_list(F.struct("file_pos", "key", "minx", "miny", "maxx", "maxy", band.alias("edges")))
@@ -316,11 +318,19 @@ def radius_match(points: DataFrame, centres: DataFrame, lng_col: str = "lng", la
     max_r = c.agg(F.max("_rkm")).first()[0] or 0.0
     cell = max(max_r / 111.0, 1e-3)
     dlat = F.col("_rkm") / F.lit(111.0)
-    dlng = F.col("_rkm") / (F.lit(111.0) * F.greatest(F.cos(F.radians(F.abs(F.col("_clat")) + dlat)), F.lit(1e-6)))
-    c = c.withColumn("_minx", F.col("_clng") - dlng).withColumn("_maxx", F.col("_clng") + dlng) \
-         .withColumn("_miny", F.col("_clat") - dlat).withColumn("_maxy", F.col("_clat") + dlat)
+    reach = F.abs(F.col("_clat")) + dlat
+    # the circle's extreme longitudes; all of them when it holds a pole
+    half = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(dlat)) / F.cos(F.radians(F.col("_clat"))))))
+    dlng = F.when(reach >= 90, F.lit(180.0)).otherwise(F.least(half * 1.01, F.lit(180.0)))
+    west, east = F.col("_clng") - dlng, F.col("_clng") + dlng
+    box = lambda lo, hi: F.struct(F.greatest(lo, F.lit(-180.0)).alias("lo"), F.least(hi, F.lit(180.0)).alias("hi"))
+    # a box over the antimeridian goes on at the other side
+    boxes = F.filter(F.array(box(west, east), box(west + 360, F.lit(180.0)), box(F.lit(-180.0), east - 360)), lambda b: b["lo"] <= b["hi"])
+    c = (c.withColumn("_box", F.explode(F.when(dlng >= 180, F.array(box(F.lit(-180.0), F.lit(180.0)))).otherwise(boxes)))
+          .withColumn("_minx", F.col("_box.lo")).withColumn("_maxx", F.col("_box.hi")).drop("_box")
+          .withColumn("_miny", F.col("_clat") - dlat).withColumn("_maxy", F.col("_clat") + dlat))
     cc = _cells(c, cell, "_minx", "_miny", "_maxx", "_maxy").select(
-        "_cx", "_cy", "centre", "radius", "_clat", "_clng", "_rkm")
+        "_cx", "_cy", "centre", "radius", "_clat", "_clng", "_rkm").distinct()
     n = cc.count()
     cc = F.broadcast(cc) if n * 96 <= DEFAULT_BROADCAST_LIMIT else cc
     pts = points.withColumn("_cx", F.floor(F.col(lng_col) / F.lit(cell))) \

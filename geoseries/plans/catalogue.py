@@ -466,7 +466,7 @@ def q_rf_grid(spark, sf):
     rows = series.tabular_split(lag_rows_df(spark, sf), 0.2, 0.2)
     train = rows.where(F.col("split") == "train")
     val = rows.where(F.col("split") == "validation")
-    return tidy(forecast.rf_grid(train, val, 150, 4, FH, "MSE"))
+    return tidy(forecast.rf_grid(train, val, [50, 100], [1, 3], FH, "MSE"))
 
 
 # ---- map frame -----------------------------------------------------------------------

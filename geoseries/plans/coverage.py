@@ -100,7 +100,7 @@ ID_OPERATORS = {
     "o01": "operators.clean.sort_for_sink, sources.sinks.write_table(sort_by)", "o02": "stand-in page order",
     "o03": "operators.profile.top_values", "o04": "operators.profile.newest", "u01": "sources.files.read_calls_csv (union by name)",
     "m01": "operators.forecast.linear_recursive / linear_recursive_joint / model_recursive",
-    "m02": "operators.forecast.backtest", "m03": "operators.forecast.rf_grid, rf_grid_params",
+    "m02": "operators.forecast.backtest", "m03": "operators.forecast.rf_grid, candidate_grid",
     "m04": "operators.forecast.ar_grid, ar_forecast", "m05": "operators.forecast.ar_holdout",
     "m06": "operators.forecast.best_of_grid", "m07": "operators.mapframe.day_map_frame",
     "st1": "streaming.statuses.run_entity_sink", "st2": "streaming.statuses.in_box",

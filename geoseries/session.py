@@ -78,11 +78,40 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it
     back: the plan runs once, the lineage is cut, and the files survive executor
     loss (never ``localCheckpoint``).  Meant for small intermediate tables
-    (aggregates, per-step forecast state) that several branches consume."""
+    (aggregates, per-step forecast state) that several branches consume.  The
+    files go when the application ends, or earlier by :func:`drop_staged`."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    _delete_at_exit(spark, path)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.staged_path = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(conf), where
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """A staged table lives as long as the application: the file system removes it
+    when the driver's JVM ends (a plan that reads it may run until then)."""
+    try:
+        fs, where = _file_system(spark, path)
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        return
+    fs.deleteOnExit(where)
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Remove tables of :func:`cut_lineage` that no further plan reads."""
+    for df in tables:
+        path = getattr(df, "staged_path", None)
+        if path:
+            fs, where = _file_system(df.sparkSession, path)
+            fs.delete(where, True)
 
 
 def broadcast_if_small(df: DataFrame, est_bytes: int,

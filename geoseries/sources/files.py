@@ -31,10 +31,13 @@ def with_file_order(df: DataFrame, glob_idx: int) -> DataFrame:
 def read_calls_csv(spark: SparkSession, globs: Sequence[str]) -> DataFrame:
     """All-STRING scan of call CSVs by a list of globs (e.g. one per year), with
     header, unioned by name (S1, U1).  Numbers keep their ``,`` separators
-    until the typed casts (P6)."""
+    until the typed casts (P6).  Quoted fields may hold ``""``, separators and
+    newlines, so a file is read whole by one task: land large files once
+    (:func:`land_calls`) and work on the landed copy."""
     frames = []
     for i, g in enumerate(globs):
-        df = spark.read.option("header", True).option("inferSchema", False).csv(g)
+        df = (spark.read.option("header", True).option("inferSchema", False)
+                   .option("multiLine", True).option("escape", '"').csv(g))
         frames.append(with_file_order(df, i))
     out = frames[0]
     for f in frames[1:]:

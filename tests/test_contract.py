@@ -20,8 +20,7 @@ def test_entry_runs(spark):
 def test_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert all(not k.startswith("op") for k in q)
-    missing = sorted(k for k in q if k not in o)
+    missing = sorted(k for k in q if k not in o and k not in E.LLM_QUERIES)
     assert missing == ["m03_rf_grid", "rf_grid"], missing
 
 

@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+import pytest
 from geoseries.functions import metrics as M
 from geoseries.operators import forecast, series
 
@@ -27,8 +28,25 @@ def test_recursive_forecast_g10(spark):
     assert got == [3.0, 5.0, 8.0]
 
 
-def test_rf_grid_params_g11():
-    assert forecast.rf_grid_params(200, 6) == [(n, d) for n in (50, 100, 150) for d in (1, 3, 5)]
+def test_candidate_grid_g11():
+    trees, depths = range(50, 200, 50), range(1, 6, 2)
+    assert forecast.candidate_grid(trees, depths) == [(n, d) for n in (50, 100, 150) for d in (1, 3, 5)]
+    with pytest.raises(ValueError):
+        forecast.candidate_grid([50], [31])
+
+
+def test_ar_grid_orders_zero_and_high_differences(spark):
+    """p = 0 is the mean of the differenced series; a cubic has constant third differences."""
+    rows = [("c", i, float(i ** 3), "train" if i < 30 else "validation") for i in range(38)]
+    split = spark.createDataFrame(rows, "series string, bin int, value double, split string")
+    got = {(r.p, r.d): r for r in forecast.ar_grid(split, (0, 3), (0, 4), 0, 8, "MSE").collect()}
+    assert sorted(got) == [(p, d) for p in range(3) for d in range(4)]
+    assert [got[k].cand_idx for k in sorted(got)] == list(range(12))
+    assert got[0, 3].loss < 1e-12
+    mean = sum(i ** 3 for i in range(30)) / 30
+    assert abs(got[0, 0].loss - sum((i ** 3 - mean) ** 2 for i in range(30, 38)) / 8) < 1e-3
+    step = 29 ** 3 / 29
+    assert abs(got[0, 1].loss - sum((i ** 3 - 29 ** 3 - step * (i - 29)) ** 2 for i in range(30, 38)) / 8) < 1e-3
 
 
 def test_best_of_grid_ties_and_nulls(spark):
@@ -154,8 +172,8 @@ def test_rf_grid_is_deterministic_and_follows_the_grid(spark):
     rows = [("s", i, vals[i:i + 3], vals[i + 3]) for i in range(len(vals) - 3)]
     df = spark.createDataFrame(rows, "series string, row_idx int, lags array<double>, y double")
     train, val = df.where("row_idx < 60"), df.where("row_idx >= 60")
-    a = sorted(tuple(r) for r in forecast.rf_grid(train, val, 150, 4, 4).collect())
-    b = sorted(tuple(r) for r in forecast.rf_grid(train, val, 150, 4, 4).collect())
+    a = sorted(tuple(r) for r in forecast.rf_grid(train, val, [50, 100], [1, 3], 4).collect())
+    b = sorted(tuple(r) for r in forecast.rf_grid(train, val, [50, 100], [1, 3], 4).collect())
     assert a == b
     assert [(r[1], r[2]) for r in a] == [(50, 1), (50, 3), (100, 1), (100, 3)]
     assert all(r[3] is not None and r[3] >= 0 for r in a)
