@@ -72,6 +72,43 @@ def strictly_inside(edges: Column, px: Column, py: Column) -> Column:
     return ~acc.on & (acc.n % 2 == 1)
 
 
+def clearly_inside(edges: Column, px: Column, py: Column, tol: float) -> Column:
+    """Inside the ring and farther than ``tol`` from its boundary."""
+    def close(e):
+        dx, dy = e.x2 - e.x1, e.y2 - e.y1
+        t = F.try_divide((px - e.x1) * dx + (py - e.y1) * dy, dx * dx + dy * dy)
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0))))
+        return F.hypot(px - e.x1 - t * dx, py - e.y1 - t * dy) <= tol
+    return ~F.exists(edges, close) & (ring_fold(edges, px, py).n % 2 == 1)
+
+
+def piece_midpoints(e: Column, others: Column) -> Column:
+    """Midpoints of the pieces into which the lines and ends of ``others`` cut the
+    edge ``e`` (a cut too many only makes a shorter piece)."""
+    dx, dy = e.x2 - e.x1, e.y2 - e.y1
+
+    def cuts(f):
+        den = dx * (f.y2 - f.y1) - dy * (f.x2 - f.x1)
+        meet = F.try_divide((f.x1 - e.x1) * (f.y2 - f.y1) - (f.y1 - e.y1) * (f.x2 - f.x1), den)
+        along = [F.try_divide((x - e.x1) * dx + (y - e.y1) * dy, dx * dx + dy * dy) for x, y in ((f.x1, f.y1), (f.x2, f.y2))]
+        return F.array(meet, *along)
+    inner = F.filter(F.flatten(F.transform(others, cuts)), lambda t: (t > 0) & (t < 1))
+    ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inner)))
+    return F.transform(F.sequence(F.lit(1), F.size(ts) - 1), lambda i: F.struct(
+        (e.x1 + dx * (F.element_at(ts, i) + F.element_at(ts, i + 1)) / 2).alias("x"),
+        (e.y1 + dy * (F.element_at(ts, i) + F.element_at(ts, i + 1)) / 2).alias("y")))
+
+
+def interior_point(edges: Column) -> Column:
+    """A point inside the ring: halfway between the first two crossings of a
+    horizontal line between its two lowest vertex heights (NULL for a flat ring)."""
+    ys = F.array_sort(F.array_distinct(F.transform(edges, lambda e: e.y1)))
+    y = (F.try_element_at(ys, F.lit(1)) + F.try_element_at(ys, F.lit(2))) / 2
+    xs = F.array_sort(F.transform(F.filter(edges, lambda e: (e.y1 > y) != (e.y2 > y)),
+                                  lambda e: (e.x2 - e.x1) * (y - e.y1) / (e.y2 - e.y1) + e.x1))
+    return F.struct(((F.try_element_at(xs, F.lit(1)) + F.try_element_at(xs, F.lit(2))) / 2).alias("x"), y.alias("y"))
+
+
 def orient(ax, ay, bx, by, cx, cy) -> Column:
     """Sign of the orientation determinant of (a, b, c): -1, 0, 1."""
     return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))

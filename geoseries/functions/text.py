@@ -33,11 +33,6 @@ def strip_ws(c) -> Column:
     return F.trim(_c(c), F.lit(PY_WHITESPACE))
 
 
-def trim_spaces(c) -> Column:
-    """Strip only the space character on both ends."""
-    return F.trim(_c(c))
-
-
 def parse_number(c, to: str = "bigint") -> Column:
     """Numbers written with ``,`` thousands separators; bad text -> NULL."""
     return F.expr(f"try_cast(replace({_sql(c)}, ',', '') as {to})")

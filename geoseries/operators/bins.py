@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .clean import in_list
 from ..session import DEFAULT_BROADCAST_LIMIT, broadcast_if_small, cut_lineage
 
 DAY_SECONDS = 86400
@@ -94,7 +95,7 @@ def _requested(df: DataFrame, nhood_col: str, nhoods) -> tuple[DataFrame, DataFr
     keys = list(dict.fromkeys(nhoods))
     spark = df.sparkSession
     key_df = spark.createDataFrame([(k,) for k in keys], f"`{nhood_col}` string")
-    return df.where(F.col(nhood_col).isin(keys)), key_df
+    return in_list(df, nhood_col, keys), key_df
 
 
 def gap_grid(present: DataFrame, nhood_col: str, freq, key_df: DataFrame | None = None,

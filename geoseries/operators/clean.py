@@ -1,4 +1,4 @@
-"""Cleaning, filtering and de-duplication.
+"""Cleaning, filtering and de-duplication.
 
 All rules are row-local except the keep-first de-duplication, which is an
 aggregate (map-side combine) rather than a window: a hot key - even one
@@ -20,6 +20,7 @@ from .geo import label_points, relabel
 
 ORDER_COLS = ["file_seq", "block_start", "row_seq"]
 
+# The columns of the cleaned tables.
 CALL_COLUMNS = ["call_timestamp", "incident_id", "officerinitiated", "priority",
                 "calldescription", "category", "neighborhood", "longitude", "latitude"]
 POST_COLUMNS = ["created_at", "id_str", "text", "user", "source", "lng", "lat", "FID_nhood"]
@@ -121,7 +122,7 @@ def stage_calls(raw: DataFrame) -> DataFrame:
     """Per-file rules in the reference's order: null-neighbourhood drop -> strip ->
     category -> priority -> select -> typed casts (F3, P5, F4, F5, P1, P6, P7)."""
     ts_name = "call_timestamp" if "call_timestamp" in raw.columns else "call_timestamp_EST"
-    df = raw.where(F.col("neighborhood").isNotNull())
+    df = require_not_null(raw, ["neighborhood"])
     df = trim_strings(df, exclude=ORDER_COLS)
     df = df.where(not_in_keep_null("category", DROP_CATEGORIES))
     df = df.where(not_in_keep_null("priority", DROP_PRIORITIES))
@@ -143,7 +144,7 @@ def clean_calls(raw: DataFrame, polys: DataFrame, relabel_names: Sequence[str],
     first = keep_first(staged, ["incident_id"], ORDER_COLS)
     labelled = relabel(first, polys, relabel_names, name_col="neighborhood",
                        lng_col="longitude", lat_col="latitude", on_unknown=on_unknown)
-    return labelled.where(F.col("FID_nhood").isNotNull()).select(*CALL_COLUMNS, "FID_nhood")
+    return keep_columns(require_not_null(labelled, ["FID_nhood"]), [*CALL_COLUMNS, "FID_nhood"])
 
 
 def calls_stage_audit(raw: DataFrame) -> DataFrame:
@@ -184,15 +185,10 @@ def clean_posts(raw: DataFrame, polys: DataFrame) -> DataFrame:
     per_file = keep_first(raw, ["file_seq", "id_str"], ORDER_COLS)
     tagged = per_file.where(F.col("coordinates").isNotNull())
     lng, lat = lnglat_from_text("coordinates")
-    tagged = tagged.withColumn("lng", lng).withColumn("lat", lat).drop("coordinates")
+    tagged = drop_columns(tagged.withColumn("lng", lng).withColumn("lat", lat), ["coordinates"])
     labelled = label_points(tagged, polys, "lng", "lat", out_col="FID_nhood")
     kept = (labelled.where(F.col("FID_nhood").isNotNull())
                     .where(contains_any("source", KEEP_SOURCES)))
     once = keep_first(kept.select(*POST_COLUMNS, *ORDER_COLS), ["id_str"], ORDER_COLS)
     return once.select(parse_twitter_time("created_at").alias("created_at"),
                        *[c for c in POST_COLUMNS if c != "created_at"])
-
-
-def sort_for_sink(df: DataFrame, ts_col: str, tie: str) -> DataFrame:
-    """Ascending by time, NULLs last, tie broken by id (O1); only at sinks."""
-    return df.orderBy(F.col(ts_col).asc_nulls_last(), F.col(tie))

@@ -16,8 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import (bbox, covers_point, haversine_km, orient, ring_edges,
-                                  ring_from_coords, strictly_inside)
+from ..functions.geometry import (bbox, clearly_inside, covers_point, haversine_km, interior_point, orient,
+                                  piece_midpoints, ring_edges, ring_from_coords)
 from ..functions.text import geo_param_text, key_compose, parse_radius_km
 from ..session import DEFAULT_BROADCAST_LIMIT
 
@@ -209,11 +209,17 @@ def _proper_cross(a: Column, b: Column) -> Column:
     return (o1 * o2 < 0) & (o3 * o4 < 0)
 
 
-def _probe_points(edges: Column) -> Column:
-    """Vertices and edge midpoints of a ring."""
-    return F.flatten(F.transform(edges, lambda e: F.array(
-        F.struct(e.x1.alias("x"), e.y1.alias("y")),
-        F.struct(((e.x1 + e.x2) / 2).alias("x"), ((e.y1 + e.y2) / 2).alias("y")))))
+INSIDE_TOL = 1e-9   # degrees: closer to a boundary than this counts as on it
+
+
+def _enters(near_own: Column, near_other: Column, other: Column, in_box) -> Column:
+    """Some piece of the own edges runs inside the other ring: edges are split at
+    all their contacts with the other ring, so no piece changes sides."""
+    def pieces(e):
+        facing = F.filter(near_other, lambda f: (F.least(f.x1, f.x2) <= F.greatest(e.x1, e.x2)) & (F.greatest(f.x1, f.x2) >= F.least(e.x1, e.x2))
+                          & (F.least(f.y1, f.y2) <= F.greatest(e.y1, e.y2)) & (F.greatest(f.y1, f.y2) >= F.least(e.y1, e.y2)))
+        return F.filter(piece_midpoints(e, facing), in_box)
+    return F.exists(F.flatten(F.transform(near_own, pieces)), lambda q: clearly_inside(other, q.x, q.y, INSIDE_TOL))
 
 
 def adjacency(polys: DataFrame, cell: float | None = None) -> DataFrame:
@@ -221,22 +227,24 @@ def adjacency(polys: DataFrame, cell: float | None = None) -> DataFrame:
     interiors disjoint (corner contact counts; self, overlap, containment and
     equal rings do not) (J4).
 
-    Candidate pairs come from a self equi-join of bounding-box grid cells;
-    the exact tests run once per unordered pair (touching is symmetric) and
-    both directions are emitted.
+    Candidate pairs come from a self equi-join of bounding-box grid cells, kept
+    where the boxes meet and only in the cell of the lower corner of their
+    overlap (so a pair comes up once); the exact tests run once per unordered
+    pair (touching is symmetric) and both directions are emitted.
     """
     cell = cell or default_cell(polys)
     p = polys.where("valid").select("file_pos", "key", "edges", "ring", "minx", "miny", "maxx", "maxy")
-    cells = _cells(p, cell).select("_cx", "_cy", "file_pos")
+    cells = _cells(p, cell).select("_cx", "_cy", "file_pos", "minx", "miny", "maxx", "maxy")
+    corner = lambda c: F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / F.lit(float(cell)))
     pairs = (cells.alias("a").join(cells.alias("b"), ["_cx", "_cy"])
-                  .where(F.col("a.file_pos") < F.col("b.file_pos"))
-                  .select(F.col("a.file_pos").alias("pa"), F.col("b.file_pos").alias("pb"))
-                  .distinct())
+                  .where((F.col("a.file_pos") < F.col("b.file_pos"))
+                         & (F.col("a.minx") <= F.col("b.maxx")) & (F.col("b.minx") <= F.col("a.maxx"))
+                         & (F.col("a.miny") <= F.col("b.maxy")) & (F.col("b.miny") <= F.col("a.maxy"))
+                         & (F.col("_cx") == corner("minx")) & (F.col("_cy") == corner("miny")))
+                  .select(F.col("a.file_pos").alias("pa"), F.col("b.file_pos").alias("pb")))
     a = p.select(*[F.col(c).alias(c + "_a") for c in p.columns])
     b = p.select(*[F.col(c).alias(c + "_b") for c in p.columns])
-    j = (pairs.join(a, F.col("pa") == F.col("file_pos_a")).join(b, F.col("pb") == F.col("file_pos_b"))
-              .where((F.col("minx_a") <= F.col("maxx_b")) & (F.col("minx_b") <= F.col("maxx_a"))
-                     & (F.col("miny_a") <= F.col("maxy_b")) & (F.col("miny_b") <= F.col("maxy_a"))))
+    j = pairs.join(a, F.col("pa") == F.col("file_pos_a")).join(b, F.col("pb") == F.col("file_pos_b"))
     ea, eb = F.col("edges_a"), F.col("edges_b")
     # Exact pruning before the nested tests: two edges can only meet inside the
     # overlap of the two boxes, and a point strictly inside a polygon lies in
@@ -255,11 +263,11 @@ def adjacency(polys: DataFrame, cell: float | None = None) -> DataFrame:
     na, nb = F.filter(ea, near), F.filter(eb, near)
     meet = F.exists(na, lambda x: F.exists(nb, lambda y: _seg_intersect(x, y)))
     cross = F.exists(na, lambda x: F.exists(nb, lambda y: _proper_cross(x, y)))
-    a_in_b = F.exists(F.filter(_probe_points(ea), lambda q: in_box(q, "b")),
-                      lambda q: strictly_inside(eb, q.x, q.y))
-    b_in_a = F.exists(F.filter(_probe_points(eb), lambda q: in_box(q, "a")),
-                      lambda q: strictly_inside(ea, q.x, q.y))
-    same = F.array_sort(F.array_distinct(F.col("ring_a"))) == F.array_sort(F.array_distinct(F.col("ring_b")))
+    a_in_b = _enters(na, nb, eb, lambda q: in_box(q, "b"))
+    b_in_a = _enters(nb, na, ea, lambda q: in_box(q, "a"))
+    # rings that bound the same region in other vertices: one interior point tells
+    inner = interior_point(ea)
+    same = F.coalesce(clearly_inside(eb, inner.x, inner.y, INSIDE_TOL), F.lit(False))
     touch = meet & ~cross & ~a_in_b & ~b_in_a & ~same
     both = F.array(
         F.struct(F.col("key_a").alias("centre"), F.col("key_b").alias("neighbour"),

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 
 def first_non_null(df: DataFrame, group: str, value: str, order: Sequence[str]) -> DataFrame:
     """First non-NULL ``value`` per group in row order (A5)."""
@@ -28,10 +30,11 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, col: str, scale: float = 100.0) -> DataFrame:
-    """Count and share of the total per value (A7); the window runs on the
-    aggregated table (one row per distinct value)."""
-    vc = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    return vc.withColumn("share", F.col("count") * F.lit(scale) / F.sum("count").over(Window.partitionBy()))
+    """Count and share of the total per value (A7).  The counts are written once;
+    their total (one number) comes from that small table."""
+    vc = cut_lineage(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count")), "value-counts")
+    total = vc.agg(F.sum("count")).first()[0]
+    return vc.withColumn("share", F.col("count") * F.lit(scale) / F.lit(total).cast("bigint"))
 
 
 def distinct_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 
 def _w(series: str, order: str):
     return Window.partitionBy(series).orderBy(order)
@@ -134,18 +136,23 @@ def joint_lag_rows(long: DataFrame, lag: int, series: str = "series", order: str
     """Joint supervised rows: at each bin the values of *all* series form one
     vector (series in first-seen order); ``lags`` = the previous ``lag``
     vectors flattened oldest->newest (lag x series features), ``y`` = the
-    current vector (W7, joint form).  The window runs over the per-bin table
-    (one row per bin)."""
-    idx = series_index(long, series, order)
-    per_bin = (long.join(idx, series)
-                   .groupBy(order).agg(F.array_sort(F.collect_list(F.struct("idx", F.col(value).cast("double")
-                                                                           .alias("v")))).alias("_s")))
-    per_bin = per_bin.select(order, F.transform("_s", lambda e: e.v).alias("y"))
-    w = Window.partitionBy().orderBy(order)
-    d = per_bin.withColumn("_hist", F.collect_list("y").over(w.rowsBetween(-lag, -1))) \
-               .withColumn("_pos", F.row_number().over(w) - 1)
-    return d.where(F.size("_hist") == lag).select(
-        (F.col("_pos") - lag).alias("row_idx"), order, F.flatten("_hist").alias("lags"), "y")
+    current vector (W7, joint form).
+
+    A series without a row in some bin has NULL at its place there, so places
+    never shift.  The only window without a key numbers the distinct bins; the
+    vectors reach the rows they are lags of by an equi-join on that number."""
+    idx = cut_lineage(series_index(long, series, order), "series-index")
+    places = F.sequence(F.lit(0), F.lit(max(idx.count() - 1, 0)))
+    vectors = (long.join(idx, series)
+                   .groupBy(order).agg(F.map_from_entries(F.collect_list(F.struct("idx", F.col(value).cast("double")))).alias("_m"))
+                   .select(order, F.transform(places, lambda i: F.try_element_at("_m", i.cast(dict(idx.dtypes)["idx"]))).alias("y")))
+    numbers = long.select(order).distinct().withColumn("_pos", F.row_number().over(Window.partitionBy().orderBy(order)) - 1)
+    rows = cut_lineage(vectors.join(numbers, order), "vectors")
+    shifts = F.explode(F.sequence(F.lit(1), F.lit(lag))).alias("_k")
+    before = rows.select("_pos", F.col("y").alias("_v"), shifts).select((F.col("_pos") + F.col("_k")).alias("_pos"), F.struct((-F.col("_k")).alias("k"), F.col("_v").alias("v")).alias("_e"))
+    hist = before.groupBy("_pos").agg(F.array_sort(F.collect_list("_e")).alias("_hist")).where(F.size("_hist") == lag)
+    return rows.join(hist, "_pos").select(
+        (F.col("_pos") - lag).alias("row_idx"), order, F.flatten(F.transform("_hist", lambda e: e.v)).alias("lags"), "y")
 
 
 def _split_sizes(n: Column, test, val) -> tuple[Column, Column]:

@@ -261,7 +261,7 @@ def q_city_total(spark, sf):
 def q_wide_series(spark, sf):
     """Attention level pivoted to one column per neighbourhood."""
     al = tidy(bins.attention_level(clean_calls_df(spark, sf), "all", FREQ))
-    return bins.to_wide(al, "FID_nhood", "att_level")
+    return bins.to_wide(al, "FID_nhood", "att_level", order=S.NHOOD_KEYS)
 
 
 @register("unpivot_series")
@@ -585,7 +585,7 @@ def q_stream_total_once(spark, sf):
 def q_stream_bin_once(spark, sf):
     """Distinct statuses per 3-h event-time window, deduplicated within the watermark (ST5)."""
     base = _land_statuses(spark, sf)
-    q = st.run_window_counts(_stream_statuses(spark, base), f"{base}/bins", f"{base}/ckpt_bins")
+    q = st.run_window_counts(_stream_statuses(spark, base), f"{base}/bins", f"{base}/ckpt_bins", delay="60 days")
     q.awaitTermination()
     return tidy(st.latest_window_counts(spark, f"{base}/bins"))
 

@@ -97,7 +97,7 @@ ID_OPERATORS = {
     "w06": "operators.series.decompose", "w07": "operators.series.lag_rows / joint_lag_rows",
     "w08": "operators.series.ts_split", "w09": "operators.series.tabular_split",
     "w10": "operators.profile.top_per_group", "w11": "operators.profile.last_n / last_fraction",
-    "o01": "operators.clean.sort_for_sink, sources.sinks.write_table(sort_by)", "o02": "stand-in page order",
+    "o01": "sources.sinks.write_table(sort_by)", "o02": "stand-in page order",
     "o03": "operators.profile.top_values", "o04": "operators.profile.newest", "u01": "sources.files.read_calls_csv (union by name)",
     "m01": "operators.forecast.linear_recursive / linear_recursive_joint / model_recursive",
     "m02": "operators.forecast.backtest", "m03": "operators.forecast.rf_grid, candidate_grid",

@@ -8,6 +8,8 @@ the Spark name.
 
 from __future__ import annotations
 
+from .standins import NHOOD_KEYS
+
 # ---------------------------------------------------------------------------
 # Stand-in CTEs
 # ---------------------------------------------------------------------------
@@ -334,7 +336,8 @@ grid AS """ + grid_sql("present", "FID_nhood") + """,
 al AS (SELECT grid.bin, grid.FID_nhood, round(coalesce(n, 0) / (coalesce(avg_value, 0) + 1) + 1, 6) AS att_level
        FROM grid LEFT JOIN present USING (FID_nhood, bin))"""
 
-Q["wide_series"] = with_(AL, "PIVOT al ON FID_nhood USING first(att_level) GROUP BY bin")
+Q["wide_series"] = with_(AL, "SELECT bin, " + ", ".join(
+    f"max(att_level) FILTER (WHERE FID_nhood = '{k}') AS \"{k}\"" for k in NHOOD_KEYS) + " FROM al GROUP BY bin")
 Q["unpivot_series"] = with_(AL, "SELECT bin, FID_nhood, att_level FROM al")
 
 Q["point_in_polygon"] = with_(CALLS_STAGED + ",\n" + pip_sql("calls_first", "incident_id", "longitude",

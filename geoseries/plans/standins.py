@@ -37,6 +37,10 @@ SOURCE_APPS = ["Twitter for iPhone", "Instagram", "Foursquare", "Tweetlogix", "U
 AREA_BOX = (0.0, 0.0, 10.0, 10.0)
 
 
+# Keys of the stand-in neighbourhoods (25 nations; number 17 has the name of number 3).
+NHOOD_KEYS = [f"{i},NATION_{3 if i == 17 else i}" for i in range(25)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

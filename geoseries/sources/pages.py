@@ -24,8 +24,9 @@ def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
     """Landed pages as ``(page_no, text)``.
 
     ``lines=False``: one JSON document per file; ``lines=True``: one document
-    per line.  Page order = file name order, then line order.  The window
-    runs over the page list (one row per page), not over the records.
+    per line.  Page order = file name order, then line order.  Pages are
+    numbered by a window over their names and line numbers only; the text never
+    enters it and joins the numbers afterwards.
     """
     if lines:
         df = spark.read.text(path).select(F.col("_metadata.file_path").alias("_f"),
@@ -33,9 +34,9 @@ def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
     else:
         df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_f"),
                                                           F.lit(0).alias("_r"), "value")
-    w = Window.orderBy("_f", "_r")
-    return df.where(F.length(F.trim("value")) > 0).select(F.row_number().over(w).alias("page_no"),
-                                                          F.col("value").alias("text"))
+    df = df.where(F.length(F.trim("value")) > 0)
+    numbers = df.select("_f", "_r").withColumn("page_no", F.row_number().over(Window.orderBy("_f", "_r")))
+    return df.join(numbers, ["_f", "_r"]).select("page_no", F.col("value").alias("text"))
 
 
 def geojson_schema(properties: T.StructType) -> T.StructType:

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.geo import label_points
 from ..sources.sinks import append_entities
 from ..sources.statuses import parse_statuses, place_rows, tweet_rows, user_rows
 
@@ -49,10 +50,12 @@ def run_entity_sink(statuses: DataFrame, out_base: str, checkpoint: str, query_t
     """ST1: append tweet / user / place rows per micro-batch (idempotent by batch id)."""
     def batch(df: DataFrame, batch_id: int) -> None:
         df = df.persist()
-        append_entities({"tweet": tweet_rows(df, query_time, query_geo),
-                         "user": user_rows(df, query_time, query_geo),
-                         "place": place_rows(df, query_time, query_geo)}, out_base, batch_id)
-        df.unpersist()
+        try:
+            append_entities({"tweet": tweet_rows(df, query_time, query_geo),
+                             "user": user_rows(df, query_time, query_geo),
+                             "place": place_rows(df, query_time, query_geo)}, out_base, batch_id)
+        finally:
+            df.unpersist()
     w = statuses.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()
 
@@ -73,24 +76,42 @@ def event_time(statuses: DataFrame) -> DataFrame:
         "event_time", F.expr("try_to_timestamp(substring(created_at, 5), 'MMM dd HH:mm:ss Z yyyy')"))
 
 
-def run_window_counts(statuses: DataFrame, out_base: str, checkpoint: str, window: str = "3 hours",
-                      delay: str = "60 days", trigger: str = "availableNow"):
-    """ST5: distinct statuses per event-time window (dedupe within the watermark),
-    update mode; every batch's changed windows land in their ``batch_id=`` folder."""
-    ev = (event_time(statuses).select("id_str", "event_time")
+def label_statuses(statuses: DataFrame, polys: DataFrame, out_col: str = "FID_nhood") -> DataFrame:
+    """Statuses with the key of the polygon that holds their point (a join of the
+    stream with the static polygon cells)."""
+    point = F.col("coordinates.coordinates")
+    located = statuses.withColumns({"_lng": point[0], "_lat": point[1]})
+    return label_points(located, polys, "_lng", "_lat", out_col=out_col).drop("_lng", "_lat")
+
+
+def dropped_late(query) -> int:
+    """Rows a query's stateful operators have dropped as later than the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def run_window_counts(statuses: DataFrame, out_base: str, checkpoint: str, delay: str, window: str = "3 hours",
+                      nhood_col: str | None = None, trigger: str = "availableNow"):
+    """ST5: distinct statuses per event-time window, and per neighbourhood if
+    ``nhood_col`` is given (:func:`label_statuses`), de-duplicated within the
+    watermark; update mode; every batch's changed windows land in their
+    ``batch_id=`` folder.  Statuses more than ``delay`` behind the newest one
+    are dropped (:func:`dropped_late` counts them): choose it longer than any
+    landing is late."""
+    keys = [nhood_col] if nhood_col else []
+    ev = (event_time(statuses).select("id_str", "event_time", *keys)
           .withWatermark("event_time", delay)
           .dropDuplicatesWithinWatermark(["id_str"]))
-    counts = ev.groupBy(F.window("event_time", window).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    counts = ev.groupBy(F.window("event_time", window).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
         out = df.select(F.timestamp_add("MICROSECOND", F.unix_micros(F.col("w.start")),
-                                        F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")).alias("bin"), "n")
+                                        F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")).alias("bin"), *keys, "n")
         out.write.mode("overwrite").parquet(f"{out_base.rstrip('/')}/batch_id={batch_id}")
     w = counts.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()
 
 
 def latest_window_counts(spark: SparkSession, out_base: str) -> DataFrame:
-    """Read ST5 output back: the last batch's value per window."""
+    """Read ST5 output back: the last batch's value per window (and neighbourhood)."""
     d = spark.read.parquet(out_base)
-    return d.groupBy("bin").agg(F.max_by("n", "batch_id").alias("n"))
+    return d.groupBy(*[c for c in d.columns if c not in ("n", "batch_id")]).agg(F.max_by("n", "batch_id").alias("n"))

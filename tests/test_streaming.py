@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from geoseries.operators import geo
 from geoseries.sources import statuses as stat
 from geoseries.streaming import statuses as st
 
@@ -46,10 +47,20 @@ def test_stream_equals_batch(spark):
     assert users == batch.where(F.col("user").isNotNull()).count()
     # watermark dedupe + window counts = distinct ids per 3-h window
     q2 = st.run_window_counts(st.in_box(st.status_stream(spark, land, max_files=1), (0.0, 0.0, 10.0, 10.0)),
-                              f"{base}/bins", f"{base}/ck2")
+                              f"{base}/bins", f"{base}/ck2", delay="60 days")
     q2.awaitTermination()
     wc = {r.bin: r.n for r in st.latest_window_counts(spark, f"{base}/bins").collect()}
     assert sum(wc.values()) == 40
+    assert st.dropped_late(q2) == 0
+    square = spark.createDataFrame([(0, 1, "A", [(0.0, 0.0), (6.0, 0.0), (6.0, 10.0), (0.0, 10.0), (0.0, 0.0)])],
+                                   "pos long, num int, name string, ring array<struct<x double, y double>>")
+    polys = geo.polygons_from_rings(square, "pos", "num", "name", "ring")
+    labelled = st.label_statuses(st.in_box(st.status_stream(spark, land, max_files=1), (0.0, 0.0, 10.0, 10.0)), polys)
+    q4 = st.run_window_counts(labelled, f"{base}/nbins", f"{base}/ck4", delay="60 days", nhood_col="FID_nhood")
+    q4.awaitTermination()
+    per = st.latest_window_counts(spark, f"{base}/nbins")
+    totals = {r.bin: r.t for r in per.groupBy("bin").agg(F.sum("n").alias("t")).collect()}
+    assert totals == wc and {r.FID_nhood for r in per.collect()} <= {"1,A", None}
     q3 = st.run_running_count(stream, f"{base}/total", f"{base}/ck3")
     q3.awaitTermination()
     assert spark.read.parquet(f"{base}/total").first().statuses == 50
