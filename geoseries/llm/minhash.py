@@ -11,15 +11,15 @@ larger.
 
 Candidates: equal texts (by a 128-bit digest of the shingle set) collapse to
 their smallest id first, so groups of copies cost one row.  Signatures are cut
-into bands; documents with an equal band share a bucket.  Rounds compare the
-members of a bucket with its centres, which come in a fixed random order (one,
-then two more, four more ...), and only where their components still differ;
-verified links merge components between rounds, so a group of near copies
-costs its size, not its square.  Once the cross-component pairs that are left
-are few for the rows of their buckets, all of them are verified: no candidate
-pair of two components is ever skipped.  Links are verified on full shingle
-sets; components come from joins.  With 56 bands of 6, a pair at similarity
-0.8 escapes all bands with probability 4e-8.
+into bands; documents with an equal band share a bucket.  First the members of
+a bucket are compared with its centre (the first in a fixed random order),
+which gathers a group of near copies at its size, not its square.  Then, in
+buckets that still hold several components, each row outside the largest one
+is held against the other components' rows: a parity sketch of the shingle set
+bounds their common shingles exactly from above, and only pairs that may reach
+the threshold leave the join.  No candidate pair of two components is skipped.
+Links are verified on full shingle sets; components come from joins.  With 56
+bands of 6, a pair at similarity 0.8 escapes all bands with probability 4e-8.
 
 Nulls: a text that is null or has no words has an empty set, linked with
 nothing; a row without an id is linked with nothing and has a null component.
@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 
 from geoseries.llm.graph import components
 from geoseries.llm.textkit import SPACED, binary_column, joined_words, map_batches, mix64, salt, signed, slices, texts_of
-from geoseries.session import cut_lineage
+from geoseries.session import cut_lineage, drop_staged
 
 BANDS = 56
 ROWS = 6
 PLACES = 337            # prime, at least BANDS * ROWS
-FIRST_BANDS = 8         # bands of the first round
-FEW_PAIRS = 4           # cross-component pairs a bucket row at which all are verified at once
+FIRST_BANDS = 16        # bands whose buckets are compared with their centre first
+SKETCH_WORDS = 16       # 64-bit words of a document's parity sketch
 SEMI_JOIN_IDS = 2_000_000   # ids broadcast at most (16 MB); more go through a shuffle
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -96,7 +96,16 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return mix64(mix64(own) + np.array([salt(500 + b) for b in range(bands)]))
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def sketches(names: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Parity sketches (n x words): each shingle flips one bit.  Shingles that two
+    sets do not share flip at least as many bits as the sketches differ in."""
+    bits = 64 * SKETCH_WORDS
+    at = doc * bits + (mix64(names ^ salt(602)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, SKETCH_WORDS, 64), axis=2, bitorder="little").view(np.uint64).reshape(n, SKETCH_WORDS)
+
+
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
 def signed_documents(docs: DataFrame, k: int) -> DataFrame:
@@ -116,9 +125,9 @@ def signed_documents(docs: DataFrame, k: int) -> DataFrame:
             bands: list = [[]] * n
             for i, row in zip(some, signed(keys), strict=True):
                 bands[i] = row
-            yield {"doc_id": ids[lo:hi], "n_shingles": size, "d1": signed(d1), "d2": signed(d2), "bands": pa.array(bands, pa.list_(pa.int64()))}
+            yield {"doc_id": ids[lo:hi], "n_shingles": size, "d1": signed(d1), "d2": signed(d2), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": list(signed(sketches(own, doc, n)))}
 
-    return map_batches(texts_of(docs), fn, SIGNED, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return map_batches(texts_of(docs), fn, SIGNED, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -147,51 +156,59 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, band, node, n_shingles, rank, component): rows of all buckets with two members at least, in a fixed random order."""
+    """(key, band, node, n_shingles, rank): rows of all buckets with two members at least, in a fixed random order."""
     rows = nodes.select(F.posexplode("bands").alias("band", "key"), "node", "n_shingles")
     by_key = Window.partitionBy("key")
     return (rows.withColumns({"members": F.count("*").over(by_key), "rank": F.row_number().over(by_key.orderBy(F.xxhash64("node"), "node"))})
-            .filter("members > 1").drop("members").withColumn("component", F.col("node")))
+            .filter("members > 1").drop("members"))
+
+
+def _sized(percent: int):
+    return 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
-def _pairs(buckets: DataFrame, centres, percent: int) -> DataFrame:
-    """Distinct pairs of a centre and a later member of its bucket, of different components and possible sizes."""
-    x = buckets.filter(centres).select("key", F.col("node").alias("u"), F.col("n_shingles").alias("nu"), F.col("rank").alias("ru"), F.col("component").alias("cu"))
-    y = buckets.select("key", F.col("node").alias("v"), F.col("n_shingles").alias("nv"), F.col("rank").alias("rv"), F.col("component").alias("cv"))
-    fits = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (F.col("rv") > F.col("ru")) & (F.col("cu") != F.col("cv"))
-    return x.join(y, (x.key == y.key) & fits).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+def _star_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """Every member of a bucket with the bucket's centre."""
+    x = buckets.filter("rank = 1").select("key", F.col("node").alias("u"), F.col("n_shingles").alias("nu"))
+    y = buckets.filter("rank > 1").select("key", F.col("node").alias("v"), F.col("n_shingles").alias("nv"))
+    return _ordered(x.join(y, (x.key == y.key) & (F.col("u") != F.col("v")) & _sized(percent)))
 
 
-def _relabelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets whose members still lie in several components."""
+def _stray_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The pairs of one bucket that lie in different components and may still be
+    similar: each row outside its bucket's largest component with every other row.
+    The bound on the common shingles, (u + v - differing sketch bits) / 2, never
+    falls short, so no similar pair is lost; dissimilar ones hardly pass it."""
     by_key = Window.partitionBy("key")
-    return (buckets.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            .withColumn("mixed", F.min("component").over(by_key) != F.max("component").over(by_key)).filter("mixed").drop("mixed"))
+    own = (buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+           .withColumn("mixed", F.min("component").over(by_key) != F.max("component").over(by_key)).filter("mixed")
+           .select("key", "node", "n_shingles", "component"))
+    own = cut_lineage(own, "mixed")
+    main = own.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    words = [F.col("sketch")[i] for i in range(SKETCH_WORDS)]
+    sketched = own.join(nodes.select("node", *[w.alias(f"w{i}") for i, w in enumerate(words)]), "node")
+    side = lambda rows, s: rows.select("key", *[F.col(c).alias(f"{x}{s}") for c, x in (("node", ""), ("n_shingles", "n"), ("component", "c"))],
+                                       *[F.col(f"w{i}").alias(f"w{i}{s}") for i in range(SKETCH_WORDS)])
+    x, y = side(sketched.join(main, "key").filter("component <> main"), "u"), side(sketched, "v")
+    differ = sum((F.bit_count(F.col(f"w{i}u").bitwiseXOR(F.col(f"w{i}v"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("w0u").bitwiseXOR(F.col("w0v"))))
+    common = F.col("nu") + F.col("nv") - differ  # twice the bound
+    similar = 100 * common >= percent * (2 * (F.col("nu") + F.col("nv")) - common)
+    return _ordered(x.join(y, (x.key == y.key) & (F.col("cu") != F.col("cv")) & _sized(percent) & similar))
 
 
 def link(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of all nodes that have a link."""
     buckets = cut_lineage(_buckets(nodes), "buckets")
-    edges = tested = None
-    labels = nodes.select("node", F.col("node").alias("component")).limit(0)
-    first, ranks = True, 1  # the first round compares within a few bands only: most of a large group meets there
-    while True:
-        left = buckets.filter((F.col("band") < FIRST_BANDS) if first else (F.col("rank") >= ranks))
-        counts = left.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        rows, open_pairs = counts.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0))).first()
-        last = not first and open_pairs <= FEW_PAIRS * rows
-        if open_pairs:
-            pairs = _pairs(left, F.lit(True) if last else F.col("rank") < 2 * ranks, percent)
-            pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            found = cut_lineage(verified(docs, pairs, k, percent), "edges")
-            edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges)
-            if not last:
-                buckets = cut_lineage(_relabelled(buckets, labels), "buckets")
-        if last:
-            return labels
-        first, ranks = False, ranks if first else 2 * ranks
+    pairs = cut_lineage(_star_pairs(buckets.filter(F.col("band") < FIRST_BANDS), percent), "pairs")
+    edges = cut_lineage(verified(docs, pairs, k, percent), "edges")
+    rest = cut_lineage(_stray_pairs(buckets, nodes, components(edges), percent), "pairs")
+    drop_staged(buckets)
+    more = cut_lineage(verified(docs, rest, k, percent), "edges")
+    return components(edges.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -201,7 +218,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     own = cut_lineage(signed_documents(docs, k), "signed")
     groups = cut_lineage(own.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node")), "groups")
     nodes = (own.join(groups, ["d1", "d2", "n_shingles"]).filter("doc_id = node")
-             .select("node", "n_shingles", "bands"))
+             .select("node", "n_shingles", "bands", "sketch"))
     labels = link(docs, nodes, k, percent)
     classes = groups.join(labels, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("component"))
     return (own.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
