@@ -148,6 +148,8 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 PACKAGE = "geoseries-workers.zip"
+#: What a task holds of its input at once, in the JVM, on the way and in Python; texts are long rows.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -168,8 +170,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, ddl: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped first."""
+    """``mapInArrow`` with the package shipped first and batches of bounded size."""
     ship_package(df.sparkSession)
+    for key, most in BATCH.items():
+        df.sparkSession.conf.set(key, most)
     return df.mapInArrow(run, ddl)
 
 
