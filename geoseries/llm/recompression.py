@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoseries.llm.textkit import SPACED, binary_column, grams, joined_words, map_batches, mix64, salt, signed, slices, texts_of
-from geoseries.session import cut_lineage
+from geoseries.session import cut_lineage, drop_staged
 
 WINDOW = 50
 ROUNDS = 12
@@ -212,14 +212,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # the smallest id of each word sequence stands for all its copies
     first = cut_lineage(own.filter(f"n_words >= {window}").groupBy("words_sha256").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("key")), "first")
     names = cut_lineage(symbols(_chosen(keyed, first.select("key").distinct()), window), "symbols")
-    shared = names.groupBy("name").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most")
-    found = cut_lineage(names.join(shared.select("name"), "name", "left_semi").distinct(), "shared")
+    # staged, so that both sides of the join are plain shuffles and a hot name's partition can be split
+    shared = cut_lineage(names.groupBy("name").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("name"), "shared-names")
+    found = cut_lineage(names.join(shared, "name", "left_semi").distinct(), "shared")
+    drop_staged(names)
     per_row = found.groupBy("key").agg(F.collect_list("name").alias("shared"))  # bounded by the row's own text
     part = _chosen(keyed, found.select("key").distinct())
     seqs = cut_lineage(windows(part.join(per_row, "key"), window), "windows")
-    least = seqs.groupBy("seq").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("seq", "least")
+    least = cut_lineage(seqs.groupBy("seq").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("seq", "least"), "least")
     gone = seqs.join(least, "seq").filter("key > least").groupBy("key").agg(F.collect_list("at").alias("gone"))
     gone = cut_lineage(gone, "gone")
+    drop_staged(seqs)
     cut = _cut(_chosen(keyed, gone.select("key")).join(gone, "key"), window)
     verdict = cut_lineage(cut, "cut")
     nothing = hashlib.sha256(b"").hexdigest()
