@@ -205,10 +205,23 @@ def link(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     buckets = cut_lineage(_buckets(nodes), "buckets")
     pairs = cut_lineage(_star_pairs(buckets.filter(F.col("band") < FIRST_BANDS), percent), "pairs")
     edges = cut_lineage(verified(docs, pairs, k, percent), "edges")
-    rest = cut_lineage(_stray_pairs(buckets, nodes, components(edges), percent), "pairs")
+    labels = components(edges)
+    rest = cut_lineage(_stray_pairs(buckets, nodes, labels, percent), "pairs")
     drop_staged(buckets)
-    more = cut_lineage(verified(docs, rest, k, percent), "edges")
-    return components(edges.unionByName(more))
+    return _merged(labels, cut_lineage(verified(docs, rest, k, percent), "edges"))
+
+
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components after further edges: those join whole components, so they are
+    contracted to the components' labels first."""
+    def label_of(rows: DataFrame, end: str) -> DataFrame:
+        own = labels.select(F.col("node").alias(end), F.col("component").alias("to"))
+        return rows.join(own, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+
+    between = components(label_of(label_of(edges, "a"), "b").filter("a <> b").distinct())
+    up = between.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return (labels.join(up, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            .unionByName(between.join(labels, "node", "left_anti")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
