@@ -181,23 +181,27 @@ def _star_pairs(buckets: DataFrame, percent: int) -> DataFrame:
 def _stray_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The pairs of one bucket that lie in different components and may still be
     similar: each row outside its bucket's largest component with every other row.
+    A pair leaves the join once, from the first band that it shares.
     The bound on the common shingles, (u + v - differing sketch bits) / 2, never
     falls short, so no similar pair is lost; dissimilar ones hardly pass it."""
     by_key = Window.partitionBy("key")
     own = (buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
            .withColumn("mixed", F.min("component").over(by_key) != F.max("component").over(by_key)).filter("mixed")
-           .select("key", "node", "n_shingles", "component"))
+           .select("key", "band", "node", "n_shingles", "component"))
     own = cut_lineage(own, "mixed")
     main = own.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     words = [F.col("sketch")[i] for i in range(SKETCH_WORDS)]
-    sketched = own.join(nodes.select("node", *[w.alias(f"w{i}") for i, w in enumerate(words)]), "node")
-    side = lambda rows, s: rows.select("key", *[F.col(c).alias(f"{x}{s}") for c, x in (("node", ""), ("n_shingles", "n"), ("component", "c"))],
+    sketched = own.join(nodes.select("node", "bands", *[w.alias(f"w{i}") for i, w in enumerate(words)]), "node")
+    side = lambda rows, s: rows.select("key", *[F.col(c).alias(f"{x}{s}") for c, x in (("node", ""), ("n_shingles", "n"), ("component", "c"), ("bands", "bands_"), ("band", "band_"))],
                                        *[F.col(f"w{i}").alias(f"w{i}{s}") for i in range(SKETCH_WORDS)])
     x, y = side(sketched.join(main, "key").filter("component <> main"), "u"), side(sketched, "v")
     differ = sum((F.bit_count(F.col(f"w{i}u").bitwiseXOR(F.col(f"w{i}v"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("w0u").bitwiseXOR(F.col("w0v"))))
     common = F.col("nu") + F.col("nv") - differ  # twice the bound
     similar = 100 * common >= percent * (2 * (F.col("nu") + F.col("nv")) - common)
-    return _ordered(x.join(y, (x.key == y.key) & (F.col("cu") != F.col("cv")) & _sized(percent) & similar))
+    # in the first band they share: there the pair is mixed too, and one of it a stray
+    before = lambda s: F.slice(f"bands_{s}", F.lit(1), F.col(f"band_{s}"))
+    once = ~F.arrays_overlap(before("u"), before("v"))
+    return _ordered(x.join(y, (x.key == y.key) & (F.col("cu") != F.col("cv")) & _sized(percent) & similar & once))
 
 
 def link(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
