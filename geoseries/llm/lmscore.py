@@ -1,18 +1,21 @@
 """Operator 8, language-model scoring by cross-entropy difference.
 
 Two word-bigram models, matched in order, vocabulary and smoothing: the target
-(documents labelled good) and the background (all documents).  Their shared
-vocabulary is a fixed number of hashed cells: every word and every word pair
-of the corpus is counted in its cell, none is dropped.  A document's score is
-the mean over its words of the target loss less the background loss (lower is
-closer to the target), its own words taken out of both models first, so no
-document is judged by itself.
-
-Counting: every task sums its own documents and passes on blocks of cells;
-blocks are added up in two shuffles (salted first, so that no task adds up the
-whole corpus for a block).  What is gathered grows with the number of tasks;
-the finished model has ``2**WORD_BITS + 2**PAIR_BITS`` cells twice, 21 MB, the
-bound of what reaches the driver and is broadcast.
+(documents labelled good) and the background (all documents).  Every word,
+every context (the word before, or a text's start) and every (context, word)
+pair is counted under its own 64-bit name, so the models grow with the corpus
+and are exact up to hash collisions; the shared vocabulary is the number of
+distinct words of all documents.  A document's score is the mean over its
+words of the target loss less the background loss (lower is closer to the
+target), its own words taken out of both models first, so no document is
+judged by itself.
+
+Counting: documents are dealt into blocks of ``BLOCK_BYTES`` of text (a longer
+text is in a block of its own).  A block counts its own names and sends them,
+packed, to buckets by name; a bucket adds up the blocks' counts and sends back
+the sums in the order of the block's sorted names.  A name has at most one entry
+per block, however common it is, and buckets grow in number with the text.  The driver gets three sums: the distinct words and the
+words of either model.
 
 Nulls: a null or wordless text has no score (nulls) and 0 words.  Labels that
 are null or name no document count for nothing; a document with several labels
@@ -23,12 +26,16 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoseries.llm.textkit import ALNUM, binary_column, joined_words, map_arrow, map_batches, mix64, salt, slices, texts_of
+from geoseries.llm.textkit import ALNUM, binary_column, joined_words, map_arrow, mix64, salt, ship_package, slices, texts_of
+from geoseries.session import cut_lineage
 
 WORD_BITS = 18
 PAIR_BITS = 20
@@ -37,6 +44,9 @@ SALTS = 64
 PRIOR = 0.5             # added to every word cell
 WEIGHT = 8.0            # words of belief in the word model when a pair is scored
 BROADCAST_IDS = 2_000_000
+BLOCK_BYTES = 8 << 20   # text counted and scored at once
+BUCKET_BYTES = 8 << 20  # text whose names one bucket adds up
+KINDS = ("words", "contexts", "pairs")
 CELLS = (1 << WORD_BITS) + (1 << PAIR_BITS)
 
 
@@ -89,62 +99,226 @@ def count_cells(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> np.ndarray:
-    """Counts (background, target) x cells."""
+    """Counts (background, target) x cells: a bounded histogram of the corpus, not what documents are scored with."""
     total = np.zeros((2, CELLS), dtype=np.int64)
     for r in count_cells(rows).collect():  # CELLS is the bound
         total[:, r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.counts, dtype=np.int64).reshape(2, -1)
     return total
 
 
-def losses(counts: np.ndarray, words: int, word: np.ndarray, last: np.ndarray, pair: np.ndarray, own: tuple[np.ndarray, ...], n_own: np.ndarray) -> np.ndarray:
-    """-log P(word | word before) of each word under one model, less its document's own counts."""
-    own_word, own_last, own_pair = own
-    vocabulary = 1 << WORD_BITS
-    single = (counts[word] - own_word + PRIOR) / (words - n_own + PRIOR * vocabulary)
-    seen = np.where(last >= 0, counts[np.maximum(last, 0)] - own_last, 0)
-    return -np.log((counts[vocabulary + pair] - own_pair + WEIGHT * single) / (np.maximum(seen, counts[vocabulary + pair] - own_pair) + WEIGHT))
+def names_of(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word the names of the word, of its context (0: a text's start, before mixing) and of the pair."""
+    before = np.concatenate([np.zeros(1, dtype=np.uint64), names[:-1]]) if len(names) else names
+    before[bounds[:-1][np.diff(bounds) > 0]] = 0
+    return names, mix64(before ^ salt(803)), mix64(before * salt(801) + names * salt(802))
+
+
+def _read(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Word names and bounds of several texts, read in slices."""
+    names, sizes = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    for lo, hi in slices(texts):
+        _, own, _, _, bounds = joined_words(texts[lo:hi], ALNUM, True)
+        names.append(own)
+        sizes.append(np.diff(bounds))
+    return np.concatenate(names), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _counted(keys: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and (background, target) counts."""
+    key, n = np.unique(keys, return_counts=True)
+    some, m = np.unique(keys[good], return_counts=True)
+    counts = np.zeros((2, len(key)), dtype=np.int64)
+    counts[0], counts[1, np.searchsorted(key, some)] = n, m
+    return key, counts
+
+
+def _packed(columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers, deflated byte place by byte place (small numbers are mostly zero bytes)."""
+    return zlib.compress(columns.reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes, columns: int) -> np.ndarray:
+    places = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(places.T).view(np.int64).reshape(columns, -1)
+
 
+def _bucket_edges(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket starts in sorted keys (buckets are ranges of the key's upper half)."""
+    return np.searchsorted((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
-def _own_counts(doc: np.ndarray, cell: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often each cell occurs in its own document; the distinct keys and counts."""
-    keys, at, n = np.unique((doc << bits) | cell, return_inverse=True, return_counts=True)
-    return n[at], keys, n
 
+def in_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, doc_id, text, target): consecutive rows of a task share a block."""
 
-def score(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Per row (doc_id, text, target): doc_id, n_words, target_loss, background_loss, score."""
-    held = rows.sparkSession.sparkContext.broadcast(counts)
+    def one_task(batches):
+        from pyspark import TaskContext
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            own = []
+            for t in binary_column(b, "text"):
+                n = len(t or b"")
+                if size and size + n > block_bytes:
+                    block, size = block + 1, 0
+                size += n
+                own.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *b.columns], names=["block", *b.schema.names])
+
+    return map_arrow(rows.select("doc_id", "text", "target"), one_task, "block long, doc_id long, text string, target boolean")
+
+
+def _per_block(rows: DataFrame, count, ddl: str) -> DataFrame:
+    """``count(block, names, bounds, good)`` of each block of a task (a block read by two tasks comes in parts)."""
+
+    def one_task(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at = None
+
+        def done():
+            sizes = np.concatenate([np.diff(b) for _, b, _ in held])
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            good = np.repeat(np.concatenate([g for _, _, g in held]), sizes)
+            return count(at, np.concatenate([n for n, _, _ in held]), bounds, good)
+
+        for b in batches:
+            blocks = b.column(b.schema.get_field_index("block")).to_numpy()
+            texts, target = binary_column(b, "text"), np.array(b.column(b.schema.get_field_index("target")).to_pylist(), dtype=bool)
+            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and blocks[lo] != at:
+                    yield from done()
+                    held = []
+                at = int(blocks[lo])
+                held.append((*_read(texts[lo:hi]), target[lo:hi]))
+        if held:
+            yield from done()
+
+    return map_arrow(rows, one_task, ddl)
+
+
+def vocabulary(rows: DataFrame) -> tuple[int, int, int]:
+    """Distinct words, all words, and words of the target documents."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
+
+    def count(block, names, bounds, good):
+        key, counts = _counted(names, good)
+        for k in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(key[k:k + (1 << 16)].view(np.int64)), *(pa.array(x[k:k + (1 << 16)]) for x in counts)], schema=schema)
+
+    words = _per_block(rows, count, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    r = words.agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.sum("m").alias("m")).first()
+    return r.v, r.n or 0, r.m or 0
+
+
+DDL = "block long, bucket int, words binary, contexts binary, pairs binary"
+SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((k, pa.binary()) for k in KINDS)])
+
+
+def summed_counts(rows: DataFrame, buckets: int) -> DataFrame:
+    """Per block and bucket the counts (background, target) over all documents
+    of the block's sorted words, contexts and pairs of that bucket."""
+
+    def count(block, names, bounds, good):
+        parts = []
+        for keys in names_of(names, bounds):
+            key, counts = _counted(keys, good)
+            parts.append((key, counts, _bucket_edges(key, buckets)))
+        for j in range(buckets):
+            if any(e[j] < e[j + 1] for _, _, e in parts):
+                own = [np.vstack([np.diff(key[e[j]:e[j + 1]], prepend=np.uint64(0)).view(np.int64), counts[:, e[j]:e[j + 1]]]) for key, counts, e in parts]
+                yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [j], **{k: [_packed(x)] for k, x in zip(KINDS, own, strict=True)}}, schema=SCHEMA)
+
+    def add(table: pa.Table) -> pa.Table:
+        distinct, block_no = np.unique(table.column("block").to_numpy(), return_inverse=True)
+        columns = {"block": distinct, "bucket": [table.column("bucket")[0].as_py()] * len(distinct)}
+        for kind in KINDS:
+            own = [_unpacked(x, 3) for x in table.column(kind).to_pylist()]
+            keys = [np.cumsum(x[0].view(np.uint64), dtype=np.uint64) for x in own]
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.zeros((2, len(key)), dtype=np.int64)
+            for model in (0, 1):
+                np.add.at(total[model], at, np.concatenate([x[1 + model] for x in own]))
+            # (block, name) in order, once for a block that came in parts
+            pairs = np.unique(np.repeat(block_no, [len(k) for k in keys]) * max(1, len(key)) + at)
+            place, at = pairs // max(1, len(key)), pairs % max(1, len(key))
+            edges = np.searchsorted(place, np.arange(len(distinct) + 1))
+            columns[kind] = [_packed(total[:, at[a:b]]) for a, b in zip(edges, edges[1:], strict=False)]
+        return pa.table(columns, schema=SCHEMA)
+
+    return _per_block(rows, count, DDL).groupBy("bucket").applyInArrow(add, DDL)
+
+
+def losses(counts: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...], words: int, n_own: np.ndarray, size: int) -> np.ndarray:
+    """-log P(word | context) of each word under one model of ``words`` words
+    over ``size`` distinct ones, less its document's own counts."""
+    word, context, pair = (c - o for c, o in zip(counts, own, strict=True))
+    single = (word + PRIOR) / (words - n_own + PRIOR * size)
+    return -np.log((pair + WEIGHT * single) / (context + WEIGHT))
+
+
+def score(rows: DataFrame, counts: DataFrame, buckets: int, totals: tuple[int, int, int]) -> DataFrame:
+    """Per row (block, doc_id, text, target): doc_id, n_words, target_loss, background_loss, score."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
-    totals = counts[:, :1 << WORD_BITS].sum(axis=1).tolist()
-
-    def fn(batch):
-        counts = held.value
-        texts, target = binary_column(batch, "text"), np.array(batch.column("target").to_pylist(), dtype=bool)
-        for lo, hi in slices(texts):
-            _, names, _, _, bounds = joined_words(texts[lo:hi], ALNUM, True)
-            size = np.diff(bounds)
-            doc = np.repeat(np.arange(hi - lo), size)
-            word, last, pair = cells(names, bounds)
-            own_word, keys, n = _own_counts(doc, word, WORD_BITS)
-            place = np.minimum(np.searchsorted(keys, (doc << WORD_BITS) | np.maximum(last, 0)), max(0, len(keys) - 1))
-            own_last = np.where((last >= 0) & (keys[place] == ((doc << WORD_BITS) | np.maximum(last, 0))), n[place], 0) if len(keys) else own_word
-            own_pair = _own_counts(doc, pair, PAIR_BITS)[0]
-            of_target = target[lo:hi][doc]
-            each = []
-            for model, mine in ((1, of_target), (0, np.ones(len(doc), dtype=bool))):
-                own = tuple(np.where(mine, x, 0) for x in (own_word, own_last, own_pair))
-                loss = losses(counts[model], totals[model], word, last, pair, own, np.where(mine, size[doc], 0))
-                each.append(np.bincount(doc, weights=loss, minlength=hi - lo) / np.maximum(size, 1))
-            none = size == 0
-            columns = [pa.array(x, mask=none) for x in (each[0], each[1], each[0] - each[1])]
-            yield {"doc_id": batch.column("doc_id")[lo:hi], "n_words": size, "target_loss": columns[0], "background_loss": columns[1], "score": columns[2]}
-
-    return map_batches(rows, fn, schema, "doc_id long, n_words long, target_loss double, background_loss double, score double")
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
+
+    def fn(docs: pa.Table, back: pa.Table) -> pa.Table:
+        texts = docs.column("text").cast(pa.binary()).to_pylist()
+        target = np.array(docs.column("target").to_pylist(), dtype=bool)
+        names, bounds = _read(texts)
+        size = np.diff(bounds)
+        doc = np.repeat(np.arange(len(texts)), size)
+        good = target[doc]
+        both, mine = [], []
+        for kind, keys in zip(KINDS, names_of(names, bounds), strict=True):
+            key, at = np.unique(keys, return_inverse=True)
+            total, edges = np.zeros((2, len(key)), dtype=np.int64), _bucket_edges(key, buckets)
+            for j, data in zip(back.column("bucket").to_pylist(), back.column(kind).to_pylist(), strict=True):
+                total[:, edges[j]:edges[j + 1]] = _unpacked(data, 2)
+            both.append(total[:, at])
+            _, own, n = np.unique(doc * max(1, len(key)) + at, return_inverse=True, return_counts=True)
+            mine.append(n[own])
+        each = []
+        for model, taken in ((1, good), (0, np.ones(len(doc), dtype=bool))):
+            own = tuple(np.where(taken, x, 0) for x in mine)
+            loss = losses(tuple(x[model] for x in both), own, totals[2 if model else 1], np.where(taken, size[doc], 0), totals[0])
+            each.append(np.bincount(doc, weights=loss, minlength=len(texts)) / np.maximum(size, 1))
+        columns = [pa.array(x, mask=size == 0) for x in (each[0], each[1], each[0] - each[1])]
+        return pa.table([docs.column("doc_id").combine_chunks(), pa.array(size), *columns], schema=schema)
+
+    ship_package(rows.sparkSession)
+    return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(fn, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Scores of all documents; documents with a label of quality 1 are the target."""
     good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
     small = good.count() <= BROADCAST_IDS
     rows = texts_of(docs).join(F.broadcast(good) if small else good, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    return score(rows, fit(rows))
+    rows = cut_lineage(in_blocks(rows, block_bytes), "blocks")  # the blocks stay the same in every pass
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, math.ceil(size / bucket_bytes))
+    return score(rows, summed_counts(rows, buckets), buckets, vocabulary(rows))
+
+
+def brute_force(docs: list[tuple], good: set) -> list[tuple]:
+    """Both models counted word by word, less each document's own words (tests only)."""
+    import re
+    from collections import Counter
+    words = [re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower()) for _, t in docs]
+    pairs = [list(zip([None, *w], w, strict=False)) for w in words]
+    size = len({x for w in words for x in w})
+    out = []
+    for i, (doc_id, _) in enumerate(docs):
+        loss = []
+        for model in (True, False):
+            of = [j for j in range(len(docs)) if j != i and (not model or docs[j][0] in good)]
+            single, pair, context = Counter(), Counter(), Counter()
+            for j in of:
+                single.update(words[j])
+                pair.update(pairs[j])
+                context.update(a for a, _ in pairs[j])
+            n = sum(single.values())
+            each = [-np.log((pair[a, b] + WEIGHT * (single[b] + PRIOR) / (n + PRIOR * size)) / (context[a] + WEIGHT)) for a, b in pairs[i]]
+            loss.append(sum(each) / len(each) if each else None)
+        out.append((doc_id, len(words[i]), loss[0], loss[1], loss[0] - loss[1] if words[i] else None))
+    return out

@@ -1,5 +1,6 @@
 """Trained operators: held-out accuracy, separation, and the pipeline."""
 
+import math
 import random
 
 import duckdb
@@ -45,6 +46,32 @@ def test_cell_counts_cover_all_words(spark):
     assert counts[0, :vocabulary].sum() == counts[0, vocabulary:].sum() == words > counts[1, :vocabulary].sum() > 0
 
 
+def test_lm_score_is_exact(spark):
+    """Blocks and buckets of any size against counts word by word: two words in one of the former cells are not taken for one."""
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rnd.choices(words + [f"own{i}"], k=rnd.randint(0, 30)))) for i in range(60)] + [(60, None), (61, " "), (3, "w1 w1 w1")]
+    good = set(range(0, 60, 3))
+    want = sorted(lmscore.brute_force(docs, good), key=str)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    for sizes in ((1 << 20, 1 << 20), (500, 700), (1, 100)):
+        got = sorted((tuple(r) for r in lmscore.cross_entropy_difference(frame, labels, *sizes).collect()), key=str)
+        for a, b in zip(got, want, strict=True):
+            assert a[:2] == b[:2] and all(x is y is None or abs(x - y) < 1e-9 for x, y in zip(a[2:], b[2:], strict=True))
+
+
+def test_lm_score_does_not_depend_on_other_words(spark):
+    """Words that no cell table of a fixed size tells apart leave the loss of a rare pair alone."""
+    text = " ".join(f"x{i} y{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, "rare new"), (2, "rare old"), (3, text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
+    single = lambda n: (n + lmscore.PRIOR) / (400_002 + lmscore.PRIOR * 400_003)
+    first = (1 + lmscore.WEIGHT * single(1)) / (2 + lmscore.WEIGHT)
+    second = lmscore.WEIGHT * single(0) / (1 + lmscore.WEIGHT)
+    assert abs(got[1].background_loss + (math.log(first) + math.log(second)) / 2) < 1e-9
+
+
 def test_pipeline(spark):
     """Each stage against what it must do to its own input."""
     import hashlib
