@@ -14,7 +14,8 @@ never empty), so every occurrence of the same window picks the same symbol at
 the same place: no repeat is missed, runs and periodic texts included.
 
 1. Every document's picked symbols (one for several windows in a row) go into
-   a table; documents with equal words collapse to their smallest id first.
+   a table; rows with equal words collapse to one key with their smallest id
+   first, and are cut once.
 2. Symbols found in two documents at least are shared (a minimum and a maximum
    per name, combined before the shuffle).
 3. The windows that picked a shared symbol are verified by the name of their
@@ -23,7 +24,8 @@ the same place: no repeat is missed, runs and periodic texts included.
 
 Nulls: a null text has no words; a null id counts as larger than every id, and
 such a row is cut like any other but nothing is cut because of it.  Rows with
-one id are one document.  A document that repeats a smaller one word by word
+one id are one document: nothing is cut in one because of the other, and each
+is cut at its own words.  A document that repeats a smaller one word by word
 loses all its words if they make a window.  Empty tables give empty results;
 other columns are not read.
 """
@@ -42,7 +44,7 @@ from geoseries.session import cut_lineage, drop_staged
 
 WINDOW = 50
 ROUNDS = 12
-BROADCAST_IDS = 2_000_000   # ids broadcast at most (16 MB); more go through a shuffle
+BROADCAST_IDS = 2_000_000   # ids broadcast at most (two row names each); more go through a shuffle
 NO_ID = (1 << 63) - 1
 
 
@@ -127,38 +129,38 @@ def _kept(buf: bytes, start: np.ndarray, end: np.ndarray) -> str:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, words_sha256) per row: the digest of the words joined by one space."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("words_sha256", pa.string())])
+    """(doc_id, row_a, row_b, n_words, words_sha256) per row: the digest of the words joined by one space."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_a", pa.int64()), ("row_b", pa.int64()), ("n_words", pa.int64()), ("words_sha256", pa.string())])
 
     def fn(batch):
         for lo, hi, buf, _, start, end, bounds in _words(batch):
-            yield {"doc_id": batch.column("doc_id")[lo:hi], "n_words": np.diff(bounds),
+            yield {**{c: batch.column(c)[lo:hi] for c in ("doc_id", "row_a", "row_b")}, "n_words": np.diff(bounds),
                    "words_sha256": [_kept(buf, start[a:b], end[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]}
 
-    return map_batches(docs, fn, schema, "doc_id long, n_words long, words_sha256 string")
+    return map_batches(docs, fn, schema, "doc_id long, row_a long, row_b long, n_words long, words_sha256 string")
 
 
 def symbols(docs: DataFrame, window: int) -> DataFrame:
-    """(name, key): the symbols that some window picks, once for windows in a row."""
-    schema = pa.schema([("name", pa.int64()), ("key", pa.int64())])
+    """(name, key, id): the symbols that some window picks, once for windows in a row."""
+    schema = pa.schema([("name", pa.int64()), ("key", pa.int64()), ("id", pa.int64())])
 
     def fn(batch):
-        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        keys, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id"))
         for lo, hi, _, names, _, _, bounds in _words(batch):
             at, name = picked(names, bounds, window)
             doc = np.searchsorted(bounds, at, "right") - 1
             new = np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]) if len(at) else np.empty(0, dtype=bool)
-            yield {"name": signed(name[new]), "key": keys[lo:hi][doc[new]]}
+            yield {"name": signed(name[new]), "key": keys[lo:hi][doc[new]], "id": ids[lo:hi][doc[new]]}
 
-    return map_batches(docs, fn, schema, "name long, key long")
+    return map_batches(docs, fn, schema, "name long, key long, id long")
 
 
 def windows(docs: DataFrame, window: int) -> DataFrame:
-    """(seq, key, at): whole-sequence names of the windows that picked one of the row's shared symbols."""
-    schema = pa.schema([("seq", pa.int64()), ("key", pa.int64()), ("at", pa.int64())])
+    """(seq, key, id, at): whole-sequence names of the windows that picked one of the row's shared symbols."""
+    schema = pa.schema([("seq", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("at", pa.int64())])
 
     def fn(batch):
-        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        keys, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id"))
         shared = batch.column("shared")
         for lo, hi, _, names, _, _, bounds in _words(batch):
             at, name = picked(names, bounds, window)
@@ -169,9 +171,9 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
                 own = shared[lo + d].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 keep[ends[d]:ends[d + 1]] = np.isin(name[ends[d]:ends[d + 1]], own)
             at, doc = at[keep], doc[keep]
-            yield {"seq": signed(grams(names, window)[at]) if len(at) else [], "key": keys[lo:hi][doc], "at": at - bounds[doc]}
+            yield {"seq": signed(grams(names, window)[at]) if len(at) else [], "key": keys[lo:hi][doc], "id": ids[lo:hi][doc], "at": at - bounds[doc]}
 
-    return map_batches(docs, fn, schema, "seq long, key long, at long")
+    return map_batches(docs, fn, schema, "seq long, key long, id long, at long")
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
@@ -196,39 +198,43 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
     return map_batches(docs, fn, schema, "key long, n_removed long, kept_sha256 string")
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(key, text) of the rows with the given (distinct) keys."""
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "key", "left_semi")
+def _chosen(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, id, text) of the rows that stand for the given keys; equal rows come as often as they are there."""
+    small = keys.count() <= BROADCAST_IDS
+    own = keys.select("key", "id", "row_a", "row_b")
+    return rows.join(F.broadcast(own) if small else own, ["id", "row_a", "row_b"]).select("key", "id", "text")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256."""
     if window < 1:
         raise ValueError("window must be positive")
-    rows = texts_of(docs)
-    keyed = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text")
+    # a row is named by its id and 128 bits of its text
+    rows = texts_of(docs).withColumns({"id": F.coalesce("doc_id", F.lit(NO_ID)), "row_a": F.xxhash64("text"), "row_b": F.xxhash64(F.lit(1), "text")})
     own = cut_lineage(digests(rows), "digests")
-    # the smallest id of each word sequence stands for all its copies
-    first = cut_lineage(own.filter(f"n_words >= {window}").groupBy("words_sha256").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("key")), "first")
-    names = cut_lineage(symbols(_chosen(keyed, first.select("key").distinct()), window), "symbols")
+    # one key for each word sequence; a row with the smallest id stands for all its copies
+    least_row = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row_a", "row_b")).alias("least")
+    first = own.filter(f"n_words >= {window}").groupBy("words_sha256").agg(least_row)
+    first = cut_lineage(first.select("words_sha256", "least.*", F.monotonically_increasing_id().alias("key")), "first")
+    names = cut_lineage(symbols(_chosen(rows, first), window), "symbols")
     # staged, so that both sides of the join are plain shuffles and a hot name's partition can be split
-    shared = cut_lineage(names.groupBy("name").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("name"), "shared-names")
-    found = cut_lineage(names.join(shared, "name", "left_semi").distinct(), "shared")
+    shared = cut_lineage(names.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("name"), "shared-names")
+    found = cut_lineage(names.select("name", "key").join(shared, "name", "left_semi").distinct(), "shared")
     drop_staged(names)
     per_row = found.groupBy("key").agg(F.collect_list("name").alias("shared"))  # bounded by the row's own text
-    part = _chosen(keyed, found.select("key").distinct())
+    part = _chosen(rows, first.join(found.select("key").distinct(), "key", "left_semi"))
     seqs = cut_lineage(windows(part.join(per_row, "key"), window), "windows")
-    least = cut_lineage(seqs.groupBy("seq").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("seq", "least"), "least")
-    gone = seqs.join(least, "seq").filter("key > least").groupBy("key").agg(F.collect_list("at").alias("gone"))
+    least = cut_lineage(seqs.groupBy("seq").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("seq", "least"), "least")
+    # a set, as equal rows bring the same places; bounded by the row's own text
+    gone = seqs.join(least, "seq").filter("id > least").groupBy("key").agg(F.collect_set("at").alias("gone"))
     gone = cut_lineage(gone, "gone")
     drop_staged(seqs)
-    cut = _cut(_chosen(keyed, gone.select("key")).join(gone, "key"), window)
-    verdict = cut_lineage(cut, "cut")
+    cut = _cut(_chosen(rows, first.join(gone.select("key"), "key", "left_semi")).join(gone, "key"), window)
+    verdict = cut_lineage(cut.distinct(), "cut")  # once per key: equal rows are cut alike
+    per_words = first.select("words_sha256", "key", F.col("id").alias("id_of_words")).join(verdict, "key", "left").drop("key")
     nothing = hashlib.sha256(b"").hexdigest()
-    copy = F.coalesce(F.coalesce("doc_id", F.lit(NO_ID)) > F.col("key_of_words"), F.lit(False))
-    return (own.join(first.withColumnRenamed("key", "key_of_words"), "words_sha256", "left")
-            .withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))).join(verdict, "key", "left")
+    copy = F.coalesce(F.coalesce("doc_id", F.lit(NO_ID)) > F.col("id_of_words"), F.lit(False))
+    return (own.join(per_words, "words_sha256", "left")
             .select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
                     F.when(copy, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "words_sha256")).alias("kept_sha256")))
 

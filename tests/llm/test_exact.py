@@ -82,6 +82,16 @@ def test_recompression(spark):
         assert {tuple(r) for r in got} == recompression.brute_force(rows, window)
 
 
+def test_recompression_of_equal_and_null_ids(spark):
+    """Rows that share an id, or have none, are each cut once at their own words."""
+    rows = [(1, "p q r s t"), (5, "a p q r s t"), (5, "p q r s b c d e f g"), (5, "p q r s b c d e f g"), (7, "x p q r s"),
+            (None, "h i j k l m n p q r s"), (None, "p q r s t u"), (None, "p q r s t u"), (None, "h i j k l")]
+    keep = ["p q r s t", "a", "b c d e f g", "b c d e f g", "x", "h i j k l m n", "u", "u", "h i j k l"]
+    want = [(i, len(t.split()), len(t.split()) - len(k.split()), hashlib.sha256(k.encode()).hexdigest()) for (i, t), k in zip(rows, keep, strict=True)]
+    got = recompression.remove_repeats(spark.createDataFrame(rows, DOC), 4).collect()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
 def test_decontamination_blocks_and_short_items(spark):
     rows, items = documents(), duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall() + [(900, "the of"), (901, "a"), (902, None)]
     docs, bench = spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id long, text string")
