@@ -15,7 +15,8 @@ scan, so documents never shuffle however common a passage is.
 
 Nulls: a null text has no words (document: nothing hit; item: no window).
 Empty tables, repeated rows and repeated item ids are fine: an item id counts
-once.  Other columns are not read.
+once.  Items without an id are looked for like any other; together they count as
+one item, which has no name in the digest.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def winnow(gram_names: np.ndarray, w: int) -> np.ndarray:
 class Index:
     """Fingerprints of one block of the benchmark (bounded by its bytes)."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, gram: int = GRAM):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
         self.ids = [i for i, _ in items]
         self.words, self.short = [], {}
@@ -132,7 +133,7 @@ def _pass(docs: DataFrame, index: Index) -> DataFrame:
             for doc in found:
                 edge = np.diff(hit[bounds[doc]:bounds[doc + 1]].astype(np.int8), prepend=0, append=0)
                 spans[doc] = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1).ravel().tolist()
-            items = [sorted({index.ids[no] for no in found.get(doc, ())}) for doc in range(hi - lo)]
+            items = [sorted({index.ids[no] for no in found.get(doc, ())}, key=lambda i: (i is None, i)) for doc in range(hi - lo)]
             yield {"doc_id": ids[lo:hi], "row_no": rows[lo:hi], "n_words": np.diff(bounds), "spans": spans, "items": items}
 
     return map_batches(docs, fn, SCHEMA, DDL)
@@ -153,8 +154,8 @@ def indexes(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_
     """The benchmark's fingerprints in blocks of bounded text bytes (one block if it is small)."""
     if not 0 < gram <= window:
         raise ValueError("gram must lie between 1 and window")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
-    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.octet_length("item_id") + 16)).first()[0] or 0
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     for k in range(blocks):
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
@@ -187,7 +188,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
               block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: doc_id, n_words, spans (flat array of [start, end) word
     ranges that benchmark windows cover, disjoint) and items (ids, as strings,
-    sorted, of the items with an occurring window)."""
+    sorted, of the items with an occurring window; a null at the end for items without an id)."""
     rows = texts_of(docs).withColumn("row_no", F.monotonically_increasing_id())
     parts = [_pass(rows, index) for index in indexes(benchmark, window, gram, block_bytes)]
     if len(parts) == 1:

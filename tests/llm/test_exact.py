@@ -100,6 +100,26 @@ def test_decontamination_blocks_and_short_items(spark):
         assert sorted(tuple(r) for r in decontamination.report(decontamination.find_hits(docs, bench, block_bytes=size)).collect()) == want
 
 
+def test_decontamination_by_items_without_id(spark):
+    """As the SQL twin has it; the pipeline's form drops what they hit."""
+    item = " ".join(f"n{i}" for i in range(14))
+    rows = [(1, f"x {item} y"), (2, " ".join(f"n{i}" for i in range(9))), (3, "short one"), (4, f"short one {item} named item"), (5, None), (6, "named item")]
+    items = [(None, item), (None, "short one"), (7, "named item"), (None, None)]
+    docs, bench = spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, column, own in (("documents", "doc_id", rows), ("benchmark", "item_id", items)):
+        con.execute(f"create table {name} ({column} bigint, text varchar)")
+        con.executemany(f"insert into {name} values (?, ?)", own)
+    con.execute(f"create view twin as {ORACLE['op7_decontamination']}")
+    twin = con.sql("select * from twin")
+    columns, want = twin.columns, sorted(map(str, twin.fetchall()))
+    for size in (1 << 20, 60):
+        got = decontamination.report(decontamination.find_hits(docs, bench, block_bytes=size))
+        assert want == sorted(str(tuple(r)) for r in got.select(*columns).collect())
+        assert {r.doc_id for r in got.collect() if r.contaminated} == {1, 3, 4, 6}
+        assert {r.doc_id for r in decontamination.drop_contaminated(docs, bench, block_bytes=size).collect()} == {2, 5}
+
+
 def test_near_copies(spark):
     """A family of near copies some of which miss the threshold, links checked one by one."""
     rnd = random.Random(3)
