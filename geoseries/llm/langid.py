@@ -3,7 +3,9 @@
 Known words are scored by their per-language log frequency.  An unseen word is
 covered from left to right by the longest known character n-gram at each place
 (five letters down to one, with word-edge marks), each scored by its
-per-language log frequency; letters that no n-gram covers say nothing.  A
+per-language log frequency; letters that no n-gram covers say nothing.  A run of
+more than ``LONG`` letters (text without spaces) is never a known word: it is
+covered as a whole and counts as one word per ``LONG`` letters or part of it.  A
 document's language has the highest mean score of its words; ``score`` is the
 posterior of that language over the learned ones (softmax of the summed
 scores, tempered so that long texts do not all read 1).
@@ -39,6 +41,8 @@ SMOOTH = 0.5
 TEMPER = 8.0            # words after which the evidence of a text is divided by its square root
 LETTERS = regex.compile(r"\p{L}+")
 CACHE = 100_000         # unseen words remembered per task
+LONG = 64               # letters of a run that is taken for a word
+SLICE = 1 << 16         # letters of a run whose n-grams are counted at once
 PART = 50_000           # words of a text looked up at once
 
 
@@ -47,8 +51,16 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams_of(word: str) -> Counter:
-    marked = f"^{word}$"
-    return Counter(marked[i:i + n] for n in range(1, GRAM + 1) for i in range(len(marked) - n + 1))
+    marked, out = f"^{word}$", Counter()
+    for lo in range(0, len(marked), SLICE):  # an n-gram belongs to the slice it starts in
+        part, starts = marked[lo:lo + SLICE + GRAM - 1], min(SLICE, len(marked) - lo)
+        out.update(part[i:i + n] for n in range(1, GRAM + 1) for i in range(min(starts, len(part) - n + 1)))
+    return out
+
+
+def pieces(word: str) -> int:
+    """How many words a run of letters counts as."""
+    return -(-len(word) // LONG)
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -61,11 +73,12 @@ def _counts(sample: DataFrame) -> DataFrame:
             for lo, hi in slices(texts, 1 << 20):
                 words: Counter = Counter()
                 for t, lang in zip(texts[lo:hi], langs[lo:hi], strict=True):
-                    words.update((w, lang) for w in words_of(t) if len(w) <= 64)
+                    words.update((w, lang) for w in words_of(t))
                 grams: Counter = Counter()
                 for (w, lang), n in words.items():
                     for g, k in grams_of(w).items():
                         grams[g, lang] += k * n
+                words = Counter({(w, lang): n for (w, lang), n in words.items() if len(w) <= LONG})
                 for kind, own in (("word", words), ("gram", grams)):
                     yield pa.RecordBatch.from_pydict({"kind": [kind] * len(own), "unit": [u for u, _ in own], "lang": [x for _, x in own], "n": list(own.values())}, schema=schema)
 
@@ -99,8 +112,12 @@ class Model:
         return rows[list(map(index.__getitem__, words))]
 
     def backoff(self, word: str) -> np.ndarray:
-        """Mean log frequency of the longest known n-grams that cover an unseen word."""
-        marked, i, total, n = f"^{word}$"[:66], 0, np.zeros(len(self.langs)), 0
+        """Mean log frequency of the longest known n-grams that cover an unseen
+        word; for a long run the sum of the means of its parts."""
+        marked, i = f"^{word}$", 0
+        step = -(-len(marked) // pieces(word))
+        whole, total, n = np.zeros(len(self.langs)), np.zeros(len(self.langs)), 0
+        end = step
         while i < len(marked):
             for size in range(min(GRAM, len(marked) - i), 0, -1):
                 g = self.grams.get(marked[i:i + size])
@@ -111,14 +128,19 @@ class Model:
                     break
             else:
                 i += 1
-        return total / n if n else total
+            if i >= end or i >= len(marked):
+                whole += total / n if n else total
+                total, n, end = np.zeros(len(self.langs)), 0, end + step
+        return whole
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.langs:
             return "und", 0.0
-        total = sum(self._rows_of(words[i:i + PART]).sum(axis=0) for i in range(0, len(words), PART))
-        scaled = total / max(1.0, (len(words) / TEMPER) ** 0.5)
+        short = [w for w in words if len(w) <= LONG]
+        total = sum((self._rows_of(short[i:i + PART]).sum(axis=0) for i in range(0, len(short), PART)), np.zeros(len(self.langs)))
+        total = sum((self.backoff(w) for w in words if len(w) > LONG), total)
+        scaled = total / max(1.0, (sum(map(pieces, words)) / TEMPER) ** 0.5)
         p = np.exp(scaled - scaled.max())
         best = int(np.argmax(total))
         return self.langs[best], float(p[best] / p.sum())

@@ -28,6 +28,22 @@ def test_backoff_of_unseen_words(spark):
     assert "thather" not in model.words
 
 
+def test_runs_without_spaces(spark):
+    """Languages written in runs of over 64 letters are learned, and a run is judged by all of its letters."""
+    rnd = random.Random(3)
+    run = lambda letters, n: "".join(rnd.choices(letters, k=n))
+    train = [(i, run("あいうえおかきく", 200), "ja") for i in range(20)] + [(100 + i, run("的一是不了人我在", 200), "zh") for i in range(20)]
+    train += [(200 + i, "the thing that other", "en") for i in range(20)]
+    model = langid.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "ja", "zh"]
+    assert model.predict(run("あいうえおかきく", 100))[0] == "ja" and model.predict(run("的一是不了人我在", 100))[0] == "zh"
+    assert model.predict(run("あいうえおかきく", 70) + run("的一是不了人我在", 700))[0] == "zh"
+    assert model.predict("the " + run("的一是不了人我在", 640) + " that thing the")[0] == "zh"
+    assert langid.pieces("x" * 64) == 1 and langid.pieces("x" * 65) == 2
+    long = "ab" * langid.SLICE
+    assert langid.grams_of(long)["ab"] == langid.SLICE and sum(langid.grams_of(long).values()) == sum(len(long) + 2 - n + 1 for n in range(1, 6))
+
+
 def test_lm_score_separates(spark):
     rnd = random.Random(1)
     good, bad = [f"g{i}" for i in range(50)], [f"b{i}" for i in range(50)]
