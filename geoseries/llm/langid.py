@@ -10,10 +10,13 @@ document's language has the highest mean score of its words; ``score`` is the
 posterior of that language over the learned ones (softmax of the summed
 scores, tempered so that long texts do not all read 1).
 
-Learning: ``sample_rows`` labelled rows at most in expectation (chosen by a
-hash of the id, a documented bound on the classifier's sample), whole texts;
-the model holds at most ``max_words`` words and ``max_grams`` n-grams, so its
-broadcast is bounded.  Prediction sees the text only.
+Learning: whole texts of ``sample_rows`` labelled rows in expectation (chosen by
+a hash of the id).  Every language has an equal share of them, what small ones
+leave goes to the others, and no share is under ``LANG_ROWS`` rows, so that a
+language is learned however many rows the others have.  The model's words and
+n-grams are shared out alike: ``max_words`` and ``max_grams``, or ``LANG_UNITS``
+for each language if that is more, its most frequent ones.  What a language
+never showed is equally unlikely in all of them.  Prediction sees the text only.
 
 Nulls and texts without a letter give ``und`` with score 0, as does every text
 when nothing was learned.  A null label or id is not learned from.  Ties go to
@@ -36,6 +39,8 @@ from geoseries.llm.textkit import map_arrow, slices, texts_of
 SAMPLE_ROWS = 8_000
 MAX_WORDS = 60_000
 MAX_GRAMS = 60_000
+LANG_ROWS = 500         # rows of each language at least (all of them if it has fewer)
+LANG_UNITS = 2_000      # words, and n-grams, of each language at least
 GRAM = 5
 SMOOTH = 0.5
 TEMPER = 8.0            # words after which the evidence of a text is divided by its square root
@@ -146,36 +151,75 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def _table(units: dict[str, dict[str, int]], langs: list[str], sums: dict[str, int], size: int) -> tuple[dict[str, int], np.ndarray]:
+def _table(units: dict[str, dict[str, int]], langs: list[str], sums: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
     index = {u: i for i, u in enumerate(sorted(units))}
     table = np.zeros((len(index), len(langs)))
+    none = SMOOTH / max(1, *sums.values()) if sums else 1.0
     for u, i in index.items():
         for k, lang in enumerate(langs):
-            table[i, k] = np.log((units[u].get(lang, 0) + SMOOTH) / (sums[lang] + SMOOTH * size))
+            table[i, k] = np.log(units[u].get(lang, 0) / max(1, sums[lang]) + none)
     # only differences between languages matter; centring keeps long sums small
     return index, table - table.mean(axis=1, keepdims=True) if langs else table
 
 
+def _share(sizes: list[int], total: int, least: int) -> int:
+    """The most that each may have so that all together have ``total``, but ``least`` anyway."""
+    left, share = total, total
+    for i, n in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if n > share:
+            break
+        left -= n
+    else:
+        return max(least, max(sizes, default=0))
+    return max(least, share)
+
+
+def _sampled(rows: DataFrame, sample_rows: int) -> DataFrame:
+    by_lang = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many as there are languages
+    share = _share(list(by_lang.values()), sample_rows, LANG_ROWS)
+    if all(n <= share for n in by_lang.values()):
+        return rows
+    rates = rows.sparkSession.createDataFrame([(x, min(1 << 40, (1 << 40) * share // n)) for x, n in by_lang.items()], "lang string, rate long")
+    return rows.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("rate")).drop("rate")
+
+
+def _kept_units(counts: DataFrame, kind: str, most: int) -> dict[str, dict[str, int]]:
+    """Each language's most frequent units; those seen once in all only of a language that has no others."""
+    flat = counts.filter(F.col("kind") == kind).select("unit", F.col("total") > 1, F.explode("by_lang").alias("lang", "n")).toDF("unit", "often", "lang", "n")
+    levels: dict[str, dict[tuple[bool, int], int]] = {}
+    for r in flat.groupBy("lang", "often", "n").count().collect():  # levels of a sample
+        levels.setdefault(r.lang, {})[r.often, r.n] = r["count"]
+    levels = {x: {k: c for k, c in own.items() if k[0] or not any(often for often, _ in own)} for x, own in levels.items()}
+    share = _share([sum(own.values()) for own in levels.values()], most, LANG_UNITS)
+    cuts = []
+    for lang, own in levels.items():
+        left = share
+        for (often, n), c in sorted(own.items(), reverse=True):
+            if left > 0:
+                cuts.append((lang, often, n, (1 << 20) * min(c, left) // c))  # of the last level a part, by a hash
+            left -= c
+    if not cuts:
+        return {}
+    wanted = flat.join(F.broadcast(flat.sparkSession.createDataFrame(cuts, "lang string, often boolean, n long, part long")), ["lang", "often", "n"])
+    wanted = wanted.filter(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < F.col("part")).select("unit").distinct()
+    return {r.unit: r.by_lang for r in counts.filter(F.col("kind") == kind).join(wanted, "unit", "left_semi").select("unit", "by_lang").collect()}
+
+
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Fit on the rows of (doc_id, text, lang) with a non-null label."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    total = rows.select("doc_id").count()
-    if total > sample_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * sample_rows / total))
+    rows = _sampled(labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()), sample_rows)
     counts = _counts(rows).groupBy("kind", "unit").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
     counts = counts.persist()
     try:
         sums_rows = counts.select("kind", F.explode("by_lang").alias("lang", "n")).groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
-        kept = {}
-        for kind, most in (("word", max_words), ("gram", max_grams)):
-            own = counts.filter((F.col("kind") == kind) & (F.col("total") > 1)).orderBy(F.desc("total"), "unit").limit(most).collect()
-            kept[kind] = {r.unit: r.by_lang for r in own}
+        kept = {kind: _kept_units(counts, kind, most) for kind, most in (("word", max_words), ("gram", max_grams))}
     finally:
         counts.unpersist()
     langs = sorted({r.lang for r in sums_rows})
     sums = {k: {x: next((r.n for r in sums_rows if (r.kind, r.lang) == (k, x)), 0) for x in langs} for k in kept}
-    words, word_table = _table(kept["word"], langs, sums["word"], len(kept["word"]) + 1)
-    grams, gram_table = _table(kept["gram"], langs, sums["gram"], len(kept["gram"]) + 1)
+    words, word_table = _table(kept["word"], langs, sums["word"])
+    grams, gram_table = _table(kept["gram"], langs, sums["gram"])
     return Model(langs, words, word_table, grams, gram_table)
 
 

@@ -44,6 +44,20 @@ def test_runs_without_spaces(spark):
     assert langid.grams_of(long)["ab"] == langid.SLICE and sum(langid.grams_of(long).values()) == sum(len(long) + 2 - n + 1 for n in range(1, 6))
 
 
+def test_small_language_beside_a_large_one(spark):
+    """A language with few rows is learned however large the others are, with units of its own."""
+    rnd = random.Random(4)
+    many = [(i, " ".join(f"{a}{b}" for a, b in zip(rnd.choices("abcdefgh", k=20), rnd.choices("ijklmnop", k=20), strict=True)), "en") for i in range(4000)]
+    few = [(10_000 + i, "один два три четыре", "ru") for i in range(3)] + [(20_000, "μία λέξη", "el")]
+    frame = spark.createDataFrame(many + few, "doc_id long, text string, lang string")
+    model = langid.train(frame, sample_rows=100, max_words=50, max_grams=100)
+    assert model.langs == ["el", "en", "ru"]
+    assert [model.predict(t)[0] for t in ("два четыре один", "λέξη", "ai bj ck")] == ["ru", "el", "en"]
+    kept = langid.drop_unidentified(spark.createDataFrame([(1, "четыре три"), (2, "μία")], "doc_id long, text string"), model)
+    assert {r.doc_id for r in kept.collect()} == {1, 2}
+    assert langid._share([10, 1, 1], 6, 0) == 4 and langid._share([2, 3], 6, 0) == 3 and langid._share([9, 9], 6, 5) == 5
+
+
 def test_lm_score_separates(spark):
     rnd = random.Random(1)
     good, bad = [f"g{i}" for i in range(50)], [f"b{i}" for i in range(50)]
