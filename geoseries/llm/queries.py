@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoseries.llm import decontamination, langid, lmscore, minhash, recompression, secrets, sentencepieces, sharding, syncmers, tokencount
+from geoseries.llm import decontamination, langid, lmscore, minhash, mixing, recompression, secrets, sentencepieces, sharding, syncmers, tokencount, trie, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,5 +68,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the near word each is taken for."""
+    return variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt, with subtree totals."""
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150 % of all words takes of each document."""
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_sentencepiece, op6_secrets,
-                                   op7_decontamination, op8_lm_score, op9_substring_dedup, op10_token_counts)}
+                                   op7_decontamination, op8_lm_score, op9_substring_dedup, op10_token_counts,
+                                   op11_spelling_variants, op12_prefix_trie, op13_source_mix)}

@@ -83,4 +83,68 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_remove
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
-ORACLE: dict[str, str] = {"op2_minhash_dedup": _OP2, "op6_secrets": _OP6, "op7_decontamination": _OP7, "op9_substring_dedup": _OP9}
+def _crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of ``text``, bit by bit (the polynomial is a fixed value)."""
+    digits = f"hex(encode({text}))"
+    nibble = "(strpos('0123456789ABCDEF', substr(h, {at}, 1)) - 1)"
+    # bit i of the message: of byte i // 8 the bit of value 2 ** (i % 8); its low half is the second digit
+    bits = f"list_transform(range(0, 4 * length(h)), lambda i: ({nibble.format(at='2 * (i // 8) + 2 - (i % 8) // 4')} >> (i % 4)) & 1)"
+    return (f"(SELECT xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+            f" FROM (SELECT {digits} AS h))")
+
+
+_OP11 = f"""
+WITH RECURSIVE r AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY ALL),
+c AS (SELECT w, n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM r),
+e AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM c),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+g AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM v)),
+p AS (SELECT x.word AS a, y.word AS b FROM g x JOIN g y ON x.less = y.less AND x.k = y.k AND x.word <> y.word
+      UNION SELECT g.word, v.word FROM g JOIN v ON g.less = v.word UNION SELECT v.word, g.word FROM g JOIN v ON g.less = v.word),
+b AS (SELECT a AS word, count(*) AS n_near, max(v.n) AS best_n FROM p JOIN v ON v.word = p.b GROUP BY a),
+f AS (SELECT b.word, min(p.b) AS form, any_value(best_n) AS form_n FROM b JOIN v ON v.word = b.word JOIN p ON p.a = b.word JOIN v y ON y.word = p.b
+      WHERE y.n = best_n AND best_n >= 2 * v.n GROUP BY b.word),
+t AS (SELECT word, word AS root FROM v UNION SELECT t.word, f.form FROM t JOIN f ON f.word = t.root)
+SELECT v.word, f.form, t.root, v.n, CAST(coalesce(b.n_near, 0) AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM v JOIN t ON t.word = v.word LEFT JOIN f ON f.word = v.word LEFT JOIN b ON b.word = v.word
+WHERE t.root NOT IN (SELECT word FROM f)
+"""
+
+_OP12 = f"""
+WITH o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, l, CAST({_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS INT) AS h FROM o),
+s AS (SELECT h.conv_id, coalesce(b.l[1:h.h], []) || h.l[h.h + 1:] AS l FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+q AS (SELECT conv_id, len(l) AS length, d, CASE WHEN d = 0 THEN [] ELSE l[1:d] END AS p FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM s)),
+n AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (length = d), '')) AS ends_sha256
+      FROM q GROUP BY d, p),
+u AS (SELECT x.d, x.p, x.conv_id, x.n_convs, x.ends_sha256, y.conv_id AS parent_conv_id, CASE WHEN x.d = 0 THEN [] ELSE x.p[1:x.d - 1] END AS pp
+      FROM n x LEFT JOIN n y ON y.d = x.d - 1 AND y.p = CASE WHEN x.d <= 1 THEN [] ELSE x.p[1:x.d - 1] END),
+k AS (SELECT d, pp, count(*) AS n_children FROM u WHERE d > 0 GROUP BY d, pp),
+w AS (SELECT u.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN u.d = 0 THEN 0 ELSE (u.n_convs - 1) * length(u.p[u.d].t) END AS own
+      FROM u LEFT JOIN k ON k.d = u.d + 1 AND k.pp = u.p),
+a AS (SELECT i, CASE WHEN i = 0 THEN [] ELSE p[1:i] END AS ap, own, n_children FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM w)),
+z AS (SELECT i, ap, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM a GROUP BY i, ap)
+SELECT w.conv_id, w.d AS depth, w.parent_conv_id, w.n_convs, w.n_children, z.n_leaves, CAST(z.saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN z ON z.i = w.d AND z.ap = w.p
+"""
+
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_SPACED}')) AS BIGINT) AS size,
+                  substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 16) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, 2 * source_size AS most, list_extract([3, 1, 2], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1) AS weight FROM s),
+f AS (SELECT *, CAST(sum(most) OVER o AS BIGINT) AS most_upto, CAST(sum(weight) OVER o AS BIGINT) AS weight_upto, CAST(sum(weight) OVER () AS BIGINT) AS weights,
+             1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT) AS budget FROM w
+      WINDOW o AS (ORDER BY most / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, most_upto + most * (weights - weight_upto) / weight <= budget AS stops FROM f),
+v AS (SELECT (max(budget) - coalesce(CAST(sum(most) FILTER (stops) AS BIGINT), 0)) / CAST(sum(weight) FILTER (NOT stops) AS BIGINT) AS level FROM g),
+t AS (SELECT source, source_size, CASE WHEN stops THEN CAST(most AS DOUBLE) ELSE weight * (SELECT level FROM v) END AS target FROM g),
+x AS (SELECT d.r, d.doc_id, d.size, t.source_size, t.target, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size, d.r) AS BIGINT) - d.size AS start
+      FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+       greatest(0, least(size, CAST(floor(target - start) AS BIGINT))) + greatest(0, least(size, CAST(floor(target - source_size - start) AS BIGINT))) AS taken
+FROM x
+"""
+
+ORACLE: dict[str, str] = {"op2_minhash_dedup": _OP2, "op6_secrets": _OP6, "op7_decontamination": _OP7, "op9_substring_dedup": _OP9,
+                          "op11_spelling_variants": _OP11, "op12_prefix_trie": _OP12, "op13_source_mix": _OP13}

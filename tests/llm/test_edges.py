@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from geoseries.llm import decontamination, langid, lmscore, minhash, recompression, secrets, sentencepieces, sharding, syncmers, tokencount
+from geoseries.llm import decontamination, langid, lmscore, minhash, mixing, recompression, secrets, sentencepieces, sharding, syncmers, tokencount
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "wort für wort " * 6000
@@ -38,6 +38,7 @@ OPERATORS = {
     "lmscore": lambda s, d: lmscore.cross_entropy_difference(d, labels(s, [(1, 1, 0), (1, 0, 0), (None, 1, 0), (99, 1, 0), (5, None, 0)])),
     "recompression": lambda s, d: recompression.remove_repeats(d, 4),
     "tokencount": lambda s, d: tokencount.count_tokens(d),
+    "mixing": lambda s, d: mixing.taken(d),
 }
 
 

@@ -23,7 +23,7 @@ def documents():
 @pytest.mark.parametrize("name", ORACLE)
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     con.execute(f"create view twin as {ORACLE[name]}")
     want = con.sql("select * from twin")
