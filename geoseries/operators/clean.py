@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.casts import checked_number, checked_timestamp, rejects_of
 from ..functions.text import (DROP_CATEGORIES, DROP_PRIORITIES, KEEP_SOURCES, lnglat_from_text,
-                              parse_number, parse_timestamp, parse_twitter_time, strip_ws)
+                              parse_twitter_time, strip_ws)
 from .geo import label_points, relabel
 
 ORDER_COLS = ["file_seq", "block_start", "row_seq"]
@@ -118,29 +119,68 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 
 
 # ---- calls pipeline (S1 -> ... -> O1) ----------------------------------------------
-def stage_calls(raw: DataFrame) -> DataFrame:
-    """Per-file rules in the reference's order: null-neighbourhood drop -> strip ->
-    category -> priority -> select -> typed casts (F3, P5, F4, F5, P1, P6, P7)."""
-    ts_name = "call_timestamp" if "call_timestamp" in raw.columns else "call_timestamp_EST"
+ON_REJECT = ("null", "raise", "keep")
+
+
+def call_casts(df: DataFrame) -> dict[str, Column]:
+    """The checked casts of the call columns; only the priority must be there."""
+    ts_name = "call_timestamp" if "call_timestamp" in df.columns else "call_timestamp_EST"
+    return {"call_timestamp": checked_timestamp(ts_name), "incident_id": checked_number("incident_id", "bigint"),
+            "priority": checked_number("priority", "tinyint", required=True),
+            "longitude": checked_number("longitude", "double"), "latitude": checked_number("latitude", "double")}
+
+
+def rule_filtered(raw: DataFrame) -> DataFrame:
+    """Null-neighbourhood drop -> strip -> category -> priority, in this order."""
     df = require_not_null(raw, ["neighborhood"])
     df = trim_strings(df, exclude=ORDER_COLS)
     df = df.where(not_in_keep_null("category", DROP_CATEGORIES))
-    df = df.where(not_in_keep_null("priority", DROP_PRIORITIES))
-    return df.select(
-        parse_timestamp(ts_name).alias("call_timestamp"),
-        parse_number("incident_id", "bigint").alias("incident_id"),
-        "officerinitiated",
-        F.expr("try_cast(priority as tinyint)").alias("priority"),
-        "calldescription", "category", "neighborhood",
-        parse_number("longitude", "double").alias("longitude"),
-        parse_number("latitude", "double").alias("latitude"),
-        *ORDER_COLS)
+    return df.where(not_in_keep_null("priority", DROP_PRIORITIES))
+
+
+def stage_calls(raw: DataFrame, on_reject: str = "null") -> DataFrame:
+    """Per-file rules in the reference's order, then select and typed casts.
+
+    ``on_reject``: what a text does that its column's type refuses - ``'null'``
+    gives NULL for the value (:func:`call_reject_audit` counts those),
+    ``'raise'`` fails the job with file, column, reason and text (as the
+    reference does), ``'keep'`` adds ``rejects``, the refused casts of the row.
+    """
+    if on_reject not in ON_REJECT:
+        raise ValueError(f"on_reject must be one of {ON_REJECT}")
+    df = rule_filtered(raw)
+    casts = call_casts(df)
+    if on_reject != "null":
+        df = df.withColumn("rejects", rejects_of(casts))
+    if on_reject == "raise":
+        first = F.element_at("rejects", 1)
+        msg = F.concat_ws(" ", F.lit("refused cast in file"), F.col("file_seq").cast("string"), F.lit("column"), first["column"], first["reason"],
+                          F.concat(F.lit("'"), F.coalesce(first["text"], F.lit("")), F.lit("'")))
+        # in a filter, so that a query which reads other columns only fails too
+        df = df.where(F.when(F.size("rejects") > 0, F.raise_error(msg).cast("boolean")).otherwise(F.lit(True))).drop("rejects")
+    typed = {n: c["value"].alias(n) for n, c in casts.items()}
+    kept = ["rejects"] if on_reject == "keep" else []
+    return df.select(*[typed.get(c, F.col(c)) for c in CALL_COLUMNS], *ORDER_COLS, *kept)
+
+
+def call_reject_audit(raw: DataFrame) -> DataFrame:
+    """Refused casts among the rows that the rules keep: rows per file, column and reason."""
+    df = rule_filtered(raw)
+    each = df.select("file_seq", F.explode(rejects_of(call_casts(df))).alias("r"))
+    return each.groupBy("file_seq", F.col("r.column").alias("column"), F.col("r.reason").alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def rejected_calls(raw: DataFrame) -> DataFrame:
+    """The rows with a refused cast as they came (trimmed), with ``rejects``: to be set aside and looked at."""
+    df = rule_filtered(raw)
+    return df.withColumn("rejects", rejects_of(call_casts(df))).where(F.size("rejects") > 0)
 
 
 def clean_calls(raw: DataFrame, polys: DataFrame, relabel_names: Sequence[str],
-                on_unknown: str = "error") -> DataFrame:
-    """Calls: stage -> keep first per incident_id -> relabel -> drop unlabelled."""
-    staged = stage_calls(raw)
+                on_unknown: str = "error", on_reject: str = "null") -> DataFrame:
+    """Calls: stage -> keep first per incident_id -> relabel -> drop unlabelled.
+    ``on_reject``: ``'null'`` or ``'raise'``, see :func:`stage_calls`."""
+    staged = stage_calls(raw, on_reject)
     first = keep_first(staged, ["incident_id"], ORDER_COLS)
     labelled = relabel(first, polys, relabel_names, name_col="neighborhood",
                        lng_col="longitude", lat_col="latitude", on_unknown=on_unknown)
@@ -148,7 +188,8 @@ def clean_calls(raw: DataFrame, polys: DataFrame, relabel_names: Sequence[str],
 
 
 def calls_stage_audit(raw: DataFrame) -> DataFrame:
-    """Rows per file after each cleaning rule, one pass."""
+    """Rows per file after each cleaning rule, and of the rows kept those with a
+    refused cast, one pass (A11)."""
     s = strip_ws
     ok_n = F.col("neighborhood").isNotNull()
     cat, pri = s(F.col("category")), s(F.col("priority"))
@@ -156,7 +197,8 @@ def calls_stage_audit(raw: DataFrame) -> DataFrame:
     ok_p = ok_c & (pri.isNull() | ~pri.isin(DROP_PRIORITIES))
     return raw.groupBy("file_seq").agg(
         F.count(F.lit(1)).alias("raw_rows"), F.count_if(ok_n).alias("with_nhood"),
-        F.count_if(ok_c).alias("category_kept"), F.count_if(ok_p).alias("kept"))
+        F.count_if(ok_c).alias("category_kept"), F.count_if(ok_p).alias("kept"),
+        F.count_if(ok_p & (F.size(rejects_of(call_casts(raw))) > 0)).alias("with_rejects"))
 
 
 def posts_stage_audit(raw: DataFrame, polys: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Polygons, point labelling, adjacency and radius matching.
 
-Point-in-polygon plan: polygon bounding boxes are cut into grid cells; each
-cell carries the array of candidate polygons (position, key, edges).  Points
-compute their cell and equi-join on it; the exact closed-region test is a
-fold over edges, and the first polygon in file order among the hits wins.
-When the candidate table is small (checked) it is broadcast and the point
-side is never shuffled; otherwise it is a shuffle join on the cell key, where
-AQE skew handling splits hot cells.
+Point-in-polygon plan: polygons live in a grid of several levels, a level's
+cell side a power of two; each polygon is registered at the level of its own
+size, so a city outline beside ten thousand blocks does not widen the blocks'
+cells.  A cell carries the array of candidate polygons (position, key, edges).
+Points probe each level in use (few, ``MAX_LEVELS`` at most) by an equi-join on
+their cell there; the exact closed-region test is a fold over edges, and the
+first polygon in file order among the hits of all levels wins.  A level's
+candidate table is broadcast when it is small (checked) and the point side is
+then never shuffled; otherwise that level is a shuffle join on the cell key,
+where AQE skew handling splits hot cells.
 """
 
 from __future__ import annotations
@@ -19,7 +22,39 @@ from pyspark.sql import functions as F
 from ..functions.geometry import (bbox, clearly_inside, covers_point, haversine_km, interior_point, orient,
                                   piece_midpoints, ring_edges, ring_from_coords)
 from ..functions.text import geo_param_text, key_compose, parse_radius_km
-from ..session import DEFAULT_BROADCAST_LIMIT
+from ..session import DEFAULT_BROADCAST_LIMIT, cut_lineage
+
+
+GEOMETRY_REASONS = ("not_a_polygon", "bad_coordinates", "too_few_points")
+
+
+def _parsed(df: DataFrame, coords_col: str, type_col: str | None) -> tuple[Column, Column]:
+    """(outer ring as array of [x, y], geometry type)."""
+    coords = F.col(f"`{coords_col}`")
+    parsed = F.from_json(coords, "array<array<array<double>>>") if dict(df.dtypes)[coords_col] == "string" else coords
+    return F.get(parsed, 0), F.col(f"`{type_col}`") if type_col else F.lit("Polygon")
+
+
+def geometry_reason(outer: Column, kind: Column) -> Column:
+    """Why a geometry gives no polygon (one of ``GEOMETRY_REASONS``), or NULL.
+    A point must be two finite numbers, a ring have three distinct points; a
+    ring that does not end where it began is closed and not refused."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+    good = F.forall(outer, lambda p: F.coalesce((F.size(p) >= 2) & finite(F.get(p, 0)) & finite(F.get(p, 1)), F.lit(False)))
+    return (F.when(kind.isNull() | (kind != "Polygon"), F.lit("not_a_polygon"))
+            .when(outer.isNull() | ~F.coalesce(good, F.lit(False)), F.lit("bad_coordinates"))
+            .when(F.size(F.array_distinct(F.transform(outer, lambda p: F.slice(p, 1, 2)))) < 3, F.lit("too_few_points")))
+
+
+def geometry_audit(df: DataFrame, coords_col: str = "geometry.coordinates", type_col: str | None = None) -> DataFrame:
+    """``(reason, rows)``: the polygon table's rows by what became of their
+    geometry - a reason, ``closed_here`` (taken, but its ring was open) or ``ok`` (S7, F12)."""
+    outer, kind = _parsed(df, coords_col, type_col)
+    rows = df.select(outer.alias("_outer"), kind.alias("_type"))
+    reason = geometry_reason(F.col("_outer"), F.col("_type"))
+    ends = lambda at: F.slice(F.element_at("_outer", at), 1, 2)
+    became = F.coalesce(reason, F.when(ends(1) != ends(-1), F.lit("closed_here")).otherwise(F.lit("ok")))
+    return rows.select(became.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
 # ---- S7 ----------------------------------------------------------------------------
@@ -27,34 +62,31 @@ def polygons_from_table(df: DataFrame, num_col: str = "nhood_num", name_col: str
                         coords_col: str = "geometry.coordinates", pos_col: str | None = None,
                         type_col: str | None = None) -> DataFrame:
     """Neighbourhood table -> polygons ``(file_pos, key, nhood_num, nhood_name, ring, edges,
-    minx, miny, maxx, maxy, valid)``.
+    minx, miny, maxx, maxy, valid, reason)``.
 
     ``coords_col`` holds the GeoJSON coordinates (text or array); only the
     outer ring (element 0) is used.  Duplicate keys: the later row's polygon
-    wins, the first row's position stays.  Non-Polygon geometries get
-    ``valid = false`` and never match.
+    wins, the first row's position stays.  A geometry with a ``reason``
+    (:func:`geometry_reason`) gets ``valid = false`` and never matches;
+    :func:`geometry_audit` counts them.
     """
     pos = F.col(pos_col) if pos_col else F.monotonically_increasing_id()
-    coords = F.col(f"`{coords_col}`")
-    dtype = dict(df.dtypes)[coords_col]
-    parsed = F.from_json(coords, "array<array<array<double>>>") if dtype == "string" else coords
+    outer, kind = _parsed(df, coords_col, type_col)
     rows = df.select(
         pos.cast("long").alias("_pos"),
         F.col(f"`{num_col}`").alias("nhood_num"), F.col(f"`{name_col}`").alias("nhood_name"),
-        (F.col(f"`{type_col}`") if type_col else F.lit("Polygon")).alias("_type"),
-        parsed.getItem(0).alias("_outer"))
-    rows = rows.withColumn("key", key_compose("nhood_num", "nhood_name"))
-    rows = rows.withColumn("ring", F.when((F.col("_type") == "Polygon") & (F.size("_outer") >= 3),
-                                          ring_from_coords(F.col("_outer"))))
+        kind.alias("_type"), outer.alias("_outer"))
+    rows = rows.withColumn("key", key_compose("nhood_num", "nhood_name")).withColumn("reason", geometry_reason(F.col("_outer"), F.col("_type")))
+    rows = rows.withColumn("ring", F.when(F.col("reason").isNull(), ring_from_coords(F.col("_outer"))))
     g = rows.groupBy("key").agg(
         F.min("_pos").alias("file_pos"),
-        F.max_by(F.struct("nhood_num", "nhood_name", "ring"), "_pos").alias("_last"))
-    out = g.select("file_pos", "key", "_last.nhood_num", "_last.nhood_name", "_last.ring")
+        F.max_by(F.struct("nhood_num", "nhood_name", "ring", "reason"), "_pos").alias("_last"))
+    out = g.select("file_pos", "key", "_last.nhood_num", "_last.nhood_name", "_last.ring", "_last.reason")
     mnx, mny, mxx, mxy = bbox(F.col("ring"))
     return out.select("file_pos", "key", "nhood_num", "nhood_name", "ring",
                       ring_edges(F.col("ring")).alias("edges"),
                       mnx.alias("minx"), mny.alias("miny"), mxx.alias("maxx"), mxy.alias("maxy"),
-                      F.col("ring").isNotNull().alias("valid"))
+                      F.col("ring").isNotNull().alias("valid"), "reason")
 
 
 def polygons_from_rings(df: DataFrame, pos_col: str, num_col: str, name_col: str,
@@ -71,52 +103,80 @@ def polygons_from_rings(df: DataFrame, pos_col: str, num_col: str, name_col: str
 
 
 # ---- grid cells --------------------------------------------------------------------
-MAX_CELLS_PER_SIDE = 64   # a polygon spans at most this many cells per axis (+2)
+MAX_LEVELS = 8            # grid levels that are probed at most
+MAX_CUTS = 64             # a polygon with many edges is cut into this many cells a side at most
+EDGES_PER_CUT = 16
 
 
-def polygon_stats(polys: DataFrame) -> dict:
-    """One small aggregate over the polygon table: count, grid cell side and an
-    upper bound of the candidate-cell table's bytes for that cell (each
-    polygon covers at most (w/c + 2)(h/c + 2) cells).
-
-    Cell side = the median bounding-box side (few polygons per cell), raised to
-    the largest side / ``MAX_CELLS_PER_SIDE`` when needed so one huge polygon
-    cannot explode into millions of cells."""
-    v = polys.where("valid")
-    w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
-    e = F.size("edges") * 32 + 96
-    r = v.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.greatest(w, h), 0.5).alias("side"),
-              F.max(F.greatest(w, h)).alias("max_side"),
-              F.sum(e * w * h).alias("ewh"), F.sum(e * (w + h)).alias("ew"), F.sum(e).alias("e")).first()
-    n = int(r["n"] or 0)
-    cell = max(float(r["side"] or 0.0), float(r["max_side"] or 0.0) / MAX_CELLS_PER_SIDE) or 1.0
-    est = 0 if n == 0 else int((r["ewh"] or 0) / cell ** 2 + 2 * (r["ew"] or 0) / cell + 4 * (r["e"] or 0))
-    return {"n": n, "cell": cell, "est_bytes": est}
+def _level(side: Column) -> Column:
+    """Exponent of the smallest power of two that is no less than ``side`` (NULL for 0)."""
+    return F.ceil(F.log2(F.when(side > 0, side))).cast("int")
+
 
+def polygon_level(minx="minx", miny="miny", maxx="maxx", maxy="maxy", edges="edges") -> Column:
+    """Grid level of a polygon: cells as wide as its box, or finer the more edges
+    it has (a cell's candidates carry only the edges of its band)."""
+    cuts = F.least(F.lit(float(MAX_CUTS)), F.greatest(F.lit(1.0), F.sqrt(F.size(edges) / EDGES_PER_CUT)))
+    return _level(F.greatest(F.col(maxx) - F.col(minx), F.col(maxy) - F.col(miny)) / cuts)
 
-def default_cell(polys: DataFrame) -> float:
-    """Cell side = median bounding-box side of the polygons."""
-    return polygon_stats(polys)["cell"]
 
+def merge_levels(found: Sequence[int], most: int = MAX_LEVELS) -> dict[int, int]:
+    """Level -> level in use.  Beyond ``most`` levels neighbours share the coarser one."""
+    found = sorted(set(found))
+    per = -(-len(found) // most) if found else 1
+    return {lv: found[min(len(found), (i // per + 1) * per) - 1] for i, lv in enumerate(found)}
 
-def _cells(df: DataFrame, cell: float, minx="minx", miny="miny", maxx="maxx", maxy="maxy") -> DataFrame:
-    cs = F.lit(float(cell))
+
+def polygon_stats(polys: DataFrame) -> dict:
+    """One small aggregate over the polygon table (a row per size class): count,
+    the grid levels in use, and for each an upper bound of its candidate table's
+    bytes (a polygon covers at most (w/c + 2)(h/c + 2) cells of side c)."""
+    v = polys.where("valid").withColumn("_lv", polygon_level())
+    w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
+    e = F.size("edges") * 32 + 96
+    rows = v.groupBy("_lv").agg(F.count(F.lit(1)).alias("n"), F.sum(e * w * h).alias("ewh"),
+                                F.sum(e * (w + h)).alias("ew"), F.sum(e).alias("e")).collect()
+    levels = merge_levels([r["_lv"] for r in rows if r["_lv"] is not None])
+    finest = min(levels.values(), default=0)
+    level_bytes: dict[int, int] = {}
+    for r in rows:
+        lv = levels.get(r["_lv"], finest)   # polygons without extent go to the finest level
+        c = 2.0 ** lv
+        level_bytes[lv] = level_bytes.get(lv, 0) + int(r["ewh"] / c ** 2 + 2 * r["ew"] / c + 4 * r["e"])
+    return {"n": sum(r["n"] for r in rows), "levels": levels, "level_bytes": level_bytes,
+            "est_bytes": sum(level_bytes.values())}
+
+
+def _level_in_use(level: Column, levels: dict[int, int]) -> Column:
+    """The level in use for a level found (``levels`` of :func:`polygon_stats`)."""
+    if not levels:
+        return F.lit(0)
+    known = F.create_map(*[F.lit(x) for pair in levels.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, level), F.lit(min(levels.values())))
+
+
+def _cells(df: DataFrame, cell: float | Column, minx="minx", miny="miny", maxx="maxx", maxy="maxy") -> DataFrame:
+    cs = cell if isinstance(cell, Column) else F.lit(float(cell))
     return (df.withColumn("_cx", F.explode(F.sequence(F.floor(F.col(minx) / cs),
                                                       F.floor(F.col(maxx) / cs))))
               .withColumn("_cy", F.explode(F.sequence(F.floor(F.col(miny) / cs),
                                                       F.floor(F.col(maxy) / cs)))))
 
 
-def candidate_cells(polys: DataFrame, cell: float) -> DataFrame:
-    """(cell -> candidate polygons) table.  Each candidate carries only the
-    edges whose y-range meets the cell's horizontal band (widened by a cell): a point's ray
-    crossings and on-edge test only involve edges spanning its y, so this is
-    exact and keeps both the table and the per-point fold small."""
-    cells = _cells(polys.where("valid"), cell)
-    # one cell more on both sides: floor(y / cell) and cell_no * cell round
-    # differently, so a point may lie just outside the nominal band of its cell
-    lo = (F.col("_cy") - 1) * F.lit(float(cell))
-    hi = (F.col("_cy") + 2) * F.lit(float(cell))
+def _cell_of(x, level: int) -> Column:
+    """Cell number at a level; dividing by a power of two is exact."""
+    return F.floor(F.col(x) / F.lit(2.0 ** level))
+
+
+def candidate_cells(polys: DataFrame, level: int) -> DataFrame:
+    """(cell -> candidate polygons) table of one grid level.  Each candidate
+    carries only the edges whose y-range meets the cell's horizontal band: a
+    point's ray crossings and on-edge test only involve edges spanning its y,
+    and cell numbers are exact, so this is exact and keeps both the table and
+    the per-point fold small."""
+    side = F.lit(2.0 ** level)
+    cells = _cells(polys.where("valid"), 2.0 ** level)
+    lo, hi = F.col("_cy") * side, (F.col("_cy") + 1) * side
     band = F.filter("edges", lambda e: (F.least(e.y1, e.y2) <= hi) & (F.greatest(e.y1, e.y2) >= lo))
     return cells.groupBy("_cx", "_cy").agg(
         F.collect_list(F.struct("file_pos", "key", "minx", "miny", "maxx", "maxy", band.alias("edges")))
@@ -125,26 +185,31 @@ def candidate_cells(polys: DataFrame, cell: float) -> DataFrame:
 
 # ---- J1 ----------------------------------------------------------------------------
 def label_points(points: DataFrame, polys: DataFrame, lng_col: str, lat_col: str,
-                 out_col: str = "FID_nhood", cell: float | None = None,
-                 only_when: Column | None = None,
+                 out_col: str = "FID_nhood", only_when: Column | None = None,
                  broadcast_limit: int = DEFAULT_BROADCAST_LIMIT, stats: dict | None = None) -> DataFrame:
     """Key of the first polygon (file order) that contains the point or has it on
-    its boundary; NULL when none or when coordinates are NULL (J1)."""
+    its boundary; NULL when none or when coordinates are NULL (J1).  One lookup
+    per grid level in use."""
     stats = stats or polygon_stats(polys)
-    cell = cell or stats["cell"]
-    cand = candidate_cells(polys, cell)
-    cand = F.broadcast(cand) if stats["est_bytes"] <= broadcast_limit else cand
     px, py = F.col(lng_col), F.col(lat_col)
-    cx, cy = F.floor(px / F.lit(cell)), F.floor(py / F.lit(cell))
-    if only_when is not None:
-        cx, cy = F.when(only_when, cx), F.when(only_when, cy)
-    pts = points.withColumn("_cx", cx).withColumn("_cy", cy)
-    joined = pts.join(cand, ["_cx", "_cy"], "left")
-    # cheap bounding-box test first; the exact edge fold runs only on survivors
-    in_box = F.filter(F.col("_cands"), lambda c: (px >= c.minx) & (px <= c.maxx) & (py >= c.miny) & (py <= c.maxy))
-    hits = F.filter(in_box, lambda c: covers_point(c.edges, px, py))
-    best = F.array_min(F.transform(hits, lambda c: F.struct(c.file_pos.alias("p"), c.key.alias("k"))))
-    return joined.withColumn(out_col, best.getField("k")).drop("_cx", "_cy", "_cands")
+    placed = polys.where("valid").withColumn("_lv", _level_in_use(polygon_level(), stats["levels"]))
+    joined, hits, room = points, [], broadcast_limit
+    for lv, size in sorted(stats["level_bytes"].items(), reverse=True):
+        cand = candidate_cells(placed.where(F.col("_lv") == lv), lv).withColumnRenamed("_cands", f"_cands{lv}")
+        if size <= room:  # all broadcasts together stay under the limit
+            cand, room = F.broadcast(cand), room - size
+        cx, cy = _cell_of(lng_col, lv), _cell_of(lat_col, lv)
+        if only_when is not None:
+            cx, cy = F.when(only_when, cx), F.when(only_when, cy)
+        joined = joined.withColumns({"_cx": cx, "_cy": cy}).join(cand, ["_cx", "_cy"], "left").drop("_cx", "_cy")
+        # cheap bounding-box test first; the exact edge fold runs only on survivors
+        in_box = F.filter(F.col(f"_cands{lv}"), lambda c: (px >= c.minx) & (px <= c.maxx) & (py >= c.miny) & (py <= c.maxy))
+        inside = F.filter(in_box, lambda c: covers_point(c.edges, px, py))
+        hits.append(F.array_min(F.transform(inside, lambda c: F.struct(c.file_pos.alias("p"), c.key.alias("k")))))
+    if not hits:
+        return points.withColumn(out_col, F.lit(None).cast("string"))
+    best = F.array_min(F.array_compact(F.array(*hits)))
+    return joined.withColumn(out_col, best.getField("k")).drop(*[f"_cands{lv}" for lv in stats["level_bytes"]])
 
 
 # ---- J3 ----------------------------------------------------------------------------
@@ -222,30 +287,44 @@ def _enters(near_own: Column, near_other: Column, other: Column, in_box) -> Colu
     return F.exists(F.flatten(F.transform(near_own, pieces)), lambda q: clearly_inside(other, q.x, q.y, INSIDE_TOL))
 
 
-def adjacency(polys: DataFrame, cell: float | None = None) -> DataFrame:
+def box_pairs(p: DataFrame, stats: dict) -> DataFrame:
+    """``(pa, pb)``: every unordered pair of polygons whose boxes meet, once.
+    Polygons are at home in the cells of their own level and probe those of
+    their own and all coarser levels in use; a pair counts in the cell of the
+    lower corner of its overlap."""
+    levels = sorted(set(stats["levels"].values())) or [0]
+    box = ["file_pos", "minx", "miny", "maxx", "maxy"]
+    at = p.select(*box, _level_in_use(polygon_level(), stats["levels"]).alias("_lv"))
+    side = F.pow(F.lit(2.0), F.col("_at"))
+    home = _cells(at.withColumn("_at", F.col("_lv")), side)
+    coarser = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col("_lv"))
+    probe = _cells(at.withColumn("_at", F.explode(coarser)), side)
+    corner = lambda c: F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / F.pow(F.lit(2.0), F.col("_at")))
+    # a finer polygon meets a coarser one; two of one level in file order
+    ahead = (F.col("a._lv") < F.col("b._lv")) | ((F.col("a._lv") == F.col("b._lv")) & (F.col("a.file_pos") < F.col("b.file_pos")))
+    return (probe.alias("a").join(home.alias("b"), ["_at", "_cx", "_cy"])
+            .where(ahead & (F.col("a.minx") <= F.col("b.maxx")) & (F.col("b.minx") <= F.col("a.maxx"))
+                   & (F.col("a.miny") <= F.col("b.maxy")) & (F.col("b.miny") <= F.col("a.maxy"))
+                   & (F.col("_cx") == corner("minx")) & (F.col("_cy") == corner("miny")))
+            .select(F.col("a.file_pos").alias("pa"), F.col("b.file_pos").alias("pb")))
+
+
+def adjacency(polys: DataFrame) -> DataFrame:
     """All (centre, neighbour) pairs of polygons that *touch*: boundaries meet,
     interiors disjoint (corner contact counts; self, overlap, containment and
     equal rings do not) (J4).
 
-    Candidate pairs come from a self equi-join of bounding-box grid cells, kept
-    where the boxes meet and only in the cell of the lower corner of their
-    overlap (so a pair comes up once); the exact tests run once per unordered
-    pair (touching is symmetric) and both directions are emitted.
+    Candidates are :func:`box_pairs`.  The tests run in stages, each on the
+    pairs the last one left: the boundaries must meet; where the overlap of the
+    boxes has no area that settles it (neighbours side by side); only the rest
+    is tested for crossing edges and for pieces of one inside the other.  Both
+    directions of a pair are emitted.
     """
-    cell = cell or default_cell(polys)
-    p = polys.where("valid").select("file_pos", "key", "edges", "ring", "minx", "miny", "maxx", "maxy")
-    cells = _cells(p, cell).select("_cx", "_cy", "file_pos", "minx", "miny", "maxx", "maxy")
-    corner = lambda c: F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / F.lit(float(cell)))
-    pairs = (cells.alias("a").join(cells.alias("b"), ["_cx", "_cy"])
-                  .where((F.col("a.file_pos") < F.col("b.file_pos"))
-                         & (F.col("a.minx") <= F.col("b.maxx")) & (F.col("b.minx") <= F.col("a.maxx"))
-                         & (F.col("a.miny") <= F.col("b.maxy")) & (F.col("b.miny") <= F.col("a.maxy"))
-                         & (F.col("_cx") == corner("minx")) & (F.col("_cy") == corner("miny")))
-                  .select(F.col("a.file_pos").alias("pa"), F.col("b.file_pos").alias("pb")))
+    p = polys.where("valid").select("file_pos", "key", "edges", "minx", "miny", "maxx", "maxy",
+                                    interior_point(F.col("edges")).alias("inner"))
     a = p.select(*[F.col(c).alias(c + "_a") for c in p.columns])
     b = p.select(*[F.col(c).alias(c + "_b") for c in p.columns])
-    j = pairs.join(a, F.col("pa") == F.col("file_pos_a")).join(b, F.col("pb") == F.col("file_pos_b"))
-    ea, eb = F.col("edges_a"), F.col("edges_b")
+    j = box_pairs(p, polygon_stats(polys)).join(a, F.col("pa") == F.col("file_pos_a")).join(b, F.col("pb") == F.col("file_pos_b"))
     # Exact pruning before the nested tests: two edges can only meet inside the
     # overlap of the two boxes, and a point strictly inside a polygon lies in
     # the open interior of its box - so typical neighbours test only the edges
@@ -260,15 +339,18 @@ def adjacency(polys: DataFrame, cell: float | None = None) -> DataFrame:
     def in_box(q, side):  # open box: a strictly interior point is never on its edge
         return ((q.x > F.col(f"minx_{side}")) & (q.x < F.col(f"maxx_{side}"))
                 & (q.y > F.col(f"miny_{side}")) & (q.y < F.col(f"maxy_{side}")))
-    na, nb = F.filter(ea, near), F.filter(eb, near)
+    # a generator ends a stage: the optimiser does not work its columns out again for each test
+    strip = F.struct(F.filter("edges_a", near).alias("na"), F.filter("edges_b", near).alias("nb"),
+                     ((ix1 <= ix0) | (iy1 <= iy0)).alias("flat"))
+    j = j.withColumn("s", F.explode(F.array(strip)))
+    na, nb, ea, eb = F.col("s.na"), F.col("s.nb"), F.col("edges_a"), F.col("edges_b")
     meet = F.exists(na, lambda x: F.exists(nb, lambda y: _seg_intersect(x, y)))
     cross = F.exists(na, lambda x: F.exists(nb, lambda y: _proper_cross(x, y)))
     a_in_b = _enters(na, nb, eb, lambda q: in_box(q, "b"))
     b_in_a = _enters(nb, na, ea, lambda q: in_box(q, "a"))
     # rings that bound the same region in other vertices: one interior point tells
-    inner = interior_point(ea)
-    same = F.coalesce(clearly_inside(eb, inner.x, inner.y, INSIDE_TOL), F.lit(False))
-    touch = meet & ~cross & ~a_in_b & ~b_in_a & ~same
+    same = F.coalesce(clearly_inside(eb, F.col("inner_a.x"), F.col("inner_a.y"), INSIDE_TOL), F.lit(False))
+    touch = meet & (F.col("s.flat") | (~cross & ~same & ~a_in_b & ~b_in_a))
     both = F.array(
         F.struct(F.col("key_a").alias("centre"), F.col("key_b").alias("neighbour"),
                  F.col("file_pos_a").alias("centre_pos"), F.col("file_pos_b").alias("neighbour_pos")),
@@ -308,23 +390,29 @@ def outside_audit(df: DataFrame, polys: DataFrame, lng_col: str, lat_col: str,
 
 
 # ---- J9 ----------------------------------------------------------------------------
+def centre_cells(c: DataFrame, levels: dict[int, int]) -> DataFrame:
+    """The grid cells of each centre's box at the level of its radius."""
+    at = c.where("_raw is not null").withColumn("_lv", _level_in_use(F.col("_raw"), levels))
+    return _cells(at, F.pow(F.lit(2.0), F.col("_lv")), "_minx", "_miny", "_maxx", "_maxy").select(
+        "_lv", "_cx", "_cy", "centre", "radius", "_clat", "_clng", "_rkm").distinct()
+
+
 def radius_match(points: DataFrame, centres: DataFrame, lng_col: str = "lng", lat_col: str = "lat",
                  centre_col: str = "centre", radius_col: str = "radius") -> DataFrame:
     """Points within the radius of any centre, tagged with that centre.
 
     ``centres``: ``centre`` text ``"lat,long"`` and ``radius`` text (``"1mi"``/``"2km"``).
     A point near several centres yields several rows, each tagged with the
-    search parameter text ``query_geo = "lat,long,radius"`` (P17).  Range join: centres are
-    expanded to the degree cells their circle's bounding box covers, points
-    join on their cell, then the exact haversine test runs.
+    search parameter text ``query_geo = "lat,long,radius"`` (P17).  Range join: each
+    centre is expanded to the cells its circle's box covers, at the grid level of
+    its own radius; points probe the levels in use, join on their cell there, and
+    the exact haversine test runs.
     """
     c = centres.select(
         F.col(centre_col).alias("centre"), F.col(radius_col).alias("radius"),
         F.split(centre_col, ",").getItem(0).cast("double").alias("_clat"),
         F.split(centre_col, ",").getItem(1).cast("double").alias("_clng"),
         parse_radius_km(radius_col).alias("_rkm"))
-    max_r = c.agg(F.max("_rkm")).first()[0] or 0.0
-    cell = max(max_r / 111.0, 1e-3)
     dlat = F.col("_rkm") / F.lit(111.0)
     reach = F.abs(F.col("_clat")) + dlat
     # the circle's extreme longitudes; all of them when it holds a pole
@@ -336,15 +424,18 @@ def radius_match(points: DataFrame, centres: DataFrame, lng_col: str = "lng", la
     boxes = F.filter(F.array(box(west, east), box(west + 360, F.lit(180.0)), box(F.lit(-180.0), east - 360)), lambda b: b["lo"] <= b["hi"])
     c = (c.withColumn("_box", F.explode(F.when(dlng >= 180, F.array(box(F.lit(-180.0), F.lit(180.0)))).otherwise(boxes)))
           .withColumn("_minx", F.col("_box.lo")).withColumn("_maxx", F.col("_box.hi")).drop("_box")
-          .withColumn("_miny", F.col("_clat") - dlat).withColumn("_maxy", F.col("_clat") + dlat))
-    cc = _cells(c, cell, "_minx", "_miny", "_maxx", "_maxy").select(
-        "_cx", "_cy", "centre", "radius", "_clat", "_clng", "_rkm").distinct()
+          .withColumns({"_miny": F.col("_clat") - dlat, "_maxy": F.col("_clat") + dlat, "_dlat": dlat, "_dlng": dlng}))
+    # each centre's cells are as wide as its own circle; a wide box near a pole has eight columns
+    c = cut_lineage(c.withColumn("_raw", _level(F.greatest(F.col("_dlat"), F.col("_dlng") / 8, F.lit(1e-6)))), "centres")
+    levels = merge_levels([r[0] for r in c.select("_raw").where("_raw is not null").distinct().collect()])
+    cc = centre_cells(c, levels)
     n = cc.count()
     cc = F.broadcast(cc) if n * 96 <= DEFAULT_BROADCAST_LIMIT else cc
-    pts = points.withColumn("_cx", F.floor(F.col(lng_col) / F.lit(cell))) \
-                .withColumn("_cy", F.floor(F.col(lat_col) / F.lit(cell)))
+    side = F.pow(F.lit(2.0), F.col("_lv"))
+    probes = F.array(*[F.lit(x) for x in sorted(set(levels.values())) or [0]])
+    pts = points.withColumn("_lv", F.explode(probes)).withColumns({"_cx": F.floor(F.col(lng_col) / side), "_cy": F.floor(F.col(lat_col) / side)})
     d = haversine_km(F.col(lat_col), F.col(lng_col), F.col("_clat"), F.col("_clng"))
-    return (pts.join(cc, ["_cx", "_cy"]).where(d <= F.col("_rkm"))
+    return (pts.join(cc, ["_lv", "_cx", "_cy"]).where(d <= F.col("_rkm"))
                .withColumn("query_geo", geo_param_text(F.split("centre", ",").getItem(0),
                                                        F.split("centre", ",").getItem(1), F.col("radius")))
-               .drop("_cx", "_cy", "_clat", "_clng", "_rkm"))
+               .drop("_lv", "_cx", "_cy", "_clat", "_clng", "_rkm"))

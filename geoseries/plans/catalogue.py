@@ -133,9 +133,29 @@ def q_stage_audit(spark, sf):
     return tidy(clean.calls_stage_audit(S.calls_raw(spark, sf)))
 
 
+@register("call_rejects")
+def q_call_rejects(spark, sf):
+    """Refused casts per file, column and reason, on calls that hold bad texts."""
+    return tidy(clean.call_reject_audit(S.calls_dirty(spark, sf)))
+
+
+@register("rejected_calls")
+def q_rejected_calls(spark, sf):
+    """The calls with a refused cast, set aside with the reasons."""
+    r = clean.rejected_calls(S.calls_dirty(spark, sf))
+    why = F.array_join(F.transform("rejects", lambda x: F.concat_ws(":", x["column"], x["reason"])), ",")
+    return tidy(r.select("file_seq", "row_seq", why.alias("rejects")))
+
+
+@register("dirty_clean_calls")
+def q_dirty_clean_calls(spark, sf):
+    """Cleaned calls of files that hold bad texts: the refused values are NULL, the rows stay."""
+    d = clean.keep_first(clean.stage_calls(S.calls_dirty(spark, sf)), ["incident_id"], clean.ORDER_COLS)
+    return tidy(d.select("incident_id", "file_seq", "call_timestamp", "priority", "longitude", "latitude"))
+
+
 # ---- profile -------------------------------------------------------------------------
-RAW_CALL_COLS = ["call_timestamp", "incident_id", "officerinitiated", "priority", "calldescription",
-                 "category", "neighborhood", "longitude", "latitude", "dispatchtime", "totalresponsetime"]
+RAW_CALL_COLS = [*clean.CALL_COLUMNS, "dispatchtime", "totalresponsetime"]
 
 
 @register("null_share")
@@ -506,6 +526,45 @@ def q_page_audit(spark, sf):
     return tidy(pages.page_audit(S.call_pages(spark, sf), pages.feature_page_schema(CALL_ATTRS)))
 
 
+@register("page_errors")
+def q_page_errors(spark, sf):
+    """Pages, rows and page range per class of landed page, on a feed with errors."""
+    return tidy(pages.page_errors(S.call_pages_dirty(spark, sf), pages.feature_page_schema(CALL_ATTRS)))
+
+
+@register("page_audit_dirty")
+def q_page_audit_dirty(spark, sf):
+    """The page audit of a feed with errors: class, rows and consistency per page."""
+    return tidy(pages.page_audit(S.call_pages_dirty(spark, sf), pages.feature_page_schema(CALL_ATTRS)))
+
+
+@register("page_merge_dirty")
+def q_page_merge_dirty(spark, sf):
+    """The records of the usable pages of a feed with errors."""
+    return tidy(pages.feature_rows(S.call_pages_dirty(spark, sf), CALL_ATTRS, on_bad="drop"))
+
+
+@register("page_keys")
+def q_page_keys(spark, sf):
+    """Keys of the pages besides their features, later pages over earlier ones."""
+    schema = T.StructType([*pages.feature_page_schema(CALL_ATTRS).fields, T.StructField("error", pages.ERROR), T.StructField("status", T.StringType())])
+    k = pages.page_keys(S.call_pages_dirty(spark, sf), schema)
+    return tidy(k.select("exceededTransferLimit", F.col("error.code").alias("error_code"), F.col("error.message").alias("error_message"), "status"))
+
+
+@register("page_order")
+def q_page_order(spark, sf):
+    """City-block pages: ascending by id inside and over the pages (O2)."""
+    feats = pages.geojson_features(S.boundary_pages(spark, sf), NHOOD_PROPS)
+    return tidy(pages.page_order_audit(feats, "FID"))
+
+
+@register("geometry_audit")
+def q_geometry_audit(spark, sf):
+    """Block table with bad geometries: rows per reason."""
+    return tidy(geo.geometry_audit(S.block_table_dirty(spark, sf), type_col="geometry.type"))
+
+
 @register("geojson_flatten")
 def q_geojson_flatten(spark, sf):
     """City-block GeoJSON pages -> flattened features (S2, S3, P4) -> polygons."""
@@ -572,6 +631,16 @@ def q_stream_statuses_once(spark, sf):
     return tidy(t.withColumn("has_place", F.col("place").isNotNull()).drop("place"))
 
 
+@register("landed_posts_clean")
+def q_landed_posts_clean(spark, sf):
+    """Replayed status feed -> entity tables -> read back as posts -> two-phase
+    de-duplication, polygons, sources (entry B: ST1, W2, J1, F6)."""
+    base = _land_statuses(spark, sf)
+    st.run_entity_sink(_stream_statuses(spark, base), f"{base}/out", f"{base}/ckpt_entities", QUERY_TIME, QUERY_GEO).awaitTermination()
+    posts = clean.clean_posts(files.read_landed_posts(spark, f"{base}/out/tweet"), S.polygons(spark, sf))
+    return tidy(posts.select("created_at", "id_str", "user", "lng", "lat", "FID_nhood"))
+
+
 @register("stream_total_once")
 def q_stream_total_once(spark, sf):
     """Running count of statuses received inside the box (ST3)."""

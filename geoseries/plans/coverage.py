@@ -8,14 +8,14 @@ ID_QUERIES = {
     # scans, sources, sinks
     "s01_csv_scan": "csv_scan_keep_first", "s02_geojson_scan": "geojson_flatten",
     "s03_boundary_json_to_df": "geojson_flatten", "s04_feature_page_scan": "page_merge",
-    "s05_page_merge": "page_merge", "s06_page_audit": "page_audit", "s07_polygon_scan": "polygon_scan",
+    "s05_page_merge": "page_merge", "s05_page_keys": "page_keys", "s04_page_errors": "page_merge_dirty", "s06_page_audit": "page_audit", "s06_page_errors": "page_errors", "s07_geometry_audit": "geometry_audit", "s07_polygon_scan": "polygon_scan",
     "s08_clean_reread": "clean_table_roundtrip", "s09_overwrite_sink": "clean_table_roundtrip",
     "s10_append_sink": "stream_statuses_once", "s11_json_sink": "geojson_sink_roundtrip",
     "s12_wide_forecast_scan": "wide_forecast_scan", "s13_status_stream": "stream_statuses_once",
     # projections and scalar functions
     "p01_keep_columns": "clean_calls", "p02_drop_columns": "page_merge", "p03_rename_prefix": "geojson_flatten",
     "p04_flatten_json": "geojson_flatten", "p05_trim": "clean_calls", "p06_thousands": "csv_scan_keep_first",
-    "p07_typed_casts": "clean_calls", "p08_epoch_to_local": "page_merge", "p09_parse_lnglat": "bbox_filter",
+    "p07_typed_casts": "clean_calls", "p07_call_rejects": "call_rejects", "p08_epoch_to_local": "page_merge", "p09_parse_lnglat": "bbox_filter",
     "p10_key_split": "day_map_frame", "p11_series_index": "series_index", "p12_attention_level": "attention_level",
     "p13_fill_zero": "time_avg", "p14_status_tweet": "status_tweet", "p15_status_user": "status_user",
     "p16_provenance": "status_tweet", "p17_geo_param_text": "radius_match", "p18_day_selector": "day_map_frame",
@@ -39,12 +39,12 @@ ID_QUERIES = {
     "a16_city_total": "city_total", "a16_posts_hourly_total": "posts_hourly_total", "a17_neighbour_total": "neighbour_total",
     "a18_working_series": "working_series", "a19_slice_range": "day_map_frame", "a20_losses": "losses",
     # windows and time series
-    "w01_keep_first": "dedupe_keep_first", "w02_two_phase_dedupe": "clean_posts_two_phase", "w03_acf": "acf",
+    "w01_keep_first": "dedupe_keep_first", "w02_two_phase_dedupe": "clean_posts_two_phase", "w02_landed_posts": "landed_posts_clean", "w03_acf": "acf",
     "w04_pacf": "pacf", "w05_best_lag": "best_lag", "w06_decompose": "decompose", "w07_lag_rows": "lag_rows", "w07_joint_lag_rows": "joint_lag_rows",
     "w08_ts_split": "split3", "w09_tabular_split": "tabular_split", "w10_top_per_group": "top10_per_priority",
     "w11_last_n": "last_n_rows", "w11_last_fraction": "last_fraction_rows",
     # sort, limit, union
-    "o01_sink_sort": "clean_table_roundtrip", "o02_page_order": "page_merge", "o03_top10": "top_categories",
+    "o01_sink_sort": "clean_table_roundtrip", "o02_page_order": "page_order", "o03_top10": "top_categories",
     "o04_newest": "last_rows", "u01_union_files": "csv_scan_keep_first",
     # forecasting
     "m01_recursive_forecast": "recursive_mean_model", "m01_joint_recursive": "joint_recursive_mean", "m02_model_evaluate": "backtest", "m03_rf_grid": "rf_grid",

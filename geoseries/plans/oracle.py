@@ -208,7 +208,8 @@ Q["stage_audit"] = with_(CALLS_RAW, f"""
 SELECT CAST(file_seq AS BIGINT) AS file_seq, count(*) AS raw_rows,
        count(*) FILTER (WHERE neighborhood IS NOT NULL) AS with_nhood,
        count(*) FILTER (WHERE neighborhood IS NOT NULL AND {_OKC}) AS category_kept,
-       count(*) FILTER (WHERE neighborhood IS NOT NULL AND {_OKC} AND {_OKP}) AS kept
+       count(*) FILTER (WHERE neighborhood IS NOT NULL AND {_OKC} AND {_OKP}) AS kept,
+       CAST(0 AS BIGINT) AS with_rejects
 FROM calls_raw GROUP BY file_seq""")
 
 _RAW_COLS = ["call_timestamp", "incident_id", "officerinitiated", "priority", "calldescription",
@@ -580,7 +581,7 @@ SELECT CAST(event_id // 500 + 1 AS BIGINT) AS page_no, event_id AS incident_id,
 FROM (SELECT *, epoch_us(ts) // 1000 AS ms FROM events)"""
 
 Q["page_audit"] = """
-SELECT page_no, "rows", page_no < max(page_no) OVER () AS more,
+SELECT page_no, 'ok' AS page_class, "rows", page_no < max(page_no) OVER () AS more,
        CAST(coalesce(sum("rows") OVER (ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
             AS BIGINT) AS "offset",
        true AS consistent
@@ -711,6 +712,84 @@ grid AS """ + grid_sql("present", "FID_nhood", step="INTERVAL 1 HOUR"), """
 SELECT grid.bin, CAST(sum(coalesce(value, 0)) AS BIGINT) AS total
 FROM grid LEFT JOIN present USING (FID_nhood, bin) GROUP BY grid.bin""")
 
+# ---- inputs with rows that must not go unseen ----------------------------------------------
+_DIRTY = CALLS_RAW.replace("calls_raw AS (", "calls_good AS (") + """,
+calls_raw AS (
+  SELECT * REPLACE (
+    CASE row_seq % 101 WHEN 7 THEN '01/02/2020 01:00' WHEN 8 THEN NULL ELSE call_timestamp END AS call_timestamp,
+    CASE row_seq % 101 WHEN 9 THEN '300' WHEN 10 THEN 'high' WHEN 11 THEN NULL WHEN 15 THEN '2.5' ELSE priority END AS priority,
+    CASE row_seq % 101 WHEN 12 THEN '83.1W' WHEN 16 THEN ' 1,083.5 ' ELSE longitude END AS longitude,
+    CASE row_seq % 101 WHEN 13 THEN 'NaN' ELSE latitude END AS latitude,
+    CASE row_seq % 101 WHEN 14 THEN 'A-17' ELSE incident_id END AS incident_id)
+  FROM calls_good
+)"""
+_WHOLE = "regexp_full_match({c}, '[+-]?[0-9]+')"
+_REFUSED = _DIRTY + f""",
+ruled AS (
+  SELECT file_seq, row_seq, trim(call_timestamp) AS ts, trim(priority) AS pri, replace(trim(incident_id), ',', '') AS iid,
+         replace(trim(longitude), ',', '') AS lng, replace(trim(latitude), ',', '') AS lat
+  FROM calls_raw WHERE neighborhood IS NOT NULL AND {_OKC} AND {_OKP}),
+refused AS (
+  SELECT file_seq, row_seq, 1 AS no, 'call_timestamp' AS col, 'not_a_timestamp' AS reason FROM ruled
+    WHERE ts <> '' AND TRY_CAST(ts AS TIMESTAMP) IS NULL
+  UNION ALL SELECT file_seq, row_seq, 2, 'incident_id', 'not_a_number' FROM ruled WHERE NOT {_WHOLE.format(c='iid')}
+  UNION ALL SELECT file_seq, row_seq, 3, 'priority',
+    CASE WHEN pri IS NULL THEN 'missing' WHEN {_WHOLE.format(c='pri')} THEN 'out_of_range'
+         WHEN TRY_CAST(pri AS DOUBLE) IS NOT NULL THEN 'not_whole' ELSE 'not_a_number' END
+    FROM ruled WHERE pri IS NULL OR NOT {_WHOLE.format(c='pri')} OR CAST(TRY_CAST(pri AS DOUBLE) AS DOUBLE) NOT BETWEEN -128 AND 127
+  UNION ALL SELECT file_seq, row_seq, 4, 'longitude', 'not_a_number' FROM ruled WHERE TRY_CAST(lng AS DOUBLE) IS NULL
+  UNION ALL SELECT file_seq, row_seq, 5, 'latitude', 'not_finite' FROM ruled WHERE isnan(TRY_CAST(lat AS DOUBLE)))"""
+Q["call_rejects"] = with_(_REFUSED, """
+SELECT CAST(file_seq AS BIGINT) AS file_seq, col AS "column", reason, count(*) AS "rows" FROM refused GROUP BY ALL""")
+
+Q["rejected_calls"] = with_(_REFUSED, """
+SELECT CAST(file_seq AS BIGINT) AS file_seq, row_seq, string_agg(col || ':' || reason, ',' ORDER BY no) AS rejects
+FROM refused GROUP BY file_seq, row_seq""")
+
+Q["dirty_clean_calls"] = with_(_DIRTY + CALLS_STAGED[len(CALLS_RAW):], """
+SELECT incident_id, CAST(file_seq AS BIGINT) AS file_seq, call_timestamp,
+       CASE WHEN row_seq % 101 <> 15 THEN CAST(priority AS BIGINT) END AS priority,
+       longitude, CASE WHEN NOT isnan(latitude) THEN latitude END AS latitude
+FROM calls_first""")
+
+_PAGES_DIRTY = """pg AS (SELECT CAST(event_id // 500 + 1 AS BIGINT) AS page_no, count(*) AS n FROM events GROUP BY 1),
+pc AS (SELECT page_no, CASE page_no % 7 WHEN 2 THEN 'error' WHEN 3 THEN 'corrupt' WHEN 4 THEN 'empty' WHEN 5 THEN 'no_features' ELSE 'ok' END AS page_class,
+              CASE WHEN page_no % 7 = 2 THEN 400 + page_no % 2 * 100 END AS error_code,
+              CASE WHEN page_no % 7 IN (0, 1, 6) THEN n ELSE 0 END AS "rows",
+              page_no % 7 IN (0, 1, 6) AND page_no < max(page_no) OVER () AS more, page_no = max(page_no) OVER () AS is_last FROM pg)"""
+Q["page_errors"] = with_(_PAGES_DIRTY, """
+SELECT page_class, error_code, count(*) AS pages, CAST(sum("rows") AS BIGINT) AS "rows", min(page_no) AS first_page, max(page_no) AS last_page
+FROM pc GROUP BY page_class, error_code""")
+
+Q["page_audit_dirty"] = with_(_PAGES_DIRTY, """
+SELECT page_no, page_class, "rows", more,
+       CAST(coalesce(sum("rows") OVER (ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+       page_class IN ('ok', 'empty') AND (CASE WHEN is_last THEN NOT more ELSE more END) AS consistent
+FROM pc""")
+
+Q["page_merge_dirty"] = "SELECT * FROM (" + Q["page_merge"] + ") WHERE page_no % 7 IN (0, 1, 6)"
+
+Q["page_keys"] = with_(_PAGES_DIRTY, """
+SELECT max(CASE WHEN more THEN true END) AS "exceededTransferLimit", max_by(error_code, page_no) FILTER (error_code IS NOT NULL) AS error_code,
+       max(CASE WHEN page_class = 'error' THEN 'refused' END) AS error_message, max(CASE WHEN page_class = 'no_features' THEN 'ok' END) AS status
+FROM pc""")
+
+Q["page_order"] = """
+SELECT CAST(s_suppkey // 10 + 1 AS BIGINT) AS page_no, count(*) AS "rows", CAST(min(s_suppkey) AS BIGINT) AS min_id,
+       CAST(max(s_suppkey) AS BIGINT) AS max_id, true AS ascending, true AS follows
+FROM supplier GROUP BY 1"""
+
+Q["geometry_audit"] = """
+SELECT CASE s_suppkey % 13 WHEN 1 THEN 'not_a_polygon' WHEN 2 THEN 'bad_coordinates' WHEN 3 THEN 'too_few_points' WHEN 4 THEN 'bad_coordinates'
+            WHEN 5 THEN 'bad_coordinates' WHEN 6 THEN 'closed_here' ELSE 'ok' END AS reason, count(*) AS "rows"
+FROM supplier GROUP BY 1"""
+
+Q["landed_posts_clean"] = with_(POLY + ",\n" + STATUS_BASE + f""",
+lp AS (SELECT event_id, ts, lng, lat, CASE WHEN event_id % 13 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS "user" FROM sd WHERE {_IN_BOX}),
+""" + pip_sql("lp", "event_id", "lng", "lat"), """
+SELECT date_trunc('second', ts) AS created_at, CAST(event_id AS VARCHAR) AS id_str, "user", round(lng, 6) AS lng, round(lat, 6) AS lat, pip.key AS FID_nhood
+FROM lp JOIN pip ON pip.pid = event_id""")
+
 # ---- city-block polygons (from supplier; grows with the scale factor) --------------------
 import re as _re  # noqa: E402
 

@@ -138,6 +138,20 @@ def posts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         coords.alias("coordinates"))
 
 
+def calls_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`calls_raw` with texts that their column's type refuses, by row number."""
+    k = F.col("row_seq") % 101
+    bad = {"call_timestamp": {7: "01/02/2020 01:00", 8: None}, "priority": {9: "300", 10: "high", 11: None, 15: "2.5"},
+           "longitude": {12: "83.1W", 16: " 1,083.5 "}, "latitude": {13: "NaN"}, "incident_id": {14: "A-17"}}
+    out = calls_raw(spark, sf_dir)
+    for name, texts in bad.items():
+        col = F.col(name)
+        for at, text in texts.items():
+            col = F.when(k == at, F.lit(text).cast("string")).otherwise(col)
+        out = out.withColumn(name, col)
+    return out
+
+
 PAGE_SIZE = 500   # records per landed REST page
 GEO_PAGE = 10     # features per landed GeoJSON page
 
@@ -163,6 +177,16 @@ def call_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                       F.col("_more").alias("exceededTransferLimit"))).alias("text"))
 
 
+def call_pages_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`call_pages` as a faulty service lands them: error objects, cut
+    documents, pages without rows, other JSON."""
+    kind = F.col("page_no") % 7
+    error = F.concat(F.lit('{"error": {"code": '), (F.lit(400) + F.col("page_no") % 2 * 100).cast("string"), F.lit(', "message": "refused", "details": []}}'))
+    text = (F.when(kind == 2, error).when(kind == 3, F.expr("substring(text, 1, length(text) div 2)"))
+            .when(kind == 4, F.lit('{"features": []}')).when(kind == 5, F.lit('{"status": "ok"}')).otherwise(F.col("text")))
+    return call_pages(spark, sf_dir).select("page_no", text.alias("text"))
+
+
 def boundary_pages(spark: SparkSession, sf_dir: str, unit: str = "block") -> DataFrame:
     """Landed GeoJSON FeatureCollection pages of the stand-in block (default)
     or neighbourhood polygons."""
@@ -255,3 +279,14 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block polygons, written once like :func:`polygons`."""
     return cut_lineage(polygons_from_table(block_table(spark, sf_dir), pos_col="nhood_num",
                                            type_col="geometry.type"), "blocks")
+
+
+def block_table_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`block_table` with geometries that give no polygon, by number."""
+    k, c = F.col("nhood_num") % 13, F.col("`geometry.coordinates`")
+    coords = (F.when(k == 2, F.expr("substring(`geometry.coordinates`, 1, 12)")).when(k == 3, F.lit("[[[1.0, 2.0], [3.0, 4.0], [1.0, 2.0]]]"))
+              .when(k == 4, F.lit("[[[1.0, null], [3.0, 4.0], [5.0, 9.0]]]")).when(k == 5, F.lit(None).cast("string"))
+              .when(k == 6, F.lit("[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]]]")).otherwise(c))
+    return block_table(spark, sf_dir).select(
+        "nhood_num", "nhood_name", F.when(k == 1, F.lit("MultiPolygon")).otherwise(F.col("`geometry.type`")).alias("geometry.type"),
+        coords.alias("geometry.coordinates"))

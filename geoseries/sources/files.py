@@ -101,3 +101,17 @@ def read_landed_calls(spark: SparkSession, path: str, start: str | None = None,
     if end is not None:
         df = df.where(F.col("call_date") < F.to_date(F.lit(end)))
     return df
+
+
+def read_landed_posts(spark: SparkSession, path: str) -> DataFrame:
+    """The tweet table of the entity sink as the raw posts of ``clean_posts``.
+
+    A micro-batch is what a file is to the reference: ``file_seq`` is the batch
+    (rows appended without one are one batch before the others), then the part
+    file's name and the row's place in it, so keep-first has the order in which
+    posts landed."""
+    df = spark.read.parquet(path)
+    batch = F.col("batch_id") if "batch_id" in df.columns else F.lit(-1)
+    return df.select(*[c for c in df.columns if c != "batch_id"],
+                     F.coalesce(batch, F.lit(-1)).cast("long").alias("file_seq"),
+                     F.col("_metadata.file_name").alias("block_start"), F.col("_metadata.row_index").alias("row_seq"))

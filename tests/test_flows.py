@@ -51,3 +51,40 @@ def test_statuses_to_tables(spark):
     assert t["tweet"].count() == inside.count()
     assert t["user"].count() == inside.where(F.col("user").isNotNull()).count()
     assert t["place"].count() == inside.where(F.col("place").isNotNull()).count()
+
+
+def test_landed_statuses_to_working_series(spark):
+    """Entry B to its end: statuses land twice in several batches, and the working
+    series counts each post once."""
+    from geoseries.operators import bins, clean, geo
+    from geoseries.sources import files
+    d = tempfile.mkdtemp(prefix="geoseries-flow-b-")
+    docs = S.status_docs(spark, SF_SMALL).select("value")
+    docs.repartition(2).write.text(f"{d}/landing")
+    flows.statuses_to_tables(spark, f"{d}/landing", f"{d}/out", box=(0.0, 0.0, 10.0, 10.0))
+    docs.repartition(2).write.mode("append").text(f"{d}/landing")
+    flows.statuses_to_tables(spark, f"{d}/landing", f"{d}/out", box=(0.0, 0.0, 10.0, 10.0))
+    landed = files.read_landed_posts(spark, f"{d}/out/tables/tweet")
+    assert landed.select("file_seq").distinct().count() == 2
+    assert landed.count() == 2 * landed.select("id_str").distinct().count()
+    polys, calls = S.polygons(spark, SF_SMALL), clean.clean_calls(S.calls_raw(spark, SF_SMALL), S.polygons(spark, SF_SMALL), [])
+    out = flows.landed_to_working_series(spark, f"{d}/out/tables", calls, polys, f"{d}/clean").cache()
+    posts = clean.clean_posts(landed.where("file_seq = 0"), polys)
+    one = bins.working_series({"calls": (calls, "call_timestamp", "incident_id"), "tweets": (posts, "created_at", "id_str"),
+                               "users": (posts, "created_at", "user")}, geo.adjacency(polys))
+    assert out.count() == one.count() and out.exceptAll(one.select(out.columns)).count() == 0
+    assert out.agg(F.sum("tweets")).first()[0] == posts.count() > 0
+
+
+def test_strict_flow_raises_and_lenient_flow_sets_aside(spark):
+    d = tempfile.mkdtemp(prefix="geoseries-flow-strict-")
+    raw = S.calls_dirty(spark, SF_SMALL)
+    cols = [c for c in raw.columns if c not in ("file_seq", "block_start", "row_seq")]
+    raw.where("file_seq = 1").orderBy("row_seq").select(cols).coalesce(1).write.option("header", True).csv(f"{d}/calls")
+    S.neighbourhood_table(spark, SF_SMALL).coalesce(1).write.option("header", True).csv(f"{d}/nhoods")
+    args = (spark, [f"{d}/calls/*.csv"], f"{d}/nhoods")
+    level = flows.calls_to_attention(*args, f"{d}/out")
+    assert level.count() > 0 and spark.read.parquet(f"{d}/out/calls_rejected").count() > 0
+    import pytest
+    with pytest.raises(Exception, match="refused cast in file"):
+        flows.calls_to_attention(*args, f"{d}/out2", strict=True)

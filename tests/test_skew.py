@@ -65,8 +65,65 @@ def test_one_huge_polygon_does_not_explode_cells(spark):
     df = spark.createDataFrame(rows, "pos int, num int, name string, ring array<struct<x:double,y:double>>")
     polys = geo.polygons_from_rings(df, "pos", "num", "name", "ring")
     st = geo.polygon_stats(polys)
-    assert st["cell"] >= 10000.0 / geo.MAX_CELLS_PER_SIDE
-    assert geo.candidate_cells(polys, st["cell"]).count() <= (geo.MAX_CELLS_PER_SIDE + 2) ** 2
+    assert set(st["levels"].values()) == {0, 14}   # sides 1 and 10000
+    big = polys.where("key = '0,BIG'")
+    assert geo.candidate_cells(big, 14).count() == 1
     pts = spark.createDataFrame([(1, 5000.0, 5000.0), (2, 3.5, 0.5)], "id int, x double, y double")
     got = {r.id: r.k for r in geo.label_points(pts, polys, "x", "y", "k").collect()}
     assert got == {1: "0,BIG", 2: "0,BIG"}
+
+
+def _square(k, x0, y0, side):
+    return (k, k, f"P{k}", [{"x": x, "y": y} for x, y in [(x0, y0), (x0 + side, y0), (x0 + side, y0 + side), (x0, y0 + side), (x0, y0)]])
+
+
+RINGS = "pos int, num int, name string, ring array<struct<x:double,y:double>>"
+
+
+def test_an_outline_leaves_the_cells_of_the_blocks_alone(spark):
+    """One city outline of many edges and 10,000 blocks: at most four block
+    candidates in any cell of theirs, and a bounded number of edges in the outline's."""
+    import math
+    blocks = [_square(k, float(k % 100), float(k // 100), 1.0) for k in range(10_000)]
+    angle = [2 * math.pi * i / 4000 for i in range(4000)]
+    ring = [{"x": 50 + 80 * math.cos(a), "y": 50 + 80 * math.sin(a)} for a in angle]
+    outline = (20_000, 20_000, "CITY", [*ring, ring[0]])
+    polys = geo.polygons_from_rings(spark.createDataFrame([*blocks, outline], RINGS), "pos", "num", "name", "ring").cache()
+    st = geo.polygon_stats(polys)
+    levels = sorted(set(st["levels"].values()))
+    assert levels[0] == 0 and len(levels) == 2
+    cells = geo.candidate_cells(polys.where("file_pos < 20000"), 0)
+    assert cells.agg(F.max(F.size("_cands"))).first()[0] <= 4
+    wide = geo.candidate_cells(polys.where("file_pos = 20000"), levels[1])
+    assert wide.count() <= (geo.MAX_CUTS + 2) ** 2
+    assert wide.agg(F.max(F.expr("size(_cands[0].edges)"))).first()[0] <= 1000
+    pts = spark.createDataFrame([(1, 3.5, 7.25), (2, -20.0, 50.0), (3, 129.9, 50.0), (4, 140.0, 50.0), (5, 100.0, 100.0), (6, None, 1.0)], "id int, x double, y double")
+    got = {r.id: r.k for r in geo.label_points(pts, polys, "x", "y", "k", stats=st).collect()}
+    assert got == {1: "703,P703", 2: "20000,CITY", 3: "20000,CITY", 4: None, 5: "9999,P9999", 6: None}
+    # beyond the broadcast limit the blocks' level is shuffled, the answer the same
+    again = geo.label_points(pts, polys, "x", "y", "k", stats=st, broadcast_limit=st["level_bytes"][levels[1]])
+    assert {r.id: r.k for r in again.collect()} == got
+
+
+def test_polygons_of_very_many_sizes(spark):
+    """More size classes than levels that are probed: classes merge, answers stay."""
+    rows = [_square(k, 0.0, 0.0, 2.0 ** (12 - k)) for k in range(24)]
+    polys = geo.polygons_from_rings(spark.createDataFrame(rows, RINGS), "pos", "num", "name", "ring")
+    st = geo.polygon_stats(polys)
+    assert len(set(st["levels"].values())) <= geo.MAX_LEVELS < len(st["levels"])
+    pts = spark.createDataFrame([(1, 4000.0, 1.0), (2, 4097.0, 1.0)], "id int, x double, y double")
+    assert {r.id: r.k for r in geo.label_points(pts, polys, "x", "y", "k").collect()} == {1: "0,P0", 2: None}
+    # boxes of all sizes meet in one corner, each pair once
+    pairs = geo.box_pairs(polys.where("valid"), st)
+    assert pairs.count() == pairs.distinct().count() == 24 * 23 // 2
+
+
+def test_one_wide_circle_leaves_the_others_cells_alone(spark):
+    """A circle of 500 km beside 10,000 of 1 km: the small ones keep their few cells."""
+    small = spark.range(10_000).selectExpr("concat(cast(40 + (id % 100) * 0.05 as string), ',', cast(-80 + floor(id / 100) * 0.05 as string)) as centre", "'1km' as radius")
+    wide = spark.createDataFrame([("42.5,-77.5", "500km")], "centre string, radius string")
+    points = spark.createDataFrame([(1, -79.999, 40.001), (2, -77.5, 42.5), (3, -70.0, 42.5)], "id int, lng double, lat double")
+    both = geo.radius_match(points, small.unionByName(wide)).groupBy("id", "radius").count().collect()
+    alone = geo.radius_match(points, small).groupBy("id", "radius").count().collect()
+    assert sorted(r for r in both if r.radius == "1km") == sorted(alone) and {r.id for r in both if r.radius == "500km"} == {2} | {1}
+    assert geo.merge_levels(range(30)) == {i: min(29, i // 4 * 4 + 3) for i in range(30)}
