@@ -36,10 +36,9 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the text decoded from them, as digests."""
-    encoded = sentencepieces.encode(_table(spark, sf_dir, "documents"))
-    digest = encoded.withColumns({"n_pieces": (F.octet_length("packed") / 4).cast("long"), "ids_sha256": F.sha2("packed", 256)})
-    return sentencepieces.decode(digest).select("doc_id", "n_pieces", "ids_sha256", F.length("text").cast("long").alias("n_chars"),
-                                                F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "n_chunks")
+    encoded = sentencepieces.encode(_table(spark, sf_dir, "documents"), forms=("packed", "text"))
+    return encoded.select("doc_id", (F.octet_length("packed") / 4).cast("long").alias("n_pieces"), F.sha2("packed", 256).alias("ids_sha256"),
+                          F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "n_chunks")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,8 @@ from geoseries.llm.textkit import map_arrow, ship_package, slices, texts_of
 from geoseries.session import cut_lineage
 
 CHUNK_CHARS = 32768
-CACHE = 200_000
+CACHE_BYTES = 24 << 20  # of remembered words and their ids, with what a dictionary needs for them
+ENTRY_BYTES = 230       # of a remembered word besides its characters and ids
 CACHED_CHARS = 48
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -65,14 +66,17 @@ class Pieces:
         self.lead = len(m.encode(self.barrier))
         self.surface = [text.get(i, "").encode() if i in text else bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" for i in ids]
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, segments: set[str]) -> list[str]:
-        if len(self.known) > CACHE:
-            self.known = {}
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
         new = [s for s in segments if s not in self.known]
         for lo, hi in slices(new, 1 << 18):
             for s, ids in zip(new[lo:hi], self.model.encode([s[1:].replace(SPACE, " ") for s in new[lo:hi]], num_threads=1), strict=True):
                 self.known[s] = np.array(ids, dtype="<i4").tobytes() if len(s) > 1 or not s else self._space()
+                if len(s) <= CACHED_CHARS:
+                    self.held += ENTRY_BYTES + len(s) + 4 * len(ids)
         return new
 
     def _space(self) -> bytes:
@@ -256,12 +260,24 @@ def _backtrace(chunks: DataFrame, resolved: DataFrame, path: str) -> DataFrame:
     return map_arrow(chunks.join(resolved, ["row_no", "chunk_no"]), run, "row_no long, doc_id long, chunk_no int, packed binary")
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Per row: doc_id, packed (ids as little-endian int32, null for null text), n_chunks."""
+#: What a row's ids can be given as; ``packed``: little-endian int32, ``text``: decoded from them.
+FORMS = {"packed": pa.binary(), "ids": pa.list_(pa.int32()), "text": pa.string()}
+
+
+def _forms(pieces: Pieces, packed: list[bytes | None], forms: tuple[str, ...]) -> dict:
+    """The wanted forms of some rows' ids."""
+    how = {"packed": lambda p: p, "ids": lambda p: None if p is None else np.frombuffer(p, dtype="<i4"), "text": pieces.decode}
+    return {f: pa.array([how[f](p) for p in packed], FORMS[f]) for f in forms}
+
+
+def encode(docs: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CHARS, forms: tuple[str, ...] = ("packed",)) -> DataFrame:
+    """Per row: doc_id, the ids in each of ``forms`` (null for null text), n_chunks.
+    Encoding, decoding and unpacking share one Python worker and one model."""
     path = path or model_path()
     rows = texts_of(docs)
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
-    schema = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary()), ("n_chunks", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), *[(f, FORMS[f]) for f in forms], ("n_chunks", pa.int32())])
+    ddl = "doc_id long, " + "".join({"packed": "packed binary, ", "ids": "ids array<int>, ", "text": "text string, "}[f] for f in forms) + "n_chunks int"
 
     def run(batches):
         pieces = None
@@ -269,16 +285,25 @@ def encode(docs: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CH
             pieces = pieces or Pieces(path)
             texts = b.column("text").to_pylist()
             for lo, hi in slices(texts, 1 << 20):
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")[lo:hi], "packed": pieces.encode(texts[lo:hi]), "n_chunks": [1] * (hi - lo)}, schema=schema)
+                got = _forms(pieces, pieces.encode(texts[lo:hi]), forms)
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")[lo:hi], **got, "n_chunks": [1] * (hi - lo)}, schema=schema)
+
+    def join(batches):
+        pieces = None
+        for b in batches:
+            pieces = pieces or Pieces(path)
+            for row in range(b.num_rows):
+                parts = b.column("parts")[row].as_py()
+                got = _forms(pieces, [b"".join(p["packed"] for p in parts)], forms)
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")[row:row + 1], **got, "n_chunks": [len(parts)]}, schema=schema)
 
-    short = map_arrow(rows.filter(~long), run, "doc_id long, packed binary, n_chunks int")
-    huge = rows.withColumn("row_no", F.monotonically_increasing_id()).filter(long)
-    chunks = _cut(huge, chunk_chars)
+    short = map_arrow(rows.filter(~long), run, ddl)
+    # row numbers are taken once: later passes read the written chunks
+    chunks = cut_lineage(_cut(rows.filter(long).withColumn("row_no", F.monotonically_increasing_id()), chunk_chars), "chunks")
     resolved = cut_lineage(_resolved(_matrices(chunks, path)), "cuts")
-    joined = (_backtrace(chunks, resolved, path).groupBy("row_no", "doc_id")
-              .agg(F.array_sort(F.collect_list(F.struct("chunk_no", "packed"))).alias("c"))
-              .select("doc_id", F.expr("aggregate(c.packed, cast('' as binary), (a, x) -> a || x)").alias("packed"), F.size("c").alias("n_chunks")))
-    return short.unionByName(joined)
+    parts = (_backtrace(chunks, resolved, path).groupBy("row_no", "doc_id")
+             .agg(F.array_sort(F.collect_list(F.struct("chunk_no", "packed"))).alias("parts")).select("doc_id", "parts"))
+    return short.unionByName(map_arrow(parts, join, ddl))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ be compared across documents without a dictionary.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import os
 import tempfile
@@ -169,12 +171,30 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
+def release_memory() -> None:
+    """Give back what a finished task has freed: workers are kept for the next
+    task, and neither Arrow's pool nor the C library returns pages by itself."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable, ddl: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped first and batches of bounded size."""
+    """``mapInArrow`` with the package shipped first, batches of bounded size, and
+    memory given back at the end of a task."""
     ship_package(df.sparkSession)
     for key, most in BATCH.items():
         df.sparkSession.conf.set(key, most)
-    return df.mapInArrow(run, ddl)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(tidy, ddl)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: pa.Schema, ddl: str) -> DataFrame:
