@@ -47,9 +47,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = sentencepieces.encode(docs).withColumn("n_pieces", (F.octet_length("packed") / 4).cast("long"))
-    decoded = sentencepieces.decode(encoded).withColumn("decoded_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
-    return sentencepieces.unpack(decoded).select("doc_id", "n_pieces", "ids", "decoded_sha256")
+    encoded = sentencepieces.encode(docs, forms=("ids", "text"))
+    return encoded.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_pieces"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontaminate),
