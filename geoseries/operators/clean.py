@@ -1,9 +1,9 @@
 """Cleaning, filtering and de-duplication.
 
-All rules are row-local except the keep-first de-duplication, which is an
-aggregate (map-side combine) rather than a window: a hot key - even one
-holding a third of the rows - is reduced to one candidate per map task before
-the shuffle, so no task receives the whole group.
+All rules are row-local except the keep-first de-duplication, which aggregates
+positions (map-side combine) rather than sorting rows in a window: a hot key -
+even one holding a third of the rows - is reduced to one candidate per map task
+before the shuffle, so no task receives the whole group.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.casts import checked_number, checked_timestamp, rejects_of
 from ..functions.text import (DROP_CATEGORIES, DROP_PRIORITIES, KEEP_SOURCES, lnglat_from_text,
                               parse_twitter_time, strip_ws)
+from ..session import DEFAULT_BROADCAST_LIMIT, cut_lineage, drop_staged
 from .geo import label_points, relabel
 
 ORDER_COLS = ["file_seq", "block_start", "row_seq"]
@@ -110,12 +111,31 @@ def contains_any(col: str, needles: Sequence[str]) -> Column:
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the first row per key in ``order`` (W1); NULL keys form one group.
 
-    Aggregate form: ``min_by(row, order)`` per key with map-side combine.
+    Only keys and positions are aggregated, with map-side combine: a key
+    holding a third of all rows (or all NULL keys) is one candidate per map task
+    before the shuffle.  ``df`` is read twice: for the keys and positions, which
+    are written, and for the rows that stay.  Keys with one row need nothing more; of the others the
+    positions of the later rows are written (narrow), and the rows at those
+    positions are left out.  The whole rows are never sorted: where the later
+    positions are few (measured) they are broadcast and the rows not even
+    shuffled; otherwise they are hashed.  ``order`` must tell rows apart and be
+    the same in every pass over ``df`` (positions taken at a file scan are).
     """
-    payload = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    ordering = F.struct(*[F.col(c) for c in order])
-    return (df.groupBy(*keys).agg(F.min_by(payload, ordering).alias("_r"))
-              .select("_r.*"))
+    position = F.struct(*[F.col(c) for c in order])
+    narrow = cut_lineage(df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *order), "keys")
+    k = [f"_k{i}" for i in range(len(keys))]
+    repeated = (narrow.groupBy(*k).agg(F.min(position).alias("_first"), F.count(F.lit(1)).alias("_n"))
+                .where("_n > 1").select(*[F.col(c).alias(f"_r{c}") for c in k], "_first"))
+    same = F.lit(True)
+    for c in k:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r{c}"))
+    later = cut_lineage(narrow.join(repeated, same).where(position > F.col("_first")).select(*order), "later-rows")
+    drop_staged(narrow)
+    n = later.count()
+    if n == 0:
+        return df
+    small = n * 64 * len(order) <= DEFAULT_BROADCAST_LIMIT
+    return df.join(F.broadcast(later) if small else later.hint("shuffle_hash"), list(order), "left_anti").select(*df.columns)
 
 
 # ---- calls pipeline (S1 -> ... -> O1) ----------------------------------------------
@@ -231,6 +251,8 @@ def clean_posts(raw: DataFrame, polys: DataFrame) -> DataFrame:
     labelled = label_points(tagged, polys, "lng", "lat", out_col="FID_nhood")
     kept = (labelled.where(F.col("FID_nhood").isNotNull())
                     .where(contains_any("source", KEEP_SOURCES)))
-    once = keep_first(kept.select(*POST_COLUMNS, *ORDER_COLS), ["id_str"], ORDER_COLS)
+    # few rows are left, and locating them is the dear part: written before they are read twice
+    kept = cut_lineage(kept.select(*POST_COLUMNS, *ORDER_COLS), "located-posts")
+    once = keep_first(kept, ["id_str"], ORDER_COLS)
     return once.select(parse_twitter_time("created_at").alias("created_at"),
                        *[c for c in POST_COLUMNS if c != "created_at"])

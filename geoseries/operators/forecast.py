@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.metrics import loss_func
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 
 
 def _sum(arr: Column) -> Column:
@@ -76,6 +76,41 @@ def linear_recursive_joint(rows: DataFrame, weights: Sequence[Sequence[float]],
     return out.withColumn("step", F.col("_p") + 1).drop("_p", "_vec")
 
 
+def weight_table(weights: Sequence[Sequence[float]], intercepts: Sequence[float], spark) -> DataFrame:
+    """``(output, input, weight)`` of a joint linear model; input -1 is the constant."""
+    rows = [(j, i, float(x)) for j, row in enumerate(weights) for i, x in enumerate(row) if x] + [(j, -1, float(b)) for j, b in enumerate(intercepts)]
+    return spark.createDataFrame(rows, "output int, input int, weight double")
+
+
+def linear_recursive_table(rows: DataFrame, weights: DataFrame, k: int, fh: int, keys: Sequence[str],
+                           lags_col: str = "lags") -> DataFrame:
+    """:func:`linear_recursive_joint` with the model as a table ``(output, input,
+    weight)`` (:func:`weight_table`): a step is matrix times vector as a join on
+    the input position and a sum per output, so neither the plan nor a row
+    grows with the number of weights, and zero weights cost nothing.  One row
+    per (keys, step, series position) with ``pred``; each step is written once."""
+    keys = list(keys)
+    w = cut_lineage(weights.select("output", "input", "weight"), "weights")
+    w = broadcast_if_small(w, w.count() * 24)
+    vector = rows.select(*keys, F.posexplode(F.col(lags_col).cast("array<double>")).alias("input", "value"))
+    constant = rows.select(*keys, F.lit(-1).alias("input"), F.lit(1.0).alias("value"))
+    sizes = rows.select(*keys, F.size(lags_col).alias("_n"))
+    state, outs = cut_lineage(vector.unionByName(constant), "lag-vectors"), []
+    for s in range(1, fh + 1):
+        pred = state.join(w, "input").groupBy(*keys, "output").agg(F.sum(F.col("value") * F.col("weight")).alias("pred"))
+        pred = cut_lineage(pred, "joint-step")
+        outs.append(pred.select(*keys, F.lit(s).alias("step"), F.col("output").alias("series_pos"), "pred"))
+        if s < fh:
+            # the oldest vector leaves, the predicted one comes last
+            shifted = state.where((F.col("input") < 0) | (F.col("input") >= k)).withColumn("input", F.when(F.col("input") < 0, F.col("input")).otherwise(F.col("input") - k))
+            newest = pred.join(sizes, keys).select(*keys, (F.col("_n") - k + F.col("output")).alias("input"), F.col("pred").alias("value"))
+            state = cut_lineage(shifted.unionByName(newest), "lag-vectors")
+    res = outs[0]
+    for o in outs[1:]:
+        res = res.unionByName(o)
+    return res
+
+
 def model_recursive(model, rows: DataFrame, fh: int, keys: Sequence[str],
                     lags_col: str = "lags") -> DataFrame:
     """Recursive forecast with a fitted ``pyspark.ml`` regressor whose features
@@ -117,28 +152,22 @@ def backtest(test_rows: DataFrame, fh: int, predict, metric: str = "MSE",
 
 
 # ---- M4 / M5 / M6 ----------------------------------------------------------------------
-def _ar_state(hist: DataFrame, p_max: int, d_values: Sequence[int], season: int,
-              series: str, order: str, value: str) -> DataFrame:
+def _ar_state(hist: DataFrame, p_max: int, d_max: int, season: int,
+              series: str, order: str, value: str, carry: Sequence[str] = ()) -> DataFrame:
     """Per (series, d): AR coefficient arrays for orders 1..p_max and the state
-    needed to forecast from the end of ``hist``."""
-    w = Window.partitionBy(series).orderBy(order)
+    needed to forecast from the end of ``hist``, whose rows carry their degree of
+    differencing in ``d`` (0..d_max); ``carry``: further columns that a (series, d) has one value of."""
+    w = Window.partitionBy(series, "d").orderBy(order)
     x = F.col(value).cast("double")
-    parts = []
-    for d in d_values:
-        y = x - F.lag(x, season).over(w) if season else x
-
-        def back(k):
-            return F.lag(x, k).over(w) - (F.lag(x, season + k).over(w) if season else F.lit(0.0))
-        if d < 0:
-            raise ValueError("d must not be negative")
-        # d-th difference of y: alternating binomial sums of y at lags 0..d
-        z = sum(((-1) ** k * comb(d, k) * back(k) for k in range(1, d + 1)), y)
-        parts.append(hist.select(series, order, x.alias("_x"), y.alias("_y"), z.alias("_z"),
-                                 F.array(*[sum(((-1) ** j * comb(k, j) * back(j) for j in range(1, k + 1)), y) for k in range(d)])
-                                 .cast("array<double>").alias("_yd"), F.lit(d).alias("d")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    y = x - F.lag(x, season).over(w) if season else x
+
+    def back(k):
+        return F.lag(x, k).over(w) - (F.lag(x, season + k).over(w) if season else F.lit(0.0))
+
+    def level(k):  # k-th difference of y: alternating binomial sums of y at lags 0..k
+        return sum(((-1) ** j * comb(k, j) * back(j) for j in range(1, k + 1)), y)
+    u = hist.select(series, "d", *carry, order, x.alias("_x"), F.array(*[level(k) for k in range(d_max + 1)]).alias("_levels"))
+    u = u.withColumns({"_z": F.element_at("_levels", F.col("d") + 1), "_yd": F.slice("_levels", F.lit(1), F.col("d"))})
     wd = Window.partitionBy(series, "d").orderBy(order)
     wall = Window.partitionBy(series, "d")
     zc = F.col("_z") - F.avg("_z").over(wall)
@@ -146,7 +175,7 @@ def _ar_state(hist: DataFrame, p_max: int, d_values: Sequence[int], season: int,
     lagged = [F.lag(F.when(F.col("_z").isNotNull(), F.col("_zc")), k).over(wd).alias(f"_l{k}")
               for k in range(1, p_max + 1)]
     tail = max(p_max, season, 1)
-    u = u.select(series, "d", order, "_x", "_yd", "_z", "_zc", "_mu", *lagged,
+    u = u.select(series, "d", *carry, order, "_x", "_yd", "_z", "_zc", "_mu", *lagged,
                  F.collect_list("_z").over(wd.rowsBetween(-(p_max - 1), 0)).alias("_zh"),
                  F.collect_list("_x").over(wd.rowsBetween(-(tail - 1), 0)).alias("_xh"),
                  F.row_number().over(Window.partitionBy(series, "d").orderBy(F.desc(order))).alias("_rk"))
@@ -155,7 +184,7 @@ def _ar_state(hist: DataFrame, p_max: int, d_values: Sequence[int], season: int,
         F.count_if(z_ok).alias("_n"),
         F.sum(F.when(z_ok, F.col("_zc") * F.col("_zc"))).alias("_s0"),
         *[F.sum(F.when(z_ok, F.col("_zc") * F.col(f"_l{k}"))).alias(f"_s{k}") for k in range(1, p_max + 1)],
-        F.first("_mu").alias("mu"),
+        F.first("_mu").alias("mu"), *[F.first(c).alias(c) for c in carry],
         F.max_by("_zh", F.when(F.col("_rk") == 1, F.lit(1))).alias("zh"),
         F.max_by("_xh", F.when(F.col("_rk") == 1, F.lit(1))).alias("xh"),
         F.max_by("_yd", F.when(F.col("_rk") == 1, F.lit(1))).alias("ylast"))
@@ -202,15 +231,13 @@ def _ar_path_forecast(phi: Column, mu: Column, zh: Column, xh: Column, ylast: Co
     return F.aggregate(F.sequence(F.lit(1), F.lit(fh)), init, step).out
 
 
-def ar_forecast(hist: DataFrame, p_values: Sequence[int], d_values: Sequence[int], season: int, fh: int,
-                series: str = "series", order: str = "bin", value: str = "value") -> DataFrame:
-    """Forecast every (series, p, d) from the end of ``hist``: ``(series, p, d, step, pred)``."""
-    if min(p_values) < 0:
-        raise ValueError("p must not be negative")
-    p_max = max(1, *p_values)
-    st = _ar_state(hist, p_max, d_values, season, series, order, value)
-    ps = F.array(*[F.lit(int(p)) for p in p_values])
-    st = st.select("*", F.explode(ps).alias("p"))
+def _check_orders(p_values: Sequence[int], d_values: Sequence[int]) -> None:
+    if min(p_values) < 0 or min(d_values) < 0:
+        raise ValueError("p and d must not be negative")
+
+
+def _forecast_from(st: DataFrame, season: int, fh: int, series: str) -> DataFrame:
+    """``(series, p, d, step, pred)`` from the state of each (series, d) and its order ``p``."""
     # order 0 has no coefficients: the forecast is the mean of the differenced series
     phi = F.when(F.col("p") == 0, F.array().cast("array<double>")).otherwise(F.try_element_at(F.col("_dl"), F.col("p")))
     preds = _ar_path_forecast(phi, F.col("mu"), F.col("zh"), F.col("xh"), F.col("ylast"), season, fh)
@@ -218,6 +245,28 @@ def ar_forecast(hist: DataFrame, p_values: Sequence[int], d_values: Sequence[int
     return out.select(series, "p", "d", (F.col("_i") + 1).alias("step"), "pred")
 
 
+def ar_forecast(hist: DataFrame, p_values: Sequence[int], d_values: Sequence[int], season: int, fh: int,
+                series: str = "series", order: str = "bin", value: str = "value") -> DataFrame:
+    """Forecast every (series, p, d) from the end of ``hist``: ``(series, p, d, step, pred)``."""
+    _check_orders(p_values, d_values)
+    each = hist.withColumn("d", F.explode(F.array(*[F.lit(int(d)) for d in d_values])))
+    st = _ar_state(each, max(1, *p_values), max(d_values), season, series, order, value)
+    return _forecast_from(st.select("*", F.explode(F.array(*[F.lit(int(p)) for p in p_values])).alias("p")), season, fh, series)
+
+
+def ar_refit(hist: DataFrame, best: DataFrame, p_max: int, d_max: int, season: int, fh: int,
+             series: str = "series", order: str = "bin", value: str = "value") -> DataFrame:
+    """Forecast each series with its own chosen order (``best``: series, p, d, one
+    row each) refitted on ``hist``: the choice travels with the rows, in one
+    plan.  ``p_max``, ``d_max``: the ends of the grid the choice was made from;
+    a choice beyond them raises."""
+    _check_orders([p_max], [d_max])
+    fits = (F.col("p") <= p_max) & (F.col("d") <= d_max)
+    chosen = best.select(series, "p", "d").where(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.lit("a chosen order lies beyond p_max or d_max")).cast("boolean")))
+    st = _ar_state(hist.drop("p", "d").join(chosen, series), max(1, p_max), d_max, season, series, order, value, carry=["p"])
+    return _forecast_from(st, season, fh, series)
+
+
 def _first_fh(long: DataFrame, fh: int, series: str, order: str, value: str) -> DataFrame:
     w = Window.partitionBy(series).orderBy(order)
     return (long.withColumn("step", F.row_number().over(w)).where(F.col("step") <= fh)
@@ -251,17 +300,13 @@ def best_of_grid(cands: DataFrame, series: str = "series", loss: str = "loss",
 
 def ar_holdout(split_long: DataFrame, best: DataFrame, season: int = 8, fh: int = 8,
                metric: str = "MSE", series: str = "series", order: str = "bin",
-               value: str = "value") -> DataFrame:
+               value: str = "value", p_range: tuple[int, int] = (1, 4), d_range: tuple[int, int] = (0, 2)) -> DataFrame:
     """Refit each series' chosen (p, d) on train + validation, forecast ``fh``,
-    score on the first ``fh`` test points (M5): ``(series, p, d, loss)``."""
+    score on the first ``fh`` test points (M5): ``(series, p, d, loss)``.  The
+    ranges are those of the grid that ``best`` was chosen from."""
     hist = split_long.where(F.col("split") != "test")
     test = _first_fh(split_long.where(F.col("split") == "test"), fh, series, order, value)
-    p_values = sorted({r[0] for r in best.select("p").distinct().collect()})
-    d_values = sorted({r[0] for r in best.select("d").distinct().collect()})
-    if not p_values:
-        return best.select(series, "p", "d", F.lit(None).cast("double").alias("loss"))
-    pred = ar_forecast(hist, p_values, d_values, season, fh, series, order, value)
-    pred = pred.join(best.select(series, "p", "d"), [series, "p", "d"])
+    pred = ar_refit(hist, best, p_range[1] - 1, d_range[1] - 1, season, fh, series, order, value)
     j = pred.join(test, [series, "step"])
     return j.groupBy(series, "p", "d").agg(loss_func(metric)("actual", "pred").alias("loss"))
 

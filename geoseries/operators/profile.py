@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
+from .running import ranged, running
 
 
 def first_non_null(df: DataFrame, group: str, value: str, order: Sequence[str]) -> DataFrame:
@@ -59,28 +60,41 @@ def column_profile(df: DataFrame) -> DataFrame:
                         F.col("__rows").alias("rows")))
 
 
-def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, quantiles: tuple[float, float, float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Quartiles (linear interpolation), whiskers (extreme values within
     1.5 IQR of the box) and outlier count per group (A12).
 
-    ``percentile`` keeps a value -> count map per group, so memory follows
-    the number of *distinct* values, and partial maps merge map-side.
+    The input is read once, into counts per (group, value).  Those are ranked by
+    running totals over ranges of (group, value) (:mod:`.running`), so one group
+    with millions of distinct values spreads over many tasks; the value at a
+    rank is the one whose run of equal values covers it.  Whiskers and outliers
+    come from the same counts.  NULL values are left out, NULL is a group of its
+    own, NaN counts as the largest value.
     """
-    q = df.where(F.col(value).isNotNull()).groupBy(group).agg(
-        F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.count(F.lit(1)).alias("n"))
-    q = q.select(group, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
-    q = q.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
-         .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    v = F.col(value)
-    # One row per group; AQE broadcasts it at run time when it is small.
-    j = df.where(v.isNotNull()).join(q.select(group, "_lo", "_hi"), group)
-    w = j.groupBy(group).agg(
+    v = F.col("_v")
+    counts = (df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    counts = running(ranged(counts, [F.col("_g"), v], "value-counts"), ["_g"], [v], {"_upto": ("_c", "sum")})
+    counts = cut_lineage(counts, "value-ranks")
+    sizes = counts.groupBy("_g").agg(F.sum("_c").alias("n"))
+    sizes = sizes.withColumnRenamed("_g", "_h")
+    ranked = counts.join(sizes, F.col("_g").eqNullSafe(F.col("_h"))).drop("_h")
+    covers = lambda rank: (F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto"))
+    at = [(F.col("n") - 1) * F.lit(float(q)) for q in quantiles]
+    box = ranked.groupBy("_g").agg(F.max("n").alias("n"), *[F.max(F.when(covers(end(a)), v)).alias(f"_{name}{i}")
+                                                         for i, a in enumerate(at) for name, end in (("lo", F.floor), ("hi", F.ceil))])
+
+    def between(i: int) -> Column:
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        return F.when(lo == hi, lo.cast("double")).otherwise((F.ceil(at[i]) - at[i]) * lo + (at[i] - F.floor(at[i])) * hi)
+    box = box.select("_g", "n", *[between(i).alias(name) for i, name in enumerate(("q1", "median", "q3"))])
+    iqr = F.col("q3") - F.col("q1")
+    fences = box.select(F.col("_g").alias("_h"), (F.col("q1") - 1.5 * iqr).alias("_lo"), (F.col("q3") + 1.5 * iqr).alias("_hi"))
+    fenced = counts.join(fences, F.col("_g").eqNullSafe(F.col("_h")))
+    whiskers = fenced.groupBy("_h").agg(
         F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_lo"),
         F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_hi"),
-        F.count_if((v < F.col("_lo")) | (v > F.col("_hi"))).alias("outliers"))
-    return q.drop("_lo", "_hi").join(w, group)
+        F.sum(F.when((v < F.col("_lo")) | (v > F.col("_hi")), F.col("_c")).otherwise(0)).alias("outliers"))
+    return box.join(whiskers, F.col("_g").eqNullSafe(F.col("_h"))).drop("_h").withColumnRenamed("_g", group)
 
 
 def histogram(df: DataFrame, value: str, bins: int = 60, below: float | None = 60.0) -> DataFrame:

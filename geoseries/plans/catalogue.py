@@ -647,7 +647,7 @@ def q_stream_total_once(spark, sf):
     base = _land_statuses(spark, sf)
     q = st.run_running_count(_stream_statuses(spark, base), f"{base}/total", f"{base}/ckpt_total")
     q.awaitTermination()
-    return tidy(spark.read.parquet(f"{base}/total").select("statuses"))
+    return tidy(st.read_running_count(spark, f"{base}/total").select("statuses"))
 
 
 @register("stream_bin_once")
@@ -770,6 +770,18 @@ def q_joint_recursive_mean(spark, sf):
     return tidy(out)
 
 
+@register("joint_recursive_table")
+def q_joint_recursive_table(spark, sf):
+    """The joint recursive forecast with the model as a table (M1, all-series form)."""
+    long = series_long(spark, sf)
+    idx = series.series_index(long)
+    k = idx.count()
+    rows = series.joint_lag_rows(long, LAG)
+    weights = [[(1.0 / LAG if i % k == j else 0.0) for i in range(LAG * k)] for j in range(k)]
+    out = forecast.linear_recursive_table(rows, forecast.weight_table(weights, [0.0] * k, spark), k, FH, ["row_idx"])
+    return tidy(out.join(idx, out["series_pos"] == idx["idx"]).select("series", "row_idx", "step", "pred"))
+
+
 @register("posts_source_shares")
 def q_posts_source_shares(spark, sf):
     """Share of cleaned posts per source application (A7 on the posts table)."""

@@ -47,7 +47,7 @@ ID_QUERIES = {
     "o01_sink_sort": "clean_table_roundtrip", "o02_page_order": "page_order", "o03_top10": "top_categories",
     "o04_newest": "last_rows", "u01_union_files": "csv_scan_keep_first",
     # forecasting
-    "m01_recursive_forecast": "recursive_mean_model", "m01_joint_recursive": "joint_recursive_mean", "m02_model_evaluate": "backtest", "m03_rf_grid": "rf_grid",
+    "m01_recursive_forecast": "recursive_mean_model", "m01_joint_recursive": "joint_recursive_mean", "m01_joint_table": "joint_recursive_table", "m02_model_evaluate": "backtest", "m03_rf_grid": "rf_grid",
     "m04_ar_grid": "ar_grid", "m05_ar_holdout": "ar_holdout", "m06_best_of_grid": "best_of_grid",
     "m07_day_map_frame": "day_map_frame",
     # streaming

@@ -79,9 +79,7 @@ def forecast_table(long: DataFrame, freq="180Min", fh: int = 8, season: int = 8,
                             test, val)
     best = forecast.best_of_grid(forecast.ar_grid(split, p_range, d_range, season, fh))
     hist = split.where(F.col("split") != "test")
-    ps = sorted({r[0] for r in best.select("p").distinct().collect()})
-    ds = sorted({r[0] for r in best.select("d").distinct().collect()})
-    pred = forecast.ar_forecast(hist, ps, ds, season, fh).join(best.select("series", "p", "d"), ["series", "p", "d"])
+    pred = forecast.ar_refit(hist, best, p_range[1] - 1, d_range[1] - 1, season, fh)
     last = hist.groupBy("series").agg(F.max("bin").alias("_last"))
     pred = pred.join(last, "series").withColumn(
         "bin", F.timestamp_add("SECOND", F.col("step") * F.lit(fs), F.col("_last")))

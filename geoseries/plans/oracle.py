@@ -699,6 +699,7 @@ SELECT b.pos - 3, b.bin, 'y', v.idx, round(v.value, 6) FROM b JOIN v ON v.bin =
 
 # The joint form with mean-of-own-lags weights equals the per-series recursion.
 Q["joint_recursive_mean"] = Q["recursive_mean_model"]
+Q["joint_recursive_table"] = Q["recursive_mean_model"]
 
 Q["posts_source_shares"] = with_(POSTS_CLEAN, """
 SELECT source, "count", round("count" * 100.0 / sum("count") OVER (), 6) AS share

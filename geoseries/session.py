@@ -77,9 +77,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it
     back: the plan runs once, the lineage is cut, and the files survive executor
-    loss (never ``localCheckpoint``).  Meant for small intermediate tables
-    (aggregates, per-step forecast state) that several branches consume.  The
-    files go when the application ends, or earlier by :func:`drop_staged`."""
+    loss (never ``localCheckpoint``).  For tables that several branches consume,
+    small ones (aggregates, per-step forecast state) or, where a corpus is read
+    in several passes, as large as the input.  The files go when the application
+    ends, or earlier by :func:`drop_staged`."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     _delete_at_exit(spark, path)
@@ -114,6 +115,40 @@ def drop_staged(*tables: DataFrame) -> None:
             fs.delete(where, True)
 
 
+def write_pointer(spark: SparkSession, path: str, text: str) -> None:
+    """Put ``text`` into the small file ``path`` in one step: it is written beside
+    it and renamed over it, so a reader sees the old text or the new one."""
+    fs, where = _file_system(spark, path)
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(beside), fs.makeQualified(where), how)
+
+
+def read_pointer(spark: SparkSession, path: str) -> str | None:
+    """The text of a pointer file, None where there is none yet."""
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def remove_folders(spark: SparkSession, base: str, keep: set) -> None:
+    """Remove the folders ``version=...`` of ``base`` but those in ``keep``."""
+    fs, where = _file_system(spark, base)
+    for status in fs.listStatus(where):
+        name = status.getPath().getName()
+        if name.startswith("version=") and name not in keep:
+            fs.delete(status.getPath(), True)
+
+
 def broadcast_if_small(df: DataFrame, est_bytes: int,
                        limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """Broadcast hint only behind a size check made by the caller."""

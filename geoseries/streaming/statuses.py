@@ -4,7 +4,8 @@
   micro-batch lands in its own ``batch_id=`` folder (overwritten on replay), so
   a retried batch never appends twice.
 * ST2  area-box filter before the sink.
-* ST3  running status count (complete-mode aggregate, overwritten per batch).
+* ST3  running status count (complete-mode aggregate, a version per batch and a
+  pointer to the last whole one).
 * ST4  one-off catch-up (``availableNow``) or a fixed interval trigger.
 * ST5  event-time binning: watermark + ``dropDuplicatesWithinWatermark`` on the
   status id, then a 3-h window count in update mode (latest value per window
@@ -15,10 +16,13 @@ Checkpoints and outputs go to caller-given paths on shared storage.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.geo import label_points
+from ..session import read_pointer, remove_folders, write_pointer
 from ..sources.sinks import append_entities
 from ..sources.statuses import parse_statuses, place_rows, tweet_rows, user_rows
 
@@ -61,15 +65,34 @@ def run_entity_sink(statuses: DataFrame, out_base: str, checkpoint: str, query_t
 
 
 def run_running_count(statuses: DataFrame, out_path: str, checkpoint: str, trigger: str = "availableNow"):
-    """ST3: total statuses so far; the whole (one-row) result is rewritten each batch."""
+    """ST3: total statuses so far.  Each batch writes the whole (one-row) result
+    as a version of its own and then moves the pointer ``current`` to it, so a
+    reader (:func:`read_running_count`) never meets a half-written table, and a
+    batch that fails between the two leaves the last total in place.  Versions
+    before the last two are removed."""
     counts = statuses.groupBy().agg(F.count(F.lit(1)).alias("statuses"))
+    base = out_path.rstrip("/")
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(out_path)
+        spark = df.sparkSession
+        version = f"version={batch_id:012d}-{uuid.uuid4().hex}"
+        df.withColumn("batch_id", F.lit(batch_id)).write.parquet(f"{base}/{version}")
+        before = read_pointer(spark, f"{base}/current")
+        write_pointer(spark, f"{base}/current", version)
+        remove_folders(spark, base, keep={version, before})
     w = counts.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()
 
 
+def read_running_count(spark: SparkSession, out_path: str) -> DataFrame:
+    """The total of the last batch whose version is complete; no row before the first."""
+    base = out_path.rstrip("/")
+    version = read_pointer(spark, f"{base}/current")
+    if version is None:
+        return spark.createDataFrame([], "statuses long, batch_id int")
+    return spark.read.parquet(f"{base}/{version}")
+
+
 def event_time(statuses: DataFrame) -> DataFrame:
     """Instant of ``created_at`` (weekday skipped, offset honoured)."""
     return statuses.withColumn(

@@ -1,4 +1,6 @@
 """Golden G4 (two-phase dedupe) and G5 (clean calls), keep-first with a hot key."""
+import tempfile
+
 from pyspark.sql import functions as F
 
 from geoseries.operators import clean, geo
@@ -78,3 +80,27 @@ def test_keep_first_null_keys_one_group(spark):
                                "key string, file_seq int, block_start long, row_seq long, v string")
     out = sorted((r.key or "", r.v) for r in clean.keep_first(df, ["key"], clean.ORDER_COLS).collect())
     assert out == [("", "a"), ("k", "c")]
+
+
+def test_keep_first_never_sorts_whole_rows(spark):
+    """Keys and positions are aggregated; whole rows are only probed against the later positions."""
+    wide = [f"repeat('x', 20) as c{i}" for i in range(5)]
+    df = spark.range(4000).selectExpr("case when id % 3 = 0 then 'hot' when id % 3 = 1 then null else cast(id as string) end as k", *wide,
+                                      "1 as file_seq", "0L as block_start", "id as row_seq")
+    path = tempfile.mkdtemp(prefix="geoseries-w1-")
+    df.write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path)
+    for limit in (None, 0):
+        if limit is not None:
+            before, clean.DEFAULT_BROADCAST_LIMIT = clean.DEFAULT_BROADCAST_LIMIT, limit
+        out = clean.keep_first(rows, ["k"], clean.ORDER_COLS)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        if limit is not None:
+            clean.DEFAULT_BROADCAST_LIMIT = before
+        assert "SortAggregate" not in plan and "SortMergeJoin" not in plan and "Window" not in plan
+        assert ("ShuffledHashJoin" if limit == 0 else "BroadcastHashJoin") in plan
+        got = {r.k: r.row_seq for r in out.collect()}
+        assert out.count() == len(got) == 2 + len([i for i in range(4000) if i % 3 == 2]) and got["hot"] == 0 and got[None] == 1
+        assert out.columns == rows.columns
+    single = rows.where("k not in ('hot')")
+    assert clean.keep_first(single, ["k"], clean.ORDER_COLS).count() == single.count()

@@ -177,3 +177,38 @@ def test_rf_grid_is_deterministic_and_follows_the_grid(spark):
     assert a == b
     assert [(r[1], r[2]) for r in a] == [(50, 1), (50, 3), (100, 1), (100, 3)]
     assert all(r[3] is not None and r[3] >= 0 for r in a)
+
+
+def test_joint_weights_as_a_table_of_200_series(spark):
+    """Plan and rows do not grow with the 200 x 1,600 weights; results as by hand."""
+    k, lag, fh = 200, 8, 3
+    rnd = np.random.default_rng(3)
+    weights = rnd.random((k, k * lag)) * (rnd.random((k, k * lag)) < 0.05) / 40
+    const = rnd.random(k)
+    lags = rnd.random((2, k * lag))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(lags)], "row int, lags array<double>")
+    out = forecast.linear_recursive_table(rows, forecast.weight_table(weights.tolist(), const.tolist(), spark), k, fh, ["row"])
+    got = {(r.row, r.step, r.series_pos): r.pred for r in out.collect()}
+    assert len(got) == 2 * fh * k
+    for i in range(2):
+        state = lags[i].copy()
+        for s in range(1, fh + 1):
+            new = weights @ state + const
+            assert all(abs(got[i, s, j] - new[j]) < 1e-9 for j in range(k))
+            state = np.concatenate([state[k:], new])
+
+
+def test_holdout_is_one_plan(spark):
+    """The chosen orders travel with the rows: nothing is collected, a choice beyond the grid raises."""
+    rows = [(f"s{j}", i, float((i * (j + 2)) % 7 + (i % 8) * j), "test" if i >= 56 else "validation" if i >= 48 else "train") for j in range(3) for i in range(64)]
+    split = spark.createDataFrame(rows, "series string, bin int, value double, split string")
+    best = spark.createDataFrame([("s0", 1, 0), ("s1", 0, 1), ("s2", 2, 2)], "series string, p int, d int")
+    got = {r.series: (r.p, r.d, r.loss) for r in forecast.ar_holdout(split, best, p_range=(0, 3), d_range=(0, 3)).collect()}
+    every = forecast.ar_forecast(split.where("split <> 'test'"), [0, 1, 2], [0, 1, 2], 8, 8)
+    test = {(r.series, r.bin - 55): r.value for r in split.where("split = 'test'").collect()}
+    for s, p, d in (("s0", 1, 0), ("s1", 0, 1), ("s2", 2, 2)):
+        pred = every.where((F.col("series") == s) & (F.col("p") == p) & (F.col("d") == d)).collect()
+        want = sum((r.pred - test[s, r.step]) ** 2 for r in pred) / 8
+        assert got[s][:2] == (p, d) and abs(got[s][2] - want) < 1e-9
+    with pytest.raises(Exception, match="beyond p_max or d_max"):
+        forecast.ar_holdout(split, best, p_range=(0, 2), d_range=(0, 2)).collect()

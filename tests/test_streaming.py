@@ -3,12 +3,16 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from geoseries.operators import geo
+from geoseries.plans import standins as S
 from geoseries.sources import statuses as stat
 from geoseries.streaming import statuses as st
 
+from conftest import SF_SMALL
+
 
 def _doc(i, lng, lat, user=True, place=False):
     d = {"created_at": f"Wed Jan 0{1 + i % 3} 0{i % 10}:00:00 +0000 2024", "id_str": str(i), "text": f"t{i}",
@@ -63,7 +67,7 @@ def test_stream_equals_batch(spark):
     assert totals == wc and {r.FID_nhood for r in per.collect()} <= {"1,A", None}
     q3 = st.run_running_count(stream, f"{base}/total", f"{base}/ck3")
     q3.awaitTermination()
-    assert spark.read.parquet(f"{base}/total").first().statuses == 50
+    assert st.read_running_count(spark, f"{base}/total").first().statuses == 50
 
 
 def test_interval_trigger_matches_one_off(spark):
@@ -80,3 +84,26 @@ def test_interval_trigger_matches_one_off(spark):
     a = sorted(spark.read.parquet(f"{base}/a/tweet").drop("batch_id").collect())
     b = sorted(spark.read.parquet(f"{base}/b/tweet").drop("batch_id").collect())
     assert a == b and len(a) == 12
+
+
+def test_a_batch_that_fails_before_the_pointer_leaves_the_last_total(spark, monkeypatch):
+    """The version is written, the pointer not moved: readers keep the old total; the restarted query ends right."""
+    base = tempfile.mkdtemp(prefix="geoseries-st3-")
+    docs = S.status_docs(spark, SF_SMALL).select("value").limit(60).cache()
+    docs.coalesce(1).write.text(f"{base}/landing")
+    run = lambda: st.run_running_count(st.status_stream(spark, f"{base}/landing", max_files=1), f"{base}/total", f"{base}/ck")
+    assert st.read_running_count(spark, f"{base}/total").count() == 0
+    run().awaitTermination()
+    assert st.read_running_count(spark, f"{base}/total").first().statuses == 60
+    docs.coalesce(1).write.mode("append").text(f"{base}/landing")
+
+    def broken(*args):
+        raise RuntimeError("lost before the pointer")
+    with monkeypatch.context() as m:
+        m.setattr(st, "write_pointer", broken)
+        with pytest.raises(Exception, match="lost before the pointer"):
+            run().awaitTermination()
+    versions = [f for f in os.listdir(f"{base}/total") if f.startswith("version=")]
+    assert len(versions) == 2 and st.read_running_count(spark, f"{base}/total").first().statuses == 60
+    run().awaitTermination()
+    assert st.read_running_count(spark, f"{base}/total").first().statuses == 120
