@@ -11,11 +11,15 @@ target), its own words taken out of both models first, so no document is
 judged by itself.
 
 Counting: documents are dealt into blocks of ``BLOCK_BYTES`` of text (a longer
-text is in a block of its own).  A block counts its own names and sends them,
-packed, to buckets by name; a bucket adds up the blocks' counts and sends back
-the sums in the order of the block's sorted names.  A name has at most one entry
-per block, however common it is, and buckets grow in number with the text.  The driver gets three sums: the distinct words and the
-words of either model.
+text is in a block of its own), one row each, in which words stand as numbers
+into the block's sorted distinct names; texts are read once.  A block counts its
+names and sends them, packed, to buckets by name; a bucket adds up the blocks'
+counts and sends back the sums in the order of the block's sorted names.  A name
+has at most one entry per block, however common it is.  Contexts need no list of
+their own: a word is a context wherever it does not end a text.  The number of
+buckets is ``PER_PARTITION`` times the session's shuffle partitions, which are
+chosen for the size of the data, so a block sends as many messages whatever the
+corpus holds.  The driver gets sums over all blocks.
 
 Nulls: a null or wordless text has no score (nulls) and 0 words.  Labels that
 are null or name no document count for nothing; a document with several labels
@@ -26,7 +30,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -35,111 +38,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoseries.llm.textkit import ALNUM, binary_column, joined_words, map_arrow, mix64, salt, ship_package, slices, texts_of
-from geoseries.session import cut_lineage
+from geoseries.session import cut_lineage, drop_staged
 
-WORD_BITS = 18
-PAIR_BITS = 20
-BLOCK = 4096
-SALTS = 64
-PRIOR = 0.5             # added to every word cell
+PRIOR = 0.5             # added to every word's count
 WEIGHT = 8.0            # words of belief in the word model when a pair is scored
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 2_000_000  # of eight bytes each
 BLOCK_BYTES = 8 << 20   # text counted and scored at once
-BUCKET_BYTES = 8 << 20  # text whose names one bucket adds up
-KINDS = ("words", "contexts", "pairs")
-CELLS = (1 << WORD_BITS) + (1 << PAIR_BITS)
-
-
-def cells(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: its cell, the cell of the word before it (-1 at a text's
-    start), and the cell of the pair."""
-    word = (mix64(names ^ salt(800)) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    before = np.concatenate([np.zeros(1, dtype=np.uint64), names[:-1]]) if len(names) else names
-    first = bounds[:-1][np.diff(bounds) > 0]
-    before[first] = 0
-    pair = (mix64(before * salt(801) + names * salt(802)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    last = np.concatenate([[-1], word[:-1]]) if len(word) else word
-    last[first] = -1
-    return word, last, pair
-
-
-def count_cells(rows: DataFrame) -> DataFrame:
-    """(block, counts): sums of (background, target) per cell, over all rows (text, target)."""
-    ddl, schema = "block int, salt int, counts binary", pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
-
-    def one_task(batches):
-        from pyspark import TaskContext
-        total = np.zeros((2, CELLS), dtype=np.int64)
-        for b in batches:
-            texts, target = binary_column(b, "text"), b.column("target").to_pylist()
-            for lo, hi in slices(texts):
-                _, names, _, _, bounds = joined_words(texts[lo:hi], ALNUM, True)
-                word, _, pair = cells(names, bounds)
-                both = np.concatenate([word, pair + (1 << WORD_BITS)])
-                total[0] += np.bincount(both, minlength=CELLS)
-                good = np.repeat(np.array(target[lo:hi], dtype=bool), np.diff(bounds))
-                total[1] += np.bincount(both[np.concatenate([good, good])], minlength=CELLS)
-        own = TaskContext.get().partitionId() % SALTS
-        for k in range(0, CELLS, BLOCK):
-            part = total[:, k:k + BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"block": [k // BLOCK], "salt": [own], "counts": [part.tobytes()]}, schema=schema)
-
-    def add(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            for block, own, counts in zip(b.column("block").to_pylist(), b.column("salt").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(counts, dtype=np.int64)
-                sums[block, own] = sums[block, own] + part if (block, own) in sums else part
-        for (block, own), part in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": [block], "salt": [own], "counts": [part.tobytes()]}, schema=schema)
-
-    counted = map_arrow(map_arrow(rows, one_task, ddl).repartition("block", "salt"), add, ddl)
-    return map_arrow(counted.select("block", F.lit(0).alias("salt"), "counts").repartition("block"), add, ddl).select("block", "counts")
-
-
-def fit(rows: DataFrame) -> np.ndarray:
-    """Counts (background, target) x cells: a bounded histogram of the corpus, not what documents are scored with."""
-    total = np.zeros((2, CELLS), dtype=np.int64)
-    for r in count_cells(rows).collect():  # CELLS is the bound
-        total[:, r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.counts, dtype=np.int64).reshape(2, -1)
-    return total
-
-
-def names_of(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word the names of the word, of its context (0: a text's start, before mixing) and of the pair."""
-    before = np.concatenate([np.zeros(1, dtype=np.uint64), names[:-1]]) if len(names) else names
-    before[bounds[:-1][np.diff(bounds) > 0]] = 0
-    return names, mix64(before ^ salt(803)), mix64(before * salt(801) + names * salt(802))
+PER_PARTITION = 2       # buckets for each shuffle partition
 
 
 def _read(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Word names and bounds of several texts, read in slices."""
+    """Word names and numbers of words of several texts, read in slices."""
     names, sizes = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
     for lo, hi in slices(texts):
         _, own, _, _, bounds = joined_words(texts[lo:hi], ALNUM, True)
         names.append(own)
         sizes.append(np.diff(bounds))
-    return np.concatenate(names), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return np.concatenate(names), np.concatenate(sizes)
 
 
-def _counted(keys: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and (background, target) counts."""
-    key, n = np.unique(keys, return_counts=True)
-    some, m = np.unique(keys[good], return_counts=True)
-    counts = np.zeros((2, len(key)), dtype=np.int64)
-    counts[0], counts[1, np.searchsorted(key, some)] = n, m
-    return key, counts
+def _packed(columns: np.ndarray) -> bytes:
+    """Columns of numbers, deflated byte place by byte place (small numbers are mostly zero bytes)."""
+    width = columns.dtype.itemsize
+    return zlib.compress(columns.reshape(-1, 1).view(np.uint8).reshape(-1, width).T.tobytes(), 1)
 
 
-def _packed(columns: np.ndarray) -> bytes:
-    """Columns of 64-bit numbers, deflated byte place by byte place (small numbers are mostly zero bytes)."""
-    return zlib.compress(columns.reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
+def _unpacked(data: bytes, columns: int, kind=np.int64) -> np.ndarray:
+    places = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(places.T).view(kind).reshape(columns, -1)
 
 
-def _unpacked(data: bytes, columns: int) -> np.ndarray:
-    places = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(places.T).view(np.int64).reshape(columns, -1)
+def _gaps(key: np.ndarray) -> np.ndarray:
+    """Sorted names as their distances."""
+    return np.diff(key, prepend=np.uint64(0)).view(np.int64)
 
 
 def _bucket_edges(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -147,106 +78,119 @@ def _bucket_edges(key: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
-def in_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, doc_id, text, target): consecutive rows of a task share a block."""
-
-    def one_task(batches):
-        from pyspark import TaskContext
-        block, size = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
-            own = []
-            for t in binary_column(b, "text"):
-                n = len(t or b"")
-                if size and size + n > block_bytes:
-                    block, size = block + 1, 0
-                size += n
-                own.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *b.columns], names=["block", *b.schema.names])
-
-    return map_arrow(rows.select("doc_id", "text", "target"), one_task, "block long, doc_id long, text string, target boolean")
+BLOCKS_DDL = "block long, doc_id array<long>, size array<long>, good array<boolean>, vocabulary binary, at binary, n_words long, m_words long, n_texts long, m_texts long"
+BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("size", pa.list_(pa.int64())), ("good", pa.list_(pa.bool_())), ("vocabulary", pa.binary()), ("at", pa.binary()),
+                    *((c, pa.int64()) for c in ("n_words", "m_words", "n_texts", "m_texts"))])
 
 
-def _per_block(rows: DataFrame, count, ddl: str) -> DataFrame:
-    """``count(block, names, bounds, good)`` of each block of a task (a block read by two tasks comes in parts)."""
+def in_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """One row a block of consecutive rows of a task: ids, numbers of words and
+    target flags of its documents, the sorted distinct names of its words, and
+    each word's number among them."""
 
     def one_task(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        at = None
+        from pyspark import TaskContext
+        block, held, bytes_held = TaskContext.get().partitionId() << 32, ([], [], []), 0
 
         def done():
-            sizes = np.concatenate([np.diff(b) for _, b, _ in held])
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            good = np.repeat(np.concatenate([g for _, _, g in held]), sizes)
-            return count(at, np.concatenate([n for n, _, _ in held]), bounds, good)
+            ids, texts, good = held
+            names, size = _read(texts)
+            key, at = np.unique(names, return_inverse=True)
+            flags = np.array(good, dtype=bool)
+            sums = [size.sum(), size[flags].sum(), (size > 0).sum(), (size[flags] > 0).sum()]
+            yield pa.RecordBatch.from_pydict({"block": [block], "doc_id": [ids], "size": [size], "good": [good], "vocabulary": [_packed(_gaps(key))],
+                                              "at": [_packed(at.astype(np.uint32))], **dict(zip(("n_words", "m_words", "n_texts", "m_texts"), ([int(x)] for x in sums), strict=True))}, schema=BLOCKS)
 
         for b in batches:
-            blocks = b.column(b.schema.get_field_index("block")).to_numpy()
-            texts, target = binary_column(b, "text"), np.array(b.column(b.schema.get_field_index("target")).to_pylist(), dtype=bool)
-            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if lo == hi:
-                    continue
-                if held and blocks[lo] != at:
+            for doc_id, text, good in zip(b.column("doc_id").to_pylist(), binary_column(b, "text"), b.column("target").to_pylist(), strict=True):
+                n = len(text or b"")
+                if held[0] and bytes_held + n > block_bytes:
                     yield from done()
-                    held = []
-                at = int(blocks[lo])
-                held.append((*_read(texts[lo:hi]), target[lo:hi]))
-        if held:
+                    block, held, bytes_held = block + 1, ([], [], []), 0
+                for own, x in zip(held, (doc_id, text, good), strict=True):
+                    own.append(x)
+                bytes_held += n
+        if held[0]:
             yield from done()
 
-    return map_arrow(rows, one_task, ddl)
-
-
-def vocabulary(rows: DataFrame) -> tuple[int, int, int]:
-    """Distinct words, all words, and words of the target documents."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
+    return map_arrow(rows.select("doc_id", "text", "target"), one_task, BLOCKS_DDL)
+
+
+class Block:
+    """A block's words and pairs in the order of their names."""
+
+    def __init__(self, row: dict):
+        self.size = np.array(row["size"], dtype=np.int64)
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        self.good = np.array(row["good"], dtype=bool)[self.doc]
+        self.words = np.cumsum(_unpacked(row["vocabulary"], 1)[0].view(np.uint64), dtype=np.uint64)
+        self.at = _unpacked(row["at"], 1, np.uint32)[0].astype(np.int64)
+        n = len(self.words)
+        # the word before; 0 at a text's start
+        self.before = np.concatenate([[0], self.at[:-1] + 1]) if len(self.at) else self.at
+        first = np.cumsum(self.size) - self.size
+        self.before[first[self.size > 0]] = 0
+        self.ends = np.zeros(len(self.at), dtype=bool)
+        self.ends[(first + self.size - 1)[self.size > 0]] = True
+        local, pair = np.unique(self.before * max(1, n) + self.at, return_inverse=True)
+        left = np.concatenate([np.zeros(1, dtype=np.uint64), self.words])[local // max(1, n)]
+        names = mix64(left * salt(801) + self.words[local % max(1, n)] * salt(802)) if n else self.words
+        order = np.argsort(names, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.pairs, self.pair = names[order], place[pair] if n else pair
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of words: times in all documents and in the target, and as a text's end; of pairs: times in both."""
+        count = lambda at, n, mask: np.bincount(at[mask], minlength=n)
+        every = np.ones(len(self.at), dtype=bool)
+        words = np.array([count(self.at, len(self.words), m) for m in (every, self.good, self.ends, self.ends & self.good)], dtype=np.int64)
+        return words, np.array([count(self.pair, len(self.pairs), m) for m in (every, self.good)], dtype=np.int64)
+
+
+DDL = "block long, bucket int, words binary, pairs binary, distinct_words long"
+SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("distinct_words", pa.int64())])
+COLUMNS = {"words": 4, "pairs": 2}
+
+
+def messages(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Per block and bucket that it has names of: the names and the block's counts."""
 
-    def count(block, names, bounds, good):
-        key, counts = _counted(names, good)
-        for k in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(key[k:k + (1 << 16)].view(np.int64)), *(pa.array(x[k:k + (1 << 16)]) for x in counts)], schema=schema)
-
-    words = _per_block(rows, count, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    r = words.agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.sum("m").alias("m")).first()
-    return r.v, r.n or 0, r.m or 0
-
-
-DDL = "block long, bucket int, words binary, contexts binary, pairs binary"
-SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((k, pa.binary()) for k in KINDS)])
+    def one_task(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                own = Block(row)
+                counts = dict(zip(COLUMNS, own.counts(), strict=True))
+                edges = {"words": _bucket_edges(own.words, buckets), "pairs": _bucket_edges(own.pairs, buckets)}
+                keys = {"words": own.words, "pairs": own.pairs}
+                for j in range(buckets):
+                    parts = {k: slice(e[j], e[j + 1]) for k, e in edges.items()}
+                    if any(p.start < p.stop for p in parts.values()):
+                        yield pa.RecordBatch.from_pydict({"block": [row["block"]], "bucket": [j], **{k: [_packed(np.vstack([_gaps(keys[k][p]), counts[k][:, p]]))] for k, p in parts.items()}, "distinct_words": [0]}, schema=SCHEMA)
 
+    return map_arrow(blocks.select("block", "size", "good", "vocabulary", "at"), one_task, DDL)
 
-def summed_counts(rows: DataFrame, buckets: int) -> DataFrame:
-    """Per block and bucket the counts (background, target) over all documents
-    of the block's sorted words, contexts and pairs of that bucket."""
 
-    def count(block, names, bounds, good):
-        parts = []
-        for keys in names_of(names, bounds):
-            key, counts = _counted(keys, good)
-            parts.append((key, counts, _bucket_edges(key, buckets)))
-        for j in range(buckets):
-            if any(e[j] < e[j + 1] for _, _, e in parts):
-                own = [np.vstack([np.diff(key[e[j]:e[j + 1]], prepend=np.uint64(0)).view(np.int64), counts[:, e[j]:e[j + 1]]]) for key, counts, e in parts]
-                yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [j], **{k: [_packed(x)] for k, x in zip(KINDS, own, strict=True)}}, schema=SCHEMA)
+def summed_counts(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Per block and bucket the counts over all documents of the block's sorted
+    words and pairs of that bucket; ``distinct_words`` adds up to the vocabulary."""
 
     def add(table: pa.Table) -> pa.Table:
-        distinct, block_no = np.unique(table.column("block").to_numpy(), return_inverse=True)
-        columns = {"block": distinct, "bucket": [table.column("bucket")[0].as_py()] * len(distinct)}
-        for kind in KINDS:
-            own = [_unpacked(x, 3) for x in table.column(kind).to_pylist()]
+        out = {"block": table.column("block"), "bucket": table.column("bucket")}
+        for kind, n in COLUMNS.items():
+            own = [_unpacked(x.as_py(), n + 1) for x in table.column(kind)]
             keys = [np.cumsum(x[0].view(np.uint64), dtype=np.uint64) for x in own]
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.zeros((2, len(key)), dtype=np.int64)
-            for model in (0, 1):
-                np.add.at(total[model], at, np.concatenate([x[1 + model] for x in own]))
-            # (block, name) in order, once for a block that came in parts
-            pairs = np.unique(np.repeat(block_no, [len(k) for k in keys]) * max(1, len(key)) + at)
-            place, at = pairs // max(1, len(key)), pairs % max(1, len(key))
-            edges = np.searchsorted(place, np.arange(len(distinct) + 1))
-            columns[kind] = [_packed(total[:, at[a:b]]) for a, b in zip(edges, edges[1:], strict=False)]
-        return pa.table(columns, schema=SCHEMA)
+            total = np.zeros((n, len(key)), dtype=np.int64)
+            for c in range(n):
+                np.add.at(total[c], at, np.concatenate([x[1 + c] for x in own]))
+            edges = np.cumsum([0, *map(len, keys)])
+            out[kind] = [_packed(np.ascontiguousarray(total[:, at[a:b]])) for a, b in zip(edges, edges[1:], strict=False)]
+            if kind == "words":
+                out["distinct_words"] = [len(key), *[0] * (len(keys) - 1)]
+        return pa.table(out, schema=SCHEMA)
 
-    return _per_block(rows, count, DDL).groupBy("bucket").applyInArrow(add, DDL)
+    return messages(blocks, buckets).groupBy("bucket").applyInArrow(add, DDL)
 
 
 def losses(counts: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...], words: int, n_own: np.ndarray, size: int) -> np.ndarray:
@@ -257,68 +201,60 @@ def losses(counts: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...], words: i
     return -np.log((pair + WEIGHT * single) / (context + WEIGHT))
 
 
-def score(rows: DataFrame, counts: DataFrame, buckets: int, totals: tuple[int, int, int]) -> DataFrame:
-    """Per row (block, doc_id, text, target): doc_id, n_words, target_loss, background_loss, score."""
+def score(blocks: DataFrame, sums: DataFrame, buckets: int, vocabulary: int, totals: tuple) -> DataFrame:
+    """Per document: doc_id, n_words, target_loss, background_loss, score.
+    ``totals``: words and wordy texts of all documents and of the target."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
-    def fn(docs: pa.Table, back: pa.Table) -> pa.Table:
-        texts = docs.column("text").cast(pa.binary()).to_pylist()
-        target = np.array(docs.column("target").to_pylist(), dtype=bool)
-        names, bounds = _read(texts)
-        size = np.diff(bounds)
-        doc = np.repeat(np.arange(len(texts)), size)
-        good = target[doc]
-        both, mine = [], []
-        for kind, keys in zip(KINDS, names_of(names, bounds), strict=True):
-            key, at = np.unique(keys, return_inverse=True)
-            total, edges = np.zeros((2, len(key)), dtype=np.int64), _bucket_edges(key, buckets)
-            for j, data in zip(back.column("bucket").to_pylist(), back.column(kind).to_pylist(), strict=True):
-                total[:, edges[j]:edges[j + 1]] = _unpacked(data, 2)
-            both.append(total[:, at])
-            _, own, n = np.unique(doc * max(1, len(key)) + at, return_inverse=True, return_counts=True)
-            mine.append(n[own])
+    def fn(table: pa.Table, back: pa.Table) -> pa.Table:
+        row = table.to_pylist()[0]
+        own = Block(row)
+        n = {"words": len(own.words), "pairs": len(own.pairs)}
+        total = {k: np.zeros((c, n[k]), dtype=np.int64) for k, c in COLUMNS.items()}
+        edges = {"words": _bucket_edges(own.words, buckets), "pairs": _bucket_edges(own.pairs, buckets)}
+        for kind, c in COLUMNS.items():
+            for j, data in zip(back.column("bucket").to_pylist(), back.column(kind), strict=True):
+                total[kind][:, edges[kind][j]:edges[kind][j + 1]] = _unpacked(data.as_py(), c)
+
+        def in_document(what: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+            """(document, thing) numbers of the words, and how often each occurs."""
+            _, at, times = np.unique(own.doc * max(1, most) + what, return_inverse=True, return_counts=True)
+            return at, times
+
+        word_at, word_times = in_document(own.at, n["words"])
+        pair_at, pair_times = in_document(own.pair, n["pairs"])
+        # a document's last word is a context once less than it is a word
+        context_times = word_times.copy()
+        np.subtract.at(context_times, word_at[own.ends], 1)
+        start = own.before == 0
+        last = np.flatnonzero(~start) - 1  # the word before each word that has one
         each = []
-        for model, taken in ((1, good), (0, np.ones(len(doc), dtype=bool))):
-            own = tuple(np.where(taken, x, 0) for x in mine)
-            loss = losses(tuple(x[model] for x in both), own, totals[2 if model else 1], np.where(taken, size[doc], 0), totals[0])
-            each.append(np.bincount(doc, weights=loss, minlength=len(texts)) / np.maximum(size, 1))
-        columns = [pa.array(x, mask=size == 0) for x in (each[0], each[1], each[0] - each[1])]
-        return pa.table([docs.column("doc_id").combine_chunks(), pa.array(size), *columns], schema=schema)
-
-    ship_package(rows.sparkSession)
-    return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(fn, "doc_id long, n_words long, target_loss double, background_loss double, score double")
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+        for model, taken in ((1, own.good), (0, np.ones(len(own.at), dtype=bool))):
+            context, mine = np.empty(len(own.at), dtype=np.int64), np.ones(len(own.at), dtype=np.int64)
+            words, ends = total["words"][model], total["words"][2 + model]
+            context[start] = totals[2 + model]
+            context[~start] = (words - ends)[own.at[last]]
+            mine[~start] = context_times[word_at[last]]
+            counts = (words[own.at], context, total["pairs"][model][own.pair])
+            less = tuple(np.where(taken, x, 0) for x in (word_times[word_at], mine, pair_times[pair_at]))
+            loss = losses(counts, less, totals[model], np.where(taken, own.size[own.doc], 0), vocabulary)
+            each.append(np.bincount(own.doc, weights=loss, minlength=len(own.size)) / np.maximum(own.size, 1))
+        columns = [pa.array(x, mask=own.size == 0) for x in (each[0], each[1], each[0] - each[1])]
+        return pa.table([pa.array(row["doc_id"], pa.int64()), pa.array(own.size), *columns], schema=schema)
+
+    ship_package(blocks.sparkSession)
+    rows = blocks.select("block", "doc_id", "size", "good", "vocabulary", "at")
+    return rows.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(fn, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """Scores of all documents; documents with a label of quality 1 are the target."""
+    buckets = buckets or PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
     small = good.count() <= BROADCAST_IDS
     rows = texts_of(docs).join(F.broadcast(good) if small else good, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    rows = cut_lineage(in_blocks(rows, block_bytes), "blocks")  # the blocks stay the same in every pass
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(size / bucket_bytes))
-    return score(rows, summed_counts(rows, buckets), buckets, vocabulary(rows))
-
-
-def brute_force(docs: list[tuple], good: set) -> list[tuple]:
-    """Both models counted word by word, less each document's own words (tests only)."""
-    import re
-    from collections import Counter
-    words = [re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower()) for _, t in docs]
-    pairs = [list(zip([None, *w], w, strict=False)) for w in words]
-    size = len({x for w in words for x in w})
-    out = []
-    for i, (doc_id, _) in enumerate(docs):
-        loss = []
-        for model in (True, False):
-            of = [j for j in range(len(docs)) if j != i and (not model or docs[j][0] in good)]
-            single, pair, context = Counter(), Counter(), Counter()
-            for j in of:
-                single.update(words[j])
-                pair.update(pairs[j])
-                context.update(a for a, _ in pairs[j])
-            n = sum(single.values())
-            each = [-np.log((pair[a, b] + WEIGHT * (single[b] + PRIOR) / (n + PRIOR * size)) / (context[a] + WEIGHT)) for a, b in pairs[i]]
-            loss.append(sum(each) / len(each) if each else None)
-        out.append((doc_id, len(words[i]), loss[0], loss[1], loss[0] - loss[1] if words[i] else None))
-    return out
+    blocks = cut_lineage(in_blocks(rows, block_bytes), "blocks")  # the blocks stay the same in every pass
+    sums = cut_lineage(summed_counts(blocks, buckets), "sums")
+    n = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "m_words", "n_texts", "m_texts")]).first()
+    vocabulary = sums.agg(F.sum("distinct_words")).first()[0] or 0
+    return score(blocks, sums, buckets, vocabulary, tuple(n))

@@ -2,8 +2,11 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import duckdb
+import numpy as np
 from geoseries.llm import langid, lmscore, minhash
 
 import corpus_pipeline
@@ -68,12 +71,26 @@ def test_lm_score_separates(spark):
     assert max(got[i] for i in range(101, 200, 2)) < min(got[i] for i in range(100, 200, 2))
 
 
-def test_cell_counts_cover_all_words(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "doc_id % 2 = 0 as target").repartition(5)
-    counts = lmscore.fit(docs)
-    words = duckdb.sql(f"select sum(len(regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))) from '{SF}/documents.parquet'").fetchall()[0][0]
-    vocabulary = 1 << lmscore.WORD_BITS
-    assert counts[0, :vocabulary].sum() == counts[0, vocabulary:].sum() == words > counts[1, :vocabulary].sum() > 0
+def brute_force(docs: list[tuple], good: set) -> list[tuple]:
+    """Both models counted word by word, less each document's own words."""
+    words = [re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower()) for _, t in docs]
+    pairs = [list(zip([None, *w], w, strict=False)) for w in words]
+    size = len({x for w in words for x in w})
+    out = []
+    for i, (doc_id, _) in enumerate(docs):
+        loss = []
+        for model in (True, False):
+            of = [j for j in range(len(docs)) if j != i and (not model or docs[j][0] in good)]
+            single, pair, context = Counter(), Counter(), Counter()
+            for j in of:
+                single.update(words[j])
+                pair.update(pairs[j])
+                context.update(a for a, _ in pairs[j])
+            n = sum(single.values())
+            each = [-np.log((pair[a, b] + lmscore.WEIGHT * (single[b] + lmscore.PRIOR) / (n + lmscore.PRIOR * size)) / (context[a] + lmscore.WEIGHT)) for a, b in pairs[i]]
+            loss.append(sum(each) / len(each) if each else None)
+        out.append((doc_id, len(words[i]), loss[0], loss[1], loss[0] - loss[1] if words[i] else None))
+    return out
 
 
 def test_lm_score_is_exact(spark):
@@ -82,15 +99,28 @@ def test_lm_score_is_exact(spark):
     words = [f"w{i}" for i in range(40)]
     docs = [(i, " ".join(rnd.choices(words + [f"own{i}"], k=rnd.randint(0, 30)))) for i in range(60)] + [(60, None), (61, " "), (3, "w1 w1 w1")]
     good = set(range(0, 60, 3))
-    want = sorted(lmscore.brute_force(docs, good), key=str)
+    want = sorted(brute_force(docs, good), key=str)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
-    for sizes in ((1 << 20, 1 << 20), (500, 700), (1, 100)):
+    for sizes in ((1 << 20, 1), (500, 7), (1, 40), (1 << 20, None)):
         got = sorted((tuple(r) for r in lmscore.cross_entropy_difference(frame, labels, *sizes).collect()), key=str)
         for a, b in zip(got, want, strict=True):
             assert a[:2] == b[:2] and all(x is y is None or abs(x - y) < 1e-9 for x, y in zip(a[2:], b[2:], strict=True))
 
 
+def test_messages_grow_with_the_blocks_alone(spark):
+    """Twice the text is twice the blocks, and a block sends a message to each bucket at most."""
+    rnd = random.Random(3)
+    docs = [(i, " ".join(rnd.choices([f"w{j}" for j in range(3000)], k=200)), False) for i in range(200)]
+    seen = {}
+    for n in (100, 200):
+        frame = spark.createDataFrame(docs[:n], "doc_id long, text string, target boolean").coalesce(1)
+        blocks = lmscore.in_blocks(frame, 10_000)
+        seen[n] = (blocks.count(), lmscore.messages(blocks, 16).count())
+    assert 1.8 < seen[200][0] / seen[100][0] < 2.2
+    assert all(m <= 16 * blocks for blocks, m in seen.values())
+
+
 def test_lm_score_does_not_depend_on_other_words(spark):
     """Words that no cell table of a fixed size tells apart leave the loss of a rare pair alone."""
     text = " ".join(f"x{i} y{i}" for i in range(200_000))
@@ -105,7 +135,6 @@ def test_lm_score_does_not_depend_on_other_words(spark):
 def test_pipeline(spark):
     """Each stage against what it must do to its own input."""
     import hashlib
-    import re
 
     from geoseries.llm import decontamination, secrets, sentencepieces
     from sentencepiece import SentencePieceProcessor
