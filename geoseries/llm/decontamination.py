@@ -8,10 +8,12 @@ extended over equal words in both directions; spans of at least ``window``
 words count.  Items shorter than a window are one window of their own length
 and are looked up by their whole-item name.
 
-The benchmark is the stated query set.  It is dealt into blocks of at most
-``block_bytes`` of text (one block when it is smaller, measured first); each
-block is fingerprinted, broadcast and joined with all documents inside the
-scan, so documents never shuffle however common a passage is.
+The benchmark is the stated query set.  Items of equal text are one item with
+several ids; it is dealt into blocks of about ``block_bytes`` of text (one block
+when it is smaller, measured first); each block is fingerprinted, broadcast and
+joined with all documents inside the scan, so documents never shuffle however
+common a passage is.  Of several blocks one is held at a time: its results are
+written and its broadcast is removed before the next.
 
 Nulls: a null text has no words (document: nothing hit; item: no window).
 Empty tables, repeated rows and repeated item ids are fine: an item id counts
@@ -21,16 +23,17 @@ one item, which has no name in the digest.  Other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoseries.llm.textkit import ALNUM, binary_column, grams, joined_words, map_arrow, map_batches, slices, texts_of
+from geoseries.session import cut_lineage, drop_staged
 
 WINDOW = 10
 GRAM = 5
@@ -54,7 +57,7 @@ def winnow(gram_names: np.ndarray, w: int) -> np.ndarray:
 class Index:
     """Fingerprints of one block of the benchmark (bounded by its bytes)."""
 
-    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW, gram: int = GRAM):
+    def __init__(self, items: list[tuple[list[str | None], bytes | None]], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
         self.ids = [i for i, _ in items]
         self.words, self.short = [], {}
@@ -120,9 +123,7 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("row_no", pa.int64()), ("n_words",
 DDL = "doc_id long, row_no long, n_words long, spans array<long>, items array<string>"
 
 
-def _pass(docs: DataFrame, index: Index) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(index)
-
+def _pass(docs: DataFrame, held: Broadcast) -> DataFrame:
     def fn(batch):
         index = held.value
         texts, ids, rows = binary_column(batch, "text"), batch.column("doc_id"), batch.column("row_no")
@@ -133,7 +134,7 @@ def _pass(docs: DataFrame, index: Index) -> DataFrame:
             for doc in found:
                 edge = np.diff(hit[bounds[doc]:bounds[doc + 1]].astype(np.int8), prepend=0, append=0)
                 spans[doc] = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1).ravel().tolist()
-            items = [sorted({index.ids[no] for no in found.get(doc, ())}, key=lambda i: (i is None, i)) for doc in range(hi - lo)]
+            items = [sorted({i for no in found.get(doc, ()) for i in index.ids[no]}, key=lambda i: (i is None, i)) for doc in range(hi - lo)]
             yield {"doc_id": ids[lo:hi], "row_no": rows[lo:hi], "n_words": np.diff(bounds), "spans": spans, "items": items}
 
     return map_batches(docs, fn, SCHEMA, DDL)
@@ -150,28 +151,34 @@ def _merged(a: np.ndarray) -> tuple[list[int], int]:
     return out, sum(out[1::2]) - sum(out[::2])
 
 
-def indexes(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """The benchmark's fingerprints in blocks of bounded text bytes (one block if it is small)."""
+def indexes(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[Index, bool]]:
+    """The fingerprints of the benchmark's distinct texts in blocks of bounded bytes, and whether the block is the only one."""
     if not 0 < gram <= window:
         raise ValueError("gram must lie between 1 and window")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 16)).first()[0] or 0
+    items = (benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+             .groupBy("text").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), F.bool_or(F.col("item_id").isNull()).alias("nameless")))
+    size = F.octet_length("text") + F.aggregate("ids", F.lit(16), lambda n, i: n + F.octet_length(i) + 8)
+    total = items.agg(F.sum(size)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     for k in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield Index([(r.item_id, r.text.encode() if r.text is not None else None) for r in block.toLocalIterator()], window, gram)
+        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        yield Index([([*r.ids, *([None] if r.nameless else [])], r.text.encode()) for r in block.toLocalIterator()], window, gram), k == blocks - 1 == 0
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows, all columns, without an occurrence of any benchmark window."""
-    for index in indexes(benchmark, window, gram, block_bytes):
-        docs = _clean_pass(docs, index)
+    for index, alone in indexes(benchmark, window, gram, block_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+        if alone:
+            return _clean_pass(docs, held)
+        rest = cut_lineage(_clean_pass(docs, held), "clean")
+        held.destroy()
+        drop_staged(docs)
+        docs = rest
     return docs
 
 
-def _clean_pass(docs: DataFrame, index: Index) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(index)
-
+def _clean_pass(docs: DataFrame, held: Broadcast) -> DataFrame:
     def run(batches):
         index = held.value
         for b in batches:
@@ -189,10 +196,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
     """Per document row: doc_id, n_words, spans (flat array of [start, end) word
     ranges that benchmark windows cover, disjoint) and items (ids, as strings,
     sorted, of the items with an occurring window; a null at the end for items without an id)."""
-    rows = texts_of(docs).withColumn("row_no", F.monotonically_increasing_id())
-    parts = [_pass(rows, index) for index in indexes(benchmark, window, gram, block_bytes)]
-    if len(parts) == 1:
-        return parts[0].drop("row_no")
+    rows, parts = texts_of(docs).withColumn("row_no", F.monotonically_increasing_id()), []
+    for index, alone in indexes(benchmark, window, gram, block_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+        if alone:
+            return _pass(rows, held).drop("row_no")
+        if not parts:
+            rows = cut_lineage(rows, "texts")  # row numbers are taken once
+        parts.append(cut_lineage(_pass(rows, held), "hits"))
+        held.destroy()
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
@@ -218,26 +230,3 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", (total(ends) - total(starts)).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
                         (F.size("spans") > 0).alias("contaminated"))
-
-
-def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
-    """Every window of every item against every position (tests only)."""
-    import re
-    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
-    windows: dict[tuple, set] = {}
-    for i, t in items:
-        w = words(t)
-        n = min(window, len(w))
-        for k in range(len(w) - n + 1 if n else 0):
-            windows.setdefault(tuple(w[k:k + n]), set()).add(str(i))
-    out = []
-    for i, t in docs:
-        w, hit, found = words(t), set(), set()
-        for n in {len(x) for x in windows}:
-            for k in range(len(w) - n + 1):
-                if own := windows.get(tuple(w[k:k + n])):
-                    found |= own
-                    hit.update(range(k, k + n))
-        ids = sorted(found)
-        out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
-    return out

@@ -237,20 +237,3 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return (own.join(per_words, "words_sha256", "left")
             .select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
                     F.when(copy, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "words_sha256")).alias("kept_sha256")))
-
-
-def brute_force(docs: list[tuple], window: int = WINDOW) -> set[tuple]:
-    """Every window of every document (tests only); distinct ids."""
-    words = {i: (t or "").encode().split() for i, t in docs}
-    least: dict[tuple, int] = {}
-    for i in sorted(words):
-        for k in range(len(words[i]) - window + 1):
-            least.setdefault(tuple(words[i][k:k + window]), i)
-    out = set()
-    for i, w in words.items():
-        gone = set()
-        for k in range(len(w) - window + 1):
-            if least[tuple(w[k:k + window])] < i:
-                gone.update(range(k, k + window))
-        out.add((i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
-    return out
