@@ -12,7 +12,7 @@ budget, it ends at virtual time 1 in every source at once; the one copy of each
 source that is in service then gives the words served so far, so a source's
 taken words miss its target by less than a word.
 
-Hot sources: totals run over ranges of (source, shuffle key) (``scans``), so a
+Hot sources: totals run over ranges of (source, shuffle key) (``operators.running``), so a
 source with a third of all rows is spread over many tasks; texts leave the
 scan as a size and a digest.
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoseries.llm.scans import ranged, running
+from geoseries.operators.running import ranged, running
 from geoseries.session import cut_lineage
 
 WEIGHTS = (3, 1, 2)

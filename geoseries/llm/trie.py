@@ -3,7 +3,7 @@
 **Naming.** A turn leaves the scan as two 64-bit hashes of (role, text) and a
 length; no text is shuffled.  The name of a prefix is the XOR of its turns'
 hashes, each mixed with its position, so names of all prefixes are running
-totals (``scans``) and a parent's name is its child's without the last turn.
+totals (``operators.running``) and a parent's name is its child's without the last turn.
 A conversation of any length is spread over many tasks.
 
 **Contraction.** The subtree totals of all nodes come from rounds on the live
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoseries.llm.scans import ranged, running
+from geoseries.operators.running import ranged, running
 from geoseries.llm.textkit import map_arrow
 from geoseries.session import cut_lineage, drop_staged
 
