@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -32,6 +33,45 @@ def test_sql_twin(spark, name):
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in got.select(*want.columns).collect())
 
 
+def brute_hits(docs: list[tuple], items: list[tuple], window: int = 10) -> list[tuple]:
+    """Every window of every item against every position."""
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    windows: dict[tuple, set] = {}
+    for i, t in items:
+        w = words(t)
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k:k + n]), set()).add(str(i))
+    out = []
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[k:k + n])):
+                    found |= own
+                    hit.update(range(k, k + n))
+        ids = sorted(found)
+        out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def brute_repeats(docs: list[tuple], window: int = 50) -> set[tuple]:
+    """Every window of every document; distinct ids."""
+    words = {i: (t or "").encode().split() for i, t in docs}
+    least: dict[tuple, int] = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - window + 1):
+            least.setdefault(tuple(words[i][k:k + window]), i)
+    out = set()
+    for i, w in words.items():
+        gone = set()
+        for k in range(len(w) - window + 1):
+            if least[tuple(w[k:k + window])] < i:
+                gone.update(range(k, k + window))
+        out.add((i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
+    return out
+
+
 def random_texts(letters, n, most, seed):
     rnd = random.Random(seed)
     return ["".join(rnd.choices(letters, k=rnd.randint(0, most))) for _ in range(n)]
@@ -49,6 +89,22 @@ def test_token_counts(spark):
         assert all(r.n_bytes == len((rows[r.doc_id][1] or "").encode()) and r.over_limit == (r.n_tokens > 512) for r in got)
 
 
+def test_token_counts_of_texts_without_a_space(spark, monkeypatch):
+    """Runs without spaces splice at changes of class; chunk text stays within twice the text."""
+    from tokenizers import Tokenizer
+    rnd = random.Random(8)
+    many = ["中", "文", "字", "。", "，", "ab", "Q", "7", "42", "+/", "=", "'", "'s", "é", "<|endoftext|>", "한국", "-"]
+    rows = [(i, "".join(rnd.choices(many, k=3000))) for i in range(12)] + [(50, "x" * 9000), (51, "中文" * 5000)]
+    rows.append((52, "".join(rnd.choices(many, k=600_000))))
+    library = Tokenizer.from_file(tokencount.tokenizer_path())
+    cut, sizes = tokencount._cut, []
+    monkeypatch.setattr(tokencount, "_cut", lambda rows, size, overlap: (c := cut(rows, size, overlap), sizes.append((c.selectExpr("sum(length(part))").first()[0], rows.selectExpr("sum(length(text))").first()[0])))[0])
+    got = {r.doc_id: r for r in tokencount.count_tokens(spark.createDataFrame(rows, DOC), chunk_chars=2000, overlap=64).collect()}
+    assert {i: got[i].n_tokens for i, _ in rows} == {i: len(library.encode(t, add_special_tokens=False)) for i, t in rows}
+    assert got[52].n_chunks > 100 and got[51].n_chunks == 1
+    assert len(sizes) > 1 and all(parts <= 2 * text for parts, text in sizes)
+
+
 def test_sentencepieces(spark):
     from sentencepiece import SentencePieceProcessor
     letters = ["a", "b", " ", "  ", "\n", "é", "中文字", "日本", "word", "ing", "12", "!", "the", " the", "tion", "e", "\U0001F600", "\t"]
@@ -59,6 +115,17 @@ def test_sentencepieces(spark):
         encoded = sentencepieces.encode(spark.createDataFrame(rows, DOC), chunk_chars=chunk)
         assert {r.doc_id: r.ids for r in sentencepieces.unpack(encoded).collect()} == want
         assert {r.doc_id: r.text for r in sentencepieces.decode(encoded).collect()} == dict(rows)
+        at_once = sentencepieces.encode(spark.createDataFrame(rows, DOC), chunk_chars=chunk, forms=("ids", "text")).collect()
+        assert {r.doc_id: (r.ids, r.text) for r in at_once} == {i: (want[i], t) for i, t in rows}
+
+
+def test_a_giant_text_is_joined_once(spark):
+    """Very many chunks of one text without a space."""
+    from sentencepiece import SentencePieceProcessor
+    text = "".join(random.Random(9).choices("中文字日本語ab1。", k=400_000))
+    got = sentencepieces.encode(spark.createDataFrame([(1, text)], DOC), chunk_chars=512, forms=("ids", "text")).first()
+    assert got.n_chunks > 700 and got.text == text
+    assert got.ids == SentencePieceProcessor(model_file=sentencepieces.model_path()).encode(text)
 
 
 def test_scan_is_associative():
@@ -79,7 +146,7 @@ def test_recompression(spark):
     rows += [(1000 - i, " ".join(rnd.choice(rows)[1].split()[rnd.randint(0, 9):] + rnd.choice(rows)[1].split())) for i in range(40)]
     for window in (6, 15):
         got = recompression.remove_repeats(spark.createDataFrame(rows, DOC), window).collect()
-        assert {tuple(r) for r in got} == recompression.brute_force(rows, window)
+        assert {tuple(r) for r in got} == brute_repeats(rows, window)
 
 
 def test_recompression_of_equal_and_null_ids(spark):
@@ -95,7 +162,7 @@ def test_recompression_of_equal_and_null_ids(spark):
 def test_decontamination_blocks_and_short_items(spark):
     rows, items = documents(), duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall() + [(900, "the of"), (901, "a"), (902, None)]
     docs, bench = spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id long, text string")
-    want = sorted(decontamination.brute_force(rows, items))
+    want = sorted(brute_hits(rows, items))
     for size in (1 << 20, 4000):
         assert sorted(tuple(r) for r in decontamination.report(decontamination.find_hits(docs, bench, block_bytes=size)).collect()) == want
 
@@ -215,6 +282,60 @@ def test_secrets(spark):
         assert masked[i] == want + t[at:], t
 
 
+def test_equal_items_are_one_and_blocks_come_one_by_one(spark):
+    """A benchmark of several blocks: every block is written and its broadcast removed before the next."""
+    passage = " ".join(f"p{i}" for i in range(14))
+    items = [(f"i{k}", passage) for k in range(50)] + [(None, passage)] + [(f"x{k}", " ".join(f"q{k}_{i}" for i in range(12))) for k in range(40)]
+    docs = [(1, f"before {passage} after"), (2, " ".join(f"q7_{i}" for i in range(11))), (3, "nothing here"), (4, None)]
+    frame, bench = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id string, text string")
+    assert sum(len(index.words) for index, _ in decontamination.indexes(bench, block_bytes=700)) == 41
+    assert len(list(decontamination.indexes(bench, block_bytes=700))) > 3
+    want = {1: sorted(f"i{k}" for k in range(50)) + [None], 2: ["x7"], 3: [], 4: []}
+    for size in (700, 1 << 20):
+        got = decontamination.find_hits(frame, bench, block_bytes=size).collect()
+        assert {r.doc_id: r["items"] for r in got} == want
+        assert {r.doc_id for r in decontamination.drop_contaminated(frame, bench, block_bytes=size).collect()} == {3, 4}
+
+
+def test_very_many_secrets_in_one_text(spark):
+    """Scanning and masking grow with a text's findings, not with their square."""
+    n = 100_000
+    text = " ".join(f"token=abcdefgh{i:06d}" for i in range(n))
+    docs = spark.createDataFrame([(1, text, "s"), (2, "password: " + "x" * 5000 + " end", "s")], "doc_id long, text string, source string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    masked = {r.doc_id: r.text for r in secrets.mask(docs).collect()}
+    assert time.time() - began < 120
+    assert got[1].n_assign == n and got[1].spans.split(",")[-1] == f"assign:{len(text) - 20}:{len(text)}"
+    assert masked == {1: " ".join(["[SECRET]"] * n), 2: "[SECRET] end"}
+
+
+def test_repeated_rows_are_one_node(spark, monkeypatch):
+    """1,000 rows of two near copies: two nodes, one pair, one shingle set each."""
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:-1], "other"]
+    rows = [(i % 2, " ".join(near if i % 2 else words)) for i in range(1000)] + [(7, "quite another text of its own")]
+    seen = {}
+    link, verified = minhash.link, minhash.verified
+
+    def counted_link(docs, nodes, k, percent):
+        seen["nodes"] = nodes.count()
+        return link(docs, nodes, k, percent)
+
+    def counted_verified(docs, pairs, k, percent):
+        out = verified(docs, pairs, k, percent)
+        seen.setdefault("pairs", []).append((pairs.count(), out.count()))
+        return out
+
+    sets = minhash.shingle_sets
+    monkeypatch.setattr(minhash, "link", counted_link)
+    monkeypatch.setattr(minhash, "verified", counted_verified)
+    monkeypatch.setattr(minhash, "shingle_sets", lambda docs, k: (s := sets(docs, k), seen.setdefault("sets", []).append(s.count()))[0])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOC), 5).collect()
+    assert len(got) == 1001 and {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 0), (7, 7)}
+    assert seen["nodes"] == 3 and seen["pairs"][0] == (1, 1) and seen["sets"][0] == 2
+
+
 def test_no_python_in_secret_plan(spark):
     plan = secrets.scan(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

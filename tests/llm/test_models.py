@@ -10,6 +10,7 @@ import numpy as np
 from geoseries.llm import langid, lmscore, minhash
 
 import corpus_pipeline
+from test_exact import brute_hits
 
 SF = "/root/testdata/sf0.001"
 
@@ -136,7 +137,7 @@ def test_pipeline(spark):
     """Each stage against what it must do to its own input."""
     import hashlib
 
-    from geoseries.llm import decontamination, secrets, sentencepieces
+    from geoseries.llm import secrets, sentencepieces
     from sentencepiece import SentencePieceProcessor
     extra = [(10_001, None, None, "s", 0), (10_002, "12 34 !!", "en", "s", 8), (10_003, "the of and password=abcdefgh1234 the", "en", "s", 36)]
     docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long"))
@@ -150,7 +151,7 @@ def test_pipeline(spark):
     same = {r.doc_id for r in minhash.near_duplicates(docs.filter("doc_id not in (10001, 10002)"), 5).filter("kept").collect()}
     assert set(kept[1]) == same and len(same) < len(kept[0])
     items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
-    hit = {r[0] for r in decontamination.brute_force([(i, r.text) for i, r in kept[1].items()], items) if r[5]}
+    hit = {r[0] for r in brute_hits([(i, r.text) for i, r in kept[1].items()], items) if r[5]}
     assert hit and set(kept[2]) == set(kept[1]) - hit
     assert set(kept[3]) == set(kept[2]) and kept[3][10_003].text == "the of and [SECRET] the" and kept[3][10_003].n_chars == 23
     assert not [i for i, r in kept[3].items() if re.search(secrets.PATTERNS["hex"], r.text)]
