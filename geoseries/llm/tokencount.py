@@ -4,11 +4,16 @@ Texts up to ``chunk_chars`` are counted in place.  A longer text is cut into
 overlapping chunks that are encoded independently, with offsets, in as many
 tasks; two neighbours are spliced at the first position inside their overlap
 where both encodings start a token and the text goes from a non-space to a
-space character.  Such a position is proven stable: the pre-tokenizer never
-joins a space to what precedes it, and what follows is split without regard to
-the left, so tokens before and after it do not depend on each other.  Where an
+space character, or from letters to digits or marks, digits to letters or marks,
+marks (but the apostrophe) to letters or digits.  Such a position is proven
+stable: the pre-tokenizer reads from left to right, a run of one class ends
+where another begins, and what follows is split without regard to the left, so
+tokens before and after it do not depend on each other.  (A special string over
+such a place is whole in one of the two chunks, which then starts no token
+there.)  The tokenizer is checked for this when it is loaded.  Where an
 overlap holds no such position, the document goes into a further round with
-overlaps ``WIDEN`` times as long, in the end one chunk.
+overlaps ``WIDEN`` times as long, in the end one chunk.  The step between chunks
+is never shorter than the overlap, so a round encodes no text more than twice.
 
 In-place counts use the same fact: the text is cut at every such position, and
 the library encodes each distinct piece once per task (a bounded cache).
@@ -40,7 +45,10 @@ CACHED_CHARS = 48       # longer pieces are encoded each time
 # Characters with the Unicode property White_Space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{SPACES}]+[^{SPACES}]*|[^{SPACES}]+")
-STABLE = re.compile(f"(?<=[^{SPACES}])[{SPACES}]")
+# Letters, digits and marks on whose classes all Unicode versions agree.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0410-\u044f\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+MARKS = '!"#$%&()*+,./:;<=>?@\\[\\]^_`{|}~\\\\\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f-'
+STABLE = re.compile(f"(?<=[^{SPACES}])[{SPACES}]|(?<=[{LETTERS}])[0-9'{MARKS}]|(?<=[0-9])[{LETTERS}'{MARKS}]|(?<=[{MARKS}])[{LETTERS}0-9]")
 
 
 def tokenizer_path() -> str:
@@ -58,6 +66,19 @@ class Tokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, int] = {}
+        self._check()
+
+    def _check(self) -> None:
+        """The facts that splicing rests on: spaces are never joined to what stands
+        before them, nothing is added, and no special string starts or ends in a space."""
+        normalizer = self.tokenizer.normalizer
+        for text in ("a b", "a\nb", "! \t y", "é  z", "a\u00a0b", "é1", "ab中,", "1а", "2.", "%ひ", "한。", "。3", "a'", "7'"):
+            at = STABLE.search(text).start()
+            whole = [t[1] for t in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+            if normalizer is not None and normalizer.normalize_str(text) != text or not any(lo == at for lo, _ in whole):
+                raise ValueError("the tokenizer must keep texts as they are and start a word at each space after a non-space and at each change of class")
+        if any(re.search(f"[{SPACES}]", t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens must hold no space")
 
     def count(self, texts: list[str]) -> list[int]:
         if len(self.known) > CACHE:
@@ -73,13 +94,13 @@ class Tokens:
                 del self.known[p]
         return out
 
-    def boundaries(self, text: str) -> tuple[int, list[tuple[int, int]]]:
-        """Tokens in all; (position, tokens before it) of the stable positions."""
+    def boundaries(self, text: str, *stretches: tuple[int, int]) -> tuple[int, list[list[tuple[int, int]]]]:
+        """Tokens in all; (position, tokens before it) of the stable positions of each stretch."""
         enc = self.tokenizer.encode(text, add_special_tokens=False)
         before = {}
         for n, (start, _) in enumerate(enc.offsets):
             before.setdefault(start, n)
-        return len(enc), [(p, before[p]) for m in STABLE.finditer(text) if (p := m.start()) in before]
+        return len(enc), [[(p, before[p]) for m in STABLE.finditer(text, lo, hi) if (p := m.start()) in before] for lo, hi in stretches]
 
 
 def _count_short(rows: DataFrame, path: str) -> DataFrame:
@@ -129,9 +150,9 @@ def _encode(cut: DataFrame, path: str, size: int, overlap: int) -> DataFrame:
             tokens = tokens or Tokens(path)
             for row in range(b.num_rows):
                 k, last = b.column("chunk_no")[row].as_py(), b.column("last")[row].as_py()
-                total, found = tokens.boundaries(b.column("part")[row].as_py())
-                head = [(p + k * size, n) for p, n in found if k and p < overlap]
-                tail = [(p + k * size, n) for p, n in found if not last and p >= size]
+                part = b.column("part")[row].as_py()
+                total, found = tokens.boundaries(part, (0, overlap if k else 0), (len(part) if last else size, len(part)))
+                head, tail = ([(p + k * size, n) for p, n in x] for x in found)
                 yield pa.RecordBatch.from_arrays([b.column(c)[row:row + 1] for c in fields] + [
                     pa.array([total], pa.int64())] + [pa.array([[x[i] for x in own]], pa.list_(pa.int64())) for own in (head, tail) for i in (0, 1)], schema=schema)
 
@@ -157,10 +178,12 @@ def count_tokens(docs: DataFrame, path: str | None = None, chunk_chars: int = CH
     rows = texts_of(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     long = F.length("text") > chunk_chars
     parts = [_count_short(rows.filter(~long), path)]
-    huge = rows.withColumn("row_no", F.monotonically_increasing_id()).filter(long)
+    # row numbers are taken once: later rounds read the written rows
+    huge = cut_lineage(rows.filter(long).withColumn("row_no", F.monotonically_increasing_id()), "long_texts")
     longest = huge.agg(F.max(F.length("text"))).first()[0] or 0
     while longest:
-        done = cut_lineage(_splice(_encode(_cut(huge, chunk_chars, overlap), path, chunk_chars, overlap)), "spliced")
+        step = max(chunk_chars, overlap)
+        done = cut_lineage(_splice(_encode(_cut(huge, step, overlap), path, step, overlap)), "spliced")
         parts.append(done.filter("ok").drop("row_no", "ok"))
         failed = done.filter(~F.col("ok")).select("row_no")
         if overlap >= longest or failed.isEmpty():
