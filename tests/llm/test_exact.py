@@ -241,6 +241,81 @@ def test_fingerprints(spark):
         assert 0 <= got[i].near_next <= 1 and (len(t) < 60 or got[i].near_edited > 0.2)
 
 
+def test_shards_of_a_hot_record(spark):
+    """A third of all rows are one record, another third one id: shards stay near equal, positions gapless."""
+    rows = [(1, "same text")] * 6000 + [(2, f"version {i}") for i in range(6000)] + [(i, "x" * (i % 50)) for i in range(10, 6010)]
+    out = sharding.shard(spark.createDataFrame(rows, DOC), n_shards=8, n_slots=512).collect()
+    assert len(out) == len(rows)
+    load, places = {}, {}
+    for r in out:
+        load[r.shard] = load.get(r.shard, 0) + r.size
+        places.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values()) and len(load) == 8
+    assert max(load.values()) < 1.1 * sum(load.values()) / 8
+    assert sorted((r.doc_id, r.size) for r in out) == sorted((i, len(t) + 16) for i, t in rows)
+
+
+def brute_anchors(text, k, s):
+    """Closed syncmers written out k-mer by k-mer: the least of a k-mer's inner
+    s-mers is its first or its last.  Names of s-mers as the library defines them."""
+    wide = lambda x: x & (2 ** 64 - 1)
+
+    def mix(x):
+        x = wide((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9)
+        x = wide((x ^ (x >> 27)) * 0x94D049BB133111EB)
+        return x ^ (x >> 31)
+
+    salt = lambda n: mix(wide((n + 1) * 0x9E3779B97F4A7C15)) | 1
+    inner = lambda part: mix(wide(sum(mix(ord(c) + 1) * salt(j) for j, c in enumerate(part))))
+    out = []
+    for a in range(len(text) - k + 1):
+        kmer = text[a:a + k]
+        names = [inner(kmer[i:i + s]) for i in range(k - s + 1)]
+        if min(names) in (names[0], names[-1]):
+            whole = wide(sum(names[min(j, k - s)] * salt(j + 1) for j in range(0, k, s)))
+            out.append((mix(whole) >> 32, a))
+    return out
+
+
+def brute_likeness(a, b):
+    """Longest chain of common anchors in the same order, by the plain table; an
+    anchor's n-th occurrence meets the other's n-th only."""
+    if not a or not b:
+        return float(len(a) == len(b))
+    nth = lambda x: [(n, x[:i].count(n)) for i, n in enumerate(x)]
+    x, y = nth(a), nth(b)
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, u in enumerate(x):
+        for j, v in enumerate(y):
+            best[i + 1][j + 1] = best[i][j] + 1 if u == v else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1] / max(len(x), len(y))
+
+
+def test_fingerprints_against_the_definition(spark):
+    """Anchors k-mer by k-mer and likeness by a plain table, for every document of a small table."""
+    rnd = random.Random(12)
+    base = " ".join("".join(rnd.choices("abcdeé", k=rnd.randint(2, 7))) for _ in range(60))
+    rows = [(0, base), (1, base[:150] + "changed" + base[160:]), (2, "".join(rnd.choices("xyz 😀", k=200))), (3, "short"), (4, ""), (5, None), (6, "ab" * 70)]
+    got = {r.doc_id: r for r in syncmers.compare_edited(spark.createDataFrame(rows, DOC), parts=2).collect()}
+    k, s = syncmers.K, syncmers.S
+    mine = lambda t: brute_anchors(t, k, s)
+    for i, (_, t) in enumerate(rows):
+        t, following = t or "", rows[(i + 1) % len(rows)][1] or ""
+        half = len(t) // 2
+        new = t[:len(t) - half] + following[:half]
+        found = [(int(n), int(p)) for n, p in syncmers.unpack(got[i].fingerprint)]
+        edit = [(int(n), int(p)) for n, p in syncmers.unpack(got[i].edited_fingerprint)]
+        if mine(t):
+            assert found == mine(t)
+        else:  # one name of the whole text, none of the empty one
+            assert len(found) == (1 if t else 0)
+        assert got[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest() and (edit == mine(new) or not mine(new))
+        after = [(int(n), int(p)) for n, p in syncmers.unpack(got[(i + 1) % len(rows)].fingerprint)]
+        names = lambda x: [n for n, _ in x]
+        assert abs(got[i].near_edited - brute_likeness(names(found), names(edit))) < 1e-12
+        assert abs(got[i].near_next - brute_likeness(names(found), names(after))) < 1e-12
+
+
 def test_closed_syncmers_one_by_one():
     text = "context-free anchors for positional matching of documents " * 3
     k, s = 12, 4
