@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from itertools import product
 from math import comb
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.metrics import loss_func
-from ..session import broadcast_if_small, cut_lineage
+from ..session import broadcast_if_small, cut_lineage, scratch_path
 
 
 def _sum(arr: Column) -> Column:
@@ -320,26 +321,81 @@ def candidate_grid(trees: Sequence[int], depths: Sequence[int]) -> list[tuple[in
     return list(product(trees, depths))
 
 
+def forest_nodes(model) -> DataFrame:
+    """A fitted forest (or any tree ensemble of averages) as a table ``(tree, id, prediction, left, right,
+    feature, threshold)``: inner nodes send a row left where ``features[feature]
+    <= threshold``, leaves have ``left = -1``; a tree's root has id 0."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    path = scratch_path(spark, f"forest-{uuid.uuid4().hex}")
+    model.write().overwrite().save(path)
+    n = F.col("nodeData")
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), n["id"].alias("id"), n["prediction"].alias("prediction"), n["leftChild"].alias("left"), n["rightChild"].alias("right"),
+        n["split"]["featureIndex"].alias("feature"), F.try_element_at(n["split"]["leftCategoriesOrThreshold"], F.lit(1)).alias("threshold"))
+
+
+def packed_forests(nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys..., forest)``: per forest the array of its trees, a tree an array of
+    its nodes in the order of their ids (a forest is as large as the fitted
+    model, which its trees' number and depth bound)."""
+    node = F.struct("id", "left", "right", "feature", "threshold", "prediction")
+    trees = nodes.groupBy(*keys, "tree").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    return trees.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tree", "nodes"))).alias("_t")).select(*keys, F.transform("_t", lambda t: t["nodes"]).alias("forest"))
+
+
+def forest_predict(forest: Column, features: Column, depth: int) -> Column:
+    """The mean of the leaves that ``features`` (array) reaches, one walk of ``depth`` steps a tree."""
+    def walk(tree):
+        def step(at, _s):
+            node = F.element_at(tree, at)
+            ahead = F.when(F.element_at(features, node["feature"] + 1) <= node["threshold"], node["left"]).otherwise(node["right"])
+            return F.when(node["left"] < 0, at).otherwise(ahead + 1)
+        return F.element_at(tree, F.aggregate(F.sequence(F.lit(1), F.lit(max(1, depth))), F.lit(1), step))["prediction"]
+    return _sum(F.transform(forest, walk)) / F.size(forest)
+
+
+def forest_recursive(rows: DataFrame, fh: int, depth: int, lags_col: str = "lags", forest_col: str = "forest") -> DataFrame:
+    """Recursive forecast (M1) with each row's own packed forest, all steps in one
+    fold: adds ``step`` (1..fh) and ``pred``, one row per step."""
+    init = F.struct(F.col(lags_col).cast("array<double>").alias("lags"), F.array().cast("array<double>").alias("preds"))
+
+    def step(acc, _s):
+        pred = forest_predict(F.col(forest_col), acc.lags, depth)
+        return F.struct(F.concat(F.slice(acc.lags, F.lit(2), F.size(acc.lags) - 1), F.array(pred)).alias("lags"), F.concat(acc.preds, F.array(pred)).alias("preds"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(fh)), init, step).preds
+    out = rows.select("*", F.posexplode(folded).alias("_p", "pred")).drop(forest_col)
+    return out.withColumn("step", F.col("_p") + 1).drop("_p")
+
+
 def rf_grid(train_rows: DataFrame, val_rows: DataFrame, trees: Sequence[int], depths: Sequence[int],
             fh: int, metric: str = "MSE", series: str = "series", seed: int = 1) -> DataFrame:
     """Random-forest grid over (trees, depth), one pooled model per candidate
     fitted on the lag vectors of all series; each scored by a recursive
     forecast over the first ``fh`` validation rows of every series (one
-    origin) (M3).  Candidate log ``(cand_idx, n_trees, depth, loss)``."""
+    origin) (M3).  The fitted forests become one table of nodes, and all
+    candidates, series and steps are scored in one plan.  Candidate log
+    ``(cand_idx, n_trees, depth, loss)``."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
     spark = train_rows.sparkSession
-    train = train_rows.select(array_to_vector("lags").alias("features"), F.col("y").alias("label"))
-    train = cut_lineage(train)
+    train = cut_lineage(train_rows.select(array_to_vector("lags").alias("features"), F.col("y").alias("label")), "forest-train")
     w = Window.partitionBy(series).orderBy("row_idx")
-    first = val_rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= fh).drop("_k")
-    first = cut_lineage(first)
-    log = []
-    for idx, (n, dpt) in enumerate(candidate_grid(trees, depths)):
-        rf = RandomForestRegressor(numTrees=n, maxDepth=dpt, seed=seed)
-        model = rf.fit(train)
-        loss = backtest(first, fh, lambda o, m=model: model_recursive(m, o, fh, [series, "origin"]),
-                        metric, series)
-        val = loss.agg(F.avg("loss")).first()[0]
-        log.append((idx, n, dpt, float(val) if val is not None else None))
-    return spark.createDataFrame(log, "cand_idx int, n_trees int, depth int, loss double")
+    first = val_rows.withColumn("step", F.row_number().over(w)).where(F.col("step") <= fh)
+    first = cut_lineage(first.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(series))), "forest-score")
+    grid = candidate_grid(trees, depths)
+    nodes = None
+    for idx, (n, dpt) in enumerate(grid):
+        model = RandomForestRegressor(numTrees=n, maxDepth=dpt, seed=seed).fit(train)
+        own = forest_nodes(model).withColumn("cand_idx", F.lit(idx))
+        nodes = own if nodes is None else nodes.unionByName(own)
+    log = spark.createDataFrame([(i, n, d) for i, (n, d) in enumerate(grid)], "cand_idx int, n_trees int, depth int")
+    if nodes is None:
+        return log.withColumn("loss", F.lit(None).cast("double"))
+    nodes = cut_lineage(nodes, "forest-nodes")
+    forests = broadcast_if_small(packed_forests(nodes, ["cand_idx"]), nodes.count() * 64)
+    origins = first.where((F.col("step") == 1) & (F.col("_n") >= fh)).select(series, "lags", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("cand_idx"))
+    preds = forest_recursive(origins.join(forests, "cand_idx"), fh, max(depths)).select(series, "cand_idx", "step", "pred")
+    scored = preds.join(first.select(series, "step", F.col("y").alias("actual")), [series, "step"])
+    per_series = scored.groupBy("cand_idx", series).agg(loss_func(metric)("actual", "pred").alias("loss"))
+    return log.join(per_series.groupBy("cand_idx").agg(F.avg("loss").alias("loss")), "cand_idx", "left")

@@ -166,8 +166,8 @@ def q_null_share(spark, sf):
 
 @register("column_profile")
 def q_column_profile(spark, sf):
-    """Non-NULL count per column of the typed, filtered calls (A10)."""
-    return tidy(profile.column_profile(staged_calls_df(spark, sf).drop(*clean.ORDER_COLS)).drop("dtype"))
+    """Type and non-NULL count per column of the typed, filtered calls (A10)."""
+    return tidy(profile.column_profile(staged_calls_df(spark, sf).drop(*clean.ORDER_COLS)))
 
 
 @register("value_counts")
@@ -445,6 +445,24 @@ def q_recursive_mean_model(spark, sf):
     return tidy(forecast.linear_recursive(rows, MEAN_WEIGHTS, 0.0, FH).select("series", "row_idx", "step", "pred"))
 
 
+@register("forest_recursive")
+def q_forest_recursive(spark, sf):
+    """8-step recursive forecast of a forest given as a table of nodes (three trees
+    that split at the mean of all values), from every supervised row (M1, M3's scoring half)."""
+    long = series_long(spark, sf)
+    mean, low, high = F.round(F.avg("value"), 3), F.min("value"), F.max("value")
+    inner = lambda i, left, feature, threshold: (i, left, left + 1, feature, threshold, F.lit(0.0))
+    leaf = lambda i, prediction: (i, -1, -1, -1, F.lit(0.0), prediction)
+    trees = [(t, [inner(0, 1, t, F.col("a")), leaf(1, F.col("lo")), inner(2, 3, (t + 1) % LAG, F.col("a") * 1.2), leaf(3, F.col("a")), leaf(4, F.col("hi"))]) for t in range(LAG)]
+    rows = F.array(*[F.struct(F.lit(t).alias("tree"), *[(F.lit(x) if isinstance(x, int) else x).alias(n) for n, x in
+                                                        zip(("id", "left", "right", "feature", "threshold", "prediction"), node, strict=True)])
+                     for t, nodes in trees for node in nodes])
+    nodes = long.agg(mean.alias("a"), low.alias("lo"), high.alias("hi")).select(F.inline(rows)).withColumn("k", F.lit(0))
+    forest = F.broadcast(forecast.packed_forests(nodes, ["k"]))   # fifteen nodes
+    out = forecast.forest_recursive(lag_rows_df(spark, sf).withColumn("k", F.lit(0)).join(forest, "k"), FH, 2)
+    return tidy(out.select("series", "row_idx", "step", "pred"))
+
+
 def _test_rows(spark, sf):
     return series.tabular_split(lag_rows_df(spark, sf), 0.2, 0.2).where(F.col("split") == "test")
 
@@ -466,6 +484,13 @@ def q_ar_grid(spark, sf):
     return tidy(forecast.ar_grid(_ar_split(spark, sf), (1, 4), (0, 2), SEASON, FH, "MSE"))
 
 
+@register("ar_grid_wide")
+def q_ar_grid_wide(spark, sf):
+    """The order grid at p = 0 and 1 and d = 0 to 2 (M4)."""
+    split = series.ts_split(series_long(spark, sf), 0.2, 0.2)
+    return tidy(forecast.ar_grid(split, (0, 2), (0, 3), SEASON, FH))
+
+
 @register("best_of_grid")
 def q_best_of_grid(spark, sf):
     """Best AR candidate per series, earliest wins ties (M6)."""
@@ -659,6 +684,16 @@ def q_stream_bin_once(spark, sf):
     return tidy(st.latest_window_counts(spark, f"{base}/bins"))
 
 
+@register("stream_bin_nhood")
+def q_stream_bin_nhood(spark, sf):
+    """Distinct statuses per 3-h event-time window and neighbourhood (ST5, J1 on the stream)."""
+    base = _land_statuses(spark, sf)
+    labelled = st.label_statuses(_stream_statuses(spark, base), S.polygons(spark, sf))
+    q = st.run_window_counts(labelled, f"{base}/bins", f"{base}/ckpt_bins", delay="60 days", nhood_col="FID_nhood")
+    q.awaitTermination()
+    return tidy(st.latest_window_counts(spark, f"{base}/bins"))
+
+
 # ---- file round trips (S1, S7, S8, S9, S11, S12, O1) ----------------------------------
 def _scratch(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
@@ -699,6 +734,14 @@ def q_clean_table_roundtrip(spark, sf):
     return tidy(files.read_clean_table(spark, path, "call_timestamp"))
 
 
+@register("sink_order")
+def q_sink_order(spark, sf):
+    """Cleaned calls written sorted by time: the place of every row in the written files (O1)."""
+    path = _scratch(spark, "calls-sorted")
+    sinks.write_table(clean_calls_df(spark, sf), path, "parquet", sort_by=("call_timestamp", "incident_id"))
+    return tidy(files.written_order(spark, path).select("position", "incident_id", "call_timestamp"))
+
+
 @register("geojson_sink_roundtrip")
 def q_geojson_sink_roundtrip(spark, sf):
     """City-block boundary pages written as JSON documents (S11) and scanned back as GeoJSON."""

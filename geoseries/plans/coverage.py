@@ -44,16 +44,16 @@ ID_QUERIES = {
     "w08_ts_split": "split3", "w09_tabular_split": "tabular_split", "w10_top_per_group": "top10_per_priority",
     "w11_last_n": "last_n_rows", "w11_last_fraction": "last_fraction_rows",
     # sort, limit, union
-    "o01_sink_sort": "clean_table_roundtrip", "o02_page_order": "page_order", "o03_top10": "top_categories",
+    "o01_sink_sort": "sink_order", "o02_page_order": "page_order", "o03_top10": "top_categories",
     "o04_newest": "last_rows", "u01_union_files": "csv_scan_keep_first",
     # forecasting
-    "m01_recursive_forecast": "recursive_mean_model", "m01_joint_recursive": "joint_recursive_mean", "m01_joint_table": "joint_recursive_table", "m02_model_evaluate": "backtest", "m03_rf_grid": "rf_grid",
-    "m04_ar_grid": "ar_grid", "m05_ar_holdout": "ar_holdout", "m06_best_of_grid": "best_of_grid",
+    "m01_recursive_forecast": "recursive_mean_model", "m01_joint_recursive": "joint_recursive_mean", "m01_joint_table": "joint_recursive_table", "m02_model_evaluate": "backtest", "m03_rf_grid": "rf_grid", "m03_forest_scoring": "forest_recursive",
+    "m04_ar_grid": "ar_grid", "m04_ar_grid_wide": "ar_grid_wide", "m05_ar_holdout": "ar_holdout", "m06_best_of_grid": "best_of_grid",
     "m07_day_map_frame": "day_map_frame",
     # streaming
     "st1_entity_sink": "stream_statuses_once", "st2_stream_box": "stream_statuses_once",
     "st3_running_count": "stream_total_once", "st4_available_now": "stream_bin_once",
-    "st5_stream_bins": "stream_bin_once",
+    "st5_stream_bins": "stream_bin_once", "st5_stream_bins_nhood": "stream_bin_nhood",
 }
 
 # SURVEY inventory ID -> library function(s) that implement it.

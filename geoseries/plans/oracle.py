@@ -220,8 +220,9 @@ Q["null_share"] = with_(CALLS_RAW, "\nUNION ALL\n".join(
 
 _STAGED_COLS = ["call_timestamp", "incident_id", "officerinitiated", "priority", "calldescription",
                 "category", "neighborhood", "longitude", "latitude"]
+_STAGED_TYPES = {"call_timestamp": "timestamp_ntz", "incident_id": "bigint", "priority": "tinyint", "longitude": "double", "latitude": "double"}
 Q["column_profile"] = with_(CALLS_STAGED, "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(*) AS \"rows\" FROM staged" for c in _STAGED_COLS))
+    f"SELECT '{c}' AS \"column\", '{_STAGED_TYPES.get(c, 'string')}' AS dtype, count({c}) AS non_null, count(*) AS \"rows\" FROM staged" for c in _STAGED_COLS))
 
 Q["value_counts"] = with_(CALLS_CLEAN, """
 SELECT category, count(*) AS "count" FROM calls WHERE category IS NOT NULL GROUP BY category""")
@@ -528,6 +529,19 @@ def _recursive_sql(src: str, key: str) -> str:
 Q["recursive_mean_model"] = with_(LAGROWS + ",\n" + _recursive_sql("lr", "row_idx"),
                                   "SELECT series, row_idx, CAST(step AS BIGINT) AS step, round(pred, 6) AS pred FROM rec")
 
+_TREE = "CASE WHEN l{0} <= fa THEN lo WHEN l{1} <= fa * 1.2 THEN fa ELSE hi END"
+_FOREST = f"((((0.0 + {_TREE.format(1, 2)}) + {_TREE.format(2, 3)}) + {_TREE.format(3, 1)}) / 3)"
+Q["forest_recursive"] = with_(LAGROWS + """,
+fs AS (SELECT round(avg(value), 3) AS fa, min(value) AS lo, max(value) AS hi FROM series),
+lf AS (SELECT lr.*, fs.* FROM lr, fs),
+rec AS (
+  WITH RECURSIVE r(series, row_idx, step, l1, l2, l3, fa, lo, hi) AS (
+    SELECT series, row_idx, 1, x_1, x_2, x_3, fa, lo, hi FROM lf
+    UNION ALL
+    SELECT series, row_idx, step + 1, l2, l3, """ + _FOREST + """, fa, lo, hi FROM r WHERE step < 8)
+  SELECT series, row_idx, step, """ + _FOREST + """ AS pred FROM r)""",
+                              "SELECT series, row_idx, CAST(step AS BIGINT) AS step, round(pred, 6) AS pred FROM rec")
+
 Q["backtest"] = with_(TSPLIT + """,
 t AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY row_idx) - 1 AS i,
              count(*) OVER (PARTITION BY series) AS n, x_1, x_2, x_3, y FROM lrs WHERE split = 'test'),
@@ -643,6 +657,12 @@ Q["stream_bin_once"] = with_(STATUS_BASE, f"""
 SELECT time_bucket(INTERVAL 3 HOUR, date_trunc('second', ts)) AS bin, count(DISTINCT event_id) AS n
 FROM sd WHERE {_IN_BOX} GROUP BY 1""")
 
+Q["stream_bin_nhood"] = with_(POLY + ",\n" + STATUS_BASE + f""",
+sp AS (SELECT event_id, ts, lng, lat FROM sd WHERE {_IN_BOX}),
+""" + pip_sql("sp", "event_id", "lng", "lat"), """
+SELECT time_bucket(INTERVAL 3 HOUR, date_trunc('second', ts)) AS bin, pip.key AS FID_nhood, count(DISTINCT event_id) AS n
+FROM sp LEFT JOIN pip ON pip.pid = event_id GROUP BY 1, 2""")
+
 # ---- file round trips ----------------------------------------------------------------
 Q["csv_scan_keep_first"] = with_(CALLS_STAGED, """
 SELECT incident_id, call_timestamp, CAST(priority AS BIGINT) AS priority FROM calls_first""")
@@ -653,6 +673,9 @@ SELECT key, CAST(nhood_num AS BIGINT) AS nhood_num, nhood_name, CAST(6 AS BIGINT
 
 Q["clean_table_roundtrip"] = Q["clean_calls"]
 
+Q["sink_order"] = with_(CALLS_CLEAN, """
+SELECT row_number() OVER (ORDER BY call_timestamp NULLS LAST, incident_id) - 1 AS position, incident_id, call_timestamp FROM calls""")
+
 Q["geojson_sink_roundtrip"] = with_(NH, """
 SELECT CAST(nhood_num AS BIGINT) AS FID, nhood_name, 'Polygon' AS geometry_type FROM nh""")
 
@@ -919,3 +942,28 @@ for _n in _HOLD_NAMES:
     _HOLD = _re.sub(rf"\b{_n}\b", f"h_{_n}", _HOLD)
 Q["ar_holdout"] = with_(AR_GRID + ",\nbest_pd AS (" + _BEST + "),\n" + _HOLD, """
 SELECT series, CAST(p AS BIGINT) AS p, CAST(d AS BIGINT) AS d, round(loss, 6) AS loss FROM h_ar_loss""")
+
+# ---- the grid at p = 0, 1 and d = 0, 1, 2 -----------------------------------------------------
+Q["ar_grid_wide"] = with_(SERIES + ",\nlab AS " + _split_sql("bin", "series") + """,
+yt AS (SELECT s.series, s.bin, s.value AS x, s.value - lag(s.value, 8) OVER (PARTITION BY s.series ORDER BY s.bin) AS y
+       FROM series s JOIN lab USING (bin) WHERE split = 'train'),
+zt AS (SELECT series, bin, d, x, y, y - lag(y, 1) OVER w AS dy,
+              CASE d WHEN 0 THEN y WHEN 1 THEN y - lag(y, 1) OVER w ELSE y - 2 * lag(y, 1) OVER w + lag(y, 2) OVER w END AS z
+       FROM yt CROSS JOIN (VALUES (0), (1), (2)) v(d) WINDOW w AS (PARTITION BY series, d ORDER BY bin)),
+zc AS (SELECT *, z - avg(z) OVER (PARTITION BY series, d) AS zc, avg(z) OVER (PARTITION BY series, d) AS mu FROM zt),
+zl AS (SELECT *, lag(zc, 1) OVER (PARTITION BY series, d ORDER BY bin) AS l1 FROM zc),
+sk AS (SELECT series, d, first(mu) AS mu, sum(zc * l1) / NULLIF(sum(zc * zc), 0) AS a1 FROM zl GROUP BY series, d),
+tl AS (SELECT *, row_number() OVER (PARTITION BY series, d ORDER BY bin DESC) AS back FROM zt),
+init AS (SELECT series, d, z AS z1, y AS yl, dy AS dl FROM tl WHERE back = 1),
+rec AS (
+  WITH RECURSIVE r(series, d, p, step, mu, a1, z1, yl, dl) AS (
+    SELECT series, d, p, 0, mu, a1, z1, yl, dl FROM sk JOIN init USING (series, d) CROSS JOIN (VALUES (0), (1)) v(p)
+    UNION ALL
+    SELECT series, d, p, step + 1, mu, a1, zp, CASE d WHEN 0 THEN zp WHEN 1 THEN yl + zp ELSE yl + (dl + zp) END, dl + zp
+    FROM (SELECT *, mu + CASE p WHEN 1 THEN a1 * (z1 - mu) ELSE 0 END AS zp FROM r WHERE step < 8) q)
+  SELECT series, d, p, step, yl AS yp FROM r WHERE step >= 1),
+pred AS (SELECT rec.*, yp + tl.x AS pred FROM rec JOIN tl ON tl.series = rec.series AND tl.d = rec.d AND tl.back = 9 - rec.step),
+act AS (SELECT s.series, row_number() OVER (PARTITION BY s.series ORDER BY s.bin) AS step, s.value AS actual
+        FROM series s JOIN lab USING (bin) WHERE split = 'validation')""", """
+SELECT pred.series, CAST(p AS BIGINT) AS p, CAST(d AS BIGINT) AS d, round(avg(pow(actual - pred, 2)), 6) AS loss, CAST(p * 3 + d AS BIGINT) AS cand_idx
+FROM pred JOIN act ON act.series = pred.series AND act.step = pred.step GROUP BY pred.series, p, d""")

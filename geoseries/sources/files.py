@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import parse_timestamp
 from ..operators.geo import polygons_from_table
@@ -115,3 +116,13 @@ def read_landed_posts(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != "batch_id"],
                      F.coalesce(batch, F.lit(-1)).cast("long").alias("file_seq"),
                      F.col("_metadata.file_name").alias("block_start"), F.col("_metadata.row_index").alias("row_seq"))
+
+
+def written_order(spark: SparkSession, path: str) -> DataFrame:
+    """A written Parquet table with ``position``, each row's place in the order in
+    which the part files hold the rows (O1).  Rows before a file are summed over
+    the files, one row each; a row's place in its file is the format's own."""
+    df = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = df.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = files.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return df.join(before, "_file").withColumn("position", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")

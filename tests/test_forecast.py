@@ -212,3 +212,41 @@ def test_holdout_is_one_plan(spark):
         assert got[s][:2] == (p, d) and abs(got[s][2] - want) < 1e-9
     with pytest.raises(Exception, match="beyond p_max or d_max"):
         forecast.ar_holdout(split, best, p_range=(0, 2), d_range=(0, 2)).collect()
+
+
+def _forest(spark, depth=4, trees=5):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import RandomForestRegressor
+    rnd = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in v], float(v[0] * 3 + v[1] * v[2] + rnd.normal() / 9)) for i, v in enumerate(rnd.random((300, 3)))]
+    df = spark.createDataFrame(rows, "i int, lags array<double>, y double")
+    ready = df.withColumn("features", array_to_vector("lags"))
+    return df, ready, RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=1, labelCol="y").fit(ready)
+
+
+def test_forest_table_predicts_as_the_model(spark):
+    """The node table, walked by a fold and walked in SQL, gives the model's predictions."""
+    import duckdb
+    df, ready, model = _forest(spark)
+    nodes = forecast.forest_nodes(model)
+    want = {r.i: r.prediction for r in model.transform(ready).select("i", "prediction").collect()}
+    packed = forecast.packed_forests(nodes.withColumn("k", F.lit(0)), ["k"])
+    rows = df.withColumn("k", F.lit(0)).join(packed, "k")
+    got = {r.i: r.p for r in rows.select("i", forecast.forest_predict(F.col("forest"), F.col("lags"), 4).alias("p")).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    table, points = nodes.toPandas(), df.toPandas()
+    walked = duckdb.sql("""WITH RECURSIVE w AS (SELECT i, lags, tree, id, "left", "right", feature, threshold, prediction FROM points, "table" WHERE id = 0
+        UNION ALL SELECT w.i, w.lags, n.tree, n.id, n."left", n."right", n.feature, n.threshold, n.prediction FROM w JOIN "table" n
+        ON n.tree = w.tree AND n.id = CASE WHEN w.lags[w.feature + 1] <= w.threshold THEN w."left" ELSE w."right" END WHERE w."left" >= 0)
+        SELECT i, avg(prediction) FROM w WHERE "left" < 0 GROUP BY i""").fetchall()
+    assert len(walked) == 300 and all(abs(p - want[i]) < 1e-12 for i, p in walked)
+
+
+def test_forest_recursion_equals_the_model_step_by_step(spark):
+    df, _, model = _forest(spark, depth=3, trees=4)
+    rows = df.select("i", "lags").limit(20)
+    want = {(r.i, r.step): r.pred for r in forecast.model_recursive(model, rows, 5, ["i"]).collect()}
+    packed = forecast.packed_forests(forecast.forest_nodes(model).withColumn("k", F.lit(0)), ["k"])
+    out = forecast.forest_recursive(rows.withColumn("k", F.lit(0)).join(packed, "k"), 5, 3)
+    got = {(r.i, r.step): r.pred for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
