@@ -223,10 +223,13 @@ def link(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     buckets = cut_lineage(_buckets(nodes), "buckets")
     pairs = cut_lineage(_star_pairs(buckets.filter(F.col("band") < FIRST_BANDS), percent), "pairs")
     edges = cut_lineage(verified(docs, pairs, k, percent), "edges")
+    drop_staged(pairs)
     labels = components(edges)
     rest = cut_lineage(_stray_pairs(buckets, nodes, labels, percent), "pairs")
-    drop_staged(buckets)
-    return _merged(labels, cut_lineage(verified(docs, rest, k, percent), "edges"))
+    drop_staged(buckets, edges)
+    more = cut_lineage(verified(docs, rest, k, percent), "edges")
+    drop_staged(rest)
+    return _merged(labels, more)
 
 
 def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -44,7 +44,8 @@ from geoseries.session import cut_lineage, drop_staged
 
 WINDOW = 50
 ROUNDS = 12
-BROADCAST_IDS = 2_000_000   # ids broadcast at most (two row names each); more go through a shuffle
+BROADCAST_BYTES = 64 << 20  # of row names broadcast at most; more go through a shuffle
+NAME_BYTES = 120            # of a row's four numbers in a broadcast table (measured)
 NO_ID = (1 << 63) - 1
 
 
@@ -200,7 +201,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
 
 def _chosen(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, id, text) of the rows that stand for the given keys; equal rows come as often as they are there."""
-    small = keys.count() <= BROADCAST_IDS
+    small = keys.count() * NAME_BYTES <= BROADCAST_BYTES
     own = keys.select("key", "id", "row_a", "row_b")
     return rows.join(F.broadcast(own) if small else own, ["id", "row_a", "row_b"]).select("key", "id", "text")
 
