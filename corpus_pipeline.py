@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoseries.llm import decontamination, langid, minhash, secrets, sentencepieces
-from geoseries.session import cut_lineage
+from geoseries.session import cut_lineage, drop_staged
 
 ORACLE_SQL = None
 
@@ -58,5 +58,6 @@ STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamin
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir), name)
+        before, docs = docs, cut_lineage(stage(spark, docs, sf_dir), name)
+        drop_staged(before)
     return STAGES[-1][1](spark, docs, sf_dir)
