@@ -238,30 +238,29 @@ def working_series(sources: dict, pairs: DataFrame, freq="180Min",
     """
     fs = freq_seconds(freq)
     # the pair table is small and read by every branch below: write it once
-    p = _sized(cut_lineage(pairs.select("centre", F.col("neighbour").alias(nhood_col)), "pairs"))
+    p = cut_lineage(pairs.select("centre", F.col("neighbour").alias(nhood_col)), "pairs")
     labels = list(sources)
     groups: dict = {}
     for label, (df, ts_col, id_col) in sources.items():
         groups.setdefault((id(df), ts_col), (df, ts_col, []))[2].append((label, id_col))
-    zero = {x: F.lit(0).cast("bigint") for l in labels for x in (l, l + "_adj")}
+    values = [c for x in labels for c in (x, x + "_adj")]
     parts = []
     for df, ts_col, members in groups.values():
         rows = add_bin(df.where(F.col(nhood_col).isNotNull() & F.col(ts_col).isNotNull()),
                        ts_col, nhood_col, freq, keep=[id_col for _, id_col in members])
         counts = cut_lineage(rows.groupBy(nhood_col, "bin").agg(
             *[F.count_distinct(id_col).alias(f"_n_{label}") for label, id_col in members]), "counts")
-        spans = _spans(counts, nhood_col, fs)
-        own_cols, adj_cols = dict(zero), dict(zero)
+        # counts and the empty bins of each run go through one join to all centres they concern: their own and their neighbours'
+        empty = _spans(counts, nhood_col, fs).select(nhood_col, "bin", *[F.lit(0).cast("bigint").alias(f"_n_{label}") for label, _ in members])
+        own = counts.select(F.col(nhood_col).alias("centre"), nhood_col, F.lit(True).alias("_own")).distinct()
+        every = _sized(cut_lineage(p.select("centre", nhood_col, F.lit(False).alias("_own")).unionByName(own), "centres"))
+        joined = counts.unionByName(empty).join(every, nhood_col)
+        mine = {}
         for label, _ in members:
-            own_cols[label] = F.col(f"_n_{label}").cast("bigint")
-            adj_cols[label + "_adj"] = F.col(f"_n_{label}").cast("bigint")
-        own = counts.select(F.col(nhood_col).alias("centre"), "bin", *[c.alias(k) for k, c in own_cols.items()])
-        adj = counts.join(p, nhood_col).select("centre", "bin", *[c.alias(k) for k, c in adj_cols.items()])
-        span_own = spans.select(F.col(nhood_col).alias("centre"), "bin", *[c.alias(k) for k, c in zero.items()])
-        span_adj = spans.join(p, nhood_col).select("centre", "bin", *[c.alias(k) for k, c in zero.items()])
-        parts += [own, adj, span_own, span_adj]
+            n = F.col(f"_n_{label}").cast("bigint")
+            mine |= {label: F.when(F.col("_own"), n).otherwise(0), label + "_adj": F.when(F.col("_own"), 0).otherwise(n)}
+        parts.append(joined.select("centre", "bin", *[mine.get(v, F.lit(0)).cast("bigint").alias(v) for v in values]))
     u = parts[0]
     for x in parts[1:]:
         u = u.unionByName(x)
-    aggs = [F.sum(c).alias(c) for l in labels for c in (l, l + "_adj")]
-    return u.groupBy("centre", "bin").agg(*aggs)
+    return u.groupBy("centre", "bin").agg(*[F.sum(v).alias(v) for v in values])

@@ -52,8 +52,8 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 # ---- shared pipeline pieces -------------------------------------------------------
-def clean_calls_df(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.clean_calls(S.calls_raw(spark, sf), S.polygons(spark, sf), RELABEL_NAMES)
+def clean_calls_df(spark: SparkSession, sf: str, polys: DataFrame | None = None) -> DataFrame:
+    return clean.clean_calls(S.calls_raw(spark, sf), polys if polys is not None else S.polygons(spark, sf), RELABEL_NAMES)
 
 
 # ---- flagship ------------------------------------------------------------------------
@@ -77,8 +77,8 @@ def first_calls_df(spark, sf):
     return clean.keep_first(staged_calls_df(spark, sf), ["incident_id"], clean.ORDER_COLS)
 
 
-def clean_posts_df(spark, sf):
-    return clean.clean_posts(S.posts_raw(spark, sf), S.polygons(spark, sf))
+def clean_posts_df(spark, sf, polys=None):
+    return clean.clean_posts(S.posts_raw(spark, sf), polys if polys is not None else S.polygons(spark, sf))
 
 
 def eda_calls_df(spark, sf):
@@ -337,17 +337,19 @@ def q_outside_audit(spark, sf):
 @register("neighbour_total")
 def q_neighbour_total(spark, sf):
     """Per bin and centre: sum of adjacent neighbourhoods' call counts."""
-    long = bins.time_groupby(clean_calls_df(spark, sf), "incident_id", "count", "all", FREQ)
-    pairs = geo.adjacency(S.polygons(spark, sf))
+    polys = S.polygons(spark, sf)
+    long = bins.time_groupby(clean_calls_df(spark, sf, polys), "incident_id", "count", "all", FREQ)
+    pairs = geo.adjacency(polys)
     return tidy(bins.neighbour_total(long, pairs))
 
 
 @register("working_series")
 def q_working_series(spark, sf):
     """Own + adjacent distinct calls, posts and users per centre and bin."""
-    calls = clean_calls_df(spark, sf)
-    posts = clean_posts_df(spark, sf)
-    pairs = geo.adjacency(S.polygons(spark, sf))
+    polys = S.polygons(spark, sf)
+    calls = clean_calls_df(spark, sf, polys)
+    posts = clean_posts_df(spark, sf, polys)
+    pairs = geo.adjacency(polys)
     srcs = {"calls": (calls, "call_timestamp", "incident_id"),
             "tweets": (posts, "created_at", "id_str"),
             "users": (posts, "created_at", "user")}
@@ -521,10 +523,11 @@ MAP_DATE = "2024-01-15"
 @register("day_map_frame")
 def q_day_map_frame(spark, sf):
     """Wide attention-level table -> one day's long frame with colour range, label, polygon (M7)."""
-    al = tidy(bins.attention_level(clean_calls_df(spark, sf), "all", FREQ))
+    polys = S.polygons(spark, sf)
+    al = tidy(bins.attention_level(clean_calls_df(spark, sf, polys), "all", FREQ))
     wide = bins.to_wide(al, "FID_nhood", "att_level")
     wide = wide.withColumn("Day", F.dayofmonth("bin")).withColumn("Hour", F.hour("bin")).drop("bin")
-    out = mapframe.day_map_frame(wide, mapframe.day_of(MAP_DATE), S.polygons(spark, sf))
+    out = mapframe.day_map_frame(wide, mapframe.day_of(MAP_DATE), polys)
     return tidy(out.drop("nhood"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from geoseries.operators import clean, geo
+from geoseries.operators import bins, clean, geo, series
 from geoseries.plans import standins as S
 from geoseries.plans.catalogue import QUERIES
 
@@ -44,3 +44,19 @@ def test_time_filter_pushed_to_scan(spark):
 def test_call_standin_prunes_columns(spark):
     plan = _plan(S.calls_raw(spark, SF_SMALL).select("incident_id"))
     assert "props" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_decomposition_shuffles_once(spark):
+    """Phase means use the series' own partitions: one exchange, the rest are sorts within them."""
+    x = spark.range(1000).selectExpr("cast(id % 3 as string) series", "id bin", "cast(id as double) value")
+    assert _plan(series.decompose(x, 8)).count("Exchange") == 1
+
+
+def test_working_series_reads_each_count_table_twice(spark):
+    """Counts and empty bins of a source meet all centres in one join."""
+    rows = spark.range(300).selectExpr("concat('n', id % 4) as FID_nhood", "timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(id % 50 as int)) as t", "id as k")
+    pairs = spark.createDataFrame([("n0", "n1"), ("n1", "n0"), ("n2", "n3"), ("n3", "n2")], "centre string, neighbour string")
+    out = bins.working_series({"x": (rows, "t", "k")}, pairs, "3H")
+    assert _plan(out).count("BroadcastHashJoin") == 1
+    total = out.agg(F.sum("x"), F.sum("x_adj")).first()
+    assert tuple(total) == (300, 300)
