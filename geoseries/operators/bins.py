@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .clean import in_list
-from ..session import DEFAULT_BROADCAST_LIMIT, broadcast_if_small, cut_lineage
+from ..session import DEFAULT_BROADCAST_LIMIT, broadcast_if_small, cut_lineage, drop_staged
 
 DAY_SECONDS = 86400
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -63,27 +64,34 @@ def origin_bin(ts: Column, d0: Column, freq_s: int) -> Column:
     return F.timestamp_add("SECOND", k * F.lit(freq_s), d0)
 
 
-def add_bin(df: DataFrame, ts_col: str, nhood_col: str, freq, bin_col: str = "bin",
-            keep: Sequence[str] | None = None) -> DataFrame:
-    """Attach the bin start column.
+def binned(df: DataFrame, ts_col: str, nhood_col: str, freq, counts: dict[str, str], means: dict[str, str] | None = None) -> DataFrame:
+    """``(nhood, bin, counts..., means...)`` of the bins that have rows: exact
+    distinct counts (A1) and means (A2) of columns, written once.
 
-    Aligned frequencies (dividing one day) need no extra pass.  Otherwise the
-    origin differs per neighbourhood: the needed columns (``keep``; all when
-    None) are written once, the small (nhood, d0) table is derived from that
-    copy, size-checked and broadcast - so upstream work is not repeated.
+    A width that divides a day gives the bin from the time alone.  For any other
+    width the rows are first gathered in cells as wide as the greatest common
+    divisor of width and day - both the neighbourhood's origin (midnight of its
+    first row) and every bin start fall on a cell's start, so origins and bins
+    follow from the cells: one pass over the rows, of which only the distinct
+    (neighbourhood, cell, counted values) are written.
     """
-    fs = freq_seconds(freq)
+    fs, means = freq_seconds(freq), means or {}
+    ts = F.col(ts_col)
+    rows = df.where(F.col(nhood_col).isNotNull() & ts.isNotNull())
     if DAY_SECONDS % fs == 0:
-        return df.withColumn(bin_col, aligned_bin(F.col(ts_col), fs))
-    cols = list(dict.fromkeys([nhood_col, ts_col, *(keep or df.columns)]))
-    base = cut_lineage(df.select(*cols), "binning-input")
-    d0 = cut_lineage(base.where(F.col(ts_col).isNotNull()).groupBy(nhood_col)
-                         .agg(F.date_trunc("DAY", F.min(ts_col)).alias("_d0")), "origins")
-    n = d0.count()
-    small = F.broadcast(d0) if n * 64 <= DEFAULT_BROADCAST_LIMIT else d0
-    return (base.join(small, nhood_col, "left")
-                .withColumn(bin_col, origin_bin(F.col(ts_col), F.to_timestamp_ntz(F.col("_d0")), fs))
-                .drop("_d0"))
+        aggs = [*[F.count_distinct(c).alias(o) for o, c in counts.items()], *[F.avg(c).alias(o) for o, c in means.items()]]
+        return cut_lineage(rows.withColumn("bin", aligned_bin(ts, fs)).groupBy(nhood_col, "bin").agg(*aggs), "binned")
+    of = {c: f"_v{i}" for i, c in enumerate(dict.fromkeys(counts.values()))}
+    sums = [x for o, c in means.items() for x in (F.sum(c).alias(f"_s_{o}"), F.count(c).alias(f"_n_{o}"))] or [F.count(F.lit(1)).alias("_rows")]
+    cells = cut_lineage(rows.groupBy(nhood_col, aligned_bin(ts, gcd(fs, DAY_SECONDS)).alias("_cell"), *[F.col(c).alias(v) for c, v in of.items()]).agg(*sums), "cells")
+    origins = cut_lineage(cells.groupBy(nhood_col).agg(F.date_trunc("DAY", F.min("_cell")).alias("_d0")), "origins")
+    origins = F.broadcast(origins) if origins.count() * 64 <= DEFAULT_BROADCAST_LIMIT else origins
+    placed = cells.join(origins, nhood_col).withColumn("bin", origin_bin(F.col("_cell"), F.to_timestamp_ntz(F.col("_d0")), fs))
+    aggs = [*[F.count_distinct(of[c]).alias(o) for o, c in counts.items()],
+            *[F.try_divide(F.sum(f"_s_{o}"), F.sum(f"_n_{o}")).cast("double").alias(o) for o in means]]
+    out = cut_lineage(placed.groupBy(nhood_col, "bin").agg(*aggs), "binned")
+    drop_staged(cells)
+    return out
 
 
 def _requested(df: DataFrame, nhood_col: str, nhoods) -> tuple[DataFrame, DataFrame]:
@@ -137,11 +145,9 @@ def time_groupby(df: DataFrame, col: str, agg: str = "count", nhoods="all",
     if agg not in ("count", "avg"):
         raise ValueError(f"agg is 'count' or 'avg', not {agg!r}")
     rows, key_df = _requested(df, nhood_col, nhoods)
-    rows = add_bin(rows.where(F.col(ts_col).isNotNull()), ts_col, nhood_col, freq, keep=[col])
-    measure = F.count_distinct(col) if agg == "count" else F.avg(col)
-    # The (nhood, bin) aggregate feeds the grid and the final join: write it
-    # once (reliable checkpoint) so the raw input is scanned once.
-    present = cut_lineage(rows.groupBy(nhood_col, "bin").agg(measure.alias(value_name)), "binned")
+    # the (nhood, bin) aggregate feeds the grid and the final join; it is written once
+    one = {value_name: col}
+    present = binned(rows, ts_col, nhood_col, freq, one if agg == "count" else {}, one if agg == "avg" else {})
     grid = gap_grid(present, nhood_col, freq, key_df)
     out = grid.join(present, [nhood_col, "bin"], "left")
     fill = F.lit(0) if agg == "count" else F.lit(0.0)
@@ -152,9 +158,7 @@ def count_and_avg(df: DataFrame, count_col: str, avg_col: str, nhoods="all", fre
                   ts_col: str = "call_timestamp", nhood_col: str = "FID_nhood") -> DataFrame:
     """Both measures in one aggregate (J6: same groups, no join between them)."""
     rows, key_df = _requested(df, nhood_col, nhoods)
-    rows = add_bin(rows.where(F.col(ts_col).isNotNull()), ts_col, nhood_col, freq, keep=[count_col, avg_col])
-    present = cut_lineage(rows.groupBy(nhood_col, "bin").agg(
-        F.count_distinct(count_col).alias("n"), F.avg(avg_col).alias("avg_value")), "binned")
+    present = binned(rows, ts_col, nhood_col, freq, {"n": count_col}, {"avg_value": avg_col})
     grid = gap_grid(present, nhood_col, freq, key_df)
     return (grid.join(present, [nhood_col, "bin"], "left")
                 .select("bin", nhood_col,
@@ -246,10 +250,7 @@ def working_series(sources: dict, pairs: DataFrame, freq="180Min",
     values = [c for x in labels for c in (x, x + "_adj")]
     parts = []
     for df, ts_col, members in groups.values():
-        rows = add_bin(df.where(F.col(nhood_col).isNotNull() & F.col(ts_col).isNotNull()),
-                       ts_col, nhood_col, freq, keep=[id_col for _, id_col in members])
-        counts = cut_lineage(rows.groupBy(nhood_col, "bin").agg(
-            *[F.count_distinct(id_col).alias(f"_n_{label}") for label, id_col in members]), "counts")
+        counts = binned(df, ts_col, nhood_col, freq, {f"_n_{label}": id_col for label, id_col in members})
         # counts and the empty bins of each run go through one join to all centres they concern: their own and their neighbours'
         empty = _spans(counts, nhood_col, fs).select(nhood_col, "bin", *[F.lit(0).cast("bigint").alias(f"_n_{label}") for label, _ in members])
         own = counts.select(F.col(nhood_col).alias("centre"), nhood_col, F.lit(True).alias("_own")).distinct()

@@ -84,7 +84,7 @@ ID_OPERATORS = {
     "j04": "operators.geo.adjacency", "j05": "operators.bins.working_series", "j06": "operators.bins.count_and_avg",
     "j07": "operators.mapframe.day_map_frame", "j08": "operators.geo.name_reconcile", "j09": "operators.geo.radius_match",
     "a01": "operators.bins.time_groupby(agg='count')", "a02": "operators.bins.time_groupby(agg='avg')",
-    "a03": "operators.bins.gap_grid, add_bin", "a05": "operators.profile.first_non_null",
+    "a03": "operators.bins.gap_grid, binned", "a05": "operators.profile.first_non_null",
     "a06": "operators.profile.value_counts", "a07": "operators.profile.value_shares",
     "a08": "operators.profile.distinct_count", "a09": "operators.profile.null_share",
     "a10": "operators.profile.column_profile", "a11": "operators.clean.calls_stage_audit / posts_stage_audit",

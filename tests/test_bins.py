@@ -71,3 +71,29 @@ def test_sum_of_counts_equals_distinct_ids(spark):
     df = _g1(spark)
     long = bins.time_groupby(df, "id", "count", "all", "3H", ts_col="ts", nhood_col="nhood")
     assert long.agg(F.sum("value")).first()[0] == df.select("id").distinct().count()
+
+
+def test_bins_from_cells_of_a_common_divisor(spark):
+    """Widths that do not divide a day: origins, counts and means as row by row, from one pass
+    that writes distinct cells only."""
+    import datetime as dt
+    import random
+    rnd = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rnd.choice("abc"), start + dt.timedelta(minutes=rnd.randrange(9000) + 700 * "abc".index(n)), rnd.randrange(40), rnd.choice([1, 2, 5, None]))
+            for n in "abc" for _ in range(300)]
+    df = spark.createDataFrame(rows, "FID_nhood string, t timestamp_ntz, id long, pri int").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    for freq, seconds in (("5H", 18000), ("7H", 25200), ("90Min", 5400), ("10H", 36000), ("3H", 10800)):
+        got = {(r.FID_nhood, r.bin): (r.n, r.m) for r in bins.binned(df, "t", "FID_nhood", freq, {"n": "id"}, {"m": "pri"}).collect()}
+        origin = {}
+        for k, t, *_ in rows:
+            origin[k] = min(origin.get(k, t), t)
+        want = {}
+        for k, t, i, p in rows:
+            d0 = origin[k].replace(hour=0, minute=0, second=0, microsecond=0)
+            at = d0 + dt.timedelta(seconds=int((t - d0).total_seconds() // seconds) * seconds)
+            ids, pris = want.setdefault((k, at), (set(), []))
+            ids.add(i)
+            pris += [p] if p is not None else []
+        assert {k: len(v[0]) for k, v in want.items()} == {k: v[0] for k, v in got.items()}
+        assert all((sum(v[1]) / len(v[1]) if v[1] else None) == got[k][1] or abs(sum(v[1]) / len(v[1]) - got[k][1]) < 1e-12 for k, v in want.items())
