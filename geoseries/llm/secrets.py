@@ -83,15 +83,17 @@ def ownership(found: DataFrame) -> DataFrame:
     return per_owner.groupBy("value").agg(F.count("owner").alias("owners"), F.sum("n").alias("repos"))
 
 
-def _flagged(docs: DataFrame, owner: str, repo: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+def _flagged(docs: DataFrame, owner: str, repo: str, keep: list[str], texts: bool) -> tuple[DataFrame, DataFrame]:
     """(rows with a candidate, rows without), both with the columns ``keep`` as
-    ``row``: every text is searched once and the outcome written with it."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    ``row`` and with ``text``, that of clean rows only if ``texts``: every text is
+    searched once and the outcome written with it."""
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
-    marked = docs.select(row, text.alias("text"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), has_candidate(text).alias("some"))
-    # the text of a clean row is in ``row`` if it is kept at all
-    staged = cut_lineage(marked.select("row", F.when(F.col("some"), F.col("text")).alias("text"), "owner", "repo", F.monotonically_increasing_id().alias("row_key")), "flagged")
-    return staged.filter("text is not null"), staged.filter("text is null")
+    marked = docs.select(row, F.col("text").cast("string").alias("text"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"),
+                         has_candidate(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("some"))
+    if not texts:
+        marked = marked.withColumn("text", F.when(F.col("some"), F.col("text")))
+    staged = cut_lineage(marked.withColumn("row_key", F.monotonically_increasing_id()), "flagged")
+    return staged.filter("some").drop("some"), staged.filter("not some").drop("some")
 
 
 def findings(flagged: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -114,7 +116,7 @@ def _text_of(spans: Column) -> Column:
 
 def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
-    flagged, clean = _flagged(docs, owner, repo, ["doc_id"])
+    flagged, clean = _flagged(docs, owner, repo, ["doc_id"], texts=False)
     found = flagged.select("row_key", F.col("row.doc_id").alias("doc_id")).join(find_secrets(flagged, max_owners), "row_key", "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,owners:bigint,repos:bigint,live:boolean>>")
     rows = found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("spans", none).alias("s")).unionByName(
@@ -139,7 +141,8 @@ def mask(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owner
     ``[SECRET]``; clean rows as they are.  Texts are rebuilt in blocks, each with
     the cuts that reach into it, so the work grows with a text's length and its
     findings, not with their product."""
-    flagged, clean = _flagged(docs, owner, repo, docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    flagged, clean = _flagged(docs, owner, repo, others, texts=True)
     first, last = F.col("start"), F.col("end") - 1
     reaching = (_cuts(findings(flagged, max_owners)).select("row_key", "start", "end", F.explode(F.sequence(F.floor(first / BLOCK), F.floor(last / BLOCK))).alias("block_no"))
                 .groupBy("row_key", "block_no").agg(F.array_sort(F.collect_list(F.struct(
@@ -154,4 +157,4 @@ def mask(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_owner
                .select("row_key", F.array_join(F.transform("b", lambda x: x["block"]), "").alias("masked")))
     rows = flagged.drop("text").join(rebuilt, "row_key")
     columns = lambda text: [F.col(f"row.`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
-    return rows.select(*columns(F.col("masked"))).unionByName(clean.select(*columns(F.col("row.text"))))
+    return rows.select(*columns(F.col("masked"))).unionByName(clean.select(*columns(F.col("text"))))
