@@ -449,8 +449,8 @@ def q_recursive_mean_model(spark, sf):
 
 @register("forest_recursive")
 def q_forest_recursive(spark, sf):
-    """8-step recursive forecast of a forest given as a table of nodes (three trees
-    that split at the mean of all values), from every supervised row (M1, M3's scoring half)."""
+    """8-step recursive forecast of a forest a series, given as a table of nodes (three trees
+    that split at the mean of its values), from every supervised row (M1, M3's scoring half)."""
     long = series_long(spark, sf)
     mean, low, high = F.round(F.avg("value"), 3), F.min("value"), F.max("value")
     inner = lambda i, left, feature, threshold: (i, left, left + 1, feature, threshold, F.lit(0.0))
@@ -459,9 +459,8 @@ def q_forest_recursive(spark, sf):
     rows = F.array(*[F.struct(F.lit(t).alias("tree"), *[(F.lit(x) if isinstance(x, int) else x).alias(n) for n, x in
                                                         zip(("id", "left", "right", "feature", "threshold", "prediction"), node, strict=True)])
                      for t, nodes in trees for node in nodes])
-    nodes = long.agg(mean.alias("a"), low.alias("lo"), high.alias("hi")).select(F.inline(rows)).withColumn("k", F.lit(0))
-    forest = F.broadcast(forecast.packed_forests(nodes, ["k"]))   # fifteen nodes
-    out = forecast.forest_recursive(lag_rows_df(spark, sf).withColumn("k", F.lit(0)).join(forest, "k"), FH, 2)
+    nodes = long.groupBy("series").agg(mean.alias("a"), low.alias("lo"), high.alias("hi")).select("series", F.inline(rows))
+    out = forecast.forest_recursive(lag_rows_df(spark, sf).join(forecast.packed_forests(nodes, ["series"]), "series"), FH, 2)
     return tidy(out.select("series", "row_idx", "step", "pred"))
 
 

@@ -60,14 +60,14 @@ ID_QUERIES = {
 ID_OPERATORS = {
     "s01": "sources.files.read_calls_csv, year_globs, land_calls", "s02": "sources.pages.read_pages, geojson_features",
     "s03": "sources.pages.geojson_features, operators.clean.flatten / strip_prefix",
-    "s04": "sources.pages.feature_rows", "s05": "sources.pages.feature_rows (append), page_keys",
-    "s06": "sources.pages.page_audit", "s07": "operators.geo.polygons_from_table, sources.files.read_neighbourhoods_csv",
+    "s04": "sources.pages.feature_rows, parsed_pages, good_pages", "s05": "sources.pages.feature_rows (append), page_keys",
+    "s06": "sources.pages.page_audit, page_errors", "s07": "operators.geo.polygons_from_table, geometry_reason, geometry_audit, sources.files.read_neighbourhoods_csv",
     "s08": "sources.files.read_clean_table, read_landed_calls", "s09": "sources.sinks.write_table",
     "s10": "sources.sinks.append_entities", "s11": "sources.sinks.write_json_docs",
     "s12": "sources.files.read_wide_forecast", "s13": "streaming.statuses.status_stream",
     "p01": "operators.clean.keep_columns", "p02": "operators.clean.drop_columns",
     "p03": "operators.clean.strip_prefix", "p04": "operators.clean.flatten", "p05": "operators.clean.trim_strings",
-    "p06": "functions.text.parse_number", "p07": "functions.text.parse_timestamp, operators.clean.stage_calls",
+    "p06": "functions.text.parse_number", "p07": "functions.casts.checked_timestamp / checked_number, operators.clean.stage_calls / call_reject_audit / rejected_calls",
     "p08": "functions.text.epoch_ms_to_local", "p09": "functions.text.lnglat_from_text",
     "p10": "functions.text.key_compose / key_fid / key_name", "p11": "operators.series.series_index",
     "p12": "operators.bins.attention_level", "p13": "operators.bins.time_groupby (0-fill)",
@@ -92,18 +92,18 @@ ID_OPERATORS = {
     "a15": "operators.bins.to_long", "a16": "operators.bins.city_total", "a17": "operators.bins.neighbour_total",
     "a18": "operators.bins.working_series", "a19": "operators.mapframe.day_map_frame (zmin, zmax)",
     "a20": "functions.metrics.mae / mse / mape / smape / zero_denominators / loss_func",
-    "w01": "operators.clean.keep_first", "w02": "operators.clean.clean_posts", "w03": "operators.series.acf",
+    "w01": "operators.clean.keep_first", "w02": "operators.clean.clean_posts, sources.files.read_landed_posts", "w03": "operators.series.acf",
     "w04": "operators.series.pacf, durbin_levinson", "w05": "operators.series.best_lag",
     "w06": "operators.series.decompose", "w07": "operators.series.lag_rows / joint_lag_rows",
     "w08": "operators.series.ts_split", "w09": "operators.series.tabular_split",
     "w10": "operators.profile.top_per_group", "w11": "operators.profile.last_n / last_fraction",
-    "o01": "sources.sinks.write_table(sort_by)", "o02": "stand-in page order",
+    "o01": "sources.sinks.write_table(sort_by), sources.files.written_order", "o02": "sources.pages.rows_by_id, page_order_audit",
     "o03": "operators.profile.top_values", "o04": "operators.profile.newest", "u01": "sources.files.read_calls_csv (union by name)",
-    "m01": "operators.forecast.linear_recursive / linear_recursive_joint / model_recursive",
-    "m02": "operators.forecast.backtest", "m03": "operators.forecast.rf_grid, candidate_grid",
-    "m04": "operators.forecast.ar_grid, ar_forecast", "m05": "operators.forecast.ar_holdout",
+    "m01": "operators.forecast.linear_recursive / linear_recursive_joint / linear_recursive_table / model_recursive / forest_recursive",
+    "m02": "operators.forecast.backtest", "m03": "operators.forecast.rf_grid, candidate_grid, forest_nodes, forest_predict",
+    "m04": "operators.forecast.ar_grid, ar_forecast", "m05": "operators.forecast.ar_holdout, ar_refit",
     "m06": "operators.forecast.best_of_grid", "m07": "operators.mapframe.day_map_frame",
     "st1": "streaming.statuses.run_entity_sink", "st2": "streaming.statuses.in_box",
-    "st3": "streaming.statuses.run_running_count", "st4": "streaming.statuses trigger='availableNow' / interval",
-    "st5": "streaming.statuses.run_window_counts, latest_window_counts",
+    "st3": "streaming.statuses.run_running_count, read_running_count", "st4": "streaming.statuses trigger='availableNow' / interval",
+    "st5": "streaming.statuses.run_window_counts, label_statuses, latest_window_counts",
 }

@@ -532,8 +532,8 @@ Q["recursive_mean_model"] = with_(LAGROWS + ",\n" + _recursive_sql("lr", "row_id
 _TREE = "CASE WHEN l{0} <= fa THEN lo WHEN l{1} <= fa * 1.2 THEN fa ELSE hi END"
 _FOREST = f"((((0.0 + {_TREE.format(1, 2)}) + {_TREE.format(2, 3)}) + {_TREE.format(3, 1)}) / 3)"
 Q["forest_recursive"] = with_(LAGROWS + """,
-fs AS (SELECT round(avg(value), 3) AS fa, min(value) AS lo, max(value) AS hi FROM series),
-lf AS (SELECT lr.*, fs.* FROM lr, fs),
+fs AS (SELECT series, round(avg(value), 3) AS fa, min(value) AS lo, max(value) AS hi FROM series GROUP BY series),
+lf AS (SELECT lr.*, fa, lo, hi FROM lr JOIN fs USING (series)),
 rec AS (
   WITH RECURSIVE r(series, row_idx, step, l1, l2, l3, fa, lo, hi) AS (
     SELECT series, row_idx, 1, x_1, x_2, x_3, fa, lo, hi FROM lf
