@@ -13,7 +13,9 @@ scores, tempered so that long texts do not all read 1).
 Learning: whole texts of ``sample_rows`` labelled rows in expectation (chosen by
 a hash of the id).  Every language has an equal share of them, what small ones
 leave goes to the others, and no share is under ``LANG_ROWS`` rows, so that a
-language is learned however many rows the others have.  The model's words and
+language is learned however many rows the others have.  Of more than
+``MAX_LANGUAGES`` labels the most frequent ones are learned, ties in the order
+of their names.  The model's words and
 n-grams are shared out alike: ``max_words`` and ``max_grams``, or ``LANG_UNITS``
 for each language if that is more, its most frequent ones.  What a language
 never showed is equally unlikely in all of them.  Prediction sees the text only.
@@ -39,6 +41,7 @@ from geoseries.llm.textkit import map_arrow, slices, texts_of
 SAMPLE_ROWS = 8_000
 MAX_WORDS = 60_000
 MAX_GRAMS = 60_000
+MAX_LANGUAGES = 500     # labels that are learned at most, the most frequent ones (a dirty label column may hold millions)
 LANG_ROWS = 500         # rows of each language at least (all of them if it has fewer)
 LANG_UNITS = 2_000      # words, and n-grams, of each language at least
 GRAM = 5
@@ -176,9 +179,10 @@ def _share(sizes: list[int], total: int, least: int) -> int:
 
 
 def _sampled(rows: DataFrame, sample_rows: int) -> DataFrame:
-    by_lang = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many as there are languages
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    by_lang = {r.lang: r["count"] for r in most[:MAX_LANGUAGES]}
     share = _share(list(by_lang.values()), sample_rows, LANG_ROWS)
-    if all(n <= share for n in by_lang.values()):
+    if len(most) <= MAX_LANGUAGES and all(n <= share for n in by_lang.values()):
         return rows
     rates = rows.sparkSession.createDataFrame([(x, min(1 << 40, (1 << 40) * share // n)) for x, n in by_lang.items()], "lang string, rate long")
     return rows.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("rate")).drop("rate")

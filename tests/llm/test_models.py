@@ -62,6 +62,18 @@ def test_small_language_beside_a_large_one(spark):
     assert langid._share([10, 1, 1], 6, 0) == 4 and langid._share([2, 3], 6, 0) == 3 and langid._share([9, 9], 6, 5) == 5
 
 
+def test_a_dirty_label_column_is_bounded(spark, monkeypatch):
+    """Of very many labels the most frequent are learned; the rows of the others are predicted all the same."""
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [(i, "the cat and the dog", "en") for i in range(30)] + [(100 + i, "der hund und die katze", "de") for i in range(20)]
+    rows += [(1000 + i, "le chat et le chien", f"typo{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == ["de", "en"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert len(got) == 100 and got[1] == "en" and got[101] == "de"
+
+
 def test_lm_score_separates(spark):
     rnd = random.Random(1)
     good, bad = [f"g{i}" for i in range(50)], [f"b{i}" for i in range(50)]
