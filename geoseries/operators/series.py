@@ -8,7 +8,6 @@ without a partition key run only on distinct-bin tables (W8, W9).
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,14 +191,6 @@ def tabular_split(rows: DataFrame, test=0.2, val=0.2) -> DataFrame:
     return rows.join(labels, "row_idx")
 
 
-def split_sizes(n: int, test, val) -> tuple[int, int, int]:
-    """(train, validation, test) sizes for ``n`` items - the same rule in Python."""
-    n_test = math.ceil(test * n) if isinstance(test, float) else int(test)
-    remain = n - n_test
-    n_val = math.ceil(val * remain) if isinstance(val, float) else int(val)
-    return remain - n_val, n_val, n_test
-
-
 def series_index(long: DataFrame, series: str = "series", first_seen: str = "bin") -> DataFrame:
     """Position of each series key (P11): by first appearance, then key."""
     first = long.groupBy(series).agg(F.min(first_seen).alias("_f"))
