@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.casts import checked_number, checked_timestamp, rejects_of
 from ..functions.text import (DROP_CATEGORIES, DROP_PRIORITIES, KEEP_SOURCES, lnglat_from_text,
                               parse_twitter_time, strip_ws)
-from ..session import DEFAULT_BROADCAST_LIMIT, cut_lineage, drop_staged
+from ..session import DEFAULT_BROADCAST_LIMIT, cut_lineage
 from .geo import label_points, relabel
 
 ORDER_COLS = ["file_seq", "block_start", "row_seq"]
@@ -113,29 +113,28 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 
     Only keys and positions are aggregated, with map-side combine: a key
     holding a third of all rows (or all NULL keys) is one candidate per map task
-    before the shuffle.  ``df`` is read twice: for the keys and positions, which
-    are written, and for the rows that stay.  Keys with one row need nothing more; of the others the
-    positions of the later rows are written (narrow), and the rows at those
-    positions are left out.  The whole rows are never sorted: where the later
-    positions are few (measured) they are broadcast and the rows not even
-    shuffled; otherwise they are hashed.  ``order`` must tell rows apart and be
-    the same in every pass over ``df`` (positions taken at a file scan are).
+    before the shuffle.  Keys that come up more than once are written with their
+    first position, and the rows that have such a key but another position are
+    left out.  Whole rows are never sorted: where the repeated keys are few
+    (measured) they are broadcast and the rows not even shuffled; otherwise the
+    rows are hashed by key, and a hot key's partition can be split.  ``df`` is
+    read twice; ``order`` must tell rows apart and be the same in both passes
+    (positions taken at a file scan are).
     """
     position = F.struct(*[F.col(c) for c in order])
-    narrow = cut_lineage(df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *order), "keys")
     k = [f"_k{i}" for i in range(len(keys))]
-    repeated = (narrow.groupBy(*k).agg(F.min(position).alias("_first"), F.count(F.lit(1)).alias("_n"))
-                .where("_n > 1").select(*[F.col(c).alias(f"_r{c}") for c in k], "_first"))
-    same = F.lit(True)
-    for c in k:
-        same = same & F.col(c).eqNullSafe(F.col(f"_r{c}"))
-    later = cut_lineage(narrow.join(repeated, same).where(position > F.col("_first")).select(*order), "later-rows")
-    drop_staged(narrow)
-    n = later.count()
+    repeated = (df.select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], position.alias("_p"))
+                .groupBy(*k).agg(F.min("_p").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    repeated = cut_lineage(repeated, "repeated-keys")
+    n = repeated.count()
     if n == 0:
         return df
-    small = n * 64 * len(order) <= DEFAULT_BROADCAST_LIMIT
-    return df.join(F.broadcast(later) if small else later.hint("shuffle_hash"), list(order), "left_anti").select(*df.columns)
+    small = n * 64 * (len(keys) + len(order)) <= DEFAULT_BROADCAST_LIMIT
+    same = F.lit(True)
+    for c, r in zip(keys, k, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(r))
+    found = df.join(F.broadcast(repeated) if small else repeated.hint("shuffle_hash"), same, "left")
+    return found.where(F.col("_first").isNull() | (position == F.col("_first"))).select(*df.columns)
 
 
 # ---- calls pipeline (S1 -> ... -> O1) ----------------------------------------------
