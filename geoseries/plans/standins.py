@@ -159,7 +159,6 @@ GEO_PAGE = 10     # features per landed GeoJSON page
 def call_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed REST pages of call records from ``events``: ``(page_no, text)``.
     Records are paged by id; every page but the last says more rows follow."""
-    from pyspark.sql.window import Window
     ev = table(spark, sf_dir, "events")
     feat = F.struct(
         F.struct(F.col("event_id").alias("incident_id"),
@@ -169,9 +168,9 @@ def call_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (F.col("event_id") % 5 + 1).cast("string").alias("priority")).alias("attributes"),
         F.struct(((F.col("event_id") * 37) % 1100 / 100.0).cast("double").alias("x"),
                  ((F.col("event_id") * 91) % 1100 / 100.0).cast("double").alias("y")).alias("geometry"))
-    pages = (ev.groupBy((F.floor(F.col("event_id") / PAGE_SIZE) + 1).alias("page_no"))
-               .agg(F.array_sort(F.collect_list(feat)).alias("features")))
-    last = F.max("page_no").over(Window.partitionBy())  # page table: one row per page
+    page_no = F.floor(F.col("event_id") / PAGE_SIZE) + 1
+    pages = ev.groupBy(page_no.alias("page_no")).agg(F.array_sort(F.collect_list(feat)).alias("features"))
+    last = ev.agg(F.max(page_no)).scalar()  # of the numbers alone: no task sees the records of all pages
     pages = pages.withColumn("_more", F.when(F.col("page_no") < last, F.lit(True)))
     return pages.select("page_no", F.to_json(F.struct(F.col("features"),
                                                       F.col("_more").alias("exceededTransferLimit"))).alias("text"))
@@ -190,17 +189,17 @@ def call_pages_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boundary_pages(spark: SparkSession, sf_dir: str, unit: str = "block") -> DataFrame:
     """Landed GeoJSON FeatureCollection pages of the stand-in block (default)
     or neighbourhood polygons."""
-    from pyspark.sql.window import Window
     p = blocks(spark, sf_dir) if unit == "block" else polygons(spark, sf_dir)
     coords = F.array(F.transform("ring", lambda q: F.array(q.x, q.y)))
     feat = F.struct(F.lit("Feature").alias("type"), F.col("nhood_num").cast("long").alias("id"),
                     F.struct(F.col("nhood_num").alias("FID"), F.col("nhood_name").alias("nhood_name"))
                     .alias("properties"),
                     F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")).alias("geometry"))
-    pages = (p.groupBy((F.floor(F.col("nhood_num") / GEO_PAGE) + 1).alias("page_no"))
+    page_no = F.floor(F.col("nhood_num") / GEO_PAGE) + 1
+    pages = (p.groupBy(page_no.alias("page_no"))
               .agg(F.array_sort(F.collect_list(F.struct(F.col("nhood_num").alias("_k"), feat.alias("f"))))
                    .alias("_fs")))
-    last = F.max("page_no").over(Window.partitionBy())
+    last = p.agg(F.max(page_no)).scalar()
     more = F.struct(F.when(F.col("page_no") < last, F.lit(True)).alias("exceededTransferLimit"))
     doc = F.struct(F.lit("FeatureCollection").alias("type"), more.alias("properties"),
                    F.transform("_fs", lambda s: s.f).alias("features"))

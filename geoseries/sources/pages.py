@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import epoch_ms_to_local
 from ..operators.clean import flatten, strip_prefix
+from ..session import cut_lineage
 
 GEOMETRY = T.StructType([T.StructField("type", T.StringType()),
                          T.StructField("coordinates", T.StringType())])
@@ -173,6 +174,7 @@ def page_audit(pages: DataFrame, schema: T.StructType, text_col: str = "text",
     per = doc.select("page_no", F.when(usable, F.size("d.features")).otherwise(0).cast("bigint").alias("rows"), "page_class",
                      F.coalesce(F.col(f"d.{flag}"), F.lit(False)).alias("more"),
                      F.floor(F.col("page_no") / PAGE_BUCKET).alias("_b"))
+    per = cut_lineage(per, "page-rows")   # a few numbers a page: the pages are gathered and parsed once
     within = Window.partitionBy("_b").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_in", F.coalesce(F.sum("rows").over(within), F.lit(0)))
     totals = per.groupBy("_b").agg(F.sum("rows").alias("_t"), F.max("page_no").alias("_bmax"))

@@ -60,3 +60,18 @@ def test_working_series_reads_each_count_table_twice(spark):
     assert _plan(out).count("BroadcastHashJoin") == 1
     total = out.agg(F.sum("x"), F.sum("x_adj")).first()
     assert tuple(total) == (300, 300)
+
+
+def test_page_records_never_meet_in_one_task(spark, tmp_path):
+    """The last page's number is taken of the numbers alone; a window over all pages
+    would bring every record into one task."""
+    spark.range(1201).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id % 5 as user_id", "'view' as event_type",
+                                 "1.0D as value", "'{}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(25).selectExpr("cast(id as int) as n_nationkey", "concat('N', id) as n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(21).selectExpr("id as s_suppkey", "cast(id % 3 as int) as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    for pages, flag in ((S.call_pages(spark, str(tmp_path)), "$.exceededTransferLimit"),
+                        (S.boundary_pages(spark, str(tmp_path)), "$.properties.exceededTransferLimit")):
+        plan = _plan(pages)
+        assert "Window" not in plan and "SinglePartition" not in plan.split("Subquery")[0]
+        more = {r.page_no: r.more for r in pages.select("page_no", F.get_json_object("text", flag).alias("more")).collect()}
+        assert more == {1: "true", 2: "true", 3: None}
