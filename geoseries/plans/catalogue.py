@@ -632,19 +632,26 @@ def q_status_place(spark, sf):
 STREAM_BOX = S.AREA_BOX
 
 
+LANDED_ROWS = 25_000    # statuses per landed file: a compressed file is read by one task
+LANDED_BATCHES = 4      # micro-batches the landed files come in
+
+
 def _land_statuses(spark, sf):
     """Land the status documents twice (a replayed feed) in a fresh folder on the
-    shared checkpoint storage; returns the folder."""
+    shared checkpoint storage; returns the folder.  The documents are made once and
+    land compressed from the tasks that make them, without a shuffle of their texts;
+    the replay lands a copy of the landed files' lines."""
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    docs = S.status_docs(spark, sf)
     landing = f"{base}/landing"
-    docs.select("value").repartition(4).write.mode("overwrite").text(landing)
-    docs.select("value").repartition(4).write.mode("append").text(landing)
+    how = {"compression": "gzip", "maxRecordsPerFile": LANDED_ROWS}
+    S.status_docs(spark, sf).select("value").write.options(**how).text(landing)
+    spark.read.text(landing).write.options(**how).mode("append").text(landing)
     return base
 
 
 def _stream_statuses(spark, base):
-    return st.in_box(st.status_stream(spark, f"{base}/landing", max_files=2), STREAM_BOX)
+    landed = len(spark.read.text(f"{base}/landing").inputFiles())
+    return st.in_box(st.status_stream(spark, f"{base}/landing", max_files=max(1, -(-landed // LANDED_BATCHES))), STREAM_BOX)
 
 
 @register("stream_statuses_once")

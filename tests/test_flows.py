@@ -88,3 +88,24 @@ def test_strict_flow_raises_and_lenient_flow_sets_aside(spark):
     import pytest
     with pytest.raises(Exception, match="refused cast in file"):
         flows.calls_to_attention(*args, f"{d}/out2", strict=True)
+
+
+def test_a_feed_lands_in_small_compressed_files_and_its_replay_after_it(spark, tmp_path, monkeypatch):
+    spark.range(95).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id % 5 as user_id", "'view' as event_type",
+                               "1.0D as value", "concat('line', char(10), 'two') as props").coalesce(2).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(25).selectExpr("cast(id as int) as n_nationkey", "concat('N', id) as n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(1, 5).selectExpr("id as c_custkey", "'n' as c_name", "'m' as c_mktsegment", "1.5D as c_acctbal",
+                                 "cast(id as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(C, "LANDED_ROWS", 10)
+    base = C._land_statuses(spark, str(tmp_path))
+    landed = spark.read.text(f"{base}/landing")
+    per_file = landed.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert all(r.f.endswith(".gz") and r["count"] <= 10 for r in per_file) and len(per_file) >= 20
+    docs = S.status_docs(spark, str(tmp_path)).select("value")
+    twice = docs.unionAll(docs)
+    assert landed.exceptAll(twice).count() == 0 and twice.exceptAll(landed).count() == 0
+    from geoseries.streaming import statuses as st
+    st.run_entity_sink(C._stream_statuses(spark, base), f"{base}/out", f"{base}/ck", "2024-02-01 00:00:00", "g").awaitTermination()
+    tweets = spark.read.parquet(f"{base}/out/tweet")
+    assert tweets.select("batch_id").distinct().count() == C.LANDED_BATCHES
+    assert tweets.count() == 2 * tweets.select("id_str").distinct().count() > 0
