@@ -8,6 +8,8 @@ so the work stays in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,26 +52,26 @@ def ray_crosses(e: Column, px: Column, py: Column) -> Column:
     return straddles & F.coalesce(px < x_at, F.lit(False))
 
 
-def ring_fold(edges: Column, px: Column, py: Column) -> Column:
-    """One pass over the edges: struct(n = ray crossings, on = point on an edge)."""
+def ring_fold(edges: Column, px: Column, py: Column, finish: Callable[[Column], Column] = lambda a: a) -> Column:
+    """One pass over the edges: struct(n = ray crossings, on = point on an edge).
+    ``finish`` takes what is asked of it inside the fold: a column that names the
+    struct twice folds twice."""
     init = F.struct(F.lit(0).alias("n"), F.lit(False).alias("on"))
     return F.aggregate(
         edges, init,
         lambda a, e: F.struct(
             (a.n + F.when(ray_crosses(e, px, py), 1).otherwise(0)).alias("n"),
-            (a.on | on_edge(e, px, py)).alias("on")))
+            (a.on | on_edge(e, px, py)).alias("on")), finish)
 
 
 def covers_point(edges: Column, px: Column, py: Column) -> Column:
     """Closed-region test: inside the ring **or on its boundary** (even-odd rule)."""
-    acc = ring_fold(edges, px, py)
-    return acc.on | (acc.n % 2 == 1)
+    return ring_fold(edges, px, py, lambda a: a.on | (a.n % 2 == 1))
 
 
 def strictly_inside(edges: Column, px: Column, py: Column) -> Column:
     """Inside the ring and not on its boundary."""
-    acc = ring_fold(edges, px, py)
-    return ~acc.on & (acc.n % 2 == 1)
+    return ring_fold(edges, px, py, lambda a: ~a.on & (a.n % 2 == 1))
 
 
 def clearly_inside(edges: Column, px: Column, py: Column, tol: float) -> Column:

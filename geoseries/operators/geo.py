@@ -209,7 +209,8 @@ def label_points(points: DataFrame, polys: DataFrame, lng_col: str, lat_col: str
     if not hits:
         return points.withColumn(out_col, F.lit(None).cast("string"))
     best = F.array_min(F.array_compact(F.array(*hits)))
-    return joined.withColumn(out_col, best.getField("k")).drop(*[f"_cands{lv}" for lv in stats["level_bytes"]])
+    # one value a row, by a generator: a filter on a plain column would run the whole test a second time
+    return joined.withColumn(out_col, F.explode(F.array(best.getField("k")))).drop(*[f"_cands{lv}" for lv in stats["level_bytes"]])
 
 
 # ---- J3 ----------------------------------------------------------------------------

@@ -41,7 +41,9 @@ STATUS = T.StructType([T.StructField(n, t) for n, t in [
 
 
 def parse_statuses(df: DataFrame, text_col: str = "value") -> DataFrame:
-    return df.select(F.from_json(text_col, STATUS).alias("s")).select("s.*")
+    """Every status parsed once: a generator of one row, as a filter on a plain
+    column would parse the text again for each field it names."""
+    return df.select(F.inline(F.array(F.from_json(text_col, STATUS))))
 
 
 def list_text(arr: Column) -> Column:

@@ -75,3 +75,24 @@ def test_page_records_never_meet_in_one_task(spark, tmp_path):
         assert "Window" not in plan and "SinglePartition" not in plan.split("Subquery")[0]
         more = {r.page_no: r.more for r in pages.select("page_no", F.get_json_object("text", flag).alias("more")).collect()}
         assert more == {1: "true", 2: "true", 3: None}
+
+
+def test_a_status_is_parsed_once_and_a_point_located_once(spark, tmp_path):
+    """A filter on what a row's parse or locating gives does not run it again."""
+    from geoseries.sources.statuses import parse_statuses
+    from geoseries.streaming.statuses import in_box
+
+    def optimized(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.createDataFrame([('{"id_str": "1", "coordinates": {"coordinates": [1.0, 2.0]}}',), ("{broken",), (None,)], "value string")
+    docs.write.text(str(tmp_path / "landing"))
+    parsed = parse_statuses(spark.read.text(str(tmp_path / "landing")))
+    assert optimized(in_box(parsed, (0.0, 0.0, 10.0, 10.0))).count("from_json") == 1
+    assert parse_statuses(docs).count() == 3 and parse_statuses(docs).where("id_str is null").count() == 2
+    square = spark.createDataFrame([(0, 1, "A", [(0.0, 0.0), (6.0, 0.0), (6.0, 10.0), (0.0, 10.0), (0.0, 0.0)])],
+                                   "pos long, num int, name string, ring array<struct<x double, y double>>")
+    polys = geo.polygons_from_rings(square, "pos", "num", "name", "ring")
+    pts = spark.createDataFrame([(1.0, 1.0), (6.0, 3.0), (7.0, 3.0), (None, 3.0)], "x double, y double")
+    found = geo.label_points(pts, polys, "x", "y", "k")
+    assert optimized(found.where("k is not null")).count("aggregate(") == 1
+    assert sorted((str(r.x), r.k) for r in found.collect()) == [("1.0", "1,A"), ("6.0", "1,A"), ("7.0", None), ("None", None)]
