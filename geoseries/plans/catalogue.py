@@ -643,15 +643,15 @@ def _land_statuses(spark, sf):
     the replay lands a copy of the landed files' lines."""
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     landing = f"{base}/landing"
-    how = {"compression": "gzip", "maxRecordsPerFile": LANDED_ROWS}
+    how = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": LANDED_ROWS}
     S.status_docs(spark, sf).select("value").write.options(**how).text(landing)
     spark.read.text(landing).write.options(**how).mode("append").text(landing)
     return base
 
 
-def _stream_statuses(spark, base):
+def _stream_statuses(spark, base, fields=None):
     landed = len(spark.read.text(f"{base}/landing").inputFiles())
-    return st.in_box(st.status_stream(spark, f"{base}/landing", max_files=max(1, -(-landed // LANDED_BATCHES))), STREAM_BOX)
+    return st.in_box(st.status_stream(spark, f"{base}/landing", max(1, -(-landed // LANDED_BATCHES)), fields), STREAM_BOX)
 
 
 @register("stream_statuses_once")
@@ -679,7 +679,7 @@ def q_landed_posts_clean(spark, sf):
 def q_stream_total_once(spark, sf):
     """Running count of statuses received inside the box (ST3)."""
     base = _land_statuses(spark, sf)
-    q = st.run_running_count(_stream_statuses(spark, base), f"{base}/total", f"{base}/ckpt_total")
+    q = st.run_running_count(_stream_statuses(spark, base, ["coordinates"]), f"{base}/total", f"{base}/ckpt_total")
     q.awaitTermination()
     return tidy(st.read_running_count(spark, f"{base}/total").select("statuses"))
 
@@ -688,7 +688,7 @@ def q_stream_total_once(spark, sf):
 def q_stream_bin_once(spark, sf):
     """Distinct statuses per 3-h event-time window, deduplicated within the watermark (ST5)."""
     base = _land_statuses(spark, sf)
-    q = st.run_window_counts(_stream_statuses(spark, base), f"{base}/bins", f"{base}/ckpt_bins", delay="60 days")
+    q = st.run_window_counts(_stream_statuses(spark, base, st.WINDOW_FIELDS), f"{base}/bins", f"{base}/ckpt_bins", delay="60 days")
     q.awaitTermination()
     return tidy(st.latest_window_counts(spark, f"{base}/bins"))
 
@@ -697,8 +697,8 @@ def q_stream_bin_once(spark, sf):
 def q_stream_bin_nhood(spark, sf):
     """Distinct statuses per 3-h event-time window and neighbourhood (ST5, J1 on the stream)."""
     base = _land_statuses(spark, sf)
-    labelled = st.label_statuses(_stream_statuses(spark, base), S.polygons(spark, sf))
-    q = st.run_window_counts(labelled, f"{base}/bins", f"{base}/ckpt_bins", delay="60 days", nhood_col="FID_nhood")
+    q = st.run_window_counts(_stream_statuses(spark, base, st.WINDOW_FIELDS), f"{base}/bins", f"{base}/ckpt_bins", delay="60 days",
+                             nhood_col="FID_nhood", polys=S.polygons(spark, sf))
     q.awaitTermination()
     return tidy(st.latest_window_counts(spark, f"{base}/bins"))
 

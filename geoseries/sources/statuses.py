@@ -6,6 +6,8 @@ select, vectorised over all statuses at once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +42,21 @@ STATUS = T.StructType([T.StructField(n, t) for n, t in [
     ("coordinates", COORDS), ("place", PLACE)]])
 
 
-def parse_statuses(df: DataFrame, text_col: str = "value") -> DataFrame:
+def parse_statuses(df: DataFrame, text_col: str = "value", fields: Sequence[str] | None = None) -> DataFrame:
     """Every status parsed once: a generator of one row, as a filter on a plain
-    column would parse the text again for each field it names."""
-    return df.select(F.inline(F.array(F.from_json(text_col, STATUS))))
+    column would parse the text again for each field it names.
+
+    With ``fields`` only these attributes are read, as rows ``(*fields)``.  Of a
+    document that is cut or holds a value its type refuses, a parse keeps what
+    depends on the attributes it reads; such a document (only such) is parsed in
+    full, so its row is the same either way."""
+    if fields is None:
+        return df.select(F.inline(F.array(F.from_json(text_col, STATUS))))
+    some = T.StructType([STATUS[a] for a in fields] + [T.StructField("_broken", S)])
+    found = df.select(F.col(text_col).alias("_text"),
+                      F.inline(F.array(F.from_json(text_col, some, {"columnNameOfCorruptRecord": "_broken"}))))
+    whole = F.transform(F.array(F.from_json("_text", STATUS)), lambda s: F.struct(*[s.getField(a).alias(a) for a in fields]))
+    return found.select(F.inline(F.when(F.col("_broken").isNull(), F.array(F.struct(*fields))).otherwise(whole)))
 
 
 def list_text(arr: Column) -> Column:

@@ -17,6 +17,7 @@ Checkpoints and outputs go to caller-given paths on shared storage.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,17 @@ from ..sources.sinks import append_entities
 from ..sources.statuses import parse_statuses, place_rows, tweet_rows, user_rows
 
 
-def status_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    """Streaming source: one JSON status per line in the landing folder."""
+WINDOW_FIELDS = ("created_at", "id_str", "coordinates")   # what the window counts read of a status
+
+
+def status_stream(spark: SparkSession, landing: str, max_files: int | None = None,
+                  fields: Sequence[str] | None = None) -> DataFrame:
+    """Streaming source: one JSON status per line in the landing folder (S13);
+    with ``fields`` only these attributes of it."""
     r = spark.readStream
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
-    return parse_statuses(r.text(landing))
+    return parse_statuses(r.text(landing), fields=fields)
 
 
 def in_box(statuses: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
@@ -113,17 +119,22 @@ def dropped_late(query) -> int:
 
 
 def run_window_counts(statuses: DataFrame, out_base: str, checkpoint: str, delay: str, window: str = "3 hours",
-                      nhood_col: str | None = None, trigger: str = "availableNow"):
+                      nhood_col: str | None = None, trigger: str = "availableNow", polys: DataFrame | None = None):
     """ST5: distinct statuses per event-time window, and per neighbourhood if
-    ``nhood_col`` is given (:func:`label_statuses`), de-duplicated within the
-    watermark; update mode; every batch's changed windows land in their
-    ``batch_id=`` folder.  Statuses more than ``delay`` behind the newest one
-    are dropped (:func:`dropped_late` counts them): choose it longer than any
-    landing is late."""
+    ``nhood_col`` is given, de-duplicated within the watermark; update mode; every
+    batch's changed windows land in their ``batch_id=`` folder.  The neighbourhood
+    is a column of ``statuses``, or with ``polys`` is found here
+    (:func:`label_statuses`): then a status that comes again is not located again.
+    Statuses more than ``delay`` behind the newest one are dropped
+    (:func:`dropped_late` counts them): choose it longer than any landing is late."""
     keys = [nhood_col] if nhood_col else []
-    ev = (event_time(statuses).select("id_str", "event_time", *keys)
+    point = F.struct(F.col("coordinates.coordinates").alias("coordinates")).alias("coordinates")
+    carried = keys if polys is None else [point]
+    ev = (event_time(statuses).select("id_str", "event_time", *carried)
           .withWatermark("event_time", delay)
           .dropDuplicatesWithinWatermark(["id_str"]))
+    if polys is not None:
+        ev = label_statuses(ev, polys, nhood_col)
     counts = ev.groupBy(F.window("event_time", window).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
 
     def batch(df: DataFrame, batch_id: int) -> None:

@@ -109,3 +109,21 @@ def test_a_feed_lands_in_small_compressed_files_and_its_replay_after_it(spark, t
     tweets = spark.read.parquet(f"{base}/out/tweet")
     assert tweets.select("batch_id").distinct().count() == C.LANDED_BATCHES
     assert tweets.count() == 2 * tweets.select("id_str").distinct().count() > 0
+
+
+def test_a_query_that_counts_windows_reads_only_what_it_counts(spark, tmp_path, monkeypatch):
+    """Point, id and time of a whole status are read, and the point is looked up behind the de-duplication."""
+    spark.range(60).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id % 5 as user_id", "'view' as event_type",
+                               "1.0D as value", "'p' as props").coalesce(2).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(25).selectExpr("cast(id as int) as n_nationkey", "concat('N', id) as n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(1, 5).selectExpr("id as c_custkey", "'n' as c_name", "'m' as c_mktsegment", "1.5D as c_acctbal",
+                                 "cast(id as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    from geoseries.streaming import statuses as st
+    seen, label, parse = [], st.label_points, st.parse_statuses
+    monkeypatch.setattr(st, "label_points", lambda df, *a, **k: seen.append(df._jdf.queryExecution().analyzed().toString()) or label(df, *a, **k))
+    monkeypatch.setattr(st, "parse_statuses", lambda df, *a, **k: seen.append(parse(df, *a, **k)) or seen[-1])
+    n = {name: C.QUERIES[name](spark, str(tmp_path)).agg(F.sum("n")).first()[0] for name in ("stream_bin_nhood", "stream_bin_once")}
+    narrow, plan, narrow_too = seen
+    assert narrow.columns == narrow_too.columns == ["created_at", "id_str", "coordinates"]
+    assert "DeduplicateWithinWatermark" in plan
+    assert n["stream_bin_nhood"] == n["stream_bin_once"] > 0

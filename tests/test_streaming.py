@@ -107,3 +107,38 @@ def test_a_batch_that_fails_before_the_pointer_leaves_the_last_total(spark, monk
     assert len(versions) == 2 and st.read_running_count(spark, f"{base}/total").first().statuses == 60
     run().awaitTermination()
     assert st.read_running_count(spark, f"{base}/total").first().statuses == 120
+
+
+def test_a_parse_of_some_attributes_keeps_what_a_full_parse_keeps(spark):
+    """Cut lines, broken characters and values of another type give the same rows either way."""
+    d = _doc(7, 1.5, 2.5, place=True)
+    d = d[:-1] + ', "coordinates": {"coordinates": [3.5, 4.5], "type": "Point"}}'
+    lines = [d[:i] for i in range(0, len(d) + 1, 3)] + [d[:i] + c + d[i + 1:] for i in range(0, len(d), 5) for c in '"}x']
+    o = json.loads(d)
+    lines += [json.dumps(o | {k: v}) for k in o for v in (None, 1, "s", [1], {"a": [2]}, {"coordinates": ["x", 1]}, {"id_str": 3, "followers_count": "q"})]
+    rows = spark.createDataFrame([(x,) for x in [*lines, None, "", f"[{d}]", d + d]], "value string").coalesce(1).cache()
+    for fields in (st.WINDOW_FIELDS, ["coordinates"]):
+        some, full = stat.parse_statuses(rows, fields=fields), stat.parse_statuses(rows).select(*fields)
+        assert some.schema == full.schema and some.collect() == full.collect()
+    kept = [r.id_str for r in stat.parse_statuses(rows).select("id_str").collect()]
+    assert len(kept) == rows.count() and None in kept and "7" in kept
+
+
+def test_a_replayed_status_is_not_located_again(spark, monkeypatch):
+    """The points are looked up behind the de-duplication, with the same counts as before it."""
+    docs = [_doc(i, 1.0 + i % 9, 2.0) for i in range(40)] + [json.dumps(json.loads(_doc(50 + i, 0, 0)) | {"coordinates": None}) for i in range(3)]
+    base, land = _land([docs[:20], docs[20:], docs, docs[:5]])
+    square = spark.createDataFrame([(0, 1, "A", [(0.0, 0.0), (6.0, 0.0), (6.0, 10.0), (0.0, 10.0), (0.0, 0.0)])],
+                                   "pos long, num int, name string, ring array<struct<x double, y double>>")
+    polys = geo.polygons_from_rings(square, "pos", "num", "name", "ring")
+    located, label = [], st.label_points
+    monkeypatch.setattr(st, "label_points", lambda df, *a, **k: located.append(df) or label(df, *a, **k))
+    feed = lambda: st.status_stream(spark, land, 1, st.WINDOW_FIELDS)
+    st.run_window_counts(feed(), f"{base}/a", f"{base}/cka", "60 days", nhood_col="FID_nhood", polys=polys).awaitTermination()
+    behind = located.pop()._jdf.queryExecution().analyzed().toString()
+    st.run_window_counts(st.label_statuses(feed(), polys), f"{base}/b", f"{base}/ckb", "60 days", nhood_col="FID_nhood").awaitTermination()
+    before = located.pop()._jdf.queryExecution().analyzed().toString()
+    assert "DeduplicateWithinWatermark" in behind and "DeduplicateWithinWatermark" not in before
+    a, b = (sorted(map(str, st.latest_window_counts(spark, f"{base}/{x}").collect())) for x in "ab")
+    per = st.latest_window_counts(spark, f"{base}/a").collect()
+    assert a == b and sum(r.n for r in per) == 43 and {r.FID_nhood for r in per} == {"1,A", None}
